@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_classifier, quality_rules, token_counts, url_filter
+from . import decontaminate, license_scan, quality_classifier, quality_rules, token_counts, url_filter
 from .common import read
 
 TOKENIZER_BYTE_BPE = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def op1_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
@@ -36,5 +40,5 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary(TOKENIZER_BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_quality_rules, op4_url_filter, op6_quality_classifier, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_quality_rules, op4_url_filter, op6_quality_classifier, op8_token_counts)}
 ORACLE_SQL = {"op4_url_filter": url_filter.ORACLE}
