@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, near_dup, quality_classifier, quality_rules, token_counts, url_filter
+from . import decontaminate, license_scan, near_dup, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
 from .common import read
 
 TOKENIZER_BYTE_BPE = "byte_bpe_50k.json"
@@ -31,6 +31,10 @@ def op4_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op5_secret_scan(spark, sf_dir):
+    return secret_scan.scan_secrets(read(spark, sf_dir, "documents"), secret_scan.fit(spark))
+
+
 def op6_quality_classifier(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return quality_classifier.score_documents(docs, quality_classifier.fit(docs, read(spark, sf_dir, "labels")))
@@ -44,5 +48,5 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary(TOKENIZER_BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_quality_rules, op4_url_filter, op6_quality_classifier, op7_near_dup, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_quality_classifier, op7_near_dup, op8_token_counts)}
 ORACLE_SQL = {"op4_url_filter": url_filter.ORACLE}
