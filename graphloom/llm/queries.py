@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, near_dup, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
+from . import decontaminate, license_scan, near_dup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts, url_filter
 from .common import read
 
 TOKENIZER_BYTE_BPE = "byte_bpe_50k.json"
@@ -48,5 +48,9 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary(TOKENIZER_BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_quality_classifier, op7_near_dup, op8_token_counts)}
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_quality_classifier, op7_near_dup, op8_token_counts, op10_suffix_dedup)}
 ORACLE_SQL = {"op4_url_filter": url_filter.ORACLE}
