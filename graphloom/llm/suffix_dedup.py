@@ -379,6 +379,12 @@ def _removed(batches):
         yield _table(rows, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))
 
 
+def _four_bytes(number):
+    """A non-negative int column as four bytes, least first, as _spans writes them."""
+    digits = F.lpad(F.hex(number), 8, "0")
+    return F.unhex(F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1))))
+
+
 def covered_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_reaches: int = MOST_REACHES) -> tuple[DataFrame, DataFrame]:
     """(documents by key, covered spans by key): columns doc, sub, _text and doc, sub, data."""
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.hash(text_col).alias("sub"), F.col(text_col).alias("_text"))
@@ -394,7 +400,7 @@ def covered_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeats = contexts.where("kind = 1").withColumn("pack", F.pmod("h", F.lit(packs))).groupBy("pack").applyInArrow(_repeat_spans, "doc long, sub int, data binary")
     span = contexts.where("kind = 2").select("h", F.struct("doc", "sub", "start").alias("at"))
     first = span.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("h", "first")
-    pair = F.concat(*(F.reverse(F.unhex(F.lpad(F.hex(c), 8, "0"))) for c in (F.col("at.start"), F.col("at.start") + SPAN)))
+    pair = F.concat(_four_bytes(F.col("at.start")), _four_bytes(F.col("at.start") + SPAN))
     hashed = span.join(first, "h").where("at <> first").select(F.col("at.doc").alias("doc"), F.col("at.sub").alias("sub"), pair.alias("data"))
     return docs, found.where("kind = 0").select("doc", "sub", "data").unionByName(repeats).unionByName(hashed)
 
