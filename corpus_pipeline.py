@@ -1,11 +1,17 @@
-"""The corpus pipeline: the stages in order, each working on all that its predecessor kept."""
+"""The corpus pipeline: the stages in order, each working on all that its predecessor kept.
+
+Quality rules drop what they reject, near-duplicate detection keeps one document of each group,
+decontamination drops documents that hold a benchmark item, the secret scan masks secrets within
+texts, and the last stage encodes each text into sampled pieces and checks that they decode.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import quality_rules
-from graphloom.llm.common import read
+from graphloom.llm import decontaminate, near_dup, quality_rules, secret_scan, sentencepiece_sample
+from graphloom.llm.common import read, saved
+from graphloom.llm.queries import TOKENIZER_PIECES, vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +19,41 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
 
 
-STAGES = [("quality rules", quality)]
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: 80 % of five-word shingles in common."""
+    return near_dup.keep_first(docs, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item contaminates."""
+    return decontaminate.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return secret_scan.mask_secrets(docs, secret_scan.fit(spark))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One sampled segmentation of each document as piece ids, and whether it decodes to the text."""
+    return sentencepiece_sample.sample_segmentations(docs, vocabulary(TOKENIZER_PIECES), k=1, ids=True, digest=True)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("SentencePiece encoding and decoding", encoding),
+]
 
 #: No SQL expresses the stages; tests/llm holds each against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each stage's rows written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, near_dup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts, url_filter
+from . import decontaminate, license_scan, near_dup, quality_classifier, quality_rules, secret_scan, sentencepiece_sample, suffix_dedup, token_counts, url_filter
 from .common import read
 
 TOKENIZER_BYTE_BPE = "byte_bpe_50k.json"
+TOKENIZER_PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -48,9 +49,13 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary(TOKENIZER_BYTE_BPE))
 
 
+def op9_sentencepiece_sample(spark, sf_dir):
+    return sentencepiece_sample.sample_segmentations(read(spark, sf_dir, "documents"), vocabulary(TOKENIZER_PIECES), k=2, ids=False, digest=True)
+
+
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_quality_classifier, op7_near_dup, op8_token_counts, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_quality_classifier, op7_near_dup, op8_token_counts, op9_sentencepiece_sample, op10_suffix_dedup)}
 ORACLE_SQL = {"op4_url_filter": url_filter.ORACLE}
