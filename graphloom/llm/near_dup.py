@@ -10,6 +10,8 @@ group are neither emitted nor all computed.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,8 +22,9 @@ from .components import connected_components
 from .decontaminate import windows
 
 WIDTH = 5
-#: A pair at 85 % misses all bands with probability (1 - 0.85**6)**40, about 6e-9.
-BANDS, BAND_ROWS = 40, 6
+BAND_ROWS = 6
+#: Enough bands are used that a pair just at the threshold misses all of them less often than this.
+MISS = 1e-8
 RING = 1 << 20
 #: Shingles of one verification block; larger clusters are verified block against block.
 BLOCK_SHINGLES = 1_000_000
@@ -39,8 +42,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(windows(values, size) ^ np.uint64(size))
 
 
+def bands_for(percent: int, rows: int = BAND_ROWS, miss: float = MISS) -> int:
+    share = (percent / 100) ** rows
+    return 1 if share >= 1 else math.ceil(math.log(miss) / math.log(1 - share))
+
+
 class Circulant:
-    def __init__(self, bands: int = BANDS, rows: int = BAND_ROWS, seed: int = 11):
+    def __init__(self, bands: int, rows: int = BAND_ROWS, seed: int = 11):
         self.bands, self.rows = bands, rows
         ranks = np.random.default_rng(seed).permutation(RING).astype(np.uint32)
         self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([ranks, ranks[: bands * rows]]), bands * rows)
@@ -109,7 +117,7 @@ def verified(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int | None = None, band_rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of df.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets;
@@ -119,6 +127,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Ties cannot arise, an empty table gives no rows, other columns are not read.
     """
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    bands = bands or bands_for(percent, band_rows)
 
     def sign():
         ring = Circulant(bands, band_rows)
