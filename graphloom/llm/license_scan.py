@@ -64,7 +64,7 @@ FAMILIES = (
     ("agpl", r"gnu affero general public licen[sc]e|gnu agpl", "gnu", "agpl", ("1.0", "3.0"), r"gnu org licenses agpl"),
     ("gfdl", r"gnu free documentation licen[sc]e", "gnu", "gfdl", ("1.1", "1.2", "1.3"), r"gnu org licenses fdl"),
     ("apache", r"apache (?:software )?licen[sc]e", "apache", "apache", ("1.0", "1.1", "2.0"), r"apache org licenses"),
-    ("mit", r"mit(?: x11)? licen[sc]e|expat licen[sc]e", "mit", "mit", (), r"opensource org licenses mit"),
+    ("mit", r"(?:mit(?: x11)?|expat) licen[sc]e", "licen", "mit", (), r"opensource org licenses mit"),
     ("bsd", r"bsd (?:style )?licen[sc]e", "bsd", "bsd", (), r"opensource org licenses bsd"),
     ("bsd-2-clause", r"(?:simplified|2 clause|two clause|freebsd) bsd licen[sc]e|bsd 2 clause(?: licen[sc]e)?", "bsd", "bsd 2 clause", (), r"opensource org licenses bsd 2 clause"),
     ("bsd-3-clause", r"(?:new|revised|modified|3 clause|three clause) bsd licen[sc]e|bsd 3 clause(?: licen[sc]e)?", "bsd", "bsd 3 clause", (), r"opensource org licenses bsd 3 clause"),
@@ -119,11 +119,12 @@ def _rules() -> tuple[Rule, ...]:
         Rule(95, "permission", "isc", 0.95, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
         Rule(94, "redistribution", "bsd", 0.9, r"redistribution and use in source and binary forms with or without modification are permitted"),
         Rule(93, "contributors", "bsd-3-clause", 0.95, r"neither the name of .{1,80}? nor the names of its contributors may be used"),
-        Rule(92, "warranty", "apache-2.0", 0.8, r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+        Rule(92, "applicable", "apache-2.0", 0.8, r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
         Rule(92, "warranty", "gpl", 0.8, r"this program is distributed in the hope that it will be useful but without any warranty"),
         Rule(91, "unencumbered", "unlicense", 1.0, r"this is free and unencumbered software released into the public domain"),
         Rule(20, "rights", "all-rights-reserved", 0.4, r"all rights reserved"),
-        Rule(20, "proprietary", "proprietary", 0.5, r"(?:proprietary and )?confidential(?: and proprietary)?|proprietary licen[sc]e"),
+        Rule(20, "confidential", "proprietary", 0.5, r"(?:proprietary and )?confidential(?: and proprietary)?"),
+        Rule(20, "proprietary", "proprietary", 0.5, r"proprietary licen[sc]e"),
     ]
     return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.pattern)))
 
