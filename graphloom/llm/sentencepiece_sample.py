@@ -27,11 +27,13 @@ from .common import mix64
 
 SPACE = "▁"
 #: Characters of text worked on at once.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TWIST = np.uint64(0xD1342543DE82EF95)
 #: No noise is larger: uniform numbers are at least 2**-54 from 1.
 _MOST_NOISE = 54 * math.log(2) + 1e-6
+#: Steps of a row whose groups are looked at for all rows of a batch at once.
+_STEPS = 512
 _BYTES = -2  # the piece of an edge that spells one character in bytes
 
 
@@ -131,8 +133,7 @@ class Lattice:
         active, h = np.arange(n), np.zeros(n, dtype=np.uint64)
         sources, widths, kinds = [], [], []
         for width in range(1, pieces.longest + 1):
-            with np.errstate(over="ignore"):
-                h = h * _BASE + letter[active + width - 1]
+            h = h * _BASE + letter[active + width - 1]
             at = pieces.find(h)
             piece = np.where(at >= 0, pieces.piece_of[at], -1)
             if width == 1:
@@ -150,7 +151,7 @@ class Lattice:
                 break
         source, width, kind = (np.concatenate(x) for x in (sources, widths, kinds))
         # by characters left, then source: completion sums then need one pass over the edges
-        order = np.argsort(left[source] * (n + 1) + source, kind="stable")
+        order = np.argsort((left[source] * (n + 1) + source) * (pieces.longest + 1) + width)
         source, width, kind = source[order], width[order], kind[order]
         weight = np.where(kind >= 0, pieces.weight[np.maximum(kind, 0)], 0.0)
         spelled = np.flatnonzero(kind == _BYTES)
@@ -192,9 +193,10 @@ class Lattice:
         left = self.left[state].copy()
         active, taken = np.arange(len(unit)), []
         number = np.zeros(len(unit), dtype=np.int64)
+        turn = np.full(1, _TWIST, dtype=np.uint64)
         while len(active):
-            with np.errstate(over="ignore"):
-                u = _uniform(key[active] + np.uint64(step + 1) * _TWIST)
+            u = _uniform(key[active] + turn)
+            turn = turn + _TWIST
             edge = self.first[state[active]]
             more = np.flatnonzero(u > self.sum[edge])
             while len(more):
@@ -233,11 +235,45 @@ def _capped(location, noise, top):
 
 
 def _log_rest(log):
-    """log(1 - exp(log)) with -inf for a certain step."""
+    """log(1 - exp(log)); -inf for a certain step."""
     with np.errstate(divide="ignore"):
         return np.log(-np.expm1(np.minimum(log, 0.0)))
 
 
+class _Spare:
+    """A row's own uniform numbers; more are hashed when the first ones run out."""
+
+    def __init__(self, row: int, first: list[float]):
+        self.row, self.have, self.at = row, first, 0
+
+    def __call__(self) -> float:
+        if self.at == len(self.have):
+            count = np.arange(len(self.have), len(self.have) + 1024, dtype=np.uint64)
+            self.have = self.have + _uniform(count * _BASE + np.uint64(self.row)).tolist()
+        self.at += 1
+        return self.have[self.at - 1]
+
+
+class _Fresh:
+    """One independent draw for every unit of a batch, with what the search needs of its first steps."""
+
+    def __init__(self, grid: Lattice, units: np.ndarray, first: np.ndarray, key: np.ndarray, row: np.ndarray):
+        self.edges, number = grid.draw(units, key)
+        self.at = np.concatenate([[0], np.cumsum(number)])
+        self.log = grid.log[self.edges]
+        begin = self.at[first]
+        self.begin, self.size = begin[:-1], np.diff(begin)
+        total = np.concatenate([[0.0], np.cumsum(self.log)])
+        self.total = total[begin[1:]] - total[begin[:-1]]
+        # a matrix of the first steps of each row: log-chance before a step, and value of its group before location and cap
+        place = np.minimum(self.begin[:, None] + np.arange(_STEPS), max(len(self.log) - 1, 0))
+        log = np.where(np.arange(_STEPS) < self.size[:, None], self.log[place] if len(self.log) else 0.0, 0.0)
+        self.before = np.cumsum(log, axis=1) - log
+        noise = _gumbel(_uniform(mix64(row)[:, None] + np.arange(_STEPS, dtype=np.uint64) * _TWIST))
+        self.lift = _log_rest(log) + noise  # a step beyond the end is certain: its group has -inf
+        self.row = row
+
+
 class Sampler:
     """Top-k segmentations without replacement of texts by row key."""
 
@@ -249,95 +285,122 @@ class Sampler:
         split = [self.pieces.split(t) for t in texts]
         flat = list(chain.from_iterable(split))
         known = {u: i for i, u in enumerate(dict.fromkeys(flat))}
-        occurrences = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
-        size = np.array([len(s) for s in split], dtype=np.int64)
+        units = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        size = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        del flat, split
         grid = Lattice(list(known), self.pieces)
         row = mix64(np.array([(0 if k is None else k) & 0xFFFFFFFFFFFFFFFF for k in keys], dtype=np.uint64) ^ mix64(np.array([self.seed], dtype=np.uint64)))
         first = np.concatenate([[0], np.cumsum(size)])
-        within = np.arange(first[-1]) - np.repeat(first[:-1], size)
+        within = (np.arange(first[-1]) - np.repeat(first[:-1], size)).astype(np.uint64) * _TWIST
         fresh = []
         for s in range(self.k):
-            with np.errstate(over="ignore"):
-                key = mix64(np.repeat(row + np.uint64(s + 1) * _BASE, size) + within.astype(np.uint64) * _TWIST)
-            edges, number = grid.draw(occurrences, key)
-            at = np.concatenate([[0], np.cumsum(number)])
-            fresh.append((edges, at, grid.log[edges]))
-        return [self._search(grid, row[d], occurrences[first[d] : first[d + 1]], int(first[d]), fresh) for d in range(len(texts))]
-
-    def _noise(self, row: np.uint64, path: int, low: int, high: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return _gumbel(_uniform(np.arange(low, high, dtype=np.uint64) * _TWIST + mix64(row + np.uint64(1_000_003 * (path + 1)))))
-
-    def _search(self, grid: Lattice, row: np.uint64, units: np.ndarray, first: int, fresh: list) -> list:
-        if not len(units):
-            return [(np.zeros(0, dtype=np.int64), 0.0, 0.0, 0.0)]
-        with np.errstate(over="ignore"):
-            spare = iter(_uniform(np.arange(1, 4096, dtype=np.uint64) * _BASE + mix64(row)).tolist())
-        paths: list[tuple[np.ndarray, np.ndarray]] = []  # edges, log-chance before each step
-        groups: list[np.ndarray] = []  # of each path, the values of its groups of other pieces
-        narrowed: list[tuple[float, int, int, frozenset]] = []  # groups of which pieces were taken: value, path, step, taken
-        values = []
-
-        def add(edges, log, top, done, before):
-            """A path whose steps from `done` on are new; before: log-chance of the steps before them."""
-            p = len(paths)
-            upto = before + np.concatenate([[0.0], np.cumsum(log[done:])])
-            ahead = np.concatenate([paths[source][1][:done], upto[:-1]]) if done else upto[:-1]
-            value = np.full(len(edges), -np.inf)
-            low = done + (p > 0)  # the step that left a group belongs to that group
-            end = min(len(edges), low + 128)
-            while low < end:
-                value[low:end] = _capped(ahead[low:end] + _log_rest(log[low:end]), self._noise(row, p, low, end), top)
-                # steps whose groups noise cannot lift to the k + 1 best so far
-                best = np.sort(value)[-self.k - 1] if len(value) > self.k else -np.inf
-                low, end = end, max(end, int(np.searchsorted(-ahead, _MOST_NOISE - best)) if best > -np.inf else len(edges))
-            paths.append((edges, ahead))
-            groups.append(value)
-            values.append((edges, float(upto[-1]), float(top)))
-
-        source = 0
-        edges, at, log = fresh[0]
-        low, high = at[first], at[first + len(units)]
-        add(edges[low:high], log[low:high], float(_gumbel(next(spare))), 0, 0.0)
+            own = row + np.full(1, s + 1, dtype=np.uint64) * _BASE
+            fresh.append(_Fresh(grid, units, first, mix64(np.repeat(own, size) + within), own))
+        spare = _uniform(mix64(row ^ _TWIST)[:, None] + np.arange(32, dtype=np.uint64) * _BASE).tolist()
+        seeds = mix64(row ^ _TWIST).tolist()
+        top = _gumbel(np.array([x[0] for x in spare]))
+        best = fresh[0]
+        values = _capped(best.before, best.lift, top[:, None])
+        out = []
+        for d in range(len(texts)):
+            a, b = int(first[d]), int(first[d + 1])
+            if a == b:
+                out.append([(np.zeros(0, dtype=np.int64), 0.0, 0.0, 0.0)])
+            else:
+                out.append(self._search(grid, d, units[a:b], a, fresh, values[d], float(top[d]), _Spare(seeds[d], spare[d])))
+        return out
+
+    def _more(self, fresh: _Fresh, d: int, low: int, value: np.ndarray, ahead: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
+        """value and ahead of a path's groups, continued beyond the first steps where noise could still lift one to the best k + 1.
+
+        low: how many steps of the row's fresh draw lie in value; ahead has one entry more than value, for the next step.
+        """
+        size, begin = int(fresh.size[d]), int(fresh.begin[d])
+        while low < size:
+            bound = np.partition(value, -self.k - 1)[-self.k - 1] if len(value) > self.k else -math.inf
+            if ahead[-1] + _MOST_NOISE < bound:
+                break
+            high = min(size, 2 * low + _STEPS)
+            log = fresh.log[begin + low : begin + high]
+            upto = ahead[-1] + np.cumsum(log)
+            noise = _gumbel(_uniform(mix64(fresh.row[d : d + 1]) + np.arange(low, high, dtype=np.uint64) * _TWIST))
+            value = np.concatenate([value, _capped(np.concatenate([ahead[-1:], upto[:-1]]) + _log_rest(log), noise, top)])
+            ahead = np.concatenate([ahead, upto])
+            low = high
+        return value, ahead
+
+    def _search(self, grid: Lattice, d: int, units: np.ndarray, first: int, fresh: list[_Fresh], value: np.ndarray, top: float, spare: _Spare) -> list:
+        own = fresh[0]
+        n = min(int(own.size[d]), _STEPS)
+        begin, size = int(own.begin[d]), int(own.size[d])
+        ahead = np.append(own.before[d, :n], own.before[d, n - 1] + own.log[begin + n - 1])
+        value, ahead = self._more(own, d, n, value[:n].copy(), ahead, top)
+        # of each path: edges, value and log-chance before each step, as far as its groups can matter
+        paths = [(own.edges[begin : begin + size], value, ahead)]
+        found = [(paths[0][0], float(own.total[d]), top)]
+        narrowed: list[tuple[float, int, int, frozenset]] = []  # groups of which pieces were taken
         while True:
-            best, source, step, taken = -math.inf, None, 0, frozenset()
-            for p, value in enumerate(groups):
-                i = int(np.argmax(value))
+            best, source, step, taken = -math.inf, 0, 0, frozenset()
+            for p, (edges, value, _) in enumerate(paths):
+                i = int(value.argmax())
                 if value[i] > best:
-                    best, source, step, taken = float(value[i]), p, i, frozenset((int(paths[p][0][i]),))
+                    best, source, step, taken = float(value[i]), p, i, frozenset((int(edges[i]),))
             for g in narrowed:
                 if g[0] > best:
                     best, source, step, taken = g
-            if len(values) == self.k or best == -math.inf:
+            if len(found) == self.k or best == -math.inf:
                 break
-            old, ahead = paths[source]
-            groups[source][step] = -math.inf
+            old, value, ahead = paths[source]
+            value[step] = -math.inf
             narrowed = [g for g in narrowed if (g[1], g[2]) != (source, step)]
             # the piece taken from the group, and what is left of the group
-            state = self._state_of(grid, old, step, units)
-            options = [e for e in range(grid.first[state[0]], grid.first[state[0]] + grid.count[state[0]]) if e not in taken]
-            chance = np.exp(grid.log[options])
-            pick = options[min(int(np.searchsorted(np.cumsum(chance), next(spare, 0.5) * chance.sum())), len(options) - 1)]
-            rest = chance.sum() - math.exp(grid.log[pick])
-            if len(options) > 1 and rest > 0:
-                value = float(_capped(ahead[step] + math.log(rest), _gumbel(next(spare, 0.5)), best))
-                narrowed.append((value, source, step, taken | {pick}))
-            # on to the end of the unit, then the fresh draw of this sample
-            tail, (here, unit) = [pick], state
-            here, left = here + int(grid.width[pick]), int(grid.left[here] - grid.width[pick])
+            here, unit = self._state_of(grid, old, step, units)
+            edge = int(grid.first[here])
+            options = [e for e in range(edge, edge + int(grid.count[here])) if e not in taken]
+            chance = [math.exp(grid.log[e]) for e in options]
+            pick, u = options[-1], spare() * math.fsum(chance)
+            for e, c in zip(options, chance, strict=True):
+                if u < c:
+                    pick = e
+                    break
+                u -= c
+            rest = math.fsum(c for e, c in zip(options, chance, strict=True) if e != pick)
+            if rest > 0:
+                narrowed.append((float(_capped(ahead[step] + math.log(rest), _gumbel(spare()), best)), source, step, taken | {pick}))
+            # on to the end of the unit, each step with its own group, then this sample's fresh draw
+            tail, before, groups = [pick], [float(ahead[step])], [-math.inf]
+            here, left = here + int(grid.width[pick]), int(grid.left[here]) - int(grid.width[pick])
+            log = before[0] + float(grid.log[pick])
             while left > 0:
-                e, u = int(grid.first[here]), next(spare, 0.5)
+                e, u = int(grid.first[here]), spare()
                 while u > grid.sum[e]:
                     e += 1
                 tail.append(e)
+                before.append(log)
+                groups.append(float(_capped(log + _log_rest(grid.log[e]), _gumbel(spare()), best)))
+                log += float(grid.log[e])
                 here, left = here + int(grid.width[e]), left - int(grid.width[e])
-            edges, at, log = fresh[len(values)]
-            low, high = at[first + unit + 1], at[first + len(units)]
-            new = np.concatenate([old[:step], tail, edges[low:high]])
-            logs = np.concatenate([np.zeros(step), grid.log[tail], log[low:high]])
-            add(new, logs, best, step, float(ahead[step]))
+            own = fresh[len(found)]
+            begin = int(own.begin[d])
+            low, high = int(own.at[first + unit + 1]) - begin, int(own.size[d])
+            n = min(high, _STEPS)
+            if low < n:
+                skipped = float(own.before[d, low])
+                part = own.before[d, low:n] + (log - skipped)
+                group = _capped(part, own.lift[d, low:n], best)
+                after = float(part[-1] + own.log[begin + n - 1])
+                whole = log + float(own.total[d]) - skipped
+            else:
+                part, group, after, n = np.zeros(0), np.zeros(0), log, low
+                whole = log + float(own.log[begin + low : begin + high].sum())
+            value = np.concatenate([np.full(step, -math.inf), groups, group])
+            ahead = np.concatenate([ahead[:step], before, part, [after]])
+            value, ahead = self._more(own, d, n, value, ahead, best)
+            edges = np.concatenate([old[:step], tail, own.edges[begin + low : begin + high]])
+            paths.append((edges, value, ahead))
+            found.append((edges, whole, best))
         out = []
-        for edges, log, value in values:
+        for edges, log, value in found:
             chance = -math.expm1(-math.exp(log - best)) if best > -math.inf and log - best < 30 else 1.0
             inclusion = math.log(chance) if chance > 1e-12 else log - best
             out.append((self._ids(grid, edges, units), log, value, inclusion))
@@ -345,9 +408,9 @@ class Sampler:
 
     def _state_of(self, grid: Lattice, edges: np.ndarray, step: int, units: np.ndarray) -> tuple[int, int]:
         """(state, unit number) at which a step of a path starts."""
-        width = grid.width[edges[: step + 1]]
-        ends = np.cumsum(grid.left[grid.start[units]])
-        before = int(width[:-1].sum())
+        before = int(grid.width[edges[:step]].sum())
+        # units have a character at least: the step lies within the first `before` + 1
+        ends = np.cumsum(grid.left[grid.start[units[: before + 1]]])
         unit = int(np.searchsorted(ends, before, side="right"))
         return int(grid.start[units[unit]]) + before - (int(ends[unit - 1]) if unit else 0), unit
 
