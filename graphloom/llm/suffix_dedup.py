@@ -7,12 +7,13 @@ among the hashes of its short windows, so equal spans share anchors at equal pla
 1. Each batch of documents lists its anchors with a hash of all bytes that spans through the
    anchor can reach. Anchors that agree in that reach with an earlier one need nothing more:
    their whole reach is covered. First ones go to buckets by anchor.
-2. A bucket settles agreement across batches the same way. Anchors that agree with others only
-   in part (the ends of repeats) are asked for with their bytes.
+2. A bucket settles agreement across batches the same way. A span through an anchor holds one of
+   three ranges of bytes about it whole; anchors that share such a range with an anchor of
+   another reach (the ends of repeats) are asked for with their bytes.
 3. Over those bytes, a stack scan of the suffix array's common-prefix intervals gives the
    maximal repeats (those whose left neighbours differ) with all occurrences; all but the
-   first are covered. Anchors with very many differing reaches go by span hashes instead,
-   which Spark aggregates, so no group is gathered whole.
+   first are covered. Anchors with very many differing reaches go by hashes of their spans
+   instead, reduced within each batch and then by bucket, so no group is gathered whole.
 4. Covered spans meet their texts by document.
 """
 
@@ -33,12 +34,17 @@ REACH = SPAN - ANCHOR
 #: Text bytes whose anchors share a bucket.
 BUCKET_BYTES = 32 << 20
 #: Anchors with more differing reaches than this go by span hashes.
-MOST_REACHES = 2048
+MOST_REACHES = 8192
+#: (bytes before the anchor, bytes from its start): of the spans that start at least so far before it
+#: and not before the last range's, each holds the range whole.
+RANGES = ((51, 24), (26, 50), (0, 75))
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTER = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _NULL_ID = -(1 << 63)
 _CHUNK = 1 << 18
+#: Rows of a batch whose anchors are held at once, and bytes of one suffix array (more if one anchor has them).
+_ROWS, _CONTEXT_BYTES = 4096, 1 << 19
 
 
 class Powers:
@@ -59,13 +65,16 @@ class Powers:
 
 
 def anchors(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, ...]:
-    """(text number, place, anchor hash, reach hash) of all anchors of texts of SPAN bytes or more."""
+    """(text number, place, anchor hash, reach hash, range hashes) of all anchors of texts of SPAN bytes or more.
+
+    A range that would leave its text has hash 0: no span holds it.
+    """
     size = np.array([len(t) for t in texts], dtype=np.int64)
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n = len(raw)
     if n < SPAN:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), np.zeros((0, len(RANGES)), np.uint32)
     end = np.cumsum(size)
     letter = _LETTER[raw]
     with np.errstate(over="ignore"):
@@ -106,7 +115,12 @@ def anchors(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, ...]:
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(letter * up[:n], dtype=np.uint64)])
         reach = (total[right] - total[left]) * down[left]
         reach = mix64(reach ^ mix64((at - left).astype(np.uint64) * np.uint64(256) + (right - at).astype(np.uint64)) ^ h[at])
-    return text, at - begin[text], h[at], reach
+        shared = []
+        for before, after in RANGES:
+            whole = (at - before >= begin[text]) & (at + after <= end[text])
+            a, b = np.where(whole, at - before, 0), np.where(whole, at + after, 0)
+            shared.append(np.where(whole, (mix64((total[b] - total[a]) * down[a]) >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(np.uint32))
+    return text, at - begin[text], h[at], reach, np.stack(shared, axis=1)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,17 +166,17 @@ def _list_anchors(buckets: int):
 
     def run(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             doc, sub = (batch.column(k).to_numpy() for k in (0, 1))
             rank = np.lexsort((sub, doc))
             parts, held, weight = [], [], 0
 
             def flush(parts=parts, held=held):
                 if held:
-                    text, place, h, reach = anchors([t for _, t in held], powers)
+                    text, place, h, reach, shared = anchors([t for _, t in held], powers)
                     rows = np.array([r for r, _ in held], dtype=np.int64)
                     size = np.array([len(t) for _, t in held], dtype=np.int64)
-                    parts.append((rows[text], place, h, reach, np.minimum(place, REACH), np.minimum(REACH, size[text] - place - ANCHOR)))
+                    parts.append((rows[text], place, h, reach, np.minimum(place, REACH), np.minimum(REACH, size[text] - place - ANCHOR), shared))
                     held.clear()
 
             texts = batch.column(2)
@@ -179,7 +193,7 @@ def _list_anchors(buckets: int):
             flush()
             if not parts:
                 continue
-            row, place, h, reach, left, right = (np.concatenate(p) for p in zip(*parts, strict=True))
+            row, place, h, reach, left, right, shared = (np.concatenate(p) for p in zip(*parts, strict=True))
             # parts follow the order of documents and places, and the sort is stable: the first of equals is the earliest
             order = np.argsort(reach, kind="stable")
             new = np.concatenate([[True], reach[order][1:] != reach[order][:-1]])
@@ -194,28 +208,28 @@ def _list_anchors(buckets: int):
             for b in range(buckets):
                 own = first[by[cut[b] : cut[b + 1]]]
                 if len(own):
-                    rows.append((b, 1, None, None, _pack(doc[row[own]], sub[row[own]], h[own], reach[own], place[own], left[own], right[own])))
+                    rows.append((b, 1, None, None, _pack(doc[row[own]], sub[row[own]], h[own], reach[own], place[own], left[own], right[own], shared[own])))
             yield _table(rows, ("bucket", "kind", "doc", "sub", "data"), kinds)
 
     return run
 
 
-def _pack(doc, sub, h, reach, place, left, right) -> bytes:
+def _pack(doc, sub, h, reach, place, left, right, shared) -> bytes:
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])])
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(doc)))
-    parts = (np.array([len(doc), len(at)], "<i8"), h.astype("<u8"), reach.astype("<u8"), place.astype("<i4"), left.astype("u1"), right.astype("u1"), doc[at].astype("<i8"), sub[at].astype("<i4"), count.astype("<i4"))
+    parts = (np.array([len(doc), len(at)], "<i8"), h.astype("<u8"), reach.astype("<u8"), place.astype("<i4"), left.astype("u1"), right.astype("u1"), shared.astype("<u4"), doc[at].astype("<i8"), sub[at].astype("<i4"), count.astype("<i4"))
     return b"".join(p.tobytes() for p in parts)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     n, docs = np.frombuffer(data, "<i8", 2).tolist()
     at, out = 16, []
-    for kind, k in (("<u8", n), ("<u8", n), ("<i4", n), ("u1", n), ("u1", n), ("<i8", docs), ("<i4", docs), ("<i4", docs)):
+    for kind, k in (("<u8", n), ("<u8", n), ("<i4", n), ("u1", n), ("u1", n), ("<u4", n * len(RANGES)), ("<i8", docs), ("<i4", docs), ("<i4", docs)):
         out.append(np.frombuffer(data, kind, k, at))
         at += out[-1].nbytes
-    h, reach, place, left, right, doc, sub, count = out
-    return np.repeat(doc, count), np.repeat(sub, count), h, reach, place.astype(np.int64), left.astype(np.int64), right.astype(np.int64)
+    h, reach, place, left, right, shared, doc, sub, count = out
+    return np.repeat(doc, count), np.repeat(sub, count), h, reach, place.astype(np.int64), left.astype(np.int64), right.astype(np.int64), shared.reshape(-1, len(RANGES))
 
 
 def _settle(most: int):
@@ -234,10 +248,10 @@ def _settle(most: int):
             same = h[order][1:] == h[order][:-1]
             twice = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
             del order, same
-            doc, sub, h, reach, place, left, right = (np.concatenate([p[k] for p in packed])[twice] for k in range(7))
+            doc, sub, h, reach, place, left, right, shared = (np.concatenate([p[k] for p in packed])[twice] for k in range(8))
             packed.clear()
             order = np.lexsort((place, sub, doc, reach, h))
-            doc, sub, h, reach, place, left, right = (x[order] for x in (doc, sub, h, reach, place, left, right))
+            doc, sub, h, reach, place, left, right, shared = (x[order] for x in (doc, sub, h, reach, place, left, right, shared))
             n = len(h)
             if n:
                 new_h = np.concatenate([[True], h[1:] != h[:-1]])
@@ -246,8 +260,18 @@ def _settle(most: int):
                 again = ~new & ~((doc == doc[lead]) & (sub == sub[lead]) & (place == place[lead]))
                 rows += [(0, d, s, data) for d, s, data in _spans(doc[again], sub[again], (place - left)[again], (place + ANCHOR + right)[again])]
                 group = np.cumsum(new_h) - 1
-                reaches = np.bincount(group, weights=new)[group]
-                for kind, asked in ((1, new & (reaches > 1) & (reaches <= most)), (2, new & (reaches > most))):
+                some = np.flatnonzero(new)
+                meets = np.zeros(len(some), dtype=bool)
+                for k in range(len(RANGES)):
+                    by = np.lexsort((shared[some, k], group[some]))
+                    g, r = group[some][by], shared[some, k][by]
+                    same = (g[1:] == g[:-1]) & (r[1:] == r[:-1]) & (r[1:] > 0)
+                    meets[by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]] = True
+                some = some[meets]
+                asks = np.zeros(n, dtype=bool)
+                asks[some] = True
+                reaches = np.bincount(group, weights=asks)[group]
+                for kind, asked in ((1, asks & (reaches <= most)), (2, asks & (reaches > most))):
                     for d, s, hs, ps in _by_document(doc[asked], sub[asked], h[asked], place[asked]):
                         rows.append((kind, d, s, hs.astype("<u8").tobytes() + ps.astype("<i4").tobytes()))
         return pa.Table.from_batches([_table(rows, ("kind", "doc", "sub", "data"), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))])
@@ -255,57 +279,96 @@ def _settle(most: int):
     return run
 
 
-def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, text numbers, places) of every maximal repeat of at least `least` bytes, all occurrences.
+class SuffixArray:
+    """Suffixes of at least `least` bytes of some texts in order, and their maximal repeats.
 
     Suffixes are ranked by doubling prefix lengths; common prefixes of neighbours come from the
-    same ranks; a stack over them walks the tree of common-prefix intervals, and an interval is
-    reported if the bytes before its suffixes differ (the start of a text differs from all).
+    same ranks; a stack over them walks the tree of common-prefix intervals. An interval is kept
+    if the bytes before its suffixes differ (the start of a text differs from all).
+
+    owner and place: text number and place of each suffix. length, low, high: of each maximal
+    repeat its length and its first and last suffix; all suffixes between are its occurrences.
     """
-    size = np.array([len(t) for t in texts], dtype=np.int64)
-    raw = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
-    n = len(raw)
-    begin = np.concatenate([[0], np.cumsum(size[:-1] + 1)])
-    left = np.repeat(begin + size, size + 1) - np.arange(n)  # bytes up to the text's end
-    code = np.where(left > 0, raw.astype(np.uint64) + np.uint64(1), np.uint64(0))
-    longest = int(size.max(initial=0))
-    ranks, width = [(1, code.astype(np.int64))], 1
-    while width < longest:
-        rank = ranks[-1][1]
-        after = np.concatenate([rank[width:], np.zeros(min(width, n), dtype=np.int64)])[:n]
-        key = rank * (int(rank.max()) + 1) + after
-        ranks.append((2 * width, np.unique(key, return_inverse=True)[1].astype(np.int64)))
-        width *= 2
-    start = np.flatnonzero(left >= least)
-    suffix = start[np.argsort(ranks[-1][1][start], kind="stable")]
-    if len(suffix) < 2:
-        return
-    a, b = suffix[:-1], suffix[1:]
-    common = np.zeros(len(a), dtype=np.int64)
-    for step, rank in reversed(ranks):
-        x, y = a + common, b + common
-        inside = (x < n) & (y < n)
-        common += step * (inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]))
-    common = np.minimum(common, np.minimum(left[a], left[b]))
-    owner = np.searchsorted(begin, suffix, side="right") - 1
-    place = suffix - begin[owner]
-    before = np.where(place > 0, raw[suffix - 1].astype(np.int64), -1 - suffix)
-    # differs[i]: how many neighbours up to i have differing bytes before them
-    differs = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
-    open_ = common >= least
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
-    for x, y in edge.reshape(-1, 2).tolist():  # suffixes x..y share `least` bytes
-        if differs[y] == differs[x]:
-            continue
-        stack: list[tuple[int, int]] = []
-        for i, now in enumerate([*common[x:y].tolist(), 0], x):
-            low = i
-            while stack and stack[-1][0] > now:
-                length, low = stack.pop()
-                if differs[i] > differs[low]:
-                    yield length, owner[low : i + 1], place[low : i + 1]
-            if now and (not stack or stack[-1][0] < now):
-                stack.append((now, low))
+
+    _LANE = 7  # bytes, 9 bits each, in one word
+
+    def __init__(self, texts: list[bytes], least: int):
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        raw = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
+        n = len(raw)
+        begin = np.concatenate([[0], np.cumsum(size[:-1] + 1)])
+        left = np.repeat(begin + size, size + 1) - np.arange(n)  # bytes up to the text's end
+        code = np.zeros(n + self._LANE, dtype=np.uint64)
+        code[:n] = np.where(left > 0, raw.astype(np.uint64) + np.uint64(1), np.uint64(0))
+        word = np.zeros(n, dtype=np.uint64)
+        for k in range(self._LANE):
+            word = word << np.uint64(9) | code[k : n + k]
+        longest, width = int(size.max(initial=0)), self._LANE
+        ranks = [(width, np.unique(word, return_inverse=True)[1].astype(np.int32))]
+        while 2 * width < longest:
+            ranks.append((2 * width, np.unique(self._pairs(ranks[-1][1], width, n), return_inverse=True)[1].astype(np.int32)))
+            width *= 2
+        start = np.flatnonzero(left >= least)
+        suffix = start[np.argsort(self._pairs(ranks[-1][1], width, n)[start])]
+        self.owner = np.searchsorted(begin, suffix, side="right") - 1
+        self.place = suffix - begin[self.owner]
+        none = np.zeros(0, dtype=np.int64)
+        self.length = self.low = self.high = none
+        if len(suffix) < 2:
+            return
+        a, b = suffix[:-1], suffix[1:]
+        common = np.zeros(len(a), dtype=np.int64)
+        for step, rank in reversed(ranks):
+            for _ in range(1 + (step == width)):  # the widest may fit twice
+                x, y = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
+                common += step * (rank[x] == rank[y])
+        for _ in range(self._LANE - 1):
+            x, y = np.minimum(a + common, n), np.minimum(b + common, n)
+            common += (code[x] == code[y]) & (x < n) & (y < n)
+        common = np.minimum(common, np.minimum(left[a], left[b]))
+        before = np.where(self.place > 0, raw[suffix - 1].astype(np.int64), -1 - suffix)
+        # differs[i]: how many neighbours up to i have differing bytes before them
+        differs = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+        open_ = common >= least
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8))).reshape(-1, 2)
+        edge = edge[differs[edge[:, 1]] > differs[edge[:, 0]]]  # without any difference no interval below has one
+        found: list[tuple[int, int, int]] = []
+        for x, y in edge.tolist():  # suffixes x..y share `least` bytes
+            stack: list[tuple[int, int]] = []
+            for i, now in enumerate([*common[x:y].tolist(), 0], x):
+                low = i
+                while stack and stack[-1][0] > now:
+                    length, low = stack.pop()
+                    if differs[i] > differs[low]:
+                        found.append((length, low, i))
+                if now and (not stack or stack[-1][0] < now):
+                    stack.append((now, low))
+        if found:
+            self.length, self.low, self.high = np.array(found, dtype=np.int64).T
+
+    @staticmethod
+    def _pairs(rank: np.ndarray, width: int, n: int) -> np.ndarray:
+        after = np.zeros(n, dtype=np.int64)
+        after[: max(0, n - width)] = rank[width:]
+        return rank * np.int64(int(rank.max(initial=0)) + 1) + after
+
+    def later(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix, length) of every occurrence but the first, by `order`, of each maximal repeat."""
+        if not len(self.length):
+            return self.length, self.length
+        count = self.high - self.low + 1
+        at = np.cumsum(count) - count
+        suffix = np.repeat(self.low - at, count) + np.arange(count.sum())
+        own = order[suffix]
+        rest = own > np.repeat(np.minimum.reduceat(own, at), count)
+        return suffix[rest], np.repeat(self.length, count)[rest]
+
+
+def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, text numbers, places) of every maximal repeat of at least `least` bytes, all occurrences."""
+    array = SuffixArray(texts, least)
+    for length, low, high in zip(array.length.tolist(), array.low.tolist(), array.high.tolist(), strict=True):
+        yield length, array.owner[low : high + 1], array.place[low : high + 1]
 
 
 def _repeat_spans(table: pa.Table) -> pa.Table:
@@ -315,50 +378,92 @@ def _repeat_spans(table: pa.Table) -> pa.Table:
     h, doc, sub, start = h[order], doc[order], sub[order], start[order].astype(np.int64)
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (start[1:] != start[:-1])])
     order, h, doc, sub, start = order[new], h[new], doc[new], sub[new], start[new]
-    texts = table.column("data").take(pa.array(order)).to_pylist()
+    data = table.column("data")
+    cut = [*np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])).tolist(), len(h)]
     found: list[tuple] = []
-    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])).tolist()
-    at = 0
+    at = k = 0
     while at < len(h):
         # as many whole anchors as fit, one at least
-        end, weight = at, 0
-        for a, b in zip(cut[(k := int(np.searchsorted(cut, at))) :], [*cut[k + 1 :], len(h)], strict=True):
-            if weight and weight + (b - a) * (SPAN + REACH) > 1 << 20:
-                break
-            end, weight = b, weight + (b - a) * (SPAN + REACH)
-        for length, owner, place in maximal_repeats(texts[at:end], SPAN):
-            own = owner + at
-            where = start[own] + place
-            first = np.lexsort((where, sub[own], doc[own]))[0]
-            later = ~((doc[own] == doc[own[first]]) & (sub[own] == sub[own[first]]) & (where == where[first]))
-            found.append((doc[own[later]], sub[own[later]], where[later], where[later] + length))
-        at = end
+        k += 1
+        while k + 1 < len(cut) and (cut[k + 1] - at) * (SPAN + REACH) <= _CONTEXT_BYTES:
+            k += 1
+        array = SuffixArray(data.take(pa.array(order[at : cut[k]])).to_pylist(), SPAN)
+        own = array.owner + at
+        where = start[own] + array.place
+        # the order of occurrences: by document and place; the same place in two contexts counts once
+        by = np.lexsort((where, sub[own], doc[own]))
+        d, s, w = doc[own][by], sub[own][by], where[by]
+        rank = np.empty(len(by), dtype=np.int64)
+        rank[by] = np.cumsum(np.concatenate([[0], (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (w[1:] != w[:-1])])[: len(by)])
+        suffix, length = array.later(rank)
+        best = np.zeros(len(own), dtype=np.int64)
+        np.maximum.at(best, suffix, length)
+        hit = np.flatnonzero(best)
+        found.append((doc[own[hit]], sub[own[hit]], where[hit], where[hit] + best[hit]))
+        at = cut[k]
     rows = _spans(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else []
     return pa.Table.from_batches([_table(rows, ("doc", "sub", "data"), (pa.int64(), pa.int32(), pa.binary()))])
 
 
-def _contexts(batches):
-    """Documents and their asked anchors to rows (kind, h, doc, sub, start, data)."""
+def _contexts(buckets: int):
+    """Documents and their asked anchors to rows (kind, h, doc, sub, start, data).
+
+    Kind 1: an anchor's bytes. Of anchors with very many reaches the spans' hashes: a batch's
+    second and later occurrences are covered spans at once (kind 0), its first ones go to
+    buckets (kind 2, h the bucket).
+    """
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    powers = Powers()
-    for batch in batches:
-        rows = []
-        for doc, sub, text, asked in zip(*(batch.column(k) for k in range(4)), strict=True):
-            doc, sub, raw = doc.as_py(), sub.as_py(), (text.as_py() or "").encode("utf-8")
-            for ask in asked.as_py():
-                n = len(ask["data"]) // 12
-                hs, places = np.frombuffer(ask["data"], "<i8", n).tolist(), np.frombuffer(ask["data"], "<i4", n, 8 * n).tolist()
-                for h, p in zip(hs, places, strict=True):
-                    low, high = max(0, p - REACH), min(len(raw), p + SPAN)
-                    if ask["kind"] == 1:
-                        rows.append((1, h, doc, sub, low, raw[low:high]))
-                        continue
-                    up, down = powers.to(high - low + 1)
-                    with np.errstate(over="ignore"):
+
+    def run(batches):
+        powers = Powers()
+        for batch in batches:
+            rows, hashed = [], []
+            for doc, sub, text, asked in zip(*(batch.column(k) for k in range(4)), strict=True):
+                doc, sub, raw = doc.as_py(), sub.as_py(), (text.as_py() or "").encode("utf-8")
+                for ask in asked.as_py():
+                    n = len(ask["data"]) // 12
+                    hs, places = np.frombuffer(ask["data"], "<i8", n).tolist(), np.frombuffer(ask["data"], "<i4", n, 8 * n).tolist()
+                    for h, p in zip(hs, places, strict=True):
+                        low, high = max(0, p - REACH), min(len(raw), p + SPAN)
+                        if ask["kind"] == 1:
+                            rows.append((1, h, doc, sub, low, raw[low:high]))
+                            continue
+                        up, down = powers.to(high - low + 1)
                         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[np.frombuffer(raw[low:high], np.uint8)] * up[:-1], dtype=np.uint64)])
-                        spans = mix64((total[SPAN:] - total[:-SPAN]) * down[: len(total) - SPAN])
-                    rows += [(2, s, doc, sub, low + k, None) for k, s in enumerate(spans.view(np.int64).tolist())]
-        yield _table(rows, ("kind", "h", "doc", "sub", "start", "data"), kinds)
+                        spans = mix64((total[SPAN:] - total[:-SPAN]) * down[: len(total) - SPAN]).view(np.int64)
+                        hashed.append((spans, np.full(len(spans), doc), np.full(len(spans), sub, dtype=np.int32), low + np.arange(len(spans))))
+            if hashed:
+                first, covered = _first_spans(*(np.concatenate(x) for x in zip(*hashed, strict=True)))
+                rows += [(0, None, d, s, None, data) for d, s, data in covered]
+                bucket = first[0] % buckets
+                for k in np.unique(bucket).tolist():
+                    own = bucket == k
+                    rows.append((2, k, None, None, None, b"".join(x[own].astype(t).tobytes() for x, t in zip(first, ("<i8", "<i8", "<i4", "<i4"), strict=True))))
+            yield _table(rows, ("kind", "h", "doc", "sub", "start", "data"), kinds)
+
+    return run
+
+
+def _first_spans(h, doc, sub, start) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, bytes]]]:
+    """The earliest occurrence of each span hash, and all others as covered spans by document."""
+    order = np.lexsort((start, sub, doc, h))
+    h, doc, sub, start = h[order], doc[order], sub[order], start[order].astype(np.int64)
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    again = ~((doc == doc[lead]) & (sub == sub[lead]) & (start == start[lead]))
+    return tuple(x[new] for x in (h, doc, sub, start)), _spans(doc[again], sub[again], start[again], start[again] + SPAN)
+
+
+def _settle_spans(table: pa.Table) -> pa.Table:
+    """A bucket's packed span hashes to covered spans by document."""
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for data in table.column("data").to_pylist():
+        n, at = len(data) // 24, 0
+        for part, t in zip(parts, ("<i8", "<i8", "<i4", "<i4"), strict=True):
+            part.append(np.frombuffer(data, t, n, at))
+            at += part[-1].nbytes
+    _, rows = _first_spans(*map(np.concatenate, parts))
+    return pa.Table.from_batches([_table(rows, ("doc", "sub", "data"), (pa.int64(), pa.int32(), pa.binary()))])
 
 
 def _removed(batches):
@@ -379,12 +484,6 @@ def _removed(batches):
         yield _table(rows, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))
 
 
-def _four_bytes(number):
-    """A non-negative int column as four bytes, least first, as _spans writes them."""
-    digits = F.lpad(F.hex(number), 8, "0")
-    return F.unhex(F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1))))
-
-
 def covered_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_reaches: int = MOST_REACHES) -> tuple[DataFrame, DataFrame]:
     """(documents by key, covered spans by key): columns doc, sub, _text and doc, sub, data."""
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.hash(text_col).alias("sub"), F.col(text_col).alias("_text"))
@@ -396,13 +495,14 @@ def covered_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked_bytes = int(found.where("kind = 1").agg(F.sum(F.length("data"))).first()[0] or 0)
     packs = max(1, -(-asked_bytes // 12 * (SPAN + REACH) // (8 << 20)))
     near = docs.join(asked.hint("shuffle_hash"), ["doc", "sub"]).select("doc", "sub", "_text", "asked")
-    contexts = saved(near.mapInArrow(_contexts, "kind int, h long, doc long, sub int, start int, data binary"))
-    repeats = contexts.where("kind = 1").withColumn("pack", F.pmod("h", F.lit(packs))).groupBy("pack").applyInArrow(_repeat_spans, "doc long, sub int, data binary")
-    span = contexts.where("kind = 2").select("h", F.struct("doc", "sub", "start").alias("at"))
-    first = span.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("h", "first")
-    pair = F.concat(_four_bytes(F.col("at.start")), _four_bytes(F.col("at.start") + SPAN))
-    hashed = span.join(first, "h").where("at <> first").select(F.col("at.doc").alias("doc"), F.col("at.sub").alias("sub"), pair.alias("data"))
-    return docs, found.where("kind = 0").select("doc", "sub", "data").unionByName(repeats).unionByName(hashed)
+    hashed_bytes = int(found.where("kind = 2").agg(F.sum(F.length("data"))).first()[0] or 0)
+    hashed_buckets = max(1, hashed_bytes // 12 * REACH * 24 // (16 << 20))
+    contexts = saved(near.mapInArrow(_contexts(hashed_buckets), "kind int, h long, doc long, sub int, start int, data binary"))
+    spans = "doc long, sub int, data binary"
+    repeats = contexts.where("kind = 1").withColumn("pack", F.pmod("h", F.lit(packs))).groupBy("pack").applyInArrow(_repeat_spans, spans)
+    hashed = contexts.where("kind = 2").groupBy("h").applyInArrow(_settle_spans, spans)
+    direct = found.where("kind = 0").select("doc", "sub", "data").unionByName(contexts.where("kind = 0").select("doc", "sub", "data"))
+    return docs, direct.unionByName(repeats).unionByName(hashed)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_reaches: int = MOST_REACHES) -> DataFrame:
