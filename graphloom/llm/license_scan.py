@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import cache
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -157,6 +158,12 @@ class Scanner:
         return resolve(found)
 
 
+@cache
+def scanner_of(rules: tuple[Rule, ...]) -> Scanner:
+    """A scanner, its patterns compiled once in each process."""
+    return Scanner(rules)
+
+
 def resolve(found: list[Detection]) -> list[Detection]:
     """Drop a detection whose interval lies within that of a stronger one.
 
@@ -219,7 +226,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_detections long"
 
     def make():
-        scanner = Scanner(rules)
+        scanner = scanner_of(rules)
 
         def work(columns):
             ids, texts = columns

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -27,13 +28,14 @@ from .common import mix64
 
 SPACE = "▁"
 #: Characters of text worked on at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 6_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TWIST = np.uint64(0xD1342543DE82EF95)
 #: No noise is larger: uniform numbers are at least 2**-54 from 1.
 _MOST_NOISE = 54 * math.log(2) + 1e-6
 #: Steps of a row whose groups are looked at for all rows of a batch at once.
 _STEPS = 512
+_SMALL = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED27))
 _BYTES = -2  # the piece of an edge that spells one character in bytes
 
 
@@ -59,7 +61,7 @@ class Pieces:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.spelled.append(b"")
             else:
-                plain[piece] = i
+                plain[piece.replace(SPACE, " ")] = i  # a text with plain spaces stays in one byte a character
                 self.spelled.append(piece.replace(SPACE, " ").encode("utf-8"))
         weight = -np.log(2.0 + rank)
         used = np.array([*plain.values(), *self.byte[self.byte >= 0]])
@@ -69,23 +71,27 @@ class Pieces:
         letters = set("".join(plain))
         self.cut = "".join(c for c in "\n\t\r" if c not in letters)
         self.longest = max(map(len, plain))
-        prefixes = {p[:k] for p in plain for k in range(1, len(p) + 1)}
-        table = {}
-        for p in prefixes:
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for c in p:
-                    h = h * _BASE + _letter(np.array([ord(c)], dtype=np.uint64))[0]
-            table[int(h)] = plain.get(p, -1)
+        letter = {c: int(_letter(np.array([ord(c)], dtype=np.uint64))[0]) for c in letters}
+        base, mask = int(_BASE), (1 << 64) - 1
+        table, count = {}, len({p[:k] for p in plain for k in range(1, len(p) + 1)})
+        for p in plain:
+            h = 0
+            for k, c in enumerate(p, 1):
+                h = (h * base + letter[c]) & mask
+                if k < len(p):
+                    table.setdefault(h, -1)
+            table[h] = plain[p]
         keys = np.array(sorted(table), dtype=np.uint64)
-        if len(keys) != len(prefixes):
+        if len(keys) != count:
             raise ValueError("two prefixes of pieces share a hash")
-        self.keys, self.piece_of = keys, np.array([table[int(k)] for k in keys], dtype=np.int64)
+        self.keys, self.piece_of = keys, np.array([table[k] for k in sorted(table)], dtype=np.int64)
         # two levels of lookup: the top bits find a short run of keys
         self.bits = 20
         self.first = np.searchsorted(keys, np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(64 - self.bits)) if len(keys) else None
         self.first[-1] = len(keys)
-        self.units = re.compile(rf"{SPACE}*[^{SPACE}{self.cut}]+" + (f"|[{self.cut}]" if self.cut else "") + f"|{SPACE}+")
+        self.units = re.compile(rf" *[^ {self.cut}]+" + (f"|[{self.cut}]" if self.cut else "") + "| +")
+        self.objects = np.empty(n, dtype=object)
+        self.objects[:] = self.spelled
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places in keys, -1 where a hash is not there."""
@@ -107,16 +113,25 @@ class Pieces:
 
     def split(self, text: str | None) -> list[str]:
         """The units between which no piece reaches, in order; together the normalised text."""
-        return self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.units.findall(" " + (text.replace(SPACE, " ") if SPACE in text else text)) if text else []
 
     def decode(self, ids) -> str:
-        spelled = self.spelled
-        raw = b"".join([spelled[i] for i in ids])
+        raw = b"".join(self.objects[ids].tolist())
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
+@cache
+def pieces_at(path: str) -> Pieces:
+    """A vocabulary, read once in each process."""
+    return Pieces(path)
+
+
 def _letter(code: np.ndarray) -> np.ndarray:
-    return mix64(code + np.uint64(0x51ED27))
+    out = _SMALL[np.minimum(code, np.uint64(255)).astype(np.uint8)]
+    large = np.flatnonzero(code > 255)
+    if len(large):
+        out[large] = mix64(code[large] + np.uint64(0x51ED27))
+    return out
 
 
 class Lattice:
@@ -124,7 +139,11 @@ class Lattice:
 
     def __init__(self, units: list[str], pieces: Pieces):
         size = np.array([len(u) for u in units], dtype=np.int64)
-        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        joined = "".join(units)
+        try:
+            code = np.frombuffer(joined.encode("latin-1"), dtype=np.uint8).astype(np.uint64)
+        except UnicodeEncodeError:
+            code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         n = len(code)
         self.start = np.concatenate([[0], np.cumsum(size)])[:-1] if len(units) else np.zeros(0, np.int64)
         left = np.repeat(self.start + size, size) - np.arange(n)  # characters to the end, this one included
@@ -464,7 +483,7 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id
     def run(batches):
         import hashlib
 
-        sampler = Sampler(Pieces(path), k, seed)
+        sampler = Sampler(pieces_at(path), k, seed)
         kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
         schema = pa.schema([(n.split()[0], kinds[n.split()[1]]) for n in names])
         for batch in batches:
@@ -477,7 +496,7 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id
                         if ids:
                             row.append(raw)
                         if digest:
-                            row += [hashlib.sha256(raw).hexdigest(), sampler.pieces.decode(own.tolist()) == (text or "").replace(SPACE, " ")]
+                            row += [hashlib.sha256(raw).hexdigest(), sampler.pieces.decode(own) == (text or "").replace(SPACE, " ")]
                         rows.append(row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -488,9 +507,9 @@ def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """doc_id and text of each row of df with token_ids as sample_segmentations writes them; null ids give a null text."""
 
     def run(batches):
-        pieces = Pieces(path)
+        pieces = pieces_at(path)
         for batch in batches:
-            texts = [None if raw.as_py() is None else pieces.decode(np.frombuffer(raw.as_py(), "<i4").tolist()) for raw in batch.column(1)]
+            texts = [None if raw.as_py() is None else pieces.decode(np.frombuffer(raw.as_py(), "<i4")) for raw in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, type=pa.string())], names=["doc_id", "text"])
 
     return df.select(id_col, ids_col).mapInArrow(run, "doc_id long, text string")

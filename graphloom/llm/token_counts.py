@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cache
 
 import numpy as np
 import regex
@@ -122,6 +123,12 @@ class BpeCounter:
         return [n + sum(map(get, tokens)) for n, tokens in zip(total, found, strict=True)]
 
 
+@cache
+def counter_at(path: str) -> BpeCounter:
+    """A counter, made once in each process."""
+    return BpeCounter(path)
+
+
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of df.
 
@@ -131,7 +138,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def make():
-        counter = BpeCounter(path)
+        counter = counter_at(path)
 
         def work(columns):
             ids, texts = columns
