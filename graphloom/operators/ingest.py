@@ -36,7 +36,7 @@ def property_name(a: Attribute) -> str:
 def edge_label(a: Attribute) -> str:
     """Label of the edge to an attribute's node."""
     if ingest_as(a) == "edge":
-        label = a.one("edgeLabel") or a.name
+        label = a.one("edgeLabel") or a.name or a.one("Reference/label")
         if not label:
             raise SchemaError(f"{a.id}: no label for its edge")
         return label
