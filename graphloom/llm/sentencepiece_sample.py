@@ -28,7 +28,7 @@ from .common import mix64
 
 SPACE = "▁"
 #: Characters of text worked on at once.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 2_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TWIST = np.uint64(0xD1342543DE82EF95)
 #: No noise is larger: uniform numbers are at least 2**-54 from 1.
@@ -169,9 +169,11 @@ class Lattice:
             if not len(active):
                 break
         source, width, kind = (np.concatenate(x) for x in (sources, widths, kinds))
+        del sources, widths, kinds, h, letter
         # by characters left, then source: completion sums then need one pass over the edges
         order = np.argsort((left[source] * (n + 1) + source) * (pieces.longest + 1) + width)
-        source, width, kind = source[order], width[order], kind[order]
+        source, width, kind = source[order].astype(np.int32), width[order].astype(np.int16), kind[order].astype(np.int32)
+        del order
         weight = np.where(kind >= 0, pieces.weight[np.maximum(kind, 0)], 0.0)
         spelled = np.flatnonzero(kind == _BYTES)
         if len(spelled):
