@@ -137,14 +137,14 @@ class _Walk:
         """Properties that attributes below leave on a's node, in a's own scope."""
         out = []
 
-        def below(x: Attribute, v, nearest: Attribute):
-            for c in x.children:
+        def below(x: Attribute, v, nearest: Attribute, depth: int = 0):
+            for c in x.children if depth <= MAX_DEPTH else ():
                 own = self.source.child(c, v)
                 if c.kind == "Value" and ingest_as(c) == "property":
                     if (c.one("asPropertyOf") or nearest.id) == a.id:
                         out.append(F.struct(F.lit(property_name(c)).alias("key"), F.array(self.source.text(own)).alias("value"), self.source.present(own).alias("present")))
                 elif c.kind == "Object":
-                    below(c, own, nearest if ingest_as(c) == "none" else c)
+                    below(c, own, nearest if ingest_as(c) == "none" else c, depth + 1)
 
         below(a, value, a)
         if not out:

@@ -203,7 +203,7 @@ def requests(graph: Graph, info: ValueSetInfo) -> DataFrame:
         a = graph.layer.find(s)
         if a is not None and a.one("ingestAs") == "property":
             p = a.one("propertyName") or a.name or a.id
-            values = values.unionByName(graph.nodes.where(F.array_contains(F.map_keys("props"), p)).select("graph_id", "entity_root_id", F.lit(k).alias("k"), F.col("props")[p][0].alias("v")))
+            values = values.unionByName(graph.nodes.where(F.array_contains(F.map_keys("props"), p)).select("graph_id", "entity_root_id", F.lit(k).alias("k"), F.get(F.col("props")[p], F.lit(0)).alias("v")))
     asked = values.groupBy("graph_id", "entity_root_id", "k").agg(F.min("v").alias("v")).groupBy("graph_id", "entity_root_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("request"))
     context = graph.instances(info.context).select("graph_id", F.col("node_id").alias("context_id"), "entity_root_id")
     return context.join(asked, ["graph_id", "entity_root_id"])

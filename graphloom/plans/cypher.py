@@ -301,7 +301,7 @@ class _Plan:
 
     def value(self, prop: str, prefix: str) -> Column:
         own = _COLUMNS.get(prop)
-        return F.col(f"{prefix}{own}").cast("string") if own else F.col(f"{prefix}props")[prop][0]
+        return F.col(f"{prefix}{own}").cast("string") if own else F.get(F.col(f"{prefix}props")[prop], F.lit(0))
 
     def steps(self, r: _Rel) -> DataFrame:
         """(graph_id, _from, _to, the edge as r.var) of one step."""
@@ -309,7 +309,7 @@ class _Plan:
         if r.labels:
             e = e.where(F.col("label").isin(r.labels))
         for k, v in r.props.items():
-            e = e.where((F.col("label") if k == "label" else F.col("props")[k][0]) == F.lit(str(v)))
+            e = e.where((F.col("label") if k == "label" else F.get(F.col("props")[k], F.lit(0))) == F.lit(str(v)))
         edge = F.struct("src", "dst", "label", "props").alias(r.var)
         out = e.select("graph_id", F.col("src").alias("_from"), F.col("dst").alias("_to"), edge)
         back = e.select("graph_id", F.col("dst").alias("_from"), F.col("src").alias("_to"), edge)
@@ -374,7 +374,7 @@ class _Plan:
                 raise QueryError(f"unknown variable {e[1]}")
             return F.col(f"{e[1]}.node_id") if e[1] in self.nodes else F.col(f"{e[1]}.label")
         if op == "prop":
-            return self.value(e[2], f"{e[1]}.") if e[1] in self.nodes else F.col(f"{e[1]}.props")[e[2]][0]
+            return self.value(e[2], f"{e[1]}.") if e[1] in self.nodes else F.get(F.col(f"{e[1]}.props")[e[2]], F.lit(0))
         if op == "call":
             return self.call(*e[1:])
         if op in ("and", "or"):

@@ -32,7 +32,7 @@ def to_table(graph: Graph, columns: Sequence[str], roots: Column | None = None,
         agg.append(F.when(count > 1, F.raise_error(F.lit(f"more than one value of {c}")).cast("string")).otherwise(F.max(mine)).alias(f"_{k}"))
     wide = cells.groupBy("graph_id", "root").agg(*agg)
     joined = own.join(wide, ["graph_id", "root"], "left")
-    values = [F.coalesce(F.col(f"_{k}"), F.col("props")[c][0], F.lit("")).alias(c) for k, c in enumerate(columns)]
+    values = [F.coalesce(F.col(f"_{k}"), F.get(F.col("props")[c], F.lit(0)), F.lit("")).alias(c) for k, c in enumerate(columns)]
     return joined.select(*(["graph_id", "root"] if keep_ids else []), *values)
 
 

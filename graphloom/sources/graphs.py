@@ -30,8 +30,8 @@ def read_graphs(df: DataFrame, json_col: str, graph_id: Column, namespace: str =
     labels = F.transform("n.labels", lambda x: name(x))
     props = _strings(F.col("n.properties"), strip)
     flat = nodes.select("graph_id", F.col("n.n").cast("string").alias("node_id"), labels.alias("labels"), props.alias("p"), F.col("n.edges").alias("out"))
-    one = lambda k: F.col("p")[k][0]
-    kind = F.filter(F.array(*map(F.lit, ("Value", "Object", "Array"))), lambda k: F.array_contains("labels", k))[0]
+    one = lambda k: F.get(F.col("p")[k], F.lit(0))
+    kind = F.get(F.filter(F.array(*map(F.lit, ("Value", "Object", "Array"))), lambda k: F.array_contains("labels", k)), F.lit(0))
     columns = {c: (F.col("p")[k] if c in ("entity_id", "value_type") else one(k)) for k, c in _OWN.items()}
     rest = F.map_filter("p", lambda k, v: ~k.isin(list(_OWN)))
     table = flat.select(*node_columns(graph_id=F.col("graph_id"), node_id=F.col("node_id"), labels=F.col("labels"), type=kind, props=rest, **columns))

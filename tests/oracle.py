@@ -37,7 +37,7 @@ if __name__ == "__main__":
     sys.path.insert(0, ".")
     import __spark_entry__ as e
 
-    s = SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    s = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     s.sparkContext.setLogLevel("OFF")
     d = sys.argv[1]
     c, q, o = connect(d), e.queries(), e.oracle_sql()
