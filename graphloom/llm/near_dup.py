@@ -207,5 +207,6 @@ def _verified_links(src: DataFrame, classes: DataFrame, cluster: DataFrame, perc
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The rows of df, all columns, with one document (the smallest id) of each component."""
-    gone = near_duplicates(df, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone.hint("shuffle_hash"), df[id_col] == F.col("_gone"), "left_anti")
+    gone = "__graphloom_gone"
+    others = near_duplicates(df, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return df.join(others.hint("shuffle_hash"), F.col(f"`{id_col}`") == F.col(gone), "left_anti")

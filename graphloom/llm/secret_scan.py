@@ -180,12 +180,15 @@ def fit(spark: SparkSession, findings: Sequence[tuple[str, str, str, int]] | Non
     return Forest(np.array([list(r.f) for r in got], dtype=float), np.array([r.y for r in got], dtype=float), trees, depth)
 
 
+#: Helper columns, under names that tables do not use.
+_FOUND, _SCAN, _PARTS, _NEW = (f"__graphloom_{n}" for n in ("found", "scan", "parts", "new"))
+
+
 def _scored(df: DataFrame, forest: Forest, text: str, threshold: float) -> DataFrame:
-    """df with an array column _found of judged candidates (value, start, score, secret)."""
-    out = df.withColumn("_found", F.expr(featured(candidates(text))))
-    score = f"transform(_found, c -> named_struct('value', c.value, 'start', c.start, 'f', c.f, 'score', {forest.sql('c.f')}))"
-    out = out.withColumn("_found", F.expr(score))
-    return out.withColumn("_found", F.expr(f"transform(_found, c -> named_struct('value', c.value, 'start', c.start, 'f', c.f, 'score', c.score, 'secret', c.score >= {threshold!r}D))"))
+    """df with an array column of judged candidates (value, start, features, score, secret)."""
+    out = df.withColumn(_FOUND, F.expr(featured(candidates(text))))
+    out = out.withColumn(_FOUND, F.expr(f"transform({_FOUND}, c -> named_struct('value', c.value, 'start', c.start, 'f', c.f, 'score', {forest.sql('c.f')}))"))
+    return out.withColumn(_FOUND, F.expr(f"transform({_FOUND}, c -> named_struct('value', c.value, 'start', c.start, 'f', c.f, 'score', c.score, 'secret', c.score >= {threshold!r}D))"))
 
 
 def scan_secrets(df: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -195,7 +198,7 @@ def scan_secrets(df: DataFrame, forest: Forest, id_col: str = "doc_id", text_col
     repeated rows give repeated findings; an empty table gives none; other columns are not read.
     """
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(CANDIDATE))
-    rows = _scored(src, forest, "_text", threshold).select("doc_id", F.explode("_found").alias("c"))
+    rows = _scored(src, forest, "_text", threshold).select("doc_id", F.explode(_FOUND).alias("c"))
     kind = F.when(F.col("c.value").startswith("-----BEGIN"), "private-key").when(F.col("c.f.issued") == 1, "issued").when(F.col("c.f.hexadecimal") == 1, "hex").otherwise("mixed")
     return rows.select("doc_id", F.col("c.start").alias("start"), F.length("c.value").alias("n_chars"), kind.alias("kind"), F.round("c.score", 6).alias("score"), F.col("c.secret").alias("is_secret"), F.sha2(F.col("c.value").cast("binary"), 256).alias("value_sha256"))
 
@@ -207,17 +210,13 @@ def mask_secrets(df: DataFrame, forest: Forest, text_col: str = "text", n_chars_
     """
     columns = df.columns
     pattern = CANDIDATE.replace("\\", "\\\\")
-    has = F.col(text_col).rlike(CANDIDATE)
-    masked = (
-        f"concat(array_join(transform(_found, (c, i) -> concat(_parts[i], CASE WHEN c.secret THEN '{MASK}' ELSE c.value END)), ''), element_at(_parts, -1))"
-    )
-    quoted = f"`{text_col}`"
-    out = df.withColumn("_scan", F.when(has, F.col(text_col)).otherwise(F.lit("")))
-    out = _scored(out, forest, "_scan", threshold).withColumn("_parts", F.expr(f"split(_scan, '{pattern}', -1)"))
-    changed = F.exists("_found", lambda c: c["secret"])
-    out = out.withColumn("_new", F.when(changed, F.expr(masked)))
-    values = {text_col: F.coalesce("_new", F.expr(quoted))}
+    has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
+    masked = f"concat(array_join(transform({_FOUND}, (c, i) -> concat({_PARTS}[i], CASE WHEN c.secret THEN '{MASK}' ELSE c.value END)), ''), element_at({_PARTS}, -1))"
+    out = df.withColumn(_SCAN, F.when(has, F.col(text_col)).otherwise(F.lit("")))
+    out = _scored(out, forest, _SCAN, threshold).withColumn(_PARTS, F.expr(f"split({_SCAN}, '{pattern}', -1)"))
+    out = out.withColumn(_NEW, F.when(F.exists(_FOUND, lambda c: c["secret"]), F.expr(masked)))
+    values = {text_col: F.coalesce(_NEW, F.col(f"`{text_col}`"))}
     if n_chars_col in columns:
         kind = df.schema[n_chars_col].dataType
-        values[n_chars_col] = F.when(F.col("_new").isNotNull(), F.length("_new").cast(kind)).otherwise(F.col(n_chars_col))
-    return out.withColumns(values).select(*columns)
+        values[n_chars_col] = F.when(F.col(_NEW).isNotNull(), F.length(_NEW).cast(kind)).otherwise(F.col(f"`{n_chars_col}`"))
+    return out.withColumns(values).select(*(F.col(f"`{c}`") for c in columns))
