@@ -20,13 +20,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        # minima are written before they are joined: a join of two plain shuffles can be split where a hub is hot
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = saved(both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         was, mark = mark, _mark(after)
-        forget(edges)
+        forget(edges, low, large, least)
         edges = after
         if mark == was:
             break

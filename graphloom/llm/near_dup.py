@@ -148,7 +148,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = nodes.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = saved(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     band = classes.select("rep", F.explode("bands").alias("band"))
-    hubs = band.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top")).where("hub <> _top").select("band", "hub")
+    # written first, so that the join below has two plain shuffles and a hot band can be split
+    hubs = saved(band.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top")).where("hub <> _top").select("band", "hub"))
     near = band.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
     cluster = saved(connected_components(near))
     links = _verified_links(src, classes, cluster, percent)
