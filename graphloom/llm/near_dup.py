@@ -211,3 +211,18 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     gone = "__graphloom_gone"
     others = near_duplicates(df, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
     return df.join(others.hint("shuffle_hash"), F.col(f"`{id_col}`") == F.col(gone), "left_anti")
+
+
+#: The same rows by comparing all documents that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+link AS (
+  SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2)
+  JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT link.v, reach.r FROM reach JOIN link ON link.u = reach.doc_id)
+SELECT w.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id, w.doc_id = min(r) AS kept
+FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id
+"""

@@ -58,4 +58,4 @@ def op10_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_quality_classifier, op7_near_dup, op8_token_counts, op9_sentencepiece_sample, op10_suffix_dedup)}
-ORACLE_SQL = {"op4_url_filter": url_filter.ORACLE}
+ORACLE_SQL = {"op4_url_filter": url_filter.ORACLE, "op7_near_dup": near_dup.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}

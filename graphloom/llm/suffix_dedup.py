@@ -516,3 +516,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_doc = spans.groupBy("doc", "sub").agg(F.collect_list("data").alias("spans"))
     joined = docs.join(by_doc.hint("shuffle_hash"), ["doc", "sub"], "left").select("doc", "_text", "spans")
     return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: The same rows by hashing every span of every text.
+ORACLE = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+p AS (SELECT doc_id, unnest(range(1, octet_length(raw) - 98)) AS i FROM b),
+h AS (SELECT p.doc_id, i, md5(raw[i:i+99]) AS h FROM p JOIN b USING (doc_id)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AS again FROM h),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM f WHERE again),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
+r AS (SELECT doc_id, island, min(i) AS a, max(i) + 100 AS z FROM k GROUP BY 1, 2),
+o AS (SELECT doc_id, a, z, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS was FROM r),
+q AS (SELECT o.doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last, list(raw[was:a-1] ORDER BY a) AS parts FROM o JOIN b USING (doc_id) GROUP BY 1)
+SELECT b.doc_id, CAST(octet_length(raw) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN q.doc_id IS NULL THEN raw ELSE list_reduce(list_append(parts, raw[last:octet_length(raw)]), lambda x, y: x || y) END) AS kept_sha256
+FROM b LEFT JOIN q USING (doc_id)
+"""
