@@ -25,6 +25,7 @@ SCHEMAS = {
     "CustomerEdge": flat_schema("CustomerEdge", {"key": "c_custkey", "name": {"attributeName": "c_name", "ingestAs": "edge", "edgeLabel": "named"}}),
     "CustomerNone": flat_schema("CustomerNone", {"key": "c_custkey", "name": {"attributeName": "c_name", "ingestAs": "none"}}),
     "CustomerDefault": flat_schema("CustomerDefault", {"key": "c_custkey", "status": {"attributeName": "status", "defaultValue": "active"}}),
+    "CustomerSet": flat_schema("CustomerSet", {"key": "c_custkey", "name": "c_name", "copy": {"attributeName": "copy", "setValue": ["match (this)<-[]-()-[]->(n {schemaNodeId:'CustomerSet/name'}) return n.value"]}}),
     "CustomerUuid": flat_schema("CustomerUuid", {"key": "c_custkey", "name": {"attributeName": "c_name", "uuid": "true"}}),
     "Supplier": flat_schema("Supplier", {"key": "s_suppkey", "name": "s_name", "nation": "s_nationkey"}, entityIdFields=["Supplier/nation"]),
     "Order": flat_schema(

@@ -140,6 +140,27 @@ def set_values(graph: Graph, attribute_id: str, values: DataFrame) -> Graph:
     return graph.with_(nodes=nodes, edges=edges)
 
 
+def apply_set_values(graph: Graph) -> Graph:
+    """Attributes with `setValue`: missing nodes are made, and the last query's single cell is the value.
+
+    The queries see `this`, the attribute's node. A query that gives several rows, several
+    columns or none leaves the value as it is.
+    """
+    from ..plans import cypher
+
+    for a in graph.layer.attributes():
+        texts = a.many("setValue")
+        if not texts or a.parent is None:
+            continue
+        graph = ensure_path(graph, [a.parent.id, a.id])
+        own = graph.instances(a.id).select("graph_id", "node_id")
+        found = cypher.values(graph, texts[-1], "this", own)
+        one = found.groupBy("graph_id", F.col("_this").alias("node_id")).agg(F.count("*").alias("_c"), F.max("value").alias("_set")).where("_c = 1").drop("_c")
+        nodes = graph.nodes.join(one, ["graph_id", "node_id"], "left").withColumn("value", F.coalesce("_set", "value")).select(*graph.nodes.columns)
+        graph = graph.with_(nodes=nodes)
+    return graph
+
+
 def set_uuids(graph: Graph) -> Graph:
     """Random ids as values of attributes with `uuid`."""
     ids = [a.id for a in graph.layer.attributes() if "uuid" in a.props]

@@ -61,13 +61,28 @@ def find_measures(graph: Graph, a: Attribute, value_nodes: DataFrame | None = No
     return found.select("graph_id", "entity_root_id", "parent_id", number.alias("value"), unit.alias("unit")).where("value IS NOT NULL AND unit IS NOT NULL")
 
 
+def _found(graph: Graph, a: Attribute) -> DataFrame:
+    """find_measures with the attribute's queries for values and units, where it has them.
+
+    The unit query sees `valueNode`, bound to the measure's values.
+    """
+    from ..plans import cypher
+
+    text, unit = a.one("measure/valueNodeExpr"), a.one("measure/unitExpr")
+    values = cypher.find_nodes(graph, text) if text else None
+    if not unit:
+        return find_measures(graph, a, values)
+    own = graph.instances(a.one("measure/valueNode") or a.id).select("graph_id", "node_id") if values is None else values
+    return find_measures(graph, a, values, cypher.find_nodes(graph, unit, {"valueNode": own}).distinct())
+
+
 def build_measures(graph: Graph, factors: DataFrame | None = None) -> Graph:
     """A node for each measure: value and unit in its properties, converted where useUnit says so.
 
     The node is made below the value's parent, or updated if there is one.
     """
     for a in measure_attributes(graph):
-        found = find_measures(graph, a).withColumn("use_unit", F.lit(a.one("measure/useUnit") or None).cast("string"))
+        found = _found(graph, a).withColumn("use_unit", F.lit(a.one("measure/useUnit") or None).cast("string"))
         if a.one("measure/useUnit"):
             if factors is None:
                 raise SchemaError(f"{a.id}: a conversion table is needed for useUnit")

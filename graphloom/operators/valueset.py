@@ -6,6 +6,7 @@ import itertools
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,6 +196,9 @@ def infos(layer: Layer) -> list[ValueSetInfo]:
 
 def requests(graph: Graph, info: ValueSetInfo) -> DataFrame:
     """(graph_id, context_id, entity_root_id, request): the values that each context node asks with."""
+    texts = info.attribute.many("vs/request")
+    if texts:
+        return _queried(graph, info, texts)
     sources = list(info.request_values) or [info.attribute.id]
     keys = list(info.request_keys) or ([""] if len(sources) == 1 else sources)
     name = F.element_at(F.map_from_arrays(F.array(*map(F.lit, sources)), F.array(*map(F.lit, keys))), F.col("schema_node_id"))
@@ -209,6 +213,23 @@ def requests(graph: Graph, info: ValueSetInfo) -> DataFrame:
     return context.join(asked, ["graph_id", "entity_root_id"])
 
 
+def _queried(graph: Graph, info: ValueSetInfo, texts: list[str]) -> DataFrame:
+    """Requests from queries with `this` bound to the attribute's nodes: a column's name is its key."""
+    from ..plans import cypher
+
+    own = graph.instances(info.attribute.id).select("graph_id", "node_id", "entity_root_id")
+    found = reduce(DataFrame.unionByName, [cypher.values(graph, t, "this", own.select("graph_id", "node_id")) for t in texts])
+    key = F.when(F.col("key").isin("this", "n", "") | F.col("key").contains("."), F.lit("")).otherwise(F.col("key"))
+    asked = found.join(own.withColumnRenamed("node_id", "_this"), ["graph_id", "_this"]).where("value IS NOT NULL")
+    asked = asked.groupBy("graph_id", "entity_root_id", key.alias("k")).agg(F.min("value").alias("v")).groupBy("graph_id", "entity_root_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("request"))
+    if text := info.attribute.one("vs/contextExpr"):
+        contexts = cypher.run(graph, text, {"this": own.select("graph_id", "node_id")}, with_graph=True, keep=("this",))
+        contexts = contexts.select("graph_id", F.col(f"`{contexts.columns[1]}`").alias("context_id"), F.col("_this").alias("node_id")).join(own, ["graph_id", "node_id"]).select("graph_id", "context_id", "entity_root_id")
+    else:
+        contexts = graph.instances(info.context).select("graph_id", F.col("node_id").alias("context_id"), "entity_root_id")
+    return contexts.join(asked, ["graph_id", "entity_root_id"])
+
+
 def apply_results(graph: Graph, info: ValueSetInfo, answered: DataFrame) -> Graph:
     """Result nodes (or properties, edges) below the result context, from answered(graph_id, context_id, entity_root_id, result).
 

@@ -429,15 +429,20 @@ class _Plan:
         return isinstance(e, tuple) and ((e[0] == "call" and e[1] in _AGGREGATES) or any(self.aggregates(x) if isinstance(x, tuple) else isinstance(x, list) and any(map(self.aggregates, x)) for x in e[1:]))
 
 
-def run(graph: Graph, text: str, bindings: dict[str, DataFrame] | None = None, with_graph: bool = False) -> DataFrame:
+def run(graph: Graph, text: str, bindings: dict[str, DataFrame] | None = None, with_graph: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """The query's result as a DataFrame; a node in RETURN gives its id, an edge its label.
 
     bindings: variables fixed beforehand, each a table (graph_id, node_id). with_graph adds
-    graph_id (grouping by it where there are aggregates).
+    graph_id (grouping by it where there are aggregates). keep: bound variables whose node ids
+    stand in the result as _<name>; one that no pattern names is matched alone.
     """
     q = parse(text)
     plan = _Plan(graph, bindings or {})
     df = None
+    named = {n.var for path in q.paths for n in path[::2]}
+    for var in keep:
+        if var not in named:
+            q.paths.insert(0, [_Node(var)])
     for path in q.paths:
         df = plan.path(df, path)
     if df is None:
@@ -445,11 +450,12 @@ def run(graph: Graph, text: str, bindings: dict[str, DataFrame] | None = None, w
     if q.where is not None:
         df = df.where(plan.column(q.where))
     names = [n for _, n in q.items]
+    kept = [F.col(f"{v}.node_id").alias(f"_{v}") for v in keep]
     if any(plan.aggregates(e) for e, _ in q.items):
-        keys = [plan.column(e).alias(n) for e, n in q.items if not plan.aggregates(e)]
+        keys = kept + [plan.column(e).alias(n) for e, n in q.items if not plan.aggregates(e)]
         group = (["graph_id"] if with_graph else []) + keys
         out = df.groupBy(*group).agg(*(plan.column(e).alias(n) for e, n in q.items if plan.aggregates(e)))
-        out = out.select(*(["graph_id"] if with_graph else []), *(F.col(f"`{n}`") for n in names))
+        out = out.select(*(["graph_id"] if with_graph else []), *(F.col(f"`{n}`") for n in names), *(f"_{v}" for v in keep))
         order = [(F.col(f"`{dict((str(x), n) for x, n in q.items).get(str(e), e[-1] if isinstance(e[-1], str) else '')}`"), d) for e, d in q.order]
     else:
         order, extra = [], []
@@ -458,7 +464,7 @@ def run(graph: Graph, text: str, bindings: dict[str, DataFrame] | None = None, w
             order.append((F.col(f"`{known or f'_o{k}'}`"), d))
             if known is None:
                 extra.append(plan.column(e).alias(f"_o{k}"))
-        out = df.select(*(["graph_id"] if with_graph else []), *(plan.column(e).alias(n) for e, n in q.items), *extra)
+        out = df.select(*(["graph_id"] if with_graph else []), *(plan.column(e).alias(n) for e, n in q.items), *kept, *extra)
     if q.distinct:
         out = out.distinct()
     if order:
@@ -467,7 +473,24 @@ def run(graph: Graph, text: str, bindings: dict[str, DataFrame] | None = None, w
         out = out.offset(q.skip)
     if q.limit is not None:
         out = out.limit(q.limit)
-    return out.select(*(["graph_id"] if with_graph else []), *(F.col(f"`{n}`") for n in names))
+    return out.select(*(["graph_id"] if with_graph else []), *(F.col(f"`{n}`") for n in names), *(f"_{v}" for v in keep))
+
+
+def values(graph: Graph, text: str, var: str, bound: DataFrame) -> DataFrame:
+    """(graph_id, _<var>, key, value) of a query with one variable bound: a row for each result column.
+
+    A column that returns a node gives the node's value.
+    """
+    q = parse(text)
+    if not q.paths:
+        q.paths.append([_Node(var)])
+    out = run(graph, text, {var: bound}, with_graph=True, keep=(var,))
+    of_nodes = {n for (e, n) in q.items if e[0] == "var"}
+    cells = F.explode(F.array(*(F.struct(F.lit(n).alias("key"), F.col(f"`{n}`").cast("string").alias("value"), F.lit(n in of_nodes).alias("node")) for _, n in q.items))).alias("c")
+    rows = out.select("graph_id", f"_{var}", cells).select("graph_id", f"_{var}", "c.*")
+    own = graph.nodes.select("graph_id", F.col("node_id").alias("value"), F.col("value").alias("_text"))
+    plain = rows.where("NOT node").select("graph_id", f"_{var}", "key", "value")
+    return plain.unionByName(rows.where("node").join(own, ["graph_id", "value"]).select("graph_id", f"_{var}", "key", F.col("_text").alias("value")))
 
 
 def find_nodes(graph: Graph, text: str, bindings: dict[str, DataFrame] | None = None) -> DataFrame:

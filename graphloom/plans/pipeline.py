@@ -115,6 +115,10 @@ def _write_graph(c: Context, p: dict) -> Context:
     kind = p.get("format", "json")
     if kind == "dot":
         return c.with_(results={**c.results, "dot": to_dot(c.graph)})
+    if kind == "web":
+        import html
+
+        return c.with_(results={**c.results, "web": f"<!DOCTYPE html><title>graph</title><pre class=\"dot\">{html.escape(to_dot(c.graph))}</pre>"})
     if kind == "parquet":
         c.graph.nodes.write.mode("overwrite").parquet(f"{p['path']}/nodes")
         c.graph.edges.write.mode("overwrite").parquet(f"{p['path']}/edges")
@@ -199,7 +203,7 @@ def _fork(c: Context, p: dict) -> Context:
     return c.with_(results={**c.results, **{name: run(steps, c).results for name, steps in p["pipelines"].items()}})
 
 
-for _name, _work in (("link", links.link), ("defaults", entities.add_defaults), ("hash", entities.compute_hashes), ("uuid", entities.set_uuids), ("prune", entities.prune_childless), ("reuse", entities.reuse_entities)):
+for _name, _work in (("link", links.link), ("defaults", entities.add_defaults), ("hash", entities.compute_hashes), ("setValue", entities.apply_set_values), ("uuid", entities.set_uuids), ("prune", entities.prune_childless), ("reuse", entities.reuse_entities)):
     STEPS[_name] = lambda c, p, work=_work: c.with_(graph=work(c.graph))
 
 

@@ -107,11 +107,22 @@ def find_variant(bundles: list[Bundle], type_name: str) -> Layer:
     return having[0].compiled(type_name)
 
 
-def read_json_or_yaml(path: str) -> dict:
-    """A parsed file, JSON or YAML by its suffix."""
-    with open(path, encoding="utf-8") as f:
-        if path.endswith((".yaml", ".yml")):
-            import yaml
-
-            return yaml.safe_load(f)
-        return json.load(f)
+def read_url(place: str) -> bytes:
+    """The bytes of a file or URL."""
+    if "://" in place:
+        from urllib.request import urlopen
+
+        with urlopen(place) as f:
+            return f.read()
+    with open(place, "rb") as f:
+        return f.read()
+
+
+def read_json_or_yaml(place: str) -> dict:
+    """A parsed file or URL, JSON or YAML by its suffix."""
+    raw = read_url(place)
+    if place.endswith((".yaml", ".yml")):
+        import yaml
+
+        return yaml.safe_load(raw)
+    return json.loads(raw)

@@ -310,3 +310,39 @@ def test_streams(spark, tmp_path):
     found = run(streams.lookup_stream(stream(), entries, "v").select("k", "result"), "found")
     assert sorted(set(rows(found))) == [("1", "ex"), ("2", "other")]
     assert run(streams.unique_stream(stream(), ["k"], "t"), "unique_rows").count() == 2
+
+
+def test_set_value_makes_missing_nodes(spark):
+    own = layer("Q", {"a": "a", "b": {"attributeName": "b", "setValue": ["match (this)<-[]-()-[]->(n {schemaNodeId:'Q/a'}) return n"]}, "c": {"attributeName": "c", "setValue": ["return 'fixed'"]}})
+    g = entities.apply_set_values(ingest_rows(spark.createDataFrame([("1", None), ("2", "old")], "a string, b string"), own, F.col("a")))
+    assert rows(g.nodes.where("schema_node_id IN ('Q/b', 'Q/c')").select("graph_id", "schema_node_id", "value")) == [("1", "Q/b", "1"), ("1", "Q/c", "fixed"), ("2", "Q/b", "2"), ("2", "Q/c", "fixed")]
+
+
+def test_value_set_requests_by_query(spark):
+    own = layer("V", {"a": "a", "x": {"attributeName": "x", "vsValuesets": ["s"], "vsRequest": ["match (this)<-[]-()-[]->(n {schemaNodeId:'V/a'}) return this as code, n as kind"], "vsResultKeys": ["r"], "vsResultValues": ["V/out"]}, "out": "out"})
+    sets = valueset.load([{"id": "s", "values": [{"keyValues": {"code": "c1", "kind": "k1"}, "results": {"r": "yes"}}]}])
+    g = ingest_rows(spark.createDataFrame([("k1", "C1"), ("k2", "c1")], "a string, x string"), own, F.col("a"))
+    out = valueset.process(g, valueset.entries_table(spark, sets))
+    assert rows(out.instances("V/out").select("graph_id", "value")) == [("k1", "yes")]
+
+
+def test_measure_units_by_query(spark):
+    own = layer("M", {"m1": "m1", "u1": "u1", "m": {"@type": ["Value", "Measure"], "attributeName": "m", "measureValueNode": "M/m1", "measureUnitExpr": "match (valueNode)<-[]-()-[]->(v {attributeName:'u1'}) return v"}})
+    g = measures.build_measures(ingest_rows(spark.createDataFrame([("5", "kg")], "m1 string, u1 string"), own, F.lit("g")))
+    assert [r.value for r in g.instances("M/m").collect()] == ["5 kg"]
+
+
+def test_excel_sheets(tmp_path):
+    import zipfile
+
+    from graphloom.sources.excel import read_excel, stream_sheet
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    path = tmp_path / "a.xlsx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>h1</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>h3</t></is></c></row><row r="3"><c r="A3"><v>7</v></c><c r="C3" t="s"><v>1</v></c></row></sheetData></worksheet>')
+    assert read_excel(str(path)) == {"S": [["h1", "", "h3"], [], ["7", "", "ab"]]}
+    assert list(stream_sheet(str(path), "S"))[1] == {"h1": "7", "": "", "h3": "ab"}
