@@ -13,28 +13,33 @@ from ..graph import Graph
 from ..operators.ingest import ingest_rows
 from ..operators.links import link
 from ..schema.layer import Layer
+from ..storage import written
 
 
 def with_row_index(df: DataFrame, name: str = "_row", order: Column | None = None) -> DataFrame:
     """df with a gap-free index from 0 in `order` (default: the order of the input's partitions).
 
     Offsets of partitions come from one small count per partition, so rows are not gathered in
-    one task; with `order` the rows are range-partitioned first.
+    one task. With `order` the rows are range-partitioned, and written once: two runs of a range
+    partitioning need not agree on its bounds.
     """
     if order is not None:
         df = df.repartitionByRange(order).sortWithinPartitions(order)
     within = df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
+    if order is not None:
+        within = written(within)
     counts = within.groupBy("_p").agg(F.count("*").alias("_n"))
     # one row per partition: a running total over them is bounded by the number of partitions
     offsets = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))
     return within.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
 
 
-def read_csv(spark: SparkSession, path: str, header_row: int | None = 0, start_row: int | None = None, end_row: int | None = None, delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, header_row: int | None = 0, start_row: int | None = None, end_row: int | None = None, delimiter: str = ",", encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """Rows of one CSV file as strings, with _row (0-based, the header counted) and _file.
 
     Lazy quotes and ragged rows are accepted: missing cells are null, further cells are dropped.
-    Only lines up to the header are looked at on the driver.
+    Only lines up to the header are looked at on the driver. multi_line: cells may hold line
+    breaks; the file is then read by one task, as it cannot be split.
     """
     lines = spark.read.option("encoding", encoding).text(path)
     head = lines.limit((header_row or 0) + 1).collect() if header_row is not None else lines.limit(1).collect()
@@ -44,7 +49,7 @@ def read_csv(spark: SparkSession, path: str, header_row: int | None = 0, start_r
     schema = ", ".join(f"`{n}` string" for n in names)
     first = 0 if header_row is None else header_row + 1
     first = max(first, start_row or 0)
-    one = spark.read.schema(schema).options(sep=delimiter, header=False, mode="PERMISSIVE", multiLine=True, encoding=encoding, escape='"').csv(path)
+    one = spark.read.schema(schema).options(sep=delimiter, header=False, mode="PERMISSIVE", multiLine=multi_line, encoding=encoding, escape='"').csv(path)
     out = with_row_index(one.withColumn("_file", F.input_file_name()))
     kept = F.col("_row") >= first
     return out.where(kept if end_row is None else kept & (F.col("_row") <= end_row))
