@@ -57,6 +57,20 @@ class Graph:
         ends = self.edges.select("graph_id", F.col("src").alias("parent_id"), F.col("dst").alias("node_id"), F.col("label").alias("edge_label"), "ord")
         return nodes.join(ends, ["graph_id", "node_id"])
 
+    def stored(self, name: str, buckets: int) -> Graph:
+        """The graph written as tables <name>_nodes and <name>_edges, bucketed and sorted by graph_id.
+
+        Steps after it read it instead of planning the ingestion again for each use, and joins
+        and aggregates within graphs then need no shuffle, as all their keys start with
+        graph_id (the session is told that these keys need not all be hashed).
+        """
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        out = []
+        for part, df in (("nodes", self.nodes), ("edges", self.edges)):
+            df.write.mode("overwrite").bucketBy(buckets, "graph_id").sortBy("graph_id").saveAsTable(f"{name}_{part}")
+            out.append(self.spark.table(f"{name}_{part}"))
+        return self.with_(nodes=out[0], edges=out[1])
+
     def global_scope(self) -> Graph:
         """All graphs as one: node ids get their graph's id in front."""
         name = lambda c: F.concat_ws("|", "graph_id", c)

@@ -197,6 +197,11 @@ def _unique(c: Context, p: dict) -> Context:
     return c.with_(graph=entities.consolidate(c.graph, p["label"]))
 
 
+@step("store")
+def _store(c: Context, p: dict) -> Context:
+    return c.with_(graph=c.graph.stored(p["name"], p["buckets"]))
+
+
 @step("fork")
 def _fork(c: Context, p: dict) -> Context:
     """Named pipelines over the same graph. Plans are immutable, so they cannot disturb each other."""

@@ -80,3 +80,38 @@ def test_json_ld():
     assert jsonld.compact({"@graph": full}, context)["name"] == ["n", "m"]
     assert [n["@id"] for n in jsonld.flatten(doc)] == ["http://a", "http://b"]
     assert jsonld.flatten({"http://x/p": {"http://x/q": "v"}})[0] == {"@id": "_:b0", "http://x/p": [{"@id": "_:b1"}]}
+
+
+def test_stored_graphs_join_without_shuffle(spark):
+    was = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        g = engine.customers(spark, SF).stored("plans_test", 4)
+        joined = g.children("Customer/name").groupBy("graph_id", "parent_id").agg(F.max("value"))
+        assert "Exchange" not in plan(joined) and joined.count() == 150
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", was)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for part in ("nodes", "edges"):
+            spark.sql(f"DROP TABLE IF EXISTS plans_test_{part}")
+
+
+def test_command_line(tmp_path, capsys):
+    import json
+
+    from graphloom.__main__ import main
+    from graphloom.fixtures import flat_schema
+
+    base, over, data = tmp_path / "s.json", tmp_path / "o.json", tmp_path / "d.csv"
+    base.write_text(json.dumps(flat_schema("A", {"x": "x"})))
+    over.write_text(json.dumps({"@id": "o", "@type": "Overlay", "valueType": "A", "attributeOverlays": [{"@id": "A/x", "@type": "Value", "note": "n"}]}))
+    data.write_text("a, b\n1,2\n")
+    main(["compose", str(base), str(over)])
+    assert json.loads(capsys.readouterr().out)["layer"]["attributeList"][0]["note"] == "n"
+    main(["compile", str(base)])
+    assert json.loads(capsys.readouterr().out)["layer"]["entitySchema"] == "A/schema"
+    main(["header", str(data)])
+    assert [a["attributeName"] for a in json.loads(capsys.readouterr().out)["layer"]["attributeList"]] == ["a", "b"]
+    main(["slice", str(base), "--term", "attributeName"])
+    assert json.loads(capsys.readouterr().out)["@type"] == "Overlay"
