@@ -453,13 +453,13 @@ class Sampler:
         return np.concatenate([*parts, kind[at:]])
 
 
-def _batches(batch: pa.RecordBatch):
+def _batches(batch: pa.RecordBatch, most: int):
     """Rows of a batch in lists of bounded length of text; a longer text stands alone."""
     ids, texts = batch.column(0), batch.column(1)
     own_ids, own, weight = [], [], 0
     for i, t in zip(ids, texts, strict=True):
         t = t.as_py()
-        if own and weight + len(t or "") > BATCH_CHARS:
+        if own and weight + len(t or "") > most:
             yield own_ids, own
             own_ids, own, weight = [], [], 0
         own_ids.append(i.as_py())
@@ -469,13 +469,14 @@ def _batches(batch: pa.RecordBatch):
         yield own_ids, own
 
 
-def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False) -> DataFrame:
+def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Up to k distinct sampled segmentations of each row's whole text, best perturbed value first.
 
     doc_id, sample_no (from 1), n_tokens, log_prob, perturbed, log_inclusion; with ids the piece
     ids as little-endian 32-bit integers (token_ids, binary), with digest their SHA-256
     (ids_sha256) and round_trip: whether the ids decode to the text. The row key seeds the noise,
-    so equal keys and texts give equal samples; a null key counts as 0. A null or empty text has
+    so equal keys and texts give equal samples, whatever batch_chars (the text worked on at once,
+    which bounds memory); a null key counts as 0. A null or empty text has
     one segmentation, the empty one. Fewer than k rows come only where no more segmentations
     exist. An empty table gives none; other columns are not read.
     """
@@ -489,7 +490,7 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id
         kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
         schema = pa.schema([(n.split()[0], kinds[n.split()[1]]) for n in names])
         for batch in batches:
-            for keys, texts in _batches(batch):
+            for keys, texts in _batches(batch, batch_chars):
                 rows = []
                 for key, text, found in zip(keys, texts, sampler.sample(keys, texts), strict=True):
                     for no, (own, log, value, inclusion) in enumerate(found, 1):
