@@ -128,8 +128,9 @@ def set_values(graph: Graph, attribute_id: str, values: DataFrame) -> Graph:
         raise SchemaError(f"no attribute {attribute_id}")
     new = values.columns[-1]
     own = values.withColumnRenamed(new, "_set")
-    nodes = graph.nodes.join(own, ["graph_id", "entity_root_id"], "left")
-    nodes = nodes.withColumn("value", F.when((F.col("schema_node_id") == attribute_id) & F.col("_set").isNotNull(), F.col("_set")).otherwise(F.col("value"))).select(*graph.nodes.columns)
+    mine = F.coalesce(F.col("schema_node_id") == attribute_id, F.lit(False))
+    nodes = graph.nodes.where(mine).join(own, ["graph_id", "entity_root_id"], "left").withColumn("value", F.coalesce("_set", "value")).select(*graph.nodes.columns)
+    nodes = graph.nodes.where(~mine).unionByName(nodes)
     there = graph.instances(attribute_id).select("graph_id", "entity_root_id")
     parents = graph.nodes.where(F.col("schema_node_id") == a.parent.id).select("graph_id", "entity_root_id", F.col("node_id").alias("_p"), "source")
     lack = own.where("_set IS NOT NULL").join(there, ["graph_id", "entity_root_id"], "left_anti").join(parents, ["graph_id", "entity_root_id"])

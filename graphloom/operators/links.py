@@ -115,7 +115,7 @@ def link(graph: Graph, specs: list[LinkSpec] | None = None) -> Graph:
         elif spec.as_edge:
             near, props = F.col("parent_id"), F.coalesce("doc_props", empty)
             gone = graph.instances(spec.attribute.id).select("graph_id", "node_id")
-            nodes = nodes.join(gone, ["graph_id", "node_id"], "left_anti").select(*nodes.columns)
+            nodes = nodes.where(F.coalesce(F.col("schema_node_id") != spec.attribute.id, F.lit(True)))
             edges = edges.join(gone.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"], "left_anti").select(*edges.columns)
         else:
             made = F.concat("parent_id", F.lit("." + (spec.attribute.name or spec.label)))

@@ -255,9 +255,11 @@ def apply_results(graph: Graph, info: ValueSetInfo, answered: DataFrame) -> Grap
             nodes = nodes.join(own, ["graph_id", "node_id"], "left").withColumn("props", full).select(*graph.nodes.columns)
             continue
         own = got.select("graph_id", "entity_root_id", F.lit(t).alias("schema_node_id"), "_new", F.lit(True).alias("_hit")).dropDuplicates(["graph_id", "entity_root_id"])
-        old = nodes.join(own, ["graph_id", "entity_root_id", "schema_node_id"], "left").where("_hit IS NULL OR _new IS NOT NULL")
-        old = old.withColumn("value", F.coalesce("_new", "value")).select(*graph.nodes.columns)
-        there = nodes.where(F.col("schema_node_id") == t).select("graph_id", "entity_root_id")
+        # only the result attribute's own nodes are joined; all others pass
+        mine = F.coalesce(F.col("schema_node_id") == t, F.lit(False))
+        old = nodes.where(mine).join(own, ["graph_id", "entity_root_id", "schema_node_id"], "left").where("_hit IS NULL OR _new IS NOT NULL")
+        old = nodes.where(~mine).unionByName(old.withColumn("value", F.coalesce("_new", "value")).select(*graph.nodes.columns))
+        there = nodes.where(mine).select("graph_id", "entity_root_id")
         new = got.where("_new IS NOT NULL").join(there, ["graph_id", "entity_root_id"], "left_anti").withColumn("_id", F.concat("context_id", F.lit("." + (a.name or a.id))))
         order = a.parent.children.index(a) if a.parent is not None and a in a.parent.children else None
         nodes = old.unionByName(new.select(*node_columns(graph_id=F.col("graph_id"), node_id=F.col("_id"), labels=F.array(*map(F.lit, ["DocumentNode", "Value", *a.labels])), schema_node_id=t, type="Value", attribute_name=a.name or None, attribute_index=order, value=F.col("_new"), entity_root_id=F.col("entity_root_id"))))
