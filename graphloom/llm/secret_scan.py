@@ -1,7 +1,7 @@
 """Secret scans: candidate strings judged by a random forest, all in SQL expressions.
 
-A candidate is a run of 16 or more key characters with a digit, or the header of a private
-key. Its features are length, character transitions, dictionary coverage, path marks and the
+A candidate is a run of 16 or more key characters with a digit, a value of 6 or more printable
+characters assigned to a secret word, the password of a URL, or a whole private key. Its features are length, character transitions, dictionary coverage, path marks and the
 neighbouring words. A forest trained on labelled findings gives the chance that it is a secret;
 the trained trees are written as nested CASE expressions, so scanning stays in the JVM.
 """
@@ -16,14 +16,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "A-Za-z0-9+/_-"
-CANDIDATE = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----|(?<![{_KEY}])(?=[A-Za-z+/_-]*+[0-9])[{_KEY}]{{16,}}+={{0,2}}"
+_QUOTE, _BLANK = r"\"\x27`", r"\x00-\x20\x7f\x85\xa0\u2028\u2029\u3000"
+_GAP = rf"[ \t=:>{_QUOTE}]"
+_NAMES = r"(?<![a-z])pass|password|passwords|passwd|passphrase|passcode|pwd|secret|token|apikey|api[ _-]key|accesskey|access[ _-]key|secretkey|secret[ _-]key|privatekey|private[ _-]key|signingkey|signing[ _-]key|clientkey|client[ _-]key|encryptionkey|encryption[ _-]key|credential|credentials|auth|authorization|bearer"
+
+
+def _after_name() -> str:
+    """Lookbehinds for a secret word and up to 12 characters of spaces, quotes and signs, each of one width (all that Python's re takes)."""
+    widths: dict[int, list[str]] = {}
+    for name in _NAMES.split("|"):
+        widths.setdefault(len(name.replace("(?<![a-z])", "").replace("[ _-]", " ")), []).append(name)
+    named = lambda k: "|".join(f"(?<=(?i:{'|'.join(names)}){_GAP}{{{k}}})" for _, names in sorted(widths.items()))
+    return "(?:" + "|".join(f"(?<=[A-Za-z]{_GAP}{{{k}}})(?:{named(k)})" for k in range(1, 13)) + ")"
+
+
+#: A private key from BEGIN to END; where END is missing, the header and the base64 lines after it.
+_PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-{1,4}+[^-]++){0,64}+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s++[A-Za-z0-9+/=]{40,}+){1,500}+(?:\r?\n[A-Za-z0-9+/]{1,63}+={0,2}(?![^\r\n]))?)?"
+#: Whatever stands in quotes, or else without blanks, behind a secret word and '=', ':' or a quote. An auth scheme is no value.
+_QUOTED = "|".join(rf"(?<={q})(?!\s*+[:=,)\]}}])[^{q}\r\n]{{6,}}+(?={q})" for q in ('"', r"\x27", "`"))
+_NEXT = "(?![,;&][A-Za-z_][A-Za-z0-9_]*+[=:])"
+_BARE = rf"(?!{_GAP})(?:{_NEXT}[^{_BLANK}]){{5,}}{_NEXT}[^{_BLANK}{_QUOTE},;.)\]}}>]"
+_SIGN = "(?:" + "|".join(rf"(?<=[=:>{_QUOTE}][ \t]{{{k}}})" for k in range(12)) + ")"
+_ASSIGNED = rf"(?<={_GAP}){_SIGN}{_after_name()}(?!(?i:bearer|basic|digest|token)[ \t])(?:{_QUOTED}|{_BARE})"
+_SCHEME = rf"(?<= )(?:(?<=(?i:authorization: bearer ))|(?<=(?i:authorization: basic ))|(?<=(?i:authorization: token )))[^{_BLANK}{_QUOTE},;]{{6,}}+"
+#: The password of scheme://user:password@host.
+_URL = rf"(?<=:)(?![/:])[^{_BLANK}{_QUOTE}/@<>]{{3,}}+(?=@[A-Za-z0-9\[])"
+#: Base64 padding, not the '=' of an assignment.
+_PADDING = rf"(?:={{1,2}}(?![^{_BLANK}{_QUOTE},;.)\]}}]|[{_QUOTE}][^{_BLANK}{_QUOTE},;:.)\]}}]))?"
+_RUN = rf"(?<![{_KEY}])(?=[A-Za-z+/_-]*+[0-9])[{_KEY}]{{16,}}+{_PADDING}"
+CANDIDATE = "|".join((_PEM, _ASSIGNED, _SCHEME, _URL, _RUN))
 MASK = "[SECRET]"
 _AROUND = 48
 #: Common English and technical words of four letters or more, for dictionary coverage.
 DICTIONARY = (
     "about access account action active address admin after agent alpha apple array author avatar back base beta between block board body book border branch brand bridge browser buffer build button cache call center change channel chart check child city class clean click client close cloud code color column commit common company config content control copy core count country cover create data database date default delete delta demo design detail device digest direct document domain down draft edit email engine entry error event example export feature field file filter final first font footer form format forum function gallery game global graph green group guide handle header health height hello help history home host house image import index info input install item join just keep label language last layer layout left length level library light line link list live load local login logo long mail main manager market master media member menu message method mobile mode model module month more name native network news next node note number object offer office open option order output package page panel parent part patch path people phone photo picture place plan player plugin point policy post power press preview price print private process product profile program project public query quick random range rate read record region release remote report request reset resource response result review right root route sample save scale schema scope script search section secure select server service session setting share shop side sign simple single site size small social sort source space spec speed stack staff stage standard start state static status step stock storage store story stream string style submit support switch system table target task team temp template test text theme this thread time title tool topic track traffic trial type under unit update upload user value version video view wait watch water week white widget width window with word work world write year zone"
 ).split()
-_SECRET_WORDS = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private|credential|bearer|auth(?:orization)?|signing|client[ _-]?key"
+_SECRET_WORDS = r"pass(?:words?|wd|phrase|code)?|pwd|secret(?:[ _-]?key)?|token|api[ _-]?key|access[ _-]?key|private(?:[ _-]?key)?|credentials?|bearer|auth(?:orization)?|signing(?:[ _-]?key)?|encryption[ _-]?key|client[ _-]?key|://[^/@:?# ]*:(?!.)"
 _PLAIN_WORDS = r"sha-?[0-9]*|md5|checksum|hash|digest|commit|revision|uuid|guid|etag|integrity|build|version|isbn|serial|order|invoice|tracking|ticket|article|doi|page|ref"
 
 #: Feature name and SQL over {v} the candidate, {b} and {a} the text before and after it.
@@ -134,8 +162,44 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
     hexa, word = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
     mixed = word + word.upper() + "0123456789"
     prose = lambda: " ".join(of(word, rng.randint(2, 9)) for _ in range(rng.randint(2, 5)))
+    marked = mixed + "!#$%&*?@^~.,;+/_-"
+    names = ("password", "passwd", "pwd", "secret", "token", "api_key", "client_secret", "PASSWORD", "DB_PASSWORD", "passphrase", "secret_key", "S3_SECRET_ACCESS_KEY", "AUTH0_CLIENT_SECRET", "auth_token")
+    url = lambda: prose() + " " + rng.choice(("postgres", "mysql", "https", "redis", "amqp", "mongodb+srv")) + "://" + of(word, rng.randint(0, 8))
     out = []
     for k in range(n):
+        if k % 2 and rng.random() < 0.35:
+            kind, before, after = rng.randrange(5), prose() + " ", " " + prose()
+            if kind == 0:
+                head = rng.choice(("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "))
+                body = "\n".join(of(mixed + "+/", 64) for _ in range(rng.randint(1, 26)))
+                value = f"-----BEGIN {head}PRIVATE KEY-----" + rng.choice(("", f"\n{body}", f"\n{body}\n-----END {head}PRIVATE KEY-----", f"\n{body}\n-----END {head}PRIVATE KEY-----"))
+                before, after = rng.choice((before, "", prose() + "\n", "key = \"")), rng.choice((after, "\n", ""))
+            elif kind == 1:
+                value, before, after = of(mixed, rng.randint(6, 20)) + of("!#$%&*?~", rng.randint(0, 2)), url() + ":", "@" + of(word, 6) + "/" + of(word, 4)
+            else:
+                value = rng.choice((lambda: of(marked, rng.randint(6, 24)), lambda: of(mixed, rng.randint(6, 16)), lambda: of(word, rng.randint(4, 9)).capitalize() + of("0123456789", rng.randint(1, 4)) + rng.choice(("", "!", "?", "#")), lambda: of(word, rng.randint(3, 8)) + of("0123456789", rng.randint(2, 4))))()
+                quote = rng.choice(("", "\"", "\"", "'"))
+                if quote and rng.random() < 0.3:
+                    value = rng.choice((" ", "-", "")).join(of(word, rng.randint(3, 8)) for _ in range(rng.randint(2, 5)))
+                before, after = before + rng.choice(names) + rng.choice(("=", " = ", ": ", ":")) + quote, quote + after
+            out.append((value, before[-_AROUND:], after[:_AROUND], 1))
+            continue
+        if not k % 2 and rng.random() < 0.25:
+            kind, before, after = rng.randrange(5), prose() + " ", " " + prose()
+            if kind == 0:  # the name of a value, or one joined of words
+                value = rng.choice(("S3_SECRET_ACCESS_KEY", "AUTH0_CLIENT_SECRET", "AWS_S3_ACCESS_TOKEN", "OAUTH2_CLIENT_SECRET", "_".join((of(word.upper(), 4), "DB2", rng.choice(DICTIONARY).upper(), rng.choice(("PASSWORD", "TOKEN", "SECRET"))))))
+                before, after = rng.choice((before, "export ", "\n", "")), rng.choice(("=", " = \"", ": ")) + of(mixed, 20)
+            elif kind == 1:  # plain words behind a secret word, in prose
+                value, before = rng.choice((rng.choice([w for w in DICTIONARY if len(w) > 5]), of(word, rng.randint(6, 10)))), before + rng.choice(names) + rng.choice((": ", " : "))
+            elif kind == 2:
+                value, before = rng.choice(("changeme", "example", "your-password", "xxxxxxxx", "placeholder", "redacted", "dummy-value", "example-token")), before + rng.choice(names) + rng.choice(("=", ": ", " = \"", "='"))
+                after = (before[-1] if before[-1] in "\"'" else "") + after
+            elif kind == 3:  # the address behind a scheme or a label
+                value, before, after = of(word, rng.randint(3, 10)), before + rng.choice(("mailto:", "Email:", "to:", "contact:", "sip:")), "@" + of(word, 7) + ".org"
+            else:  # URLs with a port or a query
+                value, before = rng.choice(("/".join(of(word, 6) for _ in range(3)) + "/" + of("0123456789", 4), of(mixed, rng.randint(16, 30)))), url() + rng.choice((".com:8080/", ".org/page?v=", ".net/a#id=", ".org:443/img/"))
+            out.append((value, before[-_AROUND:], after[:_AROUND], 0))
+            continue
         if k % 2:
             value = rng.choice([lambda: of(hexa, rng.choice((16, 18, 20, 24, 32, 40, 48, 64))), lambda: of(mixed, rng.randint(16, 64)), lambda: of(mixed + "+/", rng.randint(20, 64)) + rng.choice(("", "=", "==")), lambda: rng.choice(("AKIA", "ASIA")) + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: rng.choice(("ghp_", "gho_", "sk_live_", "xoxb-", "AIza", "glpat-", "npm_")) + of(mixed, rng.randint(20, 36)), lambda: "eyJ" + of(mixed, rng.randint(20, 60))])()
             name = rng.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access key", "auth_token", "client_secret", "PASSWORD", "Authorization: Bearer", "private key", "credential"))
