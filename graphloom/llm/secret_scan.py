@@ -33,11 +33,11 @@ def _after_name() -> str:
 #: A private key from BEGIN to END; where END is missing, the header and the base64 lines after it.
 _PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-{1,4}+[^-]++){0,64}+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s++[A-Za-z0-9+/=]{40,}+){1,500}+(?:\r?\n[A-Za-z0-9+/]{1,63}+={0,2}(?![^\r\n]))?)?"
 #: Whatever stands in quotes, or else without blanks, behind a secret word and '=', ':' or a quote. An auth scheme is no value.
-_QUOTED = "|".join(rf"(?<={q})(?!\s*+[:=,)\]}}])[^{q}\r\n]{{6,}}+(?={q})" for q in ('"', r"\x27", "`"))
+_QUOTED = "|".join(rf"(?<={q})(?![{_BLANK}:=,)\]}}])[^{q}\r\n]{{6,}}+(?={q})" for q in ('"', r"\x27", "`"))
 _NEXT = "(?![,;&][A-Za-z_][A-Za-z0-9_]*+[=:])"
 _BARE = rf"(?!{_GAP})(?:{_NEXT}[^{_BLANK}]){{5,}}{_NEXT}[^{_BLANK}{_QUOTE},;.)\]}}>]"
-_SIGN = "(?:" + "|".join(rf"(?<=[=:>{_QUOTE}][ \t]{{{k}}})" for k in range(12)) + ")"
-_ASSIGNED = rf"(?<={_GAP}){_SIGN}{_after_name()}(?!(?i:bearer|basic|digest|token)[ \t])(?:{_QUOTED}|{_BARE})"
+_SIGN = rf"(?:(?<=[=:>{_QUOTE}])|" + "|".join(rf"(?<=[=:>][ \t]{{{k}}})" for k in range(1, 12)) + ")"
+_ASSIGNED = rf"(?<={_GAP}){_SIGN}{_after_name()}(?!(?i:bearer|basic|digest|token)(?![^{_BLANK}{_QUOTE}:=]))(?:{_QUOTED}|{_BARE})"
 _SCHEME = rf"(?<= )(?:(?<=(?i:authorization: bearer ))|(?<=(?i:authorization: basic ))|(?<=(?i:authorization: token )))[^{_BLANK}{_QUOTE},;]{{6,}}+"
 #: The password of scheme://user:password@host.
 _URL = rf"(?<=:)(?![/:])[^{_BLANK}{_QUOTE}/@<>]{{3,}}+(?=@[A-Za-z0-9\[])"
@@ -80,15 +80,19 @@ FEATURES = (
 def candidates(text: str) -> str:
     """SQL array of (value, before, after, start) for all candidates of a text expression.
 
-    Splitting at the pattern gives the texts between candidates, so places are exact.
+    Splitting at the pattern gives the texts between candidates, so places are exact. before and
+    after are what stands next to the value in the whole text, other candidates included.
     """
     pattern = CANDIDATE.replace("\\", "\\\\")
     found, parts = f"regexp_extract_all({text}, '{pattern}', 0)", f"split({text}, '{pattern}', -1)"
     zipped = f"transform({found}, (v, i) -> named_struct('value', v, 'i', i))"
-    return (
-        f"transform(array(named_struct('z', {zipped}, 'p', {parts})), s -> transform(s.z, x -> named_struct('value', x.value, 'before', right(s.p[x.i], {_AROUND}), 'after', left(s.p[x.i + 1], {_AROUND}), "
+    placed = (
+        f"transform(array(named_struct('z', {zipped}, 'p', {parts})), s -> transform(s.z, x -> named_struct('value', x.value, "
         f"'start', aggregate(slice(s.p, 1, x.i + 1), 0L, (n, t) -> n + length(t)) + aggregate(slice(s.z, 1, x.i), 0L, (n, t) -> n + length(t.value)))))[0]"
     )
+    before = f"substring({text}, cast(greatest(c.start - {_AROUND}, 0) + 1 as int), cast(least(c.start, {_AROUND}) as int))"
+    after = f"substring({text}, cast(c.start + length(c.value) + 1 as int), {_AROUND})"
+    return f"transform({placed}, c -> named_struct('value', c.value, 'before', {before}, 'after', {after}, 'start', c.start))"
 
 
 def featured(found: str) -> str:
@@ -163,17 +167,18 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
     mixed = word + word.upper() + "0123456789"
     prose = lambda: " ".join(of(word, rng.randint(2, 9)) for _ in range(rng.randint(2, 5)))
     marked = mixed + "!#$%&*?@^~.,;+/_-"
-    names = ("password", "passwd", "pwd", "secret", "token", "api_key", "client_secret", "PASSWORD", "DB_PASSWORD", "passphrase", "secret_key", "S3_SECRET_ACCESS_KEY", "AUTH0_CLIENT_SECRET", "auth_token")
-    url = lambda: prose() + " " + rng.choice(("postgres", "mysql", "https", "redis", "amqp", "mongodb+srv")) + "://" + of(word, rng.randint(0, 8))
+    names = ("password", "passwd", "pwd", "secret", "token", "api_key", "client_secret", "PASSWORD", "DB_PASSWORD", "passphrase", "secret_key", "SECRET_ACCESS_KEY", "AUTH_CLIENT_SECRET", "auth_token")
+    full = lambda: " ".join(prose() for _ in range(8)) + " "  # noqa: E731; fills the context, as running text does
+    url = lambda: full() + rng.choice(("postgres", "mysql", "https", "redis", "amqp", "mongodb+srv")) + "://" + of(word, rng.randint(0, 8))
     out = []
     for k in range(n):
         if k % 2 and rng.random() < 0.35:
-            kind, before, after = rng.randrange(5), prose() + " ", " " + prose()
+            kind, before, after = rng.randrange(5), full(), " " + prose()
             if kind == 0:
                 head = rng.choice(("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "))
                 body = "\n".join(of(mixed + "+/", 64) for _ in range(rng.randint(1, 26)))
                 value = f"-----BEGIN {head}PRIVATE KEY-----" + rng.choice(("", f"\n{body}", f"\n{body}\n-----END {head}PRIVATE KEY-----", f"\n{body}\n-----END {head}PRIVATE KEY-----"))
-                before, after = rng.choice((before, "", prose() + "\n", "key = \"")), rng.choice((after, "\n", ""))
+                before, after = before + rng.choice(("", "\n", "key = \"")), rng.choice((after, "\n", ""))
             elif kind == 1:
                 value, before, after = of(mixed, rng.randint(6, 20)) + of("!#$%&*?~", rng.randint(0, 2)), url() + ":", "@" + of(word, 6) + "/" + of(word, 4)
             else:
@@ -185,10 +190,10 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
             out.append((value, before[-_AROUND:], after[:_AROUND], 1))
             continue
         if not k % 2 and rng.random() < 0.25:
-            kind, before, after = rng.randrange(5), prose() + " ", " " + prose()
+            kind, before, after = rng.randrange(5), full(), " " + prose()
             if kind == 0:  # the name of a value, or one joined of words
                 value = rng.choice(("S3_SECRET_ACCESS_KEY", "AUTH0_CLIENT_SECRET", "AWS_S3_ACCESS_TOKEN", "OAUTH2_CLIENT_SECRET", "_".join((of(word.upper(), 4), "DB2", rng.choice(DICTIONARY).upper(), rng.choice(("PASSWORD", "TOKEN", "SECRET"))))))
-                before, after = rng.choice((before, "export ", "\n", "")), rng.choice(("=", " = \"", ": ")) + of(mixed, 20)
+                before += rng.choice(("", "export ", "\n"))
             elif kind == 1:  # plain words behind a secret word, in prose
                 value, before = rng.choice((rng.choice([w for w in DICTIONARY if len(w) > 5]), of(word, rng.randint(6, 10)))), before + rng.choice(names) + rng.choice((": ", " : "))
             elif kind == 2:
@@ -203,15 +208,15 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
         if k % 2:
             value = rng.choice([lambda: of(hexa, rng.choice((16, 18, 20, 24, 32, 40, 48, 64))), lambda: of(mixed, rng.randint(16, 64)), lambda: of(mixed + "+/", rng.randint(20, 64)) + rng.choice(("", "=", "==")), lambda: rng.choice(("AKIA", "ASIA")) + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: rng.choice(("ghp_", "gho_", "sk_live_", "xoxb-", "AIza", "glpat-", "npm_")) + of(mixed, rng.randint(20, 36)), lambda: "eyJ" + of(mixed, rng.randint(20, 60))])()
             name = rng.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access key", "auth_token", "client_secret", "PASSWORD", "Authorization: Bearer", "private key", "credential"))
-            before = prose() + " " + name + rng.choice(("=", " = ", ": ", ":", "=\"", " = \"", " = '", " ", " is ", "\": \""))
+            before = full() + name + rng.choice(("=", " = ", ": ", ":", "=\"", " = \"", " = '", " ", " is ", "\": \""))
             issued = value.startswith(("AKIA", "ASIA", "gh", "sk_", "xox", "AIza", "glpat", "npm_"))
             if issued and rng.random() < 0.4:
-                before = prose() + " "
+                before = full()
             after = ("\"" if before.endswith("\"") else "'" if before.endswith("'") else "") + " " + prose()
             out.append((value, before[-_AROUND:], after[:_AROUND], 1))
             continue
         kind = rng.randrange(9)
-        before, after = prose() + " ", " " + prose()
+        before, after = full(), " " + prose()
         if kind == 0:
             value, before = of(hexa, rng.choice((32, 40, 64))), before + rng.choice(("sha256:", "md5 ", "commit ", "checksum = ", "digest: ", "revision ", "integrity=\"", "etag: \"", "hash="))
         elif kind == 1:
@@ -224,6 +229,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
             value, before = of("0123456789", rng.randint(16, 30)), before + rng.choice(("order ", "isbn ", "serial: ", "invoice=", "tracking ", "", "number "))
         elif kind == 5:
             value, before = rng.choice(("x" * 20 + "1", "your-api-key-goes-here-1", "example_token_123456", "EXAMPLEKEY00000000000", "changeme-changeme-1234", "0" * 32, "1234567890abcdef1234")), before + rng.choice(("token = \"", "password=", "api_key: ", "secret="))
+            after = ("\"" if before.endswith("\"") else "") + after
         elif kind == 6:
             value = f"{rng.randint(2000, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}-{rng.randint(10, 59)}-{rng.randint(10, 59)}"
         elif kind == 7:

@@ -1,5 +1,7 @@
 """Secrets that are no long runs with a digit, and the context of values."""
 
+import re
+
 import pytest
 
 from graphloom.llm import secret_scan
@@ -35,3 +37,21 @@ def test_short_passwords_and_whole_keys_are_masked(masked):
 def test_plain_values_stay(masked):
     plain = ["mailto:john@example.com", "the password: remember it", "password: changeme", "https://x.com:8080/ab/cd/ef/12345678901", "compass: northern"]
     assert masked(plain) == plain
+
+
+def test_a_name_that_is_a_candidate_leaves_the_value_its_context(masked):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzz7K"
+    cases = {
+        f"export S3_SECRET_ACCESS_KEY={key}": "export S3_SECRET_ACCESS_KEY=[SECRET]",
+        f'AUTH0_CLIENT_SECRET = "{key}"': 'AUTH0_CLIENT_SECRET = "[SECRET]"',
+        f'AUTH0_CLIENT_SECRET="{key}" x': 'AUTH0_CLIENT_SECRET="[SECRET]" x',
+    }
+    assert masked(list(cases)) == list(cases.values())
+
+
+def test_context_is_read_from_the_whole_text(spark):
+    texts = ["", "S3_SECRET_ACCESS_KEY=abcdefghijklmno7 x", "é🙂 " + 'password = "abcdefg" token: hijklm9 ' * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for i, found in rows.selectExpr("i", secret_scan.candidates("t") + " AS f").collect():
+        want = [(m.group(), texts[i][max(0, m.start() - 48) : m.start()], texts[i][m.end() : m.end() + 48], m.start()) for m in re.finditer(secret_scan.CANDIDATE, texts[i])]
+        assert [tuple(c) for c in found] == want and len(want) == (0, 2, 80)[i]
