@@ -474,7 +474,8 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id
 
     doc_id, sample_no (from 1), n_tokens, log_prob, perturbed, log_inclusion; with ids the piece
     ids as little-endian 32-bit integers (token_ids, binary), with digest their SHA-256
-    (ids_sha256) and round_trip: whether the ids decode to the text. The row key seeds the noise,
+    (ids_sha256) and round_trip: whether the ids decode to the text with each
+    U+2581 as a space (the pieces cannot tell the two apart). The row key seeds the noise,
     so equal keys and texts give equal samples, whatever batch_chars (the text worked on at once,
     which bounds memory); a null key counts as 0. A null or empty text has
     one segmentation, the empty one. Fewer than k rows come only where no more segmentations
