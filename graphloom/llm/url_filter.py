@@ -1,19 +1,19 @@
 """URL filters: host-suffix and path-prefix expressions, short hash prefixes, full digests.
 
 A rule is (verdict, host, path). It fits its host and all subdomains if the url's path starts
-with the rule's path; the longest fitting rule decides. Every url is expanded into one
-expression for each shape (labels of the host, characters of the path) that occurs among the
-rules. Each expression is looked up by the first four bytes of its SHA-256 in an equi-join, and
-a hit counts only if the whole digest agrees. All of it is DataFrame expressions.
+with the rule's path; the longest fitting rule decides. Every url is expanded into rows: one for
+each suffix of its host that some rule has, and of these one for each prefix of its path as long
+as a rule's path under that host. A row is looked up by the first four bytes of its SHA-256 in
+an equi-join with the rules, and a hit counts only if the whole digest agrees. Only hits meet by
+url, where the longest is taken, and go back to their pages. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The contract's rules: (verdict, host, path).
@@ -27,6 +27,14 @@ BASE_RULES = (
 #: Up to so many rules (well under 64 MB) the rules are broadcast; beyond it the joins shuffle.
 BROADCAST_RULES = 200_000
 _PREFIX = 8  # hex digits, four bytes
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(verdict, host, path) rules as a table."""
+    names = ("verdict", "host", "path")
+    given = pa.table({n: pa.array([r[k] for r in rules], pa.string()) for k, n in enumerate(names)})
+    return spark.createDataFrame(given, ", ".join(f"{n} string" for n in names))
 
 
 def host_and_path(url):
@@ -35,60 +43,57 @@ def host_and_path(url):
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(rest)), r"^[^?#]*", 0)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.coalesce(F.translate(host, upper, lower), F.lit("")), F.coalesce(path, F.lit(""))
+    return F.coalesce(F.translate(host, _UPPER, _LOWER), F.lit("")), F.coalesce(path, F.lit(""))
+
 
+def _sha(expression):
+    return F.sha2(expression.cast("binary"), 256)
 
-def _ranked(rules: Sequence[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    """One verdict for each expression: of equal rules the blocking one holds."""
-    best: dict[tuple[str, str], str] = {}
-    for verdict, host, path in rules:
-        if verdict not in ("allow", "block"):
-            raise ValueError(f"verdict {verdict!r}")
-        key = (host.lower(), path)
-        best[key] = "block" if "block" in (verdict, best.get(key)) else "allow"
-    return sorted((v, h, p) for (h, p), v in best.items())
 
+def _ranked(rules: DataFrame) -> DataFrame:
+    """digest, rule, verdict, n, h of each expression: of equal rules the blocking one holds."""
+    held = rules.select("verdict", F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
+    wrong = F.coalesce(F.col("verdict").isin("allow", "block"), F.lit(False))
+    held = held.withColumn("verdict", F.when(wrong, F.col("verdict")).otherwise(F.raise_error(F.concat(F.lit("verdict "), F.coalesce("verdict", F.lit("null"))))))
+    one = held.where("host <> ''").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # allow < block
+    rule = F.concat("host", "path")
+    return one.select("host", "path", _sha(rule).alias("digest"), rule.alias("rule"), "verdict", F.length(rule).alias("n"), F.length("host").alias("h"))
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = BASE_RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = BASE_RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages.
 
-    Longest: by the characters of host and path together, then of the host. A url that no rule
-    fits gets a null rule and `default`; so does a null url or one without '://', with empty
-    host and path. Null ids stay null, repeated rows give repeated results, an empty table gives
-    none, and other columns of pages are not read.
+    rules: (verdict, host, path) tuples, or a table with these columns; rules without a host are
+    left out, and a verdict other than allow or block is an error. Longest: by the characters of
+    host and path together, then of the host. A url that no rule fits gets a null rule and
+    `default`; so does a null url or one without '://', with empty host and path. Null ids stay
+    null, repeated rows give repeated results, an empty table gives none, and other columns of
+    pages are not read.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
-    out = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    kept = _ranked(rules)
-    shapes = sorted({(len(h.split(".")), len(p)) for _, h, p in kept})
-    for i, (labels, chars) in enumerate(shapes):
-        rows: dict[str, list] = {}
-        for verdict, h, p in kept:
-            if (len(h.split(".")), len(p)) == (labels, chars):
-                digest = hashlib.sha256((h + p).encode()).hexdigest()
-                rows.setdefault(digest[:_PREFIX], []).append((digest, h + p, verdict, len(h + p), len(h)))
-        names = ("digest", "rule", "verdict", "n", "h")
-        given = F.lit(json.dumps([{"k": k, "hits": [dict(zip(names, hit, strict=True)) for hit in hits]} for k, hits in rows.items()]))
-        one = F.explode(F.from_json(given, "array<struct<k:string,hits:array<struct<digest:string,rule:string,verdict:string,n:int,h:int>>>>"))
-        table = spark.range(1).select(one.alias("_one")).select(F.col("_one")["k"].alias(f"_key{i}"), F.col("_one")["hits"].alias(f"_hits{i}"))
-        if len(kept) <= BROADCAST_RULES:
-            table = F.broadcast(table)
-        fits = (F.size(F.split("host", r"\.")) >= labels) & (F.length("path") >= chars)
-        expression = F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, chars))
-        digest = F.when(fits, F.sha2(expression.cast("binary"), 256))
-        out = out.withColumn(f"_digest{i}", digest)
-        out = out.join(table, F.substring(f"_digest{i}", 1, _PREFIX) == F.col(f"_key{i}"), "left")
-        own = F.col(f"_digest{i}")
-        whole = F.filter(f"_hits{i}", lambda x: x["digest"] == own)
-        out = out.withColumn(f"_rule{i}", F.when(F.size(whole) > 0, whole[0])).drop(f"_digest{i}", f"_key{i}", f"_hits{i}")
-    best = F.lit(None).cast("struct<n:int,h:int,rule:string,verdict:string>")
-    for i in range(len(shapes)):
-        r = F.col(f"_rule{i}")
-        this = F.when(r.isNotNull(), F.struct(r["n"].alias("n"), r["h"].alias("h"), r["rule"].alias("rule"), r["verdict"].alias("verdict")))
-        best = this if i == 0 else F.greatest(best, this)
-    return out.withColumn("_best", best).select("page_id", "host", "path", F.col("_best")["rule"].alias("rule"), F.coalesce(F.col("_best")["verdict"], F.lit(default)).alias("verdict"))
+    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    given = rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
+    ranked = _ranked(given)
+    count, labels = given.agg(F.count("*"), F.max(F.size(F.split("host", r"\.")))).first()
+    sent = F.broadcast if count <= BROADCAST_RULES else (lambda df: df)
+
+    # suffixes of the host that have rules, with the lengths of these rules' paths
+    hosts = ranked.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
+    hosts = hosts.select(F.substring(_sha(F.col("host")), 1, _PREFIX).alias("_hkey"), "lengths")
+    parts = F.split("host", r"\.")
+    own = urls.where("host <> ''").select("host", "path", parts.alias("_parts"), F.explode(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels or 1)))).alias("_k"))
+    own = own.select("host", "path", F.array_join(F.slice("_parts", -F.col("_k"), F.col("_k")), ".").alias("_suffix"))
+    own = own.withColumn("_hkey", F.substring(_sha(F.col("_suffix")), 1, _PREFIX)).join(sent(hosts), "_hkey")
+
+    # of these, prefixes of the path
+    own = own.select("host", "path", "_suffix", F.explode("lengths").alias("_n")).where(F.col("_n") <= F.length("path"))
+    own = own.select("host", "path", _sha(F.concat("_suffix", F.expr("substring(path, 1, _n)"))).alias("_digest"))
+    keyed = ranked.select(F.substring("digest", 1, _PREFIX).alias("_key"), "digest", "rule", "verdict", "n", "h")
+    hits = own.withColumn("_key", F.substring("_digest", 1, _PREFIX)).join(sent(keyed), "_key").where(F.col("_digest") == F.col("digest"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct("n", "h")).alias("_best"))
+    out = urls.join(best, ["host", "path"], "left")
+    return out.select("page_id", "host", "path", F.col("_best")["rule"].alias("rule"), F.coalesce(F.col("_best")["verdict"], F.lit(default)).alias("verdict"))
 
 
 ORACLE = r"""

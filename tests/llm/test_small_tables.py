@@ -87,3 +87,34 @@ def test_masking_keeps_rows_and_columns(spark, tables):
     assert got.columns == docs.columns
     texts = {r.doc_id: r.text for r in got.collect()}
     assert texts[9] == 'token = "[SECRET]" and order 9807915762804490' and texts[3] is None and texts[5] == LONG
+
+
+def test_many_rules_against_brute_force(spark):
+    """5,000 rules of many shapes, as tuples broadcast and as a table joined by shuffles."""
+    import random
+
+    rng = random.Random(3)
+    names = ["a", "bb", "example", "news", "shop", "x1"]
+    host = lambda: ".".join([*(rng.choice(names) for _ in range(rng.randrange(3))), rng.choice(names) + str(rng.randrange(40)), rng.choice(("org", "com"))])
+    path = lambda n: "".join("/" + rng.choice(names) for _ in range(rng.randrange(n)))
+    rules = [(rng.choice(("allow", "block")), host(), (path(5) + "/" * 3)[: rng.randrange(40)]) for _ in range(5000)]
+    urls = [(k, f"http://{host()}{path(9)}/") for k in range(400)] + [(500, "http://" + "deep." * 3000 + "a1.org/shop")]
+    best = {}
+    for v, h, p in rules:
+        best[h, p] = max(v, best.get((h, p), ""))
+    want = {}
+    for i, u in urls:
+        h, _, p = u[7:].partition("/")
+        fits = [(len(rh) + len(rp), len(rh), rh + rp, v) for (rh, rp), v in best.items() if (h == rh or h.endswith("." + rh)) and ("/" + p).startswith(rp)]
+        want[i] = max(fits)[2:] if fits else (None, "allow")
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == want and sum(r is not None for r, _ in want.values()) > 50
+    before, url_filter.BROADCAST_RULES = url_filter.BROADCAST_RULES, 10
+    try:
+        table = spark.createDataFrame([(*r, k) for k, r in enumerate(rules)], "verdict string, host string, path string, page_id int")
+        assert {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, table).collect()} == want
+    finally:
+        url_filter.BROADCAST_RULES = before
+    with pytest.raises(Exception, match="verdict maybe"):
+        url_filter.filter_urls(pages, [("maybe", "a.org", "/")]).collect()
