@@ -1,27 +1,38 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are joined on shared seeds (runs of words). For each candidate
-pair the longest common runs of unmarked words are marked again and again, found by running
-Karp-Rabin hashes of falling window lengths; a tile marks its words on both sides, so no word
-counts twice and passages may stand in another order. A document is contaminated by an item
-of which the tiles cover a sufficient share.
+Documents and benchmark items are joined on shared seeds (hashes of runs of words):
+
+1. An item's most frequent seeds are left out as long as the words in them are too few for the
+   coverage asked for. Whoever covers the item has one of its other seeds, so nothing is lost,
+   and seeds that many items share (a template) are seldom joined on.
+2. A bit array of these seeds, of a bounded size, tells in one scan which documents may hold any.
+   Such a document's seeds, as rows, meet the items' in an equi-join.
+3. For each candidate pair the longest common runs of unmarked words are marked again and again,
+   found by running Karp-Rabin hashes of falling window lengths; a tile marks its words on both
+   sides, so no word counts twice and passages may stand in another order. A document is
+   contaminated by an item of which the tiles cover a sufficient share.
 """
 
 from __future__ import annotations
 
 import re
-from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mix64
+from .common import mapped, mix64, saved
 
 MIN_MATCH = 5
 COVERAGE = 0.8
-#: An index of at most so many bytes of benchmark text is sent to the executors at once; larger benchmarks go in blocks.
-BLOCK_BYTES = 16 << 20
+#: Bits for each seed of the benchmark in the array that documents are held against, and the most bits of all (32 MB).
+SEED_BITS, MOST_BITS = 24, 1 << 28
+#: Up to so many seeds (24 MB) the benchmark's are broadcast; beyond it the join shuffles.
+BROADCAST_SEEDS = 1_000_000
+#: Parts in which the items that meet a document are tiled.
+PARTS = 64
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,115 +108,211 @@ def _matches(text, pattern, free_t, free_p, size) -> list[tuple[int, int, int]]:
     return out
 
 
-class Item(NamedTuple):
-    item_id: int | None
-    ids: np.ndarray
+class Seeds:
+    """Texts to seed hashes; remembers at most `most` word hashes."""
+
+    def __init__(self, least: int = MIN_MATCH, most: int = 300_000):
+        self.least, self.most, self.known = least, most, {}
+
+    def values(self, tokens: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        for t in set(tokens).difference(known):
+            known[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+
+    def of(self, values: np.ndarray, size: int) -> np.ndarray:
+        return windows(values, size) ^ mix64(np.uint64(size))
+
+
+class Bits:
+    """A bit array of seeds: three bits of a hash for each."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
+
+    @staticmethod
+    def places(seeds: np.ndarray, mask: np.uint64) -> list[np.ndarray]:
+        other = mix64(seeds)
+        return [x & mask for x in (seeds, other, (seeds >> np.uint64(32)) ^ (other >> np.uint64(32)))]
+
+    def hold(self, seeds: np.ndarray) -> np.ndarray:
+        found = np.ones(len(seeds), dtype=bool)
+        for at in self.places(seeds, self.mask):
+            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+
+def rare(seeds: list[tuple[int, int, int]], n_words: int, size: int, coverage: float) -> list[int]:
+    """Of an item's seeds (how often among all items, place, hash) those to join on: the most frequent are left out while their words are under `coverage`."""
+    inside, left = np.zeros(n_words, dtype=bool), sorted(seeds, reverse=True)
+    for k, (_, at, _) in enumerate(left):
+        inside[at : at + size] = True
+        if inside.sum() >= coverage * n_words:
+            return sorted({h for _, _, h in left[k:]})
+    return []
+
+
+def cover(tokens: list[str], item: list[str], least: int, coverage: float) -> tuple[int, int] | None:
+    """(words of the item covered, tiles) if they reach `coverage`."""
+    size = min(least, len(item))
+    known: dict[str, int] = {}
+    own = np.array([known.setdefault(w, len(known)) for w in item], dtype=np.int64)
+    ids = np.fromiter((known.get(w, -1) for w in tokens), dtype=np.int64, count=len(tokens))
+    if not size or len(ids) < size:
+        return None
+    # only words within seeds can lie in a tile; the rest is cut away
+    hit = np.flatnonzero(np.isin(windows(ids, size), windows(own, size)))
+    edge = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + size, -1)
+    cut = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (ids >= 0))
+    if not len(cut) or len(cut) < coverage * len(item):
+        return None
+    kept = np.insert(ids[cut], np.flatnonzero(np.diff(cut) > 1) + 1, -1)
+    tiles = tile(kept, own, size)
+    covered = sum(n for _, _, n in tiles)
+    return (covered, len(tiles)) if covered and covered >= coverage * len(item) else None
 
 
 class Index:
-    """Seeds of a block of benchmark items: for each seed length sorted hashes and their items."""
-
-    def __init__(self, rows: list[tuple[int | None, str | None]], least: int = MIN_MATCH):
-        self.least, self.vocabulary = least, {}
-        self.items = [Item(i, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t)], dtype=np.int64)) for i, t in rows]
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {min(least, len(i.ids)) for i in self.items} - {0}:
-            pairs = [(h, k) for k, i in enumerate(self.items) if min(least, len(i.ids)) == size for h in set(windows(i.ids, size).tolist())]
-            pairs.sort()
-            self.seeds[size] = (np.array([h for h, _ in pairs], dtype=np.uint64), np.array([k for _, k in pairs], dtype=np.int64))
-
-    def matches(self, text: str | None, coverage: float) -> list[tuple[int | None, int, int, int]]:
-        """(item_id, words of the item, words covered, tiles) of each item covered enough."""
-        get = self.vocabulary.get
-        tokens = words(text)
-        ids = np.fromiter((get(w, -1) for w in tokens), dtype=np.int64, count=len(tokens))
-        out = []
-        for size, (hashes, owners) in self.seeds.items():
-            if len(ids) < size:
-                continue
-            bad = np.concatenate([[0], np.cumsum(ids < 0)])
-            clear = np.flatnonzero(bad[size:] == bad[:-size])
-            if not len(clear):
-                continue
-            own = windows(ids, size)[clear]
-            low = np.searchsorted(hashes, own)
-            hit = hashes[np.minimum(low, len(hashes) - 1)] == own
-            if not hit.any():
-                continue
-            where: dict[int, list[int]] = {}
-            for at, h in zip(clear[hit].tolist(), own[hit], strict=True):
-                for k in owners[np.searchsorted(hashes, h) : np.searchsorted(hashes, h, "right")].tolist():
-                    where.setdefault(k, []).append(at)
-            for k, places in where.items():
-                item = self.items[k]
-                # only words within seeds can lie in a tile; the rest is cut away
-                near = np.zeros(len(ids) + 1, dtype=bool)
-                for at in places:
-                    near[at : at + size] = True
-                # an upper bound on what tiles can cover: the item's words that lie in its seeds found here
-                if coverage and near.sum() < coverage * len(item.ids):
-                    continue
-                cut = np.flatnonzero(near)
-                breaks = np.flatnonzero(np.diff(cut) > 1) + 1
-                kept = np.insert(ids[cut], breaks, -1)
-                tiles = tile(kept, item.ids, size)
-                covered = sum(n for _, _, n in tiles)
-                if covered and covered >= coverage * len(item.ids):
-                    out.append((item.item_id, len(item.ids), covered, len(tiles)))
-        return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The benchmark as Indexes of a bounded size each; it is the stated query set, met by all documents."""
-    given = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).distinct()
-    size = int(given.agg(F.sum(F.octet_length("t"))).first()[0] or 0)
-    n = -(-size // BLOCK_BYTES) or 1
-    for k in range(n):
-        part = given if n == 1 else given.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield Index(sorted(((r.i, r.t) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+    """The benchmark's items and the seeds to join on, as tables; bits and seed lengths as values."""
 
+    def __init__(self, benchmark: DataFrame, id_col: str, text_col: str, coverage: float, least: int = MIN_MATCH):
+        given = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("item_text")).distinct()
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each document row and benchmark item that it covers by `coverage` or more.
+        def seeds():
+            of = Seeds(least)
 
-    Items of fewer than five words count only as a whole; items without words, and null or empty
-    texts, match nothing. Null ids stay null, repeated documents give repeated rows, repeated
-    benchmark rows count once. Empty tables give no rows; other columns are not read.
-    """
-    out = None
-    schema = "doc_id long, item_id long, n_item_words int, n_covered int, n_tiles int, coverage double, contaminated boolean"
-    for index in blocks(benchmark, item_col, item_text_col):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+            def work(columns):
+                out = {"item_id": columns[0], "item_text": columns[1], "n": [], "size": [], "seeds": []}
+                for text in columns[1]:
+                    tokens = words(text)
+                    size = min(least, len(tokens))
+                    out["n"].append(len(tokens))
+                    out["size"].append(size)
+                    out["seeds"].append(of.of(of.values(tokens), size).view(np.int64) if size else [])
+                return out
 
-        def make(shared=shared):
-            own = shared.value
+            return work
+
+        items = mapped(given, ["item_id", "item_text"], "item_id long, item_text string, n int, size int, seeds array<long>", seeds)
+        self.items = saved(items.where("n > 0").withColumn("item", F.monotonically_increasing_id()))
+        one = self.items.select("item", "n", "size", F.posexplode("seeds").alias("at", "seed"))
+        often = one.groupBy("seed").agg(F.count("*").alias("often"))
+        held = one.join(often, "seed").groupBy("item").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.collect_list(F.struct("often", "at", "seed")).alias("held"))
 
+        def choose():
             def work(columns):
-                rows = [(i, *m) for i, t in zip(*columns, strict=True) for m in own.matches(t, coverage)]
-                names = ("doc_id", "item_id", "n_item_words", "n_covered", "n_tiles")
-                return {n: [r[k] for r in rows] for k, n in enumerate(names)} | {"coverage": [r[3] / r[2] for r in rows], "contaminated": [True] * len(rows)}
+                item, n, size, held = columns
+                return {"item": item, "seeds": [rare([(h["often"], h["at"], h["seed"]) for h in x], a, b, coverage) for x, a, b in zip(held, n, size, strict=True)]}
 
             return work
 
-        part = mapped(df, [id_col, text_col], schema, make)
-        out = part if out is None else out.unionByName(part)
-    return out
+        chosen = mapped(held, ["item", "n", "size", "held"], "item long, seeds array<long>", choose, rows=32)
+        self.seeds = saved(chosen.select("item", F.explode("seeds").alias("seed")))
+        self.least, self.coverage = least, coverage
+        self.count = self.seeds.count()
+        self.sizes = sorted(r[0] for r in self.items.select("size").distinct().collect())
+        self.bits = self._bits()
+
+    def _bits(self) -> Bits:
+        """Set over the seeds' rows, gathered as the words of the array; it is bounded however large the benchmark is."""
+        bits = 1 << 16
+        while bits < min(SEED_BITS * self.count, MOST_BITS):
+            bits *= 2
+        mask = np.uint64(bits - 1)
+
+        def place():
+            def work(columns):
+                at = np.concatenate(Bits.places(np.array(columns[0], dtype=np.int64).view(np.uint64), mask))
+                return {"slot": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)}
+
+            return work
+
+        found = mapped(self.seeds, ["seed"], "slot long, bit long", place, rows=8192).groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow()
+        out = np.zeros(bits // 64, dtype=np.uint64)
+        out[found.column("slot").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+        return Bits(out)
+
+
+_SEEDS, _ROW = "__graphloom_seeds", "__graphloom_row"
+
+
+def _suspects(df: DataFrame, index: Index, text_col: str, wanted: bool) -> DataFrame:
+    """The rows of df whose texts may hold a seed of the benchmark, with these seeds; or, not wanted, the other rows of df."""
+    from pyspark.sql import types as T
+
+    shared = df.sparkSession.sparkContext.broadcast(index.bits.words)
+    sizes, least, column = index.sizes, index.least, df.schema.fieldNames().index(text_col)
+
+    def run(batches):
+        bits, of = Bits(shared.value), Seeds(least)
+        for batch in batches:
+            found = []
+            for text in batch.column(column):
+                values = of.values(words(text.as_py()))
+                seeds = np.concatenate([of.of(values, size) for size in sizes]) if sizes else values[:0]
+                found.append(np.unique(seeds[bits.hold(seeds)]).view(np.int64))
+            mask = pa.array([bool(len(x)) == wanted for x in found], type=pa.bool_())
+            out = batch.filter(mask)
+            yield out.append_column(_SEEDS, pa.array([x for x in found if len(x)], type=pa.list_(pa.int64()))) if wanted else out
+
+    schema = T.StructType([*df.schema.fields, T.StructField(_SEEDS, T.ArrayType(T.LongType()))]) if wanted else df.schema
+    return df.mapInArrow(run, schema)
+
+
+def _tiled(suspects: DataFrame, index: Index, columns: list[str], text_col: str) -> DataFrame:
+    """columns of suspects (with _ROW) and item_id, n_item_words, n_covered, n_tiles for each item that they cover."""
+    seeds = F.broadcast(index.seeds) if index.count <= BROADCAST_SEEDS else index.seeds
+    pairs = suspects.select(_ROW, F.explode(_SEEDS).alias("seed")).join(seeds, "seed").select(_ROW, "item").distinct()
+    met = pairs.join(index.items.select("item", "item_id", "item_text"), "item")
+    met = met.groupBy(_ROW, F.pmod("item", F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    least, coverage = index.least, index.coverage
+    kinds = ", ".join(f"`{c}` {suspects.schema[c].dataType.simpleString()}" for c in columns)
+
+    def tiles():
+        def work(given):
+            *kept, texts, items = given
+            out: list[tuple] = []
+            for k, (text, own) in enumerate(zip(texts, items, strict=True)):
+                tokens = words(text)
+                for item in own:
+                    other = words(item["item_text"])
+                    if got := cover(tokens, other, least, coverage):
+                        out.append((*(c[k] for c in kept), item["item_id"], len(other), *got))
+            names = [*columns, "item_id", "n_item_words", "n_covered", "n_tiles"]
+            return {n: [r[i] for r in out] for i, n in enumerate(names)}
+
+        return work
+
+    # rows of a document follow one another in the join's sorted partitions
+    rows = met.join(suspects.select(*dict.fromkeys([_ROW, *columns, text_col])), _ROW)
+    return mapped(rows, [*columns, text_col, "items"], f"{kinds}, item_id long, n_item_words int, n_covered int, n_tiles int", tiles, rows=64)
+
+
+def find_leaks(df: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row for each document row and benchmark item that it covers by `coverage` or more.
+
+    Items of fewer than five words count only as a whole; items without words, and null or empty
+    texts, match nothing. Null ids stay null, repeated documents give repeated rows, repeated
+    benchmark rows count once. Empty tables give no rows; other columns are not read.
+    """
+    index = Index(benchmark, item_col, item_text_col, coverage)
+    src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    suspects = saved(_suspects(src, index, "_text", True).withColumn(_ROW, F.monotonically_increasing_id()))
+    found = _tiled(suspects, index, ["doc_id"], "_text")
+    return found.select("doc_id", "item_id", "n_item_words", "n_covered", "n_tiles", (F.col("n_covered") / F.col("n_item_words")).alias("coverage"), F.lit(True).alias("contaminated"))
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, that no benchmark item contaminates."""
-    i = df.schema.fieldNames().index(text_col)
-    for index in blocks(benchmark, item_col, item_text_col):
-        shared = df.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            import pyarrow as pa
-
-            own = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    yield part.filter(pa.array([not own.matches(t, coverage) for t in part.column(i).to_pylist()], type=pa.bool_()))
-
-        df = df.mapInArrow(run, df.schema)
-    return df
+    """The rows of df, all columns, that no benchmark item contaminates.
+
+    Rows without any seed pass straight; only the others are written, joined and tiled.
+    """
+    index = Index(benchmark, item_col, item_text_col, coverage)
+    suspects = saved(_suspects(df, index, text_col, True).withColumn(_ROW, F.monotonically_increasing_id()))
+    leaks = _tiled(suspects, index, [_ROW], text_col).select(_ROW).distinct()
+    clean = suspects.join(leaks, _ROW, "left_anti").drop(_ROW, _SEEDS)
+    return _suspects(df, index, text_col, False).unionByName(clean)
