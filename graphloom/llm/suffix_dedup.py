@@ -2,28 +2,33 @@
 
 A byte is removed if a span of 100 bytes that covers it also starts earlier (smaller id, or
 same document and earlier start). Every such span holds at least one anchor, a local minimum
-among the hashes of its short windows, so equal spans share anchors at equal places:
-
-1. Each batch of documents lists its anchors with a hash of all bytes that spans through the
-   anchor can reach. Anchors that agree in that reach with an earlier one need nothing more:
-   their whole reach is covered. First ones go to buckets by anchor.
-2. A bucket settles agreement across batches the same way. A span through an anchor holds one of
-   three ranges of bytes about it whole; anchors that share such a range with an anchor of
-   another reach (the ends of repeats) are asked for with their bytes.
-3. Over those bytes, a stack scan of the suffix array's common-prefix intervals gives the
-   maximal repeats (those whose left neighbours differ) with all occurrences; all but the
-   first are covered. Anchors with very many differing reaches go by hashes of their spans
-   instead, reduced within each batch and then by bucket, so no group is gathered whole.
+among the hashes of its short windows, so equal spans hold an anchor at the same place, and
+only spans at one place about equal anchors have to be compared:
+
+1. The starts of the spans through an anchor go in three runs (RUNS). All spans of a run share
+   a core of 75 bytes and lie within a context of 125; a core's hash is the run's key. Runs
+   whose contexts agree (both hashes, of two bases) are one class: all but its first are covered.
+   This is settled within each batch first, which sends on at most two contexts of a key, and
+   then by buckets of keys.
+2. Keys with several contexts ask for the bytes. Suffixes that could agree have a key in common,
+   so keys are what the suffix array is split by: a key with too many contexts is halved, again
+   and again, into keys of longer cores and shorter contexts, after equal contexts have become
+   one by an aggregate over their bytes. A run of one span ends there, so this always ends.
+3. Over the bytes of each key, a stack scan of the suffix array's common-prefix intervals gives
+   the maximal repeats (those whose left neighbours differ) with all occurrences; all but the
+   first are covered.
 4. Covered spans meet their texts by document.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,301 +36,346 @@ from .common import mix64, saved
 
 SPAN, ANCHOR = 100, 24
 REACH = SPAN - ANCHOR
-#: Text bytes whose anchors share a bucket.
-BUCKET_BYTES = 32 << 20
-#: Anchors with more differing reaches than this go by span hashes.
-MOST_REACHES = 8192
-#: (bytes before the anchor, bytes from its start): of the spans that start at least so far before it
-#: and not before the last range's, each holds the range whole.
-RANGES = ((51, 24), (26, 50), (0, 75))
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: First and last start, from the anchor, of each run of spans through it.
+RUNS = ((-76, -51), (-50, -26), (-25, 0))
+#: Text bytes whose keys share a bucket, and bytes of contexts that share a pack.
+BUCKET_BYTES, PACK_BYTES = 4 << 20, 4 << 20
+#: Contexts of a key beyond which it is halved.
+MOST_CONTEXTS = 4096
+_BASES = (0xD1342543DE82EF95, 0x9E6C63D0876A9A35)
 _LETTER = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _NULL_ID = -(1 << 63)
-_CHUNK = 1 << 18
-#: Rows of a batch whose anchors are held at once, and bytes of one suffix array (more if one anchor has them).
-_ROWS, _CONTEXT_BYTES = 4096, 1 << 19
+#: Text bytes whose anchors are sought at once, and whose keys are settled at once.
+_CHUNK, _BATCH_BYTES = 1 << 18, 4 << 20
+#: Bytes of one suffix array (more if one key has them), occurrences listed at once, bytes of a batch of rows.
+_ARRAY_BYTES, _OCCURRENCES, _ROW_BYTES = 1 << 18, 1 << 18, 1 << 20
+#: Runs of one row (some 120 KB), so that no row is a large object to the JVM.
+_PACKED = 4096
 
 
 class Powers:
     """base**k and base**-k modulo 2**64, as far as they were asked for."""
 
-    def __init__(self):
+    def __init__(self, base: int):
+        self.base = base
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
             with np.errstate(over="ignore"):
-                for name, base in (("up", _BASE), ("down", _INVERSE)):
+                for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                     out = np.full(size, base, dtype=np.uint64)
                     out[0] = 1
                     setattr(self, name, np.multiply.accumulate(out))
         return self.up[:n], self.down[:n]
 
 
-def anchors(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, ...]:
-    """(text number, place, anchor hash, reach hash, range hashes) of all anchors of texts of SPAN bytes or more.
+def _spread(x: np.ndarray, pick) -> np.ndarray:
+    """pick (np.minimum, np.maximum) over each REACH + 1 neighbours of x."""
+    width = 1
+    while 2 * width <= REACH + 1:
+        x = pick(x[:-width], x[width:])
+        width *= 2
+    rest = REACH + 1 - width
+    return pick(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def pieces(texts: Iterator[bytes]) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(text number, first byte, bounds of the bytes whose anchors count, bytes) of texts in pieces of _CHUNK and a margin."""
+    for k, t in enumerate(texts):
+        for at in range(0, max(1, len(t)), _CHUNK):
+            low, high = max(0, at - SPAN), min(len(t), at + _CHUNK + SPAN)
+            yield k, low, at - low, min(at + _CHUNK, len(t)) - low, t[low:high]
+
 
-    A range that would leave its text has hash 0: no span holds it.
+def runs(parts: list[tuple[int, int, int, int, bytes]], powers: list[Powers]) -> tuple[np.ndarray, ...]:
+    """(text number, first start, starts left out before it, number of starts, core hash, context hash) of all anchors' runs.
+
+    Runs follow one another by RUNS, then by text and place. Starts of spans that would leave
+    the text are left out, and so are runs without any.
     """
-    size = np.array([len(t) for t in texts], dtype=np.int64)
-    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    size = np.array([len(p[4]) for p in parts], dtype=np.int64)
+    raw = np.frombuffer(b"".join(p[4] for p in parts), dtype=np.uint8)
     n = len(raw)
     if n < SPAN:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), np.zeros((0, len(RANGES)), np.uint32)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     end = np.cumsum(size)
     letter = _LETTER[raw]
     with np.errstate(over="ignore"):
-        part, width, base = letter, 1, _BASE
+        part, width, base = letter, 1, _BASES[0]
         held = {1: part}
         while width < 16:
             part = part[:-width] * np.uint64(base) + part[width:]
             width, base = 2 * width, base * base % (1 << 64)
             held[width] = part
-        h = held[16][: n - ANCHOR + 1] * np.uint64(pow(_BASE, 8, 1 << 64)) + held[8][16 : 16 + n - ANCHOR + 1]
+        h = held[16][: n - ANCHOR + 1] * np.uint64(pow(_BASES[0], 8, 1 << 64)) + held[8][16 : 16 + n - ANCHOR + 1]
+        del held, part
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
     # least hash of each span, over the REACH + 1 windows within it; 0 where a span would leave its text
-    low, width = h, 1
-    while 2 * width <= REACH + 1:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    rest = REACH + 1 - width
-    low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+    low = _spread(h, np.minimum)
     inside = np.ones(len(low) + SPAN, dtype=bool)
     for e in end.tolist():
         inside[max(0, e - SPAN + 1) : e] = False
     low = np.where(inside[: len(low)], low, 0)
     # a window is an anchor if it is the least of any span through it
-    high, width = np.concatenate([np.zeros(REACH, dtype=np.uint64), low, np.zeros(REACH, dtype=np.uint64)]), 1
-    while 2 * width <= REACH + 1:
-        high = np.maximum(high[:-width], high[width:])
-        width *= 2
-    rest = REACH + 1 - width
-    high = np.maximum(high[: len(high) - rest], high[rest:]) if rest else high
-    at = np.flatnonzero(high == h)
-    text = np.searchsorted(end, at, side="right")
+    edge = np.zeros(REACH, dtype=np.uint64)
+    at = np.flatnonzero(_spread(np.concatenate([edge, low, edge]), np.maximum) == h)
+    part = np.searchsorted(end, at, side="right")
     begin = end - size
-    left = np.maximum(at - REACH, begin[text])
-    right = np.minimum(at + SPAN, end[text])
-    up, down = powers.to(n + 1)
+    counts = np.array([p[2:4] for p in parts], dtype=np.int64)[part]
+    at, part = (x[(at - begin[part] >= counts[:, 0]) & (at - begin[part] < counts[:, 1])] for x in (at, part))
+    text, shift = np.array([p[0] for p in parts], dtype=np.int64)[part], np.array([p[1] for p in parts], dtype=np.int64)[part] - begin[part]
+    powered = [p.to(n + 1) for p in powers]
     with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(letter * up[:n], dtype=np.uint64)])
-        reach = (total[right] - total[left]) * down[left]
-        reach = mix64(reach ^ mix64((at - left).astype(np.uint64) * np.uint64(256) + (right - at).astype(np.uint64)) ^ h[at])
-        shared = []
-        for before, after in RANGES:
-            whole = (at - before >= begin[text]) & (at + after <= end[text])
-            a, b = np.where(whole, at - before, 0), np.where(whole, at + after, 0)
-            shared.append(np.where(whole, (mix64((total[b] - total[a]) * down[a]) >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(np.uint32))
-    return text, at - begin[text], h[at], reach, np.stack(shared, axis=1)
-
-
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of the union of half-open spans."""
+        total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(letter * up[:n], dtype=np.uint64)]) for up, _ in powered]
+        out = []
+        for k, (a, b) in enumerate(RUNS):
+            first, last = np.maximum(at + a, begin[part]), np.minimum(at + b, end[part] - SPAN)
+            some = first <= last
+            x, y, place = first[some], last[some], at[some]
+            core = mix64((total[0][place + a + SPAN] - total[0][place + b]) * powered[0][1][place + b] + np.uint64(k + 1))
+            whole = mix64((total[1][y + SPAN] - total[1][x]) * powered[1][1][x] ^ mix64(((x - place - a) * 256 + y - x).astype(np.uint64)))
+            out.append((text[some], x + shift[some], x - place - a, y - x + 1, core, whole))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def merged(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of the union of half-open spans within each group (numbers from 0), by group and place."""
     if not len(start):
-        return start, end
-    order = np.argsort(start, kind="stable")
-    start, far = start[order], np.maximum.accumulate(end[order])
-    first = np.concatenate([[True], start[1:] > far[:-1]])
-    return start[first], far[np.concatenate([first[1:], [True]])]
-
-
-def _by_document(doc: np.ndarray, sub: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """(doc, sub, its values ...) for each document."""
-    if not len(doc):
-        return
-    order = np.lexsort((sub, doc))
-    doc, sub, values = doc[order], sub[order], [v[order] for v in values]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])]))
-    for a, b in zip(cut, [*cut[1:], len(doc)], strict=True):
-        yield int(doc[a]), int(sub[a]), *(v[a:b] for v in values)
-
-
-def _spans(doc, sub, start, end) -> list[tuple[int, int, bytes]]:
-    out = []
-    for d, s, a, b in _by_document(doc, sub, start, end):
-        a, b = merged(a, b)
-        out.append((d, s, np.stack([a, b]).astype("<i4").tobytes()))
+        return group, start, end
+    by = np.lexsort((start, group))
+    group, start = group[by], start[by]
+    far = int(end.max()) + 1  # groups lie one after another
+    reach = np.maximum.accumulate(end[by] + group * far)
+    first = np.concatenate([[True], start[1:] + group[1:] * far > reach[:-1]]) | np.concatenate([[True], group[1:] != group[:-1]])
+    last = np.concatenate([first[1:], [True]])
+    return group[first], start[first], reach[last] - group[last] * far
+
+
+#: A document's key and a run of it: hash of its core, first start, starts left out before it, number of starts.
+_RUN = np.dtype([("doc", "<i8"), ("sub", "<i4"), ("core", "<u8"), ("first", "<i4"), ("left_out", "u1"), ("count", "u1")])
+#: A document's key and a covered span of it.
+_SPAN = np.dtype([("doc", ">i8"), ("sub", ">i4"), ("start", ">i4"), ("end", ">i4")])
+#: Covered spans (kind 0) and asked runs (2) as records, by parts of the documents.
+_FOUND = "kind int, part int, data binary"
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _part(doc, sub, parts: int):
+    return ((doc ^ sub) % parts).astype(np.int32)
+
+
+def _by_part(kind: int, records: np.ndarray, parts: int) -> pa.Table:
+    """A row for each part with its records as bytes."""
+    part = _part(records["doc"].astype(np.int64), records["sub"].astype(np.int64), parts)
+    by = np.argsort(part, kind="stable")
+    part, records = part[by], records[by]
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    return pa.table({"kind": np.full(len(at), kind, dtype=np.int32), "part": part[at], "data": _binary(records.view("u1"), np.append(at, len(part)) * records.itemsize)})
+
+
+def _documents(doc: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each document, the number of its document for each row)."""
+    by = np.lexsort((sub, doc))
+    new = np.concatenate([[True], (doc[by][1:] != doc[by][:-1]) | (sub[by][1:] != sub[by][:-1])]) if len(by) else np.zeros(0, dtype=bool)
+    group = np.empty(len(by), dtype=np.int64)
+    group[by] = np.cumsum(new) - 1
+    return by[new], group
+
+
+def _spans(doc: np.ndarray, sub: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Merged spans as records, by document and place."""
+    one, group = _documents(doc, sub)
+    group, start, end = merged(group, start, end)
+    out = np.empty(len(start), dtype=_SPAN)
+    for name, x in zip(_SPAN.names, (doc[one][group], sub[one][group], start, end), strict=True):
+        out[name] = x
+    return out
+
+
+def _records(*columns) -> np.ndarray:
+    out = np.empty(len(columns[0]), dtype=_RUN)
+    for name, x in zip(_RUN.names, columns, strict=True):
+        out[name] = x
     return out
 
 
-_FOUND = "kind int, doc long, sub int, data binary"
+def _gathered(kind: np.dtype):
+    """A part's records to a row for each document, its spans merged."""
+
+    def run(table: pa.Table) -> pa.Table:
+        records = np.frombuffer(b"".join(x.as_py() for x in table.column("data")), kind)
+        if kind == _SPAN:
+            records = _spans(*(records[n].astype(np.int64) for n in _SPAN.names))
+        doc, sub = records["doc"].astype(np.int64), records["sub"].astype(np.int32)
+        by = np.lexsort((sub, doc))
+        doc, sub, records = doc[by], sub[by], records[by]
+        at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])]))
+        return pa.table({"doc": doc[at], "sub": sub[at], "data": _binary(records.view("u1"), np.append(at, len(doc)) * kind.itemsize)})
+
+    return run
+
 
+def _classes(core: np.ndarray, whole: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(runs by key and context, the first of each one's context, contexts so far, contexts of each one's key so sorted).
 
-def _table(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+    Runs of one context keep their order, or follow `order` (first key last) if given.
+    """
+    by = np.lexsort((*order, whole, core))
+    if not len(by):
+        return by, by, by, by
+    new_core = np.concatenate([[True], core[by][1:] != core[by][:-1]])
+    new = new_core | np.concatenate([[True], whole[by][1:] != whole[by][:-1]])
+    at = np.arange(len(by))
+    key = np.cumsum(new_core) - 1
+    nth = np.cumsum(new)  # contexts so far, and within the key:
+    nth = nth - nth[np.maximum.accumulate(np.where(new_core, at, 0))]
+    return by, np.maximum.accumulate(np.where(new, at, 0)), nth, np.bincount(key, weights=new).astype(np.int64)[key]
 
 
-def _list_anchors(buckets: int):
-    """Batches of (doc, sub, text) to rows (bucket, kind, doc, sub, data)."""
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+def _list_runs(buckets: int):
+    """Batches of (doc, sub, text) to rows (bucket, kind, part, data); there are as many parts as buckets."""
 
     def run(batches):
-        powers = Powers()
-        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
+        powers = [Powers(b) for b in _BASES]
+        for batch in batches:
             doc, sub = (batch.column(k).to_numpy() for k in (0, 1))
-            rank = np.lexsort((sub, doc))
-            parts, held, weight = [], [], 0
-
-            def flush(parts=parts, held=held):
-                if held:
-                    text, place, h, reach, shared = anchors([t for _, t in held], powers)
-                    rows = np.array([r for r, _ in held], dtype=np.int64)
-                    size = np.array([len(t) for _, t in held], dtype=np.int64)
-                    parts.append((rows[text], place, h, reach, np.minimum(place, REACH), np.minimum(REACH, size[text] - place - ANCHOR), shared))
-                    held.clear()
-
-            texts = batch.column(2)
-            for r in rank.tolist():
-                t = texts[r].as_py()
-                if t is not None and len(t) >= SPAN // 4:
-                    t = t.encode("utf-8")
-                    if len(t) >= SPAN:
-                        held.append((r, t))
-                        weight += len(t)
-                        if weight > _CHUNK:
-                            flush()
-                            weight = 0
-            flush()
-            if not parts:
-                continue
-            row, place, h, reach, left, right, shared = (np.concatenate(p) for p in zip(*parts, strict=True))
-            # parts follow the order of documents and places, and the sort is stable: the first of equals is the earliest
-            order = np.argsort(reach, kind="stable")
-            new = np.concatenate([[True], reach[order][1:] != reach[order][:-1]])
-            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-            again = order[~new & ~((doc[row[order]] == doc[row[lead]]) & (sub[row[order]] == sub[row[lead]]) & (place[order] == place[lead]))]
-            at = row[again]
-            rows = [(d % buckets, 0, d, s, data) for d, s, data in _spans(doc[at], sub[at], place[again] - left[again], place[again] + ANCHOR + right[again])]
-            first = np.sort(order[new])
-            bucket = (h[first] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in range(buckets):
-                own = first[by[cut[b] : cut[b + 1]]]
-                if len(own):
-                    rows.append((b, 1, None, None, _pack(doc[row[own]], sub[row[own]], h[own], reach[own], place[own], left[own], right[own], shared[own])))
-            yield _table(rows, ("bucket", "kind", "doc", "sub", "data"), kinds)
+            texts, rows, weight = batch.column(2), [], 0
+            for r in range(batch.num_rows):
+                rows.append(r)
+                weight += len(texts[r].as_buffer() or b"") if texts[r].is_valid else 0
+                if weight > _BATCH_BYTES or r + 1 == batch.num_rows:
+                    yield from _listed(doc, sub, texts, np.array(rows), powers, buckets).to_batches()
+                    rows, weight = [], 0
 
     return run
 
 
-def _pack(doc, sub, h, reach, place, left, right, shared) -> bytes:
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])])
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(doc)))
-    parts = (np.array([len(doc), len(at)], "<i8"), h.astype("<u8"), reach.astype("<u8"), place.astype("<i4"), left.astype("u1"), right.astype("u1"), shared.astype("<u4"), doc[at].astype("<i8"), sub[at].astype("<i4"), count.astype("<i4"))
+def _listed(doc, sub, texts, rows, powers, buckets) -> pa.Table:
+    rows = rows[np.lexsort((sub[rows], doc[rows]))]
+    found, held, weight = [], [], 0
+    # nothing of a text stays but its runs; they follow the order of documents and places
+    for part in pieces(texts[r].as_buffer().to_pybytes() if texts[r].is_valid else b"" for r in rows.tolist()):
+        held.append(part)
+        weight += len(part[4])
+        if weight > _CHUNK:
+            found.append(runs(held, powers))
+            held, weight = [], 0
+    found.append(runs(held, powers))
+    text, first, left_out, count, core, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+    doc, sub = doc[rows[text]], sub[rows[text]]
+    by, lead, nth, contexts = _classes(core, whole)
+    again, asked = _answers(by, lead, contexts, doc, sub, first)
+    out = [_by_part(0, _spans(doc[again], sub[again], first[again], first[again] + count[again] + SPAN - 1), buckets), _by_part(2, _records(doc, sub, core, first, left_out, count)[asked], buckets)]
+    out = [t.add_column(0, "bucket", t.column("part")) for t in out]
+    # two contexts are enough to tell other batches that a key has several; these are asked for already
+    left_out = left_out + _ASKED * (np.bincount(asked, minlength=len(core)) if len(core) else 0)
+    sent = np.sort(by[(lead == np.arange(len(by))) & (nth < 2)])
+    bucket = (core[sent] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    sent, bucket = sent[order], bucket[order]
+    place = np.arange(len(sent)) - np.searchsorted(bucket, bucket)
+    cut = np.flatnonzero(place % _PACKED == 0)
+    packs = [_pack(doc[own], sub[own], core[own], whole[own], first[own], left_out[own], count[own]) for own in np.split(sent, cut[1:]) if len(own)]
+    out.append(pa.table({"bucket": pa.array(bucket[cut], pa.int32()), "kind": np.ones(len(cut), dtype=np.int32), "part": pa.nulls(len(cut), pa.int32()), "data": pa.array(packs, pa.binary())}))
+    return pa.concat_tables(out).combine_chunks()
+
+
+def _answers(by, lead, contexts, doc, sub, first) -> tuple[np.ndarray, np.ndarray]:
+    """(runs that equal an earlier one, runs to ask for: the first of each context of a key with several)."""
+    ahead = by[lead]
+    again = by[~((doc[by] == doc[ahead]) & (sub[by] == sub[ahead]) & (first[by] == first[ahead]))]
+    return again, by[(lead == np.arange(len(by))) & (contexts > 1)]
+
+
+#: Added to the starts left out of a run that is asked for already.
+_ASKED = 128
+
+
+def _pack(doc, sub, core, whole, first, left_out, count) -> bytes:
+    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])]))
+    times = np.diff(np.append(at, len(doc)))
+    parts = (np.array([len(doc), len(at)], "<i8"), core.astype("<u8"), whole.astype("<u8"), first.astype("<i4"), left_out.astype("u1"), count.astype("u1"), doc[at].astype("<i8"), sub[at].astype("<i4"), times.astype("<i4"))
     return b"".join(p.tobytes() for p in parts)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
+def _unpack(data: pa.Buffer) -> tuple[np.ndarray, ...]:
     n, docs = np.frombuffer(data, "<i8", 2).tolist()
     at, out = 16, []
-    for kind, k in (("<u8", n), ("<u8", n), ("<i4", n), ("u1", n), ("u1", n), ("<u4", n * len(RANGES)), ("<i8", docs), ("<i4", docs), ("<i4", docs)):
+    for kind, k in (("<u8", n), ("<u8", n), ("<i4", n), ("u1", n), ("u1", n), ("<i8", docs), ("<i4", docs), ("<i4", docs)):
         out.append(np.frombuffer(data, kind, k, at))
         at += out[-1].nbytes
-    h, reach, place, left, right, shared, doc, sub, count = out
-    return np.repeat(doc, count), np.repeat(sub, count), h, reach, place.astype(np.int64), left.astype(np.int64), right.astype(np.int64), shared.reshape(-1, len(RANGES))
+    core, whole, first, left_out, count, doc, sub, times = out
+    return np.repeat(doc, times), np.repeat(sub, times), core, whole, first, left_out, count
 
 
-def _settle(most: int):
-    """A bucket's rows: spans pass; anchors become spans (kind 0) or ask for bytes (1: suffix array, 2: span hashes)."""
+def _settle(parts: int):
+    """A bucket's rows: spans and asks pass; runs become spans or asks."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, packed = [], []
-        for kind, doc, sub, data in zip(*(table.column(n) for n in ("kind", "doc", "sub", "data")), strict=True):
-            if kind.as_py() == 0:
-                rows.append((0, doc.as_py(), sub.as_py(), data.as_py()))
-            else:
-                packed.append(_unpack(data.as_py()))
+        is_run = pc.equal(table.column("kind"), 1)
+        out = [table.filter(pc.invert(is_run)).select(["kind", "part", "data"])]
+        packed = [_unpack(x.as_buffer()) for x in table.column("data").filter(is_run)]
         if packed:
-            h = np.concatenate([p[2] for p in packed])
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
-            twice = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
-            del order, same
-            doc, sub, h, reach, place, left, right, shared = (np.concatenate([p[k] for p in packed])[twice] for k in range(8))
-            packed.clear()
-            order = np.lexsort((place, sub, doc, reach, h))
-            doc, sub, h, reach, place, left, right, shared = (x[order] for x in (doc, sub, h, reach, place, left, right, shared))
-            n = len(h)
-            if n:
-                new_h = np.concatenate([[True], h[1:] != h[:-1]])
-                new = new_h | np.concatenate([[True], reach[1:] != reach[:-1]])
-                lead = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-                again = ~new & ~((doc == doc[lead]) & (sub == sub[lead]) & (place == place[lead]))
-                rows += [(0, d, s, data) for d, s, data in _spans(doc[again], sub[again], (place - left)[again], (place + ANCHOR + right)[again])]
-                group = np.cumsum(new_h) - 1
-                some = np.flatnonzero(new)
-                meets = np.zeros(len(some), dtype=bool)
-                for k in range(len(RANGES)):
-                    by = np.lexsort((shared[some, k], group[some]))
-                    g, r = group[some][by], shared[some, k][by]
-                    same = (g[1:] == g[:-1]) & (r[1:] == r[:-1]) & (r[1:] > 0)
-                    meets[by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]] = True
-                some = some[meets]
-                asks = np.zeros(n, dtype=bool)
-                asks[some] = True
-                reaches = np.bincount(group, weights=asks)[group]
-                for kind, asked in ((1, asks & (reaches <= most)), (2, asks & (reaches > most))):
-                    for d, s, hs, ps in _by_document(doc[asked], sub[asked], h[asked], place[asked]):
-                        rows.append((kind, d, s, hs.astype("<u8").tobytes() + ps.astype("<i4").tobytes()))
-        return pa.Table.from_batches([_table(rows, ("kind", "doc", "sub", "data"), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))])
+            core = np.concatenate([p[2] for p in packed])
+            order = np.argsort(core, kind="stable")
+            same = core[order][1:] == core[order][:-1]
+            twice = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            del core, order, same
+            doc, sub, core, whole, first, left_out, count = (np.concatenate([p[k] for p in packed])[twice] for k in range(7))
+            del packed
+            first, left_out, count = (x.astype(np.int64) for x in (first, left_out, count))
+            by, lead, _, contexts = _classes(core, whole, first, sub, doc)
+            again, asked = _answers(by, lead, contexts, doc, sub, first)
+            asked = asked[left_out[asked] < _ASKED]
+            out += [_by_part(0, _spans(doc[again], sub[again], first[again], first[again] + count[again] + SPAN - 1), parts), _by_part(2, _records(doc, sub, core, first, left_out, count)[asked], parts)]
+        return pa.concat_tables(out)
 
     return run
 
 
 class SuffixArray:
-    """Suffixes of at least `least` bytes of some texts in order, and their maximal repeats.
+    """Suffixes of at least `least` bytes of some short texts in order, and their maximal repeats.
 
-    Suffixes are ranked by doubling prefix lengths; common prefixes of neighbours come from the
-    same ranks; a stack over them walks the tree of common-prefix intervals. An interval is kept
-    if the bytes before its suffixes differ (the start of a text differs from all).
+    Suffixes are sorted by their bytes, each held whole (a context has 125 bytes at most); common
+    prefixes of neighbours are counted on the same bytes; a stack over them walks the tree of
+    common-prefix intervals. An interval is kept if the bytes before its suffixes differ (the
+    start of a text differs from all).
 
     owner and place: text number and place of each suffix. length, low, high: of each maximal
     repeat its length and its first and last suffix; all suffixes between are its occurrences.
     """
 
-    _LANE = 7  # bytes, 9 bits each, in one word
-
     def __init__(self, texts: list[bytes], least: int):
         size = np.array([len(t) for t in texts], dtype=np.int64)
-        raw = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
-        n = len(raw)
-        begin = np.concatenate([[0], np.cumsum(size[:-1] + 1)])
-        left = np.repeat(begin + size, size + 1) - np.arange(n)  # bytes up to the text's end
-        code = np.zeros(n + self._LANE, dtype=np.uint64)
-        code[:n] = np.where(left > 0, raw.astype(np.uint64) + np.uint64(1), np.uint64(0))
-        word = np.zeros(n, dtype=np.uint64)
-        for k in range(self._LANE):
-            word = word << np.uint64(9) | code[k : n + k]
-        longest, width = int(size.max(initial=0)), self._LANE
-        ranks = [(width, np.unique(word, return_inverse=True)[1].astype(np.int32))]
-        while 2 * width < longest:
-            ranks.append((2 * width, np.unique(self._pairs(ranks[-1][1], width, n), return_inverse=True)[1].astype(np.int32)))
-            width *= 2
-        start = np.flatnonzero(left >= least)
-        suffix = start[np.argsort(self._pairs(ranks[-1][1], width, n)[start])]
-        self.owner = np.searchsorted(begin, suffix, side="right") - 1
-        self.place = suffix - begin[self.owner]
+        widest = int(size.max(initial=1))
+        raw = np.frombuffer(b"".join(texts) + bytes(widest), dtype=np.uint8)
+        begin = np.cumsum(size) - size
+        count = np.maximum(size - least + 1, 0)
+        owner = np.repeat(np.arange(len(texts)), count)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        left = size[owner] - place  # bytes up to the text's end
+        whole = np.lib.stride_tricks.sliding_window_view(raw, widest)[begin[owner] + place]
+        whole[np.arange(widest) >= left[:, None]] = 0
+        # a shorter suffix comes before one that goes on with zero bytes
+        order = np.argsort(left, kind="stable")
+        order = order[np.argsort(whole.view(f"S{widest}").ravel()[order], kind="stable")]
+        self.owner, self.place, whole, left = owner[order], place[order], whole[order], left[order]
+        suffix = begin[self.owner] + self.place
         none = np.zeros(0, dtype=np.int64)
         self.length = self.low = self.high = none
         if len(suffix) < 2:
             return
-        a, b = suffix[:-1], suffix[1:]
-        common = np.zeros(len(a), dtype=np.int64)
-        for step, rank in reversed(ranks):
-            for _ in range(1 + (step == width)):  # the widest may fit twice
-                x, y = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
-                common += step * (rank[x] == rank[y])
-        for _ in range(self._LANE - 1):
-            x, y = np.minimum(a + common, n), np.minimum(b + common, n)
-            common += (code[x] == code[y]) & (x < n) & (y < n)
-        common = np.minimum(common, np.minimum(left[a], left[b]))
+        differ = whole[1:] != whole[:-1]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), widest)
+        del whole, differ
+        common = np.minimum(common, np.minimum(left[1:], left[:-1]))
         before = np.where(self.place > 0, raw[suffix - 1].astype(np.int64), -1 - suffix)
         # differs[i]: how many neighbours up to i have differing bytes before them
         differs = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
@@ -346,22 +396,17 @@ class SuffixArray:
         if found:
             self.length, self.low, self.high = np.array(found, dtype=np.int64).T
 
-    @staticmethod
-    def _pairs(rank: np.ndarray, width: int, n: int) -> np.ndarray:
-        after = np.zeros(n, dtype=np.int64)
-        after[: max(0, n - width)] = rank[width:]
-        return rank * np.int64(int(rank.max(initial=0)) + 1) + after
-
-    def later(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(suffix, length) of every occurrence but the first, by `order`, of each maximal repeat."""
-        if not len(self.length):
-            return self.length, self.length
+    def later(self, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(suffix, length) of every occurrence but the first, by `order`, of each maximal repeat; some repeats at a time."""
         count = self.high - self.low + 1
-        at = np.cumsum(count) - count
-        suffix = np.repeat(self.low - at, count) + np.arange(count.sum())
-        own = order[suffix]
-        rest = own > np.repeat(np.minimum.reduceat(own, at), count)
-        return suffix[rest], np.repeat(self.length, count)[rest]
+        cut = np.flatnonzero(np.diff(np.cumsum(count) // _OCCURRENCES, prepend=-1)) if len(count) else np.zeros(0, dtype=np.int64)
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(count)], strict=True):
+            some = count[i:j]
+            at = np.cumsum(some) - some
+            suffix = np.repeat(self.low[i:j] - at, some) + np.arange(some.sum())
+            own = order[suffix]
+            rest = own > np.repeat(np.minimum.reduceat(own, at), some)
+            yield suffix[rest], np.repeat(self.length[i:j], some)[rest]
 
 
 def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -371,21 +416,22 @@ def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, np.nd
         yield length, array.owner[low : high + 1], array.place[low : high + 1]
 
 
-def _repeat_spans(table: pa.Table) -> pa.Table:
-    """Contexts (h, doc, sub, start, bytes) of whole anchors to covered spans by document."""
-    h, doc, sub, start = (table.column(n).to_numpy() for n in ("h", "doc", "sub", "start"))
-    order = np.lexsort((start, sub, doc, h))
-    h, doc, sub, start = h[order], doc[order], sub[order], start[order].astype(np.int64)
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (start[1:] != start[:-1])])
-    order, h, doc, sub, start = order[new], h[new], doc[new], sub[new], start[new]
+def _repeat_spans(table: pa.Table) -> np.ndarray:
+    """Covered spans of contexts (key, doc, sub, start, data) of whole keys."""
+    key, doc, sub, start = (table.column(n).to_numpy() for n in ("key", "doc", "sub", "start"))
+    order = np.lexsort((start, sub, doc, key))
+    key, doc, sub, start = key[order], doc[order], sub[order], start[order].astype(np.int64)
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (start[1:] != start[:-1])])
+    order, key, doc, sub, start = order[new], key[new], doc[new], sub[new], start[new]
     data = table.column("data")
-    cut = [*np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])).tolist(), len(h)]
-    found: list[tuple] = []
+    cut = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
+    widest = SPAN - 1 + max(b - a + 1 for a, b in RUNS)
+    out = [_spans(doc[:0], sub[:0], start[:0], start[:0])]
     at = k = 0
-    while at < len(h):
-        # as many whole anchors as fit, one at least
+    while at < len(key):
+        # as many whole keys as fit, one at least
         k += 1
-        while k + 1 < len(cut) and (cut[k + 1] - at) * (SPAN + REACH) <= _CONTEXT_BYTES:
+        while k + 1 < len(cut) and (cut[k + 1] - at) * widest <= _ARRAY_BYTES:
             k += 1
         array = SuffixArray(data.take(pa.array(order[at : cut[k]])).to_pylist(), SPAN)
         own = array.owner + at
@@ -395,126 +441,134 @@ def _repeat_spans(table: pa.Table) -> pa.Table:
         d, s, w = doc[own][by], sub[own][by], where[by]
         rank = np.empty(len(by), dtype=np.int64)
         rank[by] = np.cumsum(np.concatenate([[0], (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (w[1:] != w[:-1])])[: len(by)])
-        suffix, length = array.later(rank)
         best = np.zeros(len(own), dtype=np.int64)
-        np.maximum.at(best, suffix, length)
+        for suffix, length in array.later(rank):
+            np.maximum.at(best, suffix, length)
         hit = np.flatnonzero(best)
-        found.append((doc[own[hit]], sub[own[hit]], where[hit], where[hit] + best[hit]))
+        out.append(_spans(doc[own[hit]], sub[own[hit]], where[hit], where[hit] + best[hit]))
         at = cut[k]
-    rows = _spans(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else []
-    return pa.Table.from_batches([_table(rows, ("doc", "sub", "data"), (pa.int64(), pa.int32(), pa.binary()))])
-
-
-def _contexts(buckets: int):
-    """Documents and their asked anchors to rows (kind, h, doc, sub, start, data).
-
-    Kind 1: an anchor's bytes. Of anchors with very many reaches the spans' hashes: a batch's
-    second and later occurrences are covered spans at once (kind 0), its first ones go to
-    buckets (kind 2, h the bucket).
-    """
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-
-    def run(batches):
-        powers = Powers()
-        for batch in batches:
-            rows, hashed = [], []
-            for doc, sub, text, asked in zip(*(batch.column(k) for k in range(4)), strict=True):
-                doc, sub, raw = doc.as_py(), sub.as_py(), (text.as_py() or "").encode("utf-8")
-                for ask in asked.as_py():
-                    n = len(ask["data"]) // 12
-                    hs, places = np.frombuffer(ask["data"], "<i8", n).tolist(), np.frombuffer(ask["data"], "<i4", n, 8 * n).tolist()
-                    for h, p in zip(hs, places, strict=True):
-                        low, high = max(0, p - REACH), min(len(raw), p + SPAN)
-                        if ask["kind"] == 1:
-                            rows.append((1, h, doc, sub, low, raw[low:high]))
-                            continue
-                        up, down = powers.to(high - low + 1)
-                        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[np.frombuffer(raw[low:high], np.uint8)] * up[:-1], dtype=np.uint64)])
-                        spans = mix64((total[SPAN:] - total[:-SPAN]) * down[: len(total) - SPAN]).view(np.int64)
-                        hashed.append((spans, np.full(len(spans), doc), np.full(len(spans), sub, dtype=np.int32), low + np.arange(len(spans))))
-            if hashed:
-                first, covered = _first_spans(*(np.concatenate(x) for x in zip(*hashed, strict=True)))
-                rows += [(0, None, d, s, None, data) for d, s, data in covered]
-                bucket = first[0] % buckets
-                for k in np.unique(bucket).tolist():
-                    own = bucket == k
-                    rows.append((2, k, None, None, None, b"".join(x[own].astype(t).tobytes() for x, t in zip(first, ("<i8", "<i8", "<i4", "<i4"), strict=True))))
-            yield _table(rows, ("kind", "h", "doc", "sub", "start", "data"), kinds)
-
-    return run
+    return np.concatenate(out).astype(_SPAN)  # in its byte order again
 
 
-def _first_spans(h, doc, sub, start) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, bytes]]]:
-    """The earliest occurrence of each span hash, and all others as covered spans by document."""
-    order = np.lexsort((start, sub, doc, h))
-    h, doc, sub, start = h[order], doc[order], sub[order], start[order].astype(np.int64)
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    again = ~((doc == doc[lead]) & (sub == sub[lead]) & (start == start[lead]))
-    return tuple(x[new] for x in (h, doc, sub, start)), _spans(doc[again], sub[again], start[again], start[again] + SPAN)
+_CONTEXTS = "key long, starts int, left_out int, doc long, sub int, start int, data binary"
 
 
-def _settle_spans(table: pa.Table) -> pa.Table:
-    """A bucket's packed span hashes to covered spans by document."""
-    parts: list[list[np.ndarray]] = [[], [], [], []]
-    for data in table.column("data").to_pylist():
-        n, at = len(data) // 24, 0
-        for part, t in zip(parts, ("<i8", "<i8", "<i4", "<i4"), strict=True):
-            part.append(np.frombuffer(data, t, n, at))
-            at += part[-1].nbytes
-    _, rows = _first_spans(*map(np.concatenate, parts))
-    return pa.Table.from_batches([_table(rows, ("doc", "sub", "data"), (pa.int64(), pa.int32(), pa.binary()))])
+def _contexts(batches):
+    """Documents and their asked runs to the runs' bytes; starts: how many the run has in the middle of a text."""
+    most = max(b - a + 1 for a, b in RUNS)
+    rows = _ROW_BYTES // (SPAN + most)
+    for batch in batches:
+        texts, asked = batch.column(0), batch.column(1)
+        given = np.frombuffer(b"".join(x.as_py() for x in asked), _RUN)
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.binary_length(asked)) // _RUN.itemsize)
+        begin = np.frombuffer(texts.buffers()[1], np.int32, len(texts), 4 * texts.offset).astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)
+        for at in range(0, len(given), rows):
+            r = given[at : at + rows]
+            n = r["count"].astype(np.int64) + SPAN - 1
+            end = np.cumsum(n)
+            data = raw[np.repeat(begin[row[at : at + rows]] + r["first"] - (end - n), n) + np.arange(end[-1])]
+            columns = {"key": r["core"].view("<i8"), "starts": np.full(len(r), most, dtype=np.int32), "left_out": r["left_out"].astype(np.int32), "doc": r["doc"], "sub": r["sub"], "start": r["first"]}
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns.values()), _binary(data, np.append(0, end))], names=[*columns, "data"])
+
+
+def _halves(contexts: DataFrame) -> DataFrame:
+    """Each context's two: the spans of the first half of its run's starts, and those of the rest, under the hashes of their cores.
+
+    The starts of a context are its run's from `left_out` on, as many as its bytes hold spans.
+    """
+    half = F.expr("starts div 2")
+    count = F.expr(f"octet_length(data) - {SPAN - 1}")
+    c = contexts.withColumns({"half": half, "end": F.col("left_out") + count})
+    parts = F.array(
+        F.struct(F.lit(0).alias("part"), F.col("left_out").alias("low"), F.least("end", "half").alias("high"), F.col("half").alias("starts"), F.lit(0).alias("shift")),
+        F.struct(F.lit(1).alias("part"), F.greatest("left_out", "half").alias("low"), F.col("end").alias("high"), (F.col("starts") - F.col("half")).alias("starts"), F.col("half").alias("shift")),
+    )
+    c = c.select("key", "left_out", "doc", "sub", "start", "data", F.explode(parts).alias("p")).where("p.low < p.high")
+    bytes_ = lambda low, high: F.expr(f"substring(data, int({low}) - left_out + 1, int({high}) - int({low}))")
+    return c.select(
+        F.xxhash64("key", "p.part", bytes_("p.shift + p.starts - 1", f"p.shift + {SPAN}")).alias("key"),
+        F.col("p.starts").alias("starts"),
+        (F.col("p.low") - F.col("p.shift")).alias("left_out"),
+        "doc",
+        "sub",
+        (F.col("start") + F.col("p.low") - F.col("left_out")).alias("start"),
+        bytes_("p.low", f"p.high + {SPAN - 1}").alias("data"),
+    )
+
+
+def _split(contexts: DataFrame, most: int, parts: int) -> tuple[DataFrame, DataFrame | None]:
+    """(contexts under keys of at most `most` rows, records of spans covered on the way there)."""
+    narrow, covered = [], []
+    while True:
+        wide = saved(contexts.groupBy("key").count().where(F.col("count") > most).select("key"))
+        if wide.isEmpty():
+            narrow.append(contexts)
+            break
+        narrow.append(contexts.join(wide, "key", "left_anti"))
+        contexts = saved(contexts.join(wide, "key", "left_semi"))
+        # minima first: their join can be split however many rows one of them has
+        at = F.struct("doc", "sub", "start")
+        firsts = saved(contexts.groupBy("key", "starts", "left_out", "data").agg(F.min(at).alias("first"), F.count("*").alias("rows")))
+        again = contexts.join(firsts.where("rows > 1").select("key", "left_out", "data", "first"), ["key", "left_out", "data"]).where(at > F.col("first"))
+        number = lambda x, digits: F.to_binary(F.right(F.lpad(F.hex(x.cast("long")), 16, "0"), F.lit(digits)), F.lit("hex"))
+        start = F.col("start")
+        record = F.concat(number(F.col("doc"), 16), number(F.col("sub"), 8), number(start, 8), number(start + F.octet_length("data"), 8))
+        covered.append(again.select(F.pmod(F.col("doc").bitwiseXOR(F.col("sub").cast("long")), F.lit(parts)).cast("int").alias("part"), record.alias("data")))
+        contexts = saved(_halves(firsts.where("starts > 1").select("key", "starts", "left_out", "first.*", "data")))
+    join = lambda x: functools.reduce(DataFrame.unionByName, x)
+    return join(narrow), join(covered) if covered else None
 
 
 def _removed(batches):
-    """(doc, sub, text, spans) to the result columns."""
+    """(doc, text, merged spans) to the result columns."""
     for batch in batches:
         rows = []
         for doc, text, spans in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            raw, given = (text.as_py() or "").encode("utf-8"), spans.as_py() or ()
-            both = np.concatenate([np.frombuffer(s, "<i4").reshape(2, -1) for s in given], axis=1).astype(np.int64) if given else np.zeros((2, 0), np.int64)
-            start, end = merged(both[0], both[1])
-            kept, at = hashlib.sha256(), 0
+            raw = text.as_buffer() if text.is_valid else b""
+            found = np.frombuffer(spans.as_buffer() if spans.is_valid else b"", _SPAN)
+            start, end = found["start"].astype(np.int64), found["end"].astype(np.int64)
+            kept, at, raw = hashlib.sha256(), 0, memoryview(raw)
             for a, b in zip(start.tolist(), end.tolist(), strict=True):
                 kept.update(raw[at:a])
                 at = b
             kept.update(raw[at:])
             id_ = doc.as_py()
             rows.append((None if id_ == _NULL_ID else id_, len(raw), int((end - start).sum()), len(start), kept.hexdigest()))
-        yield _table(rows, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def covered_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_reaches: int = MOST_REACHES) -> tuple[DataFrame, DataFrame]:
-    """(documents by key, covered spans by key): columns doc, sub, _text and doc, sub, data."""
+def covered_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+    """(documents, covered spans): columns doc, sub, _text, and doc, sub, data with all merged spans of a document."""
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.hash(text_col).alias("sub"), F.col(text_col).alias("_text"))
     total = int(docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0)
-    buckets = max(8, -(-total // BUCKET_BYTES))
-    listed = docs.mapInArrow(_list_anchors(buckets), "bucket int, kind int, doc long, sub int, data binary")
-    found = saved(listed.groupBy("bucket").applyInArrow(_settle(most_reaches), _FOUND))
-    asked = found.where("kind > 0").groupBy("doc", "sub").agg(F.collect_list(F.struct("kind", "data")).alias("asked"))
-    asked_bytes = int(found.where("kind = 1").agg(F.sum(F.length("data"))).first()[0] or 0)
-    packs = max(1, -(-asked_bytes // 12 * (SPAN + REACH) // (8 << 20)))
-    near = docs.join(asked.hint("shuffle_hash"), ["doc", "sub"]).select("doc", "sub", "_text", "asked")
-    hashed_bytes = int(found.where("kind = 2").agg(F.sum(F.length("data"))).first()[0] or 0)
-    hashed_buckets = max(1, hashed_bytes // 12 * REACH * 24 // (16 << 20))
-    contexts = saved(near.mapInArrow(_contexts(hashed_buckets), "kind int, h long, doc long, sub int, start int, data binary"))
-    spans = "doc long, sub int, data binary"
-    repeats = contexts.where("kind = 1").withColumn("pack", F.pmod("h", F.lit(packs))).groupBy("pack").applyInArrow(_repeat_spans, spans)
-    hashed = contexts.where("kind = 2").groupBy("h").applyInArrow(_settle_spans, spans)
-    direct = found.where("kind = 0").select("doc", "sub", "data").unionByName(contexts.where("kind = 0").select("doc", "sub", "data"))
-    return docs, direct.unionByName(repeats).unionByName(hashed)
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_reaches: int = MOST_REACHES) -> DataFrame:
+    parts = max(8, -(-total // BUCKET_BYTES))
+    tasks = max(8, parts // 2)
+    by_part = lambda df, kind: df.repartition(tasks, "part").groupBy("part").applyInArrow(_gathered(kind), "doc long, sub int, data binary")
+    listed = docs.mapInArrow(_list_runs(parts), f"bucket int, {_FOUND}").repartition(tasks, "bucket")
+    found = saved(listed.groupBy("bucket").applyInArrow(_settle(parts), _FOUND))
+    asked = by_part(found.where("kind = 2"), _RUN).withColumnRenamed("data", "asked")
+    # the built side of a partition has about as many bytes as its texts at most
+    near = docs.join(asked.hint("shuffle_hash"), ["doc", "sub"]).select("_text", "asked")
+    contexts, covered = _split(saved(near.mapInArrow(_contexts, _CONTEXTS)), most_contexts, parts)
+    packs = max(8, -(-int(found.where("kind = 2").agg(F.sum(F.length("data"))).first()[0] or 0) // _RUN.itemsize * SPAN // PACK_BYTES))
+    packed = contexts.select("key", "doc", "sub", "start", "data", F.pmod("key", F.lit(packs)).alias("pack")).repartition(packs, "pack")
+    repeats = packed.groupBy("pack").applyInArrow(lambda table: _by_part(0, _repeat_spans(table), parts), _FOUND)
+    spans = found.where("kind = 0").unionByName(repeats).select("part", "data")
+    return docs, by_part(spans if covered is None else spans.unionByName(covered), _SPAN)
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of df.
 
     A null text counts as empty. Rows with a null id come before all others; rows that share an
     id are ordered by a hash of their texts, and rows that share both are one document to the
     search (each gets the same result). An empty table gives none; other columns are not read.
     """
-    docs, spans = covered_spans(df, id_col, text_col, most_reaches)
-    by_doc = spans.groupBy("doc", "sub").agg(F.collect_list("data").alias("spans"))
-    joined = docs.join(by_doc.hint("shuffle_hash"), ["doc", "sub"], "left").select("doc", "_text", "spans")
+    docs, spans = covered_spans(df, id_col, text_col, most_contexts)
+    joined = docs.join(spans.hint("shuffle_hash"), ["doc", "sub"], "left").select("doc", "_text", "data")
     return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
