@@ -1,15 +1,17 @@
 """Licence scans: ordered signature rules behind a keyword prefilter.
 
-Every rule is a hand-written regular expression over the words of a text (lower case, one
-space between words) with a label, a priority and a confidence. A rule is tried only where its
-keyword stands in the text. Of overlapping detections, one whose interval lies within that of
-a detection of higher priority (or of the same priority and greater length) is suppressed.
+A rule is a regular expression over the words of a text (lower case, one space between words)
+with a label, a priority and a confidence. The ways in which a licence is named are written once
+and filled in for each family and version; signatures of licence texts and notices are written
+one by one. A rule is tried only where its keyword stands in the text. Of overlapping
+detections, one whose interval lies within that of a detection of higher priority (or of the
+same priority and greater length) is suppressed.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from functools import cache
 from typing import NamedTuple
 
@@ -100,6 +102,90 @@ CC_FORMS = (
 )
 
 
+#: Signatures of licence texts, file headers and notices: priority, keyword, label, confidence, pattern.
+SIGNATURES = (
+    (96, "compliance", "apache-2.0", 1.0, r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    (91, "apache", "apache-2.0", 0.95, r"you may obtain a copy of the license at (?:https? )?(?:www )?apache org licenses license 2 0"),
+    (90, "derivative", "apache-2.0", 0.85, r"you must give any other recipients of the work or derivative works a copy of this license"),
+    (88, "apache", "apache-1.1", 0.9, r"this product includes software developed by the apache software foundation"),
+    (94, "mozilla", "mpl-2.0", 1.0, r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    (93, "mozilla", "mpl-1.1", 0.95, r"the contents of this file are subject to the mozilla public license version 1 1"),
+    (92, "mozilla", "mpl", 0.85, r"the contents of this file are subject to the (?:mozilla|netscape) public license"),
+    (94, "redistribute", "gpl", 0.95, r"this (?:program|file|package) is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    (94, "redistribute", "lgpl", 0.95, r"this (?:library|program|file) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    (94, "redistribute", "agpl", 0.95, r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    (89, "gnu", "gpl", 0.8, r"you should have received a copy of the gnu general public license along with this (?:program|file|package)"),
+    (89, "gnu", "lgpl", 0.8, r"you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:library|program)"),
+    (89, "gnu", "agpl", 0.8, r"you should have received a copy of the gnu affero general public license along with this program"),
+    (88, "version", "gpl-2.0", 0.8, r"either version 2 of the license or at your option any later version"),
+    (88, "version", "gpl-3.0", 0.8, r"either version 3 of the license or at your option any later version"),
+    (88, "version", "lgpl-2.1", 0.8, r"either version 2 1 of the license or at your option any later version"),
+    (87, "exception", "gpl-with-classpath-exception", 0.9, r"as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
+    (87, "exception", "gpl-with-gcc-exception", 0.9, r"gcc runtime library exception"),
+    (86, "invariant", "gfdl", 0.9, r"with no invariant sections no front cover texts and no back cover texts"),
+    (95, "document", "gfdl", 0.95, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    (91, "substantial", "mit", 0.9, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    (86, "merchantability", "mit", 0.6, r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    (93, "consortium", "x11", 0.9, r"except as contained in this notice the name of (?:the x consortium|the open group) shall not be used in advertising"),
+    (92, "evil", "json", 1.0, r"the software shall be used for good not evil"),
+    (91, "redistributions", "bsd", 0.85, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    (90, "redistributions", "bsd", 0.8, r"redistributions in binary form must reproduce the above copyright notice"),
+    (89, "contributors", "bsd", 0.7, r"this software is provided by the (?:copyright holders|regents|author)(?: and contributors)? as is"),
+    (93, "acknowledg", "bsd-4-clause", 0.95, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    (92, "granted", "0bsd", 0.9, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    (92, "misrepresented", "zlib", 0.95, r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    (88, "altered", "zlib", 0.85, r"altered source versions must be plainly marked as such and must not be misrepresented"),
+    (94, "organization", "boost-1.0", 1.0, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    (92, "eclipse", "epl", 0.95, r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    (92, "distribution", "cddl", 0.95, r"the contents of this file are subject to the terms of the common development and distribution license"),
+    (91, "artistic", "artistic", 0.85, r"the intent of this document is to state the conditions under which a package may be copied"),
+    (91, "verbatim", "artistic", 0.75, r"you may make and give away verbatim copies of the source form of the standard version of this package"),
+    (92, "reserved", "ofl", 0.9, r"with reserved font names? .{1,80}? this font software is licensed under the sil open font license"),
+    (90, "font", "ofl", 0.8, r"neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
+    (92, "licensee", "psf", 0.95, r"psf is making python available to licensee on an as is basis"),
+    (93, "documentation", "postgresql", 0.9, r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    (92, "compile", "unlicense", 0.95, r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    (93, "fuck", "wtfpl", 1.0, r"you just do what the fuck you want to"),
+    (92, "beer", "beerware", 1.0, r"if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    (91, "openssl", "openssl", 0.95, r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    (91, "php", "php", 0.9, r"this product includes php software freely available from"),
+    (91, "zend", "zend", 0.9, r"this product includes the zend engine"),
+    (91, "jpeg", "ijg", 0.9, r"this software is based in part on the work of the independent jpeg group"),
+    (91, "freetype", "ftl", 0.9, r"portions of this software are copyright .{1,40}? the freetype project"),
+    (91, "unicode", "unicode", 0.9, r"unicode (?:data files and software|license agreement data files and software|inc license agreement)"),
+    (91, "illinois", "ncsa", 0.95, r"university of illinois ncsa open source license"),
+    (91, "latex", "lppl", 0.95, r"this work may be distributed and or modified under the conditions of the latex project public license"),
+    (91, "w3c", "w3c", 0.9, r"w3c software (?:and document )?notice and license"),
+    (91, "ruby", "ruby", 0.8, r"ruby is copyrighted free software by yukihiro matsumoto"),
+    (91, "vim", "vim", 0.8, r"vim is charityware"),
+    (91, "curl", "curl", 0.8, r"curl and libcurl are licensed under"),
+    (91, "icu", "icu", 0.8, r"icu license icu 1 8 1 and later"),
+    (85, "server", "sspl", 0.9, r"server side public license(?: version 1)?"),
+    (85, "business", "busl", 0.9, r"business source license(?: 1 1)?"),
+    (85, "elastic", "elastic", 0.9, r"elastic license(?: 2 0| version 2)?"),
+    (85, "commons", "commons-clause", 0.9, r"commons clause license condition"),
+    (85, "polyform", "polyform", 0.9, r"polyform (?:noncommercial|shield|strict|small business|free trial|perimeter) license"),
+    (85, "llama", "llama", 0.9, r"llama (?:[0-9] )?(?:[0-9] )?community license(?: agreement)?"),
+    (85, "gemma", "gemma", 0.85, r"gemma terms of use"),
+    (85, "bigscience", "bigscience-rail", 0.9, r"bigscience (?:bloom )?rail license"),
+    (90, "deed", "cc0", 0.9, r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    (87, "remix", "cc-by-sa", 0.85, r"if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    (87, "remix", "cc-by-nd", 0.85, r"if you remix transform or build upon the material you may not distribute the modified material"),
+    (86, "commercial", "cc-by-nc", 0.75, r"you may not use the material for commercial purposes"),
+    (86, "redistribute", "cc-by", 0.6, r"copy and redistribute the material in any medium or format"),
+    (84, "wikipedia", "cc-by-sa", 0.8, r"text is available under the creative commons attribution share ?alike licen[sc]e"),
+    (84, "ogl", "ogl", 0.8, r"(?:uk )?ogl v[123](?: 0)?"),
+    (84, "government", "ogl", 0.9, r"contains public sector information licensed under the open government licen[sc]e"),
+    (84, "government", "ogl", 0.85, r"open government licen[sc]e(?: v[123](?: 0)?| version [123](?: 0)?)?"),
+    (84, "opendatacommons", "pddl", 0.85, r"opendatacommons org licenses pddl"),
+    (60, "unauthorized", "proprietary", 0.9, r"unauthori[sz]ed copying of this (?:file|software) via any medium is strictly prohibited"),
+    (60, "reproduced", "proprietary", 0.8, r"no part of this (?:publication|book|document|work) may be reproduced"),
+    (60, "trade", "proprietary", 0.75, r"contains (?:confidential|proprietary) (?:information and )?trade secrets"),
+    (60, "internal", "proprietary", 0.6, r"for internal use only"),
+    (60, "redistributed", "proprietary", 0.6, r"may not be (?:copied|reproduced) or redistributed without (?:the )?(?:prior )?(?:express )?(?:written )?(?:permission|consent)"),
+)
+
+
 def _rules() -> tuple[Rule, ...]:
     out: list[Rule] = []
     for f in FAMILIES:
@@ -127,6 +213,7 @@ def _rules() -> tuple[Rule, ...]:
         Rule(20, "confidential", "proprietary", 0.5, r"(?:proprietary and )?confidential(?: and proprietary)?"),
         Rule(20, "proprietary", "proprietary", 0.5, r"proprietary licen[sc]e"),
     ]
+    out += [Rule(*r) for r in SIGNATURES]
     return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.pattern)))
 
 
@@ -142,19 +229,32 @@ class Detection(NamedTuple):
 
 
 class Scanner:
-    def __init__(self, rules: tuple[Rule, ...] = RULES):
+    """Rules by keyword; remembers of at most `most` distinct words which keywords they hold."""
+
+    def __init__(self, rules: tuple[Rule, ...] = RULES, most: int = 300_000):
         self.by_keyword: dict[str, list[tuple[Rule, re.Pattern]]] = {}
         for r in rules:
             self.by_keyword.setdefault(r.keyword, []).append((r, re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])")))
-        # no keyword holds a space, so one alternation finds them all
+        # no keyword holds a space, so each stands within a word
         self.gate = re.compile("|".join(sorted(map(re.escape, self.by_keyword), key=len, reverse=True)))
-
-    def detect(self, line: str) -> list[Detection]:
+        self.most, self.known, self.holding = most, set(), {}
+
+    def keywords(self, words: list[str]) -> set[str]:
+        """The keywords that stand within any of the words."""
+        own = set(words)
+        if len(self.known) > self.most:
+            self.known, self.holding = set(), {}
+        new = own - self.known
+        self.known |= new
+        for w in new:
+            if self.gate.search(w):  # keywords may contain one another (gpl, lgpl): any hit tests all
+                self.holding[w] = [k for k in self.by_keyword if k in w]
+        return {k for w in own & self.holding.keys() for k in self.holding[w]}
+
+    def detect(self, line: str, words: list[str] | None = None) -> list[Detection]:
         """Detections over words joined by single spaces, overlaps resolved."""
-        # keywords that contain one another (gpl, lgpl) shadow each other in the alternation: any hit tests all
-        if not self.gate.search(line):
-            return []
-        found = [Detection(m.start(), m.end(), r.label, r.priority, r.confidence) for k, rules in self.by_keyword.items() if k in line for r, p in rules for m in p.finditer(line)]
+        keywords = self.keywords(line.split(" ") if words is None else words)
+        found = [Detection(m.start(), m.end(), r.label, r.priority, r.confidence) for k in keywords for r, p in self.by_keyword[k] for m in p.finditer(line)]
         return resolve(found)
 
 
@@ -167,19 +267,25 @@ def scanner_of(rules: tuple[Rule, ...]) -> Scanner:
 def resolve(found: list[Detection]) -> list[Detection]:
     """Drop a detection whose interval lies within that of a stronger one.
 
-    Stronger: higher priority, then longer, then the smaller label. Kept detections are
-    held by start with the farthest end so far, so each test is one binary search.
+    Stronger: higher priority, then longer, then the smaller label. Of all kept detections that
+    start no later, a tree of prefix maxima (Fenwick's) over the starts has the farthest end, so
+    each test takes a logarithm of the detections.
     """
     kept: list[Detection] = []
-    starts: list[int] = []
-    ends: list[int] = []
+    starts = sorted({d.start for d in found})
+    far = [0] * (len(starts) + 1)
     for d in sorted(set(found), key=lambda d: (-d.priority, d.start - d.end, d.label, d.start)):
-        i = bisect_left(starts, d.start + 1)
-        if i and (ends[i - 1] >= d.end or max(ends[:i]) >= d.end):
+        k, farthest = bisect_right(starts, d.start), 0
+        while k:
+            farthest = max(farthest, far[k])
+            k &= k - 1
+        if farthest >= d.end:
             continue
-        starts.insert(i, d.start)
-        ends.insert(i, d.end)
         kept.append(d)
+        k = bisect_left(starts, d.start) + 1
+        while k < len(far):
+            far[k] = max(far[k], d.end)
+            k += k & -k
     return sorted(kept)
 
 
@@ -201,7 +307,7 @@ def base_places(line: str) -> list[tuple[int, str]]:
 def scan(text: str | None, scanner: Scanner) -> dict:
     words = _WORD.findall((text or "").translate(_LOWER) if text and not text.isascii() else (text or "").lower())
     line = " ".join(words)
-    found = scanner.detect(line)
+    found = scanner.detect(line, words)
     base = base_places(line) if any(p in line for p, _ in BASE_PHRASES) else []
     places = [p for p, _ in base]
     base_labels = sorted({label for _, label in base})
