@@ -1,8 +1,9 @@
 """Secret scans: candidate strings judged by a random forest, all in SQL expressions.
 
-A candidate is a run of 16 or more key characters with a digit, a value of 6 or more printable
-characters assigned to a secret word, the password of a URL, or a whole private key. Its features are length, character transitions, dictionary coverage, path marks and the
-neighbouring words. A forest trained on labelled findings gives the chance that it is a secret;
+A candidate is a run of 16 or more key characters, or of 12 with a digit, a value of 6 or more
+printable characters assigned to a secret word, the password of a URL, or a whole private key. Its
+features are length, character transitions, dictionary coverage, path marks and the neighbouring
+words. A forest trained on labelled findings gives the chance that it is a secret;
 the trained trees are written as nested CASE expressions, so scanning stays in the JVM.
 """
 
@@ -43,7 +44,7 @@ _SCHEME = rf"(?<= )(?:(?<=(?i:authorization: bearer ))|(?<=(?i:authorization: ba
 _URL = rf"(?<=:)(?![/:])[^{_BLANK}{_QUOTE}/@<>]{{3,}}+(?=@[A-Za-z0-9\[])"
 #: Base64 padding, not the '=' of an assignment.
 _PADDING = rf"(?:={{1,2}}(?![^{_BLANK}{_QUOTE},;.)\]}}]|[{_QUOTE}][^{_BLANK}{_QUOTE},;:.)\]}}]))?"
-_RUN = rf"(?<![{_KEY}])(?=[A-Za-z+/_-]*+[0-9])[{_KEY}]{{16,}}+{_PADDING}"
+_RUN = rf"(?<![{_KEY}])(?:(?=[A-Za-z+/_-]*+[0-9])[{_KEY}]{{12,}}+|[{_KEY}]{{16,}}+){_PADDING}"
 CANDIDATE = "|".join((_PEM, _ASSIGNED, _SCHEME, _URL, _RUN))
 MASK = "[SECRET]"
 _AROUND = 48
@@ -56,13 +57,13 @@ _PLAIN_WORDS = r"sha-?[0-9]*|md5|checksum|hash|digest|commit|revision|uuid|guid|
 
 #: Feature name and SQL over {v} the candidate, {b} and {a} the text before and after it.
 FEATURES = (
-    ("n", "least(length({v}), 400)"),
+    ("n", "length({v})"),
     ("transitions", "(regexp_count({v}, '[a-z](?=[^a-z])') + regexp_count({v}, '[A-Z](?=[^A-Z])') + regexp_count({v}, '[0-9](?=[^0-9])') + regexp_count({v}, '[^A-Za-z0-9](?=[A-Za-z0-9])')) / greatest(length({v}) - 1, 1)"),
     ("digits", "(length({v}) - length(translate({v}, '0123456789', ''))) / length({v})"),
     ("uppers", "(length({v}) - length(translate({v}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) / length({v})"),
     ("marks", "(length({v}) - length(translate({v}, '+/_-', ''))) / length({v})"),
     ("hexadecimal", "cast({v} rlike '^(?:[0-9a-f]+|[0-9A-F]+)$' as int)"),
-    ("distinct", "size(array_distinct(split(left({v}, 400), ''))) / least(length({v}), 64)"),
+    ("distinct", "size(array_distinct(split({v}, ''))) / least(length({v}), 64)"),
     ("runs", "regexp_count({v}, '(.)\\\\1\\\\1') / length({v})"),
     ("dictionary", "1 - length(regexp_replace(lower({v}), '" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + "', '')) / length({v})"),
     ("path", "regexp_count({v}, '/') / length({v}) + cast({b} rlike '(?:[/\\\\\\\\.?&#]|://[^ ]*)$' as int)"),
@@ -205,6 +206,13 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
                 value, before = rng.choice(("/".join(of(word, 6) for _ in range(3)) + "/" + of("0123456789", 4), of(mixed, rng.randint(16, 30)))), url() + rng.choice((".com:8080/", ".org/page?v=", ".net/a#id=", ".org:443/img/"))
             out.append((value, before[-_AROUND:], after[:_AROUND], 0))
             continue
+        if k % 2 and rng.random() < 0.2:  # without a digit, or short
+            letters = word + word.upper()
+            value = rng.choice((lambda: of(letters, rng.randint(16, 48)), lambda: of(letters + "+/", rng.randint(20, 44)), lambda: of(word, rng.randint(16, 40)), lambda: of(letters + "-_", rng.randint(16, 40)), lambda: of(mixed, rng.randint(12, 15))))()
+            before = full() + rng.choice(names) + rng.choice(("=", " = ", ": ", "=\"", " = \"", " = '", "\": \""))
+            after = ("\"" if before.endswith("\"") else "'" if before.endswith("'") else "") + " " + prose()
+            out.append((value, before[-_AROUND:], after[:_AROUND], 1))
+            continue
         if k % 2:
             value = rng.choice([lambda: of(hexa, rng.choice((16, 18, 20, 24, 32, 40, 48, 64))), lambda: of(mixed, rng.randint(16, 64)), lambda: of(mixed + "+/", rng.randint(20, 64)) + rng.choice(("", "=", "==")), lambda: rng.choice(("AKIA", "ASIA")) + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: rng.choice(("ghp_", "gho_", "sk_live_", "xoxb-", "AIza", "glpat-", "npm_")) + of(mixed, rng.randint(20, 36)), lambda: "eyJ" + of(mixed, rng.randint(20, 60))])()
             name = rng.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access key", "auth_token", "client_secret", "PASSWORD", "Authorization: Bearer", "private key", "credential"))
@@ -215,9 +223,21 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
             after = ("\"" if before.endswith("\"") else "'" if before.endswith("'") else "") + " " + prose()
             out.append((value, before[-_AROUND:], after[:_AROUND], 1))
             continue
-        kind = rng.randrange(9)
+        kind = rng.randrange(13)
         before, after = full(), " " + prose()
-        if kind == 0:
+        if kind == 9:  # long words
+            value = "".join(of("bcdfghjklmnprstvwz", rng.randint(1, 2)) + of("aeiou", rng.randint(1, 2)) for _ in range(rng.randint(6, 12)))[:28].ljust(16, "e")
+            value = rng.choice((value, value, value.capitalize(), value.upper()))
+        elif kind == 10:  # rules of marks, and words joined by marks
+            value = rng.choice((rng.choice("-_/+") * rng.randint(16, 80), rng.choice("-_").join(rng.choice(DICTIONARY) for _ in range(rng.randint(3, 6))), "/".join(rng.choice(DICTIONARY) for _ in range(rng.randint(3, 7)))))
+            value = value.ljust(16, "s")
+        elif kind == 11:  # telephone numbers, dates, numbered names
+            number = lambda n: of("0123456789", n)
+            value = rng.choice((f"555-{number(3)}-{number(4)}", f"+{number(2)}-{number(2)}-{number(4)}-{number(4)}", f"20{number(2)}-0{number(1)}-1{number(1)}T1{number(1)}", f"INV-20{number(2)}-{number(5)}", f"{rng.choice(DICTIONARY)}-{rng.choice(DICTIONARY)}-{number(2)}".ljust(12, "0"), number(rng.randint(12, 15))))
+            before += rng.choice(("", "", "call ", "tel: ", "on ", "invoice ", "no. "))
+        elif kind == 12:  # prose with capitals inside
+            value = "".join(rng.choice(DICTIONARY).capitalize() for _ in range(rng.randint(3, 6))).ljust(16, "s")
+        elif kind == 0:
             value, before = of(hexa, rng.choice((32, 40, 64))), before + rng.choice(("sha256:", "md5 ", "commit ", "checksum = ", "digest: ", "revision ", "integrity=\"", "etag: \"", "hash="))
         elif kind == 1:
             value, before = "-".join(of(hexa, k) for k in (8, 4, 4, 4, 12)), before + rng.choice(("uuid ", "id=", "guid: ", "", "request "))

@@ -34,6 +34,28 @@ def test_short_passwords_and_whole_keys_are_masked(masked):
     assert masked(list(cases)) == list(cases.values())
 
 
+def test_secrets_without_digits_and_short_ones(masked):
+    cases = {
+        'token = "qWzRtYpLkJhGfDsXcVbNm" x': 'token = "[SECRET]" x',
+        "api_key: hGfDsApOiUyTrEwQzXcVbNmKj": "api_key: [SECRET]",
+        "secret=zqxjkvbwpmfgdhtrnlcs": "secret=[SECRET]",
+        "client_secret = 'a8Kd0sLq2Wx9'": "client_secret = '[SECRET]'",
+    }
+    assert masked(list(cases)) == list(cases.values())
+
+
+def test_long_words_rules_and_numbers_stay(masked):
+    plain = ["das Donaudampfschifffahrtsgesellschaft fuhr", "otorhinolaryngologically speaking", "-" * 60, "call 555-123-4567 or +44-20-7946-0958", "a state-of-the-art-method", "in src/main/resources/templates it is", "order 123456789012 was sent"]
+    assert masked(plain) == plain
+
+
+def test_very_long_candidates(spark):
+    forest = secret_scan.fit(spark, trees=3)
+    text = "x " + "aB3" * 300_000 + " y token = \"" + "k9" * 2000 + "\""
+    got = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), forest).collect()
+    assert sorted(r.n_chars for r in got) == [4000, 900_000]
+
+
 def test_plain_values_stay(masked):
     plain = ["mailto:john@example.com", "the password: remember it", "password: changeme", "https://x.com:8080/ab/cd/ef/12345678901", "compass: northern"]
     assert masked(plain) == plain
