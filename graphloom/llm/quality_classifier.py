@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, saved
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _REPEAT = zlib.crc32(b"\x00repeat")
@@ -24,7 +24,7 @@ _CASE = {"upper": zlib.crc32(b"\x00upper"), "title": zlib.crc32(b"\x00title"), "
 def _shape(token: str) -> int:
     """Of a word its case, of marks the marks themselves."""
     if not (token[0].isalnum() or token[0] == "_"):
-        return zlib.crc32(token[:8].encode("utf-8"))
+        return zlib.crc32(token.encode("utf-8"))
     return _CASE["upper" if len(token) > 1 and token.isupper() else "title" if token[0].isupper() else "lower"]
 
 
@@ -99,11 +99,14 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8000, bits: int = 18) -> FtrlModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8000, max_bytes: int = 128 << 20, bits: int = 18) -> FtrlModel:
     """Learn from at most max_rows labelled rows outside the held-out quarter (fitting only).
 
-    The rows are those first in the order of a hash of the id. Null ids, null labels and
-    labels other than 0 and 1 are not learnt from. Without both labels every score is 0.5.
+    The rows are those first in the order of a hash of the id, as far as their n-gram lists (4
+    bytes an n-gram) stay under max_bytes in all; the first longer than that is left out with
+    those after it. An id counts once: of repeated documents the one with the least list. Null
+    ids, null labels and labels other than 0 and 1 are not learnt from. Without both labels
+    every score is 0.5.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col))
     marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
@@ -113,9 +116,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         hasher = Hasher(bits)
         return lambda c: {"i": c[0], "y": c[1], "b": [hasher.buckets(t).astype(np.int32).tobytes() for t in c[2]]}
 
-    rows = mapped(picked, ["_id", "_y", "_t"], "i long, y int, b binary", make).toArrow().to_pydict()
-    order = sorted(range(len(rows["i"])), key=lambda k: (zlib.crc32(str(rows["i"][k]).encode()), rows["i"][k], rows["b"][k]))
-    return train([(np.frombuffer(rows["b"][k], dtype=np.int32), rows["y"][k]) for k in order], bits)
+    lists = mapped(picked, ["_id", "_y", "_t"], "i long, y int, b binary", make)
+    lists = saved(lists.groupBy("i").agg(F.min("y").alias("y"), F.min("b").alias("b")))
+    sizes = {r.i: r.n for r in lists.select("i", F.length("b").alias("n")).collect()}
+    order = sorted(sizes, key=lambda i: (zlib.crc32(str(i).encode()), i))
+    order = [i for i, total in zip(order, np.cumsum([sizes[i] for i in order]).tolist(), strict=True) if total <= max_bytes]
+    if len(order) < len(sizes):
+        lists = lists.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in order], "i long")), "i")
+    rows = {i: (np.frombuffer(b, dtype=np.int32), y) for i, y, b in zip(*lists.toArrow().to_pydict().values(), strict=True)}
+    return train([rows[i] for i in order], bits)
 
 
 def score_documents(df: DataFrame, model: FtrlModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
