@@ -4,14 +4,17 @@ The distinct pre-tokens of a batch of texts are held as one ragged numpy array o
 In each round every sequence finds its own lowest-rank adjacent pair, all occurrences of
 that pair in it merge at once, and sequences without a known pair leave the array. What
 survives is counted. A merge can only create pairs of a higher rank than its own, so the
-rounds give the same symbols as merging one pair at a time.
+rounds give the same symbols as merging one pair at a time. A very long pre-token takes many
+rounds that each change little of it; it keeps the places of its pairs by rank instead, and a
+round touches only those of the lowest.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import regex
@@ -23,6 +26,10 @@ from .common import mapped
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Bytes from which on a pre-token is merged by places.
+LONG = 2048
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letters by which byte-level vocabularies write the 256 bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,8 +66,56 @@ class BpeCounter:
         self.marks = added
         self.cache, self.most = {}, cache
 
+    @cached_property
+    def ranks(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.rank.tolist(), strict=True))
+
+    def merged_by_places(self, token: bytes) -> int:
+        """Symbols that survive in one token: the rounds of merged(), each over the lowest rank's places only."""
+        symbol = self.of_byte[np.frombuffer(token, dtype=np.uint8)].tolist()
+        n, ranks, width = len(symbol), self.ranks, self.width
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        places: dict[int, list[int]] = {}
+
+        def note(at: int) -> None:
+            rank = ranks.get(symbol[at] * width + symbol[after[at]])
+            if rank is not None:
+                if rank not in places:
+                    places[rank] = []
+                    heapq.heappush(heap, rank)
+                places[rank].append(at)
+
+        heap: list[int] = []
+        for at in range(n - 1):
+            note(at)
+        count = n
+        while heap:
+            rank = heapq.heappop(heap)
+            made = int(self.made[rank])
+            for at in sorted(places.pop(rank)):
+                gone = after[at]
+                # merged away, or changed, since it was noted
+                if symbol[at] < 0 or gone >= n or ranks.get(symbol[at] * width + symbol[gone]) != rank:
+                    continue
+                symbol[at], symbol[gone] = made, -1
+                after[at] = after[gone]
+                if after[at] < n:
+                    before[after[at]] = at
+                    note(at)
+                if before[at] >= 0:
+                    note(before[at])
+                count -= 1
+        return count
+
     def merged(self, tokens: list[bytes]) -> np.ndarray:
         """Symbols that survive in each token."""
+        long = [k for k, t in enumerate(tokens) if len(t) >= LONG]
+        if long:
+            out = np.zeros(len(tokens), dtype=np.int64)
+            out[long] = [self.merged_by_places(tokens[k]) for k in long]
+            rest = [k for k, t in enumerate(tokens) if len(t) < LONG]
+            out[rest] = self.merged([tokens[k] for k in rest])
+            return out
         size = np.array([len(t) for t in tokens], dtype=np.int64)
         counts = size.copy()
         owner = np.repeat(np.arange(len(tokens)), size)
