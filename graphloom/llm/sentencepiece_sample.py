@@ -29,6 +29,8 @@ from .common import mix64
 SPACE = "▁"
 #: Characters of text worked on at once.
 BATCH_CHARS = 2_500_000
+#: Rows of a batch at most.
+_ROWS = 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TWIST = np.uint64(0xD1342543DE82EF95)
 #: No noise is larger: uniform numbers are at least 2**-54 from 1.
@@ -287,10 +289,11 @@ class _Fresh:
         total = np.concatenate([[0.0], np.cumsum(self.log)])
         self.total = total[begin[1:]] - total[begin[:-1]]
         # a matrix of the first steps of each row: log-chance before a step, and value of its group before location and cap
-        place = np.minimum(self.begin[:, None] + np.arange(_STEPS), max(len(self.log) - 1, 0))
-        log = np.where(np.arange(_STEPS) < self.size[:, None], self.log[place] if len(self.log) else 0.0, 0.0)
+        width = min(_STEPS, int(self.size.max(initial=1)) + 1)
+        place = np.minimum(self.begin[:, None] + np.arange(width), max(len(self.log) - 1, 0))
+        log = np.where(np.arange(width) < self.size[:, None], self.log[place] if len(self.log) else 0.0, 0.0)
         self.before = np.cumsum(log, axis=1) - log
-        noise = _gumbel(_uniform(mix64(row)[:, None] + np.arange(_STEPS, dtype=np.uint64) * _TWIST))
+        noise = _gumbel(_uniform(mix64(row)[:, None] + np.arange(width, dtype=np.uint64) * _TWIST))
         self.lift = _log_rest(log) + noise  # a step beyond the end is certain: its group has -inf
         self.row = row
 
@@ -454,12 +457,12 @@ class Sampler:
 
 
 def _batches(batch: pa.RecordBatch, most: int):
-    """Rows of a batch in lists of bounded length of text; a longer text stands alone."""
+    """Rows of a batch in lists of bounded length of text and of _ROWS rows at most; a longer text stands alone."""
     ids, texts = batch.column(0), batch.column(1)
     own_ids, own, weight = [], [], 0
     for i, t in zip(ids, texts, strict=True):
         t = t.as_py()
-        if own and weight + len(t or "") > most:
+        if own and (weight + len(t or "") > most or len(own) == _ROWS):
             yield own_ids, own
             own_ids, own, weight = [], [], 0
         own_ids.append(i.as_py())
@@ -474,8 +477,8 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id
 
     doc_id, sample_no (from 1), n_tokens, log_prob, perturbed, log_inclusion; with ids the piece
     ids as little-endian 32-bit integers (token_ids, binary), with digest their SHA-256
-    (ids_sha256) and round_trip: whether the ids decode to the text with each
-    U+2581 as a space (the pieces cannot tell the two apart). The row key seeds the noise,
+    (ids_sha256) and round_trip: whether the ids decode to the text (not where it holds
+    U+2581, which the pieces write for a space). The row key seeds the noise,
     so equal keys and texts give equal samples, whatever batch_chars (the text worked on at once,
     which bounds memory); a null key counts as 0. A null or empty text has
     one segmentation, the empty one. Fewer than k rows come only where no more segmentations
@@ -500,7 +503,7 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id
                         if ids:
                             row.append(raw)
                         if digest:
-                            row += [hashlib.sha256(raw).hexdigest(), sampler.pieces.decode(own) == (text or "").replace(SPACE, " ")]
+                            row += [hashlib.sha256(raw).hexdigest(), sampler.pieces.decode(own) == (text or "")]
                         rows.append(row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
