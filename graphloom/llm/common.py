@@ -86,3 +86,48 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     from pyspark.sql import functions as F
 
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+#: Bits for each key in an array of bits, and the most bits of all (32 MB).
+KEY_BITS, MOST_BITS = 24, 1 << 28
+
+
+class Bits:
+    """An array of bits that tells of 64-bit keys whether they may be among given ones: three bits of a hash for each."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
+
+    @staticmethod
+    def places(keys: np.ndarray, mask: np.uint64) -> list[np.ndarray]:
+        keys = mix64(keys)
+        other = mix64(keys ^ np.uint64(0x9E3779B97F4A7C15))
+        return [x & mask for x in (keys, other, (keys >> np.uint64(32)) ^ (other >> np.uint64(32)))]
+
+    def hold(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), dtype=bool)
+        for at in self.places(keys, self.mask):
+            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+
+def bit_array(keys: DataFrame, column: str, count: int) -> Bits:
+    """The Bits of a column of longs, set over its rows and gathered as words; bounded however many keys there are."""
+    from pyspark.sql import functions as F
+
+    bits = 1 << 16
+    while bits < min(KEY_BITS * count, MOST_BITS):
+        bits *= 2
+    mask = np.uint64(bits - 1)
+
+    def place():
+        def work(columns):
+            at = np.concatenate(Bits.places(np.array(columns[0], dtype=np.int64).view(np.uint64), mask))
+            return {"slot": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)}
+
+        return work
+
+    found = mapped(keys, [column], "slot long, bit long", place, rows=8192).groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[found.column("slot").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    return Bits(out)

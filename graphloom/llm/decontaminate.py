@@ -5,7 +5,7 @@ Documents and benchmark items are joined on shared seeds (hashes of runs of word
 1. An item's most frequent seeds are left out as long as the words in them are too few for the
    coverage asked for. Whoever covers the item has one of its other seeds, so nothing is lost,
    and seeds that many items share (a template) are seldom joined on.
-2. A bit array of these seeds, of a bounded size, tells in one scan which documents may hold any.
+2. An array of bits of these seeds, of a bounded size, tells in one scan which documents may hold any.
    Such a document's seeds, as rows, meet the items' in an equi-join.
 3. For each candidate pair the longest common runs of unmarked words are marked again and again,
    found by running Karp-Rabin hashes of falling window lengths; a tile marks its words on both
@@ -23,12 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mix64, saved
+from .common import Bits, bit_array, mapped, mix64, saved
 
 MIN_MATCH = 5
 COVERAGE = 0.8
-#: Bits for each seed of the benchmark in the array that documents are held against, and the most bits of all (32 MB).
-SEED_BITS, MOST_BITS = 24, 1 << 28
 #: Up to so many seeds (24 MB) the benchmark's are broadcast; beyond it the join shuffles.
 BROADCAST_SEEDS = 1_000_000
 #: Parts in which the items that meet a document are tiled.
@@ -126,24 +124,6 @@ class Seeds:
         return windows(values, size) ^ mix64(np.uint64(size))
 
 
-class Bits:
-    """A bit array of seeds: three bits of a hash for each."""
-
-    def __init__(self, words: np.ndarray):
-        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
-
-    @staticmethod
-    def places(seeds: np.ndarray, mask: np.uint64) -> list[np.ndarray]:
-        other = mix64(seeds)
-        return [x & mask for x in (seeds, other, (seeds >> np.uint64(32)) ^ (other >> np.uint64(32)))]
-
-    def hold(self, seeds: np.ndarray) -> np.ndarray:
-        found = np.ones(len(seeds), dtype=bool)
-        for at in self.places(seeds, self.mask):
-            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return found
-
-
 def rare(seeds: list[tuple[int, int, int]], n_words: int, size: int, coverage: float) -> list[int]:
     """Of an item's seeds (how often among all items, place, hash) those to join on: the most frequent are left out while their words are under `coverage`."""
     inside, left = np.zeros(n_words, dtype=bool), sorted(seeds, reverse=True)
@@ -215,26 +195,7 @@ class Index:
         self.least, self.coverage = least, coverage
         self.count = self.seeds.count()
         self.sizes = sorted(r[0] for r in self.items.select("size").distinct().collect())
-        self.bits = self._bits()
-
-    def _bits(self) -> Bits:
-        """Set over the seeds' rows, gathered as the words of the array; it is bounded however large the benchmark is."""
-        bits = 1 << 16
-        while bits < min(SEED_BITS * self.count, MOST_BITS):
-            bits *= 2
-        mask = np.uint64(bits - 1)
-
-        def place():
-            def work(columns):
-                at = np.concatenate(Bits.places(np.array(columns[0], dtype=np.int64).view(np.uint64), mask))
-                return {"slot": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)}
-
-            return work
-
-        found = mapped(self.seeds, ["seed"], "slot long, bit long", place, rows=8192).groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow()
-        out = np.zeros(bits // 64, dtype=np.uint64)
-        out[found.column("slot").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
-        return Bits(out)
+        self.bits = bit_array(self.seeds, "seed", self.count)
 
 
 _SEEDS, _ROW = "__graphloom_seeds", "__graphloom_row"
