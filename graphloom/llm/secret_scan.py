@@ -78,22 +78,34 @@ FEATURES = (
 )
 
 
-def candidates(text: str) -> str:
-    """SQL array of (value, before, after, start) for all candidates of a text expression.
+#: Set around candidates for one pass of the pattern; texts that hold it themselves take two passes.
+_EDGE = "\uf8ff"
 
-    Splitting at the pattern gives the texts between candidates, so places are exact. before and
-    after are what stands next to the value in the whole text, other candidates included.
-    """
+
+def parts(text: str) -> str:
+    """SQL array of the pieces of a text expression: every second one, from the second on, is a candidate."""
     pattern = CANDIDATE.replace("\\", "\\\\")
-    found, parts = f"regexp_extract_all({text}, '{pattern}', 0)", f"split({text}, '{pattern}', -1)"
-    zipped = f"transform({found}, (v, i) -> named_struct('value', v, 'i', i))"
-    placed = (
-        f"transform(array(named_struct('z', {zipped}, 'p', {parts})), s -> transform(s.z, x -> named_struct('value', x.value, "
-        f"'start', aggregate(slice(s.p, 1, x.i + 1), 0L, (n, t) -> n + length(t)) + aggregate(slice(s.z, 1, x.i), 0L, (n, t) -> n + length(t.value)))))[0]"
-    )
+    once = f"split(regexp_replace({text}, '{pattern}', '{_EDGE}$0{_EDGE}'), '{_EDGE}', -1)"
+    between = f"split({text}, '{pattern}', -1)"
+    twice = f"transform(array({between}), s -> concat(flatten(transform(regexp_extract_all({text}, '{pattern}', 0), (v, i) -> array(s[i], v))), slice(s, -1, 1)))[0]"
+    return f"if(instr({text}, '{_EDGE}') = 0, {once}, {twice})"
+
+
+def placed(pieces: str, text: str) -> str:
+    """SQL array of (value, before, after, start) for all candidates among the pieces of a text expression.
+
+    before and after are what stands next to the value in the whole text, other candidates included.
+    """
+    n = f"(size({pieces}) div 2)"
+    values = f"transform(slice(sequence(0, {n}), 2, {n}), k -> named_struct('value', {pieces}[2 * k - 1], 'start', aggregate(slice({pieces}, 1, 2 * k - 1), 0L, (n, t) -> n + length(t))))"
     before = f"substring({text}, cast(greatest(c.start - {_AROUND}, 0) + 1 as int), cast(least(c.start, {_AROUND}) as int))"
     after = f"substring({text}, cast(c.start + length(c.value) + 1 as int), {_AROUND})"
-    return f"transform({placed}, c -> named_struct('value', c.value, 'before', {before}, 'after', {after}, 'start', c.start))"
+    return f"transform({values}, c -> named_struct('value', c.value, 'before', {before}, 'after', {after}, 'start', c.start))"
+
+
+def candidates(text: str) -> str:
+    """SQL array of (value, before, after, start) for all candidates of a text expression."""
+    return f"transform(array({parts(text)}), p -> {placed('p', text)})[0]"
 
 
 def featured(found: str) -> str:
@@ -275,8 +287,8 @@ _FOUND, _SCAN, _PARTS, _NEW = (f"__graphloom_{n}" for n in ("found", "scan", "pa
 
 
 def _scored(df: DataFrame, forest: Forest, text: str, threshold: float) -> DataFrame:
-    """df with an array column of judged candidates (value, start, features, score, secret)."""
-    out = df.withColumn(_FOUND, F.expr(featured(candidates(text))))
+    """df with the pieces of a text and an array column of judged candidates (value, start, features, score, secret)."""
+    out = df.withColumn(_PARTS, F.expr(parts(text))).withColumn(_FOUND, F.expr(featured(placed(_PARTS, text))))
     out = out.withColumn(_FOUND, F.expr(f"transform({_FOUND}, c -> named_struct('value', c.value, 'start', c.start, 'f', c.f, 'score', {forest.sql('c.f')}))"))
     return out.withColumn(_FOUND, F.expr(f"transform({_FOUND}, c -> named_struct('value', c.value, 'start', c.start, 'f', c.f, 'score', c.score, 'secret', c.score >= {threshold!r}D))"))
 
@@ -287,8 +299,9 @@ def scan_secrets(df: DataFrame, forest: Forest, id_col: str = "doc_id", text_col
     start counts characters from 0. A null or empty text has no candidates; null ids stay null;
     repeated rows give repeated findings; an empty table gives none; other columns are not read.
     """
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(CANDIDATE))
-    rows = _scored(src, forest, "_text", threshold).select("doc_id", F.explode(_FOUND).alias("c"))
+    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+    # the plain explode would have its array computed once more, for a filter on its size
+    rows = _scored(src, forest, "_text", threshold).select("doc_id", F.explode_outer(_FOUND).alias("c")).where("c IS NOT NULL")
     kind = F.when(F.col("c.value").startswith("-----BEGIN"), "private-key").when(F.col("c.f.issued") == 1, "issued").when(F.col("c.f.hexadecimal") == 1, "hex").otherwise("mixed")
     return rows.select("doc_id", F.col("c.start").alias("start"), F.length("c.value").alias("n_chars"), kind.alias("kind"), F.round("c.score", 6).alias("score"), F.col("c.secret").alias("is_secret"), F.sha2(F.col("c.value").cast("binary"), 256).alias("value_sha256"))
 
@@ -299,11 +312,8 @@ def mask_secrets(df: DataFrame, forest: Forest, text_col: str = "text", n_chars_
     Where a text changed, n_chars_col (if df has it) is set to its new length. Null texts stay.
     """
     columns = df.columns
-    pattern = CANDIDATE.replace("\\", "\\\\")
-    has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
-    masked = f"concat(array_join(transform({_FOUND}, (c, i) -> concat({_PARTS}[i], CASE WHEN c.secret THEN '{MASK}' ELSE c.value END)), ''), element_at({_PARTS}, -1))"
-    out = df.withColumn(_SCAN, F.when(has, F.col(text_col)).otherwise(F.lit("")))
-    out = _scored(out, forest, _SCAN, threshold).withColumn(_PARTS, F.expr(f"split({_SCAN}, '{pattern}', -1)"))
+    masked = f"array_join(transform({_PARTS}, (p, i) -> CASE WHEN i % 2 = 1 AND {_FOUND}[cast(i div 2 as int)].secret THEN '{MASK}' ELSE p END), '')"
+    out = _scored(df.withColumn(_SCAN, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), forest, _SCAN, threshold)
     out = out.withColumn(_NEW, F.when(F.exists(_FOUND, lambda c: c["secret"]), F.expr(masked)))
     values = {text_col: F.coalesce(_NEW, F.col(f"`{text_col}`"))}
     if n_chars_col in columns:
