@@ -71,6 +71,18 @@ class Graph:
             out.append(self.spark.table(f"{name}_{part}"))
         return self.with_(nodes=out[0], edges=out[1])
 
+    def held(self) -> Graph:
+        """The graph written once to the shared folder and read back.
+
+        A lazy graph is planned again from its source at each use, so operators that use their
+        graph several times hold it first. Streams are left as they are.
+        """
+        from .storage import written
+
+        if self.nodes.isStreaming or self.edges.isStreaming:
+            return self
+        return self.with_(nodes=written(self.nodes), edges=written(self.edges))
+
     def global_scope(self) -> Graph:
         """All graphs as one: node ids get their graph's id in front."""
         name = lambda c: F.concat_ws("|", "graph_id", c)

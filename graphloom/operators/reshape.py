@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..graph import HAS, Graph, edge_columns, node_columns, schema_nodes
 from ..plans import cypher
 from ..schema.layer import Attribute, Layer, SchemaError
+from ..storage import written
 
 
 @dataclass
@@ -73,7 +74,7 @@ class Reshaper:
             script.validate(target)
 
     def values(self, source: Graph, a: Attribute) -> DataFrame | None:
-        """(graph_id, n, value, props) for a's nodes, numbered within each graph."""
+        """(graph_id, _o, value, props) for a's nodes from expressions or a mapProperty; None if a takes none of these."""
         rule = _rule(a, self.script)
         bound: dict[str, DataFrame] = {}
         for text in _list(rule.get("evaluate")):
@@ -91,17 +92,17 @@ class Reshaper:
                 if mode == "first":
                     best = out.groupBy("graph_id").agg(F.min("_k").alias("_k"))
                     out = out.join(best, ["graph_id", "_k"])
-                return self.numbered(out.select("graph_id", F.concat_ws("/", F.lpad(F.col("_k").cast("string"), 4, "0"), "_o").alias("_o"), "value", "props"))
+                return out.select("graph_id", F.concat_ws("/", F.lpad(F.col("_k").cast("string"), 4, "0"), "_o").alias("_o"), "value", "props")
         if p := rule.get("mapProperty") or self.target.root.one("transform/mapProperty"):
             hit = source.nodes.where(F.array_contains(F.col("props")[_list(p)[0]], a.id))
-            if rule.get("mapProperty") or not (rule.get("source") or rule.get("sources")):
-                return self.numbered(self.within(source, hit, rule).select("graph_id", F.col("node_id").alias("_o"), "value", "props"))
-        ids = _list(rule.get("source")) + _list(rule.get("sources"))
-        if ids:
-            hit = source.nodes.where(F.col("schema_node_id").isin(ids))
-            return self.numbered(self.within(source, hit, rule).select("graph_id", F.col("node_id").alias("_o"), "value", "props"))
+            if rule.get("mapProperty") or not self.sources(a):
+                return self.within(source, hit, rule).select("graph_id", F.col("node_id").alias("_o"), "value", "props")
         return None
 
+    def sources(self, a: Attribute) -> list[str]:
+        rule = _rule(a, self.script)
+        return _list(rule.get("source")) + _list(rule.get("sources"))
+
     def within(self, source: Graph, hit: DataFrame, rule: dict) -> DataFrame:
         context = _list(rule.get("mapContext"))
         if not context:
@@ -127,60 +128,74 @@ class Reshaper:
             return own.select("graph_id", F.lit(k).alias("_k"), F.col("node_id").alias("_o"), "value", "props")
         return found.select("graph_id", F.lit(k).alias("_k"), F.col(f"`{name}`").cast("string").alias("_o"), F.col(f"`{name}`").cast("string").alias("value"), F.create_map().cast("map<string,array<string>>").alias("props"))
 
-    def numbered(self, df: DataFrame) -> DataFrame:
-        """Places within a graph, in the order of source nodes; one graph is one document."""
+    def all_values(self, source: Graph, attributes: Sequence[Attribute]) -> DataFrame | None:
+        """(graph_id, attribute, n, value, props): all attributes' values, numbered within each graph and attribute in the order of source nodes.
+
+        Attributes that take plain source nodes share one pass over them.
+        """
         from pyspark.sql.window import Window
 
+        parts, plain = [], {}
+        for a in attributes:
+            got = self.values(source, a)
+            if got is None and self.sources(a):
+                if _list(_rule(a, self.script).get("mapContext")):
+                    hit = source.nodes.where(F.col("schema_node_id").isin(self.sources(a)))
+                    got = self.within(source, hit, _rule(a, self.script)).select("graph_id", F.col("node_id").alias("_o"), "value", "props")
+                else:
+                    for i in self.sources(a):
+                        plain.setdefault(i, []).append(a.id)
+            if got is not None:
+                parts.append(got.select("graph_id", F.lit(a.id).alias("attribute"), "_o", "value", "props"))
+        if plain:
+            to = F.element_at(F.create_map(*(x for i, ids in plain.items() for x in (F.lit(i), F.array(*map(F.lit, ids))))), F.col("schema_node_id"))
+            parts.append(source.nodes.where(F.col("schema_node_id").isin(list(plain))).select("graph_id", F.explode(to).alias("attribute"), F.col("node_id").alias("_o"), "value", "props"))
+        if not parts:
+            return None
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
         keep = F.map_filter("props", lambda k, v: F.lit(False) if not self.keep else _any(k, self.keep))
-        return df.select("graph_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("_o")) - 1).alias("n"), "value", keep.alias("props"))
+        # one graph is one document, so a window holds what one document gives an attribute
+        n = F.row_number().over(Window.partitionBy("graph_id", "attribute").orderBy("_o")) - 1
+        return out.select("graph_id", "attribute", n.alias("n"), "value", keep.alias("props"))
 
     def reshape(self, source: Graph) -> Graph:
-        root = self.target.root
-        empty = F.create_map().cast("map<string,array<string>>")
-        nodes, edges = [], []
-
-        def walk(a: Attribute) -> DataFrame | None:
-            """Emits a's nodes; gives the graph_ids that have something at or below a."""
-            path = ".".join(x.name or str(x.parent.children.index(x) if x.parent else "") for x in a.path()[1:])
-            node_id = F.concat("graph_id", F.lit(f".{path}")) if path else F.col("graph_id")
-            parent = ".".join(x.name or str(x.parent.children.index(x) if x.parent else "") for x in a.path()[1:-1])
-            parent_id = F.concat("graph_id", F.lit(f".{parent}")) if parent else F.col("graph_id")
+        """Source nodes are read once for the attributes that take them as they are; all values are numbered and written once."""
+        source = source.held()
+        every = self.target.attributes()
+        leaves = [a for a in every if a.kind not in ("Object", "Array")]
+        got = self.all_values(source, leaves)
+        if got is None:
+            return Graph(source.nodes.limit(0), source.edges.limit(0), self.target)
+        got = got if got.isStreaming else written(got)
+
+        def described(a: Attribute) -> Column:
+            names = [x.name or str(x.parent.children.index(x) if x.parent else "") for x in a.path()[1:]]
             order = a.parent.children.index(a) if a.parent is not None else 0
-            labels = F.array(*map(F.lit, ["DocumentNode", a.kind, *a.labels]))
-            common = {"graph_id": F.col("graph_id"), "labels": labels, "schema_node_id": a.id, "type": a.kind, "attribute_name": a.name or None, "attribute_index": order, "entity_schema": a.one("entitySchema") or None, "entity_root_id": F.col("graph_id")}
-            if a.kind in ("Object", "Array"):
-                have = None
-                for c in a.children:
-                    own = walk(c)
-                    if own is not None:
-                        have = own if have is None else have.unionByName(own)
-                if have is None:
-                    return None
-                have = have.distinct()
-                nodes.append(have.select(*node_columns(node_id=node_id, **common)))
-                if a.parent is not None:
-                    edges.append(have.select(*edge_columns(graph_id=F.col("graph_id"), src=parent_id, dst=node_id, label=a.one("outputEdgeLabel") or HAS, ord=order)))
-                return have
-            got = self.values(source, a)
-            if got is None:
-                return None
-            many = F.concat(node_id, F.when(F.col("n") > 0, F.concat(F.lit("."), F.col("n").cast("string"))).otherwise(F.lit("")))
-            nodes.append(got.select(*node_columns(node_id=many, value=F.col("value"), value_type=F.array(*map(F.lit, a.many("valueType"))), props=F.coalesce("props", empty), **common)))
-            edges.append(got.select(*edge_columns(graph_id=F.col("graph_id"), src=parent_id, dst=many, label=a.one("outputEdgeLabel") or HAS, ord=F.lit(order))))
-            return got.select("graph_id")
-
-        walk(root)
-        if not nodes:
-            none = source.nodes.limit(0)
-            return Graph(none, source.edges.limit(0), self.target)
-        all_nodes, all_edges = nodes[0], edges[0]
-        for n in nodes[1:]:
-            all_nodes = all_nodes.unionByName(n)
-        for e in edges[1:]:
-            all_edges = all_edges.unionByName(e)
+            given = (a.id, ".".join(names), ".".join(names[:-1]), a.kind, a.name or None, order, a.one("entitySchema") or None, a.one("outputEdgeLabel") or HAS)
+            kinds = ("id", "path", "parent", "kind", "name", "order", "entity", "label")
+            lists = (("labels", ["DocumentNode", a.kind, *a.labels]), ("types", a.many("valueType")))
+            return F.struct(*(F.lit(v).cast("int" if k == "order" else "string").alias(k) for k, v in zip(kinds, given, strict=True)), F.lit(a is a.path()[0]).alias("root"), F.lit(a in leaves).alias("leaf"), *(F.array(*map(F.lit, v)).cast("array<string>").alias(k) for k, v in lists))
+
+        # each value's node, and the containers above it
+        up = F.create_map(*(x for a in leaves for x in (F.lit(a.id), F.array(*map(described, reversed(a.path()))))))
+        rows = got.select("graph_id", "n", "value", "props", F.explode(F.element_at(up, F.col("attribute"))).alias("a"))
+        at = lambda path: F.when(path == "", F.col("graph_id")).otherwise(F.concat("graph_id", F.lit("."), path))
+        leaf = F.col("a.leaf")
+        node_id = F.concat(at(F.col("a.path")), F.when(leaf & (F.col("n") > 0), F.concat(F.lit("."), F.col("n").cast("string"))).otherwise(F.lit("")))
+        none = F.create_map().cast("map<string,array<string>>")
+        types = F.when(leaf, F.col("a.types"))
+        nodes = rows.select(
+            *node_columns(
+                graph_id=F.col("graph_id"), node_id=node_id, labels=F.col("a.labels"), schema_node_id=F.col("a.id"), type=F.col("a.kind"), attribute_name=F.col("a.name"), attribute_index=F.col("a.order"), value=F.when(leaf, F.col("value")),
+                value_type=types, entity_schema=F.col("a.entity"), entity_root_id=F.col("graph_id"), props=F.when(leaf, F.coalesce("props", none)).otherwise(none),
+            )
+        ).dropDuplicates(["graph_id", "node_id"])
+        edges = rows.where(~F.col("a.root")).select(*edge_columns(graph_id=F.col("graph_id"), src=at(F.col("a.parent")), dst=node_id, label=F.col("a.label"), ord=F.col("a.order"))).dropDuplicates(["graph_id", "dst"])
         from .links import link, link_specs
 
-        out = Graph(all_nodes, all_edges, self.target)
+        out = Graph(nodes, edges, self.target)
         return link(out) if link_specs(self.target) else out
 
 

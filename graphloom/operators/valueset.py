@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..graph import HAS, Graph, edge_columns, node_columns
 from ..schema.layer import Attribute, Layer, SchemaError
+from ..storage import written
 
 ENTRIES = "table_id string, entry_id long, is_default boolean, case_sensitive boolean, n_keys int, key string, match string, result map<string,string>"
 #: Dictionaries of up to so many rows are broadcast; larger ones are joined by shuffle.
@@ -126,18 +127,24 @@ def entries_table(spark: SparkSession, sets: Sequence[ValueSet]) -> DataFrame:
     return spark.createDataFrame(rows, ENTRIES)
 
 
-def lookup(requests: DataFrame, entries: DataFrame, tables: Sequence[str] | None = None, request_col: str = "request") -> DataFrame:
+def measured(entries: DataFrame) -> dict[str, tuple[int, bool]]:
+    """Rows of each set, and whether it has a default; one row for each set comes to the driver."""
+    return {r.table_id: (r.n, r.d) for r in entries.groupBy("table_id").agg(F.count("*").alias("n"), F.max("is_default").alias("d")).collect()}
+
+
+def lookup(requests: DataFrame, entries: DataFrame, tables: Sequence[str] | None = None, request_col: str = "request", sizes: dict[str, tuple[int, bool]] | None = None) -> DataFrame:
     """requests with a column `result` (map, null if nothing answers).
 
     request is a map of key to value; the key is "" for a plain value. Distinct requests are
     looked up once and joined back. A request of one value matches single values, entries of one
     key (any key if the request names none), or the named key of larger entries; a request of
     several must agree in all its keys. Several entries of a set are an error, as are
-    several sets that answer; an entry beats its set's default.
+    several sets that answer; an entry beats its set's default. sizes: what measured(entries)
+    gives, where it is known.
     """
     own = entries if not tables else entries.where(F.col("table_id").isin(list(tables)))
-    small = own.count() <= BROADCAST_ROWS
-    side = F.broadcast if small else (lambda d: d)
+    sizes = {t: x for t, x in (measured(entries) if sizes is None else sizes).items() if not tables or t in tables}
+    side = F.broadcast if sum(n for n, _ in sizes.values()) <= BROADCAST_ROWS else (lambda d: d)
     key_of = F.to_json(F.array_sort(F.map_entries(request_col)))
     asked = requests.select(key_of.alias("_q"), F.col(request_col).alias("_r")).where(F.size(request_col) > 0).dropDuplicates(["_q"])
     parts = asked.select("_q", F.size("_r").alias("_n"), F.explode("_r").alias("_k", "_v"))
@@ -147,18 +154,17 @@ def lookup(requests: DataFrame, entries: DataFrame, tables: Sequence[str] | None
     one = (F.col("_n") == 1) & (F.col("key").isNull() | (F.col("key") == F.col("_k")) | ((F.col("_k") == "") & (F.col("n_keys") == 1)))
     many = (F.col("_n") > 1) & (F.col("key") == F.col("_k"))
     hits = hits.where(one | many).groupBy("_q", "table_id", "entry_id").agg(F.count_distinct("_k").alias("_c"), F.max("_n").alias("_n"), F.first("result").alias("result")).where("_c = _n")
-    one_entry = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("ambiguous entries for "), F.first("_q"))).cast("map<string,string>")).otherwise(F.first("result"))
-    best = hits.groupBy("_q", "table_id").agg(one_entry.alias("result"))
-    defaults = own.where("is_default").select("table_id", F.col("result").alias("_default"))
-    # every request meets each table's one default: a table of at most as many rows as sets
-    answers = best.select("_q", "table_id", "result").unionByName(
-        asked.select("_q", F.explode(F.lit([r.table_id for r in defaults.select("table_id").collect()]).cast("array<string>")).alias("table_id"))
-        .join(best.select("_q", "table_id"), ["_q", "table_id"], "left_anti")
-        .join(F.broadcast(defaults), "table_id")
-        .select("_q", "table_id", F.col("_default").alias("result"))
-    )
+    answers = hits.select("_q", "table_id", "result", F.lit(False).alias("_default"))
+    if defaults := [t for t, (_, has) in sizes.items() if has]:
+        # every request meets each table's one default: a table of at most as many rows as sets
+        met = asked.select("_q", F.explode(F.array(*map(F.lit, defaults))).alias("table_id")).join(F.broadcast(own.where("is_default").select("table_id", "result")), "table_id")
+        answers = answers.unionByName(met.select("_q", "table_id", "result", F.lit(True).alias("_default")))
+    count = F.count(F.when(~F.col("_default"), 1))
+    entry = F.first(F.when(~F.col("_default"), F.col("result")), ignorenulls=True)
+    best = F.when(count > 1, F.raise_error(F.concat(F.lit("ambiguous entries for "), F.first("_q"))).cast("map<string,string>")).when(count == 1, entry).otherwise(F.first("result", ignorenulls=True))
+    best = answers.groupBy("_q", "table_id").agg(best.alias("result"))
     one_set = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("several value sets answer "), F.first("_q"))).cast("map<string,string>")).otherwise(F.first("result"))
-    final = answers.groupBy("_q").agg(one_set.alias("result"))
+    final = best.groupBy("_q").agg(one_set.alias("result"))
     return requests.withColumn("_q", key_of).join(final, "_q", "left").drop("_q")
 
 
@@ -201,16 +207,20 @@ def requests(graph: Graph, info: ValueSetInfo) -> DataFrame:
         return _queried(graph, info, texts)
     sources = list(info.request_values) or [info.attribute.id]
     keys = list(info.request_keys) or ([""] if len(sources) == 1 else sources)
-    name = F.element_at(F.map_from_arrays(F.array(*map(F.lit, sources)), F.array(*map(F.lit, keys))), F.col("schema_node_id"))
-    values = graph.nodes.where(F.col("schema_node_id").isin(sources) & F.col("value").isNotNull()).select("graph_id", "entity_root_id", name.alias("k"), F.col("value").alias("v"))
+    # one pass over the nodes: each entity's values by key, and its context nodes
+    wanted, found = F.col("schema_node_id").isin([*sources, info.context]), {}
     for s, k in zip(sources, keys, strict=True):
+        found.setdefault(k, []).append(F.when(F.col("schema_node_id") == s, F.col("value")))
         a = graph.layer.find(s)
         if a is not None and a.one("ingestAs") == "property":
             p = a.one("propertyName") or a.name or a.id
-            values = values.unionByName(graph.nodes.where(F.array_contains(F.map_keys("props"), p)).select("graph_id", "entity_root_id", F.lit(k).alias("k"), F.get(F.col("props")[p], F.lit(0)).alias("v")))
-    asked = values.groupBy("graph_id", "entity_root_id", "k").agg(F.min("v").alias("v")).groupBy("graph_id", "entity_root_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("request"))
-    context = graph.instances(info.context).select("graph_id", F.col("node_id").alias("context_id"), "entity_root_id")
-    return context.join(asked, ["graph_id", "entity_root_id"])
+            found[k].append(F.get(F.col("props")[p], F.lit(0)))
+            wanted = wanted | F.array_contains(F.map_keys("props"), p)
+    values = [F.min(F.coalesce(*v)) for v in found.values()]
+    held = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in zip(found, values, strict=True))), lambda x: x["v"].isNotNull())
+    contexts = F.collect_list(F.when(F.col("schema_node_id") == info.context, F.col("node_id")))
+    asked = graph.nodes.where(wanted).groupBy("graph_id", "entity_root_id").agg(held.alias("_held"), contexts.alias("_contexts")).where(F.size("_held") > 0)
+    return asked.select("graph_id", F.explode("_contexts").alias("context_id"), "entity_root_id", F.map_from_entries("_held").alias("request"))
 
 
 def _queried(graph: Graph, info: ValueSetInfo, texts: list[str]) -> DataFrame:
@@ -269,12 +279,21 @@ def apply_results(graph: Graph, info: ValueSetInfo, answered: DataFrame) -> Grap
 
 
 def process(graph: Graph, answer: Callable[[DataFrame, Sequence[str]], DataFrame] | DataFrame, only_tables: Sequence[str] | None = None) -> Graph:
-    """All value-set attributes of the layer. answer: an entries table, or a function(requests, tables) that adds `result`."""
-    find = answer if callable(answer) else (lambda asked, tables: lookup(asked, answer, tables))
-    for info in infos(graph.layer):
-        if only_tables is not None and info.tables and not set(info.tables) & set(only_tables):
-            continue
-        graph = apply_results(graph, info, find(requests(graph, info), info.tables))
+    """All value-set attributes of the layer. answer: an entries table, or a function(requests, tables) that adds `result`.
+
+    The graph is held before the first lookup and after each, so neither the ingestion nor a
+    lookup is planned again for each later use.
+    """
+    wanted = [i for i in infos(graph.layer) if only_tables is None or not i.tables or set(i.tables) & set(only_tables)]
+    if not wanted:
+        return graph
+    if not callable(answer):
+        entries, sizes = answer, measured(answer)
+        answer = lambda asked, tables: lookup(asked, entries, tables, sizes=sizes)
+    graph = graph.held()
+    for info in wanted:
+        answered = written(answer(requests(graph, info), info.tables))
+        graph = apply_results(graph, info, answered).held()
     return graph
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import HAS, Graph
-from ..schema.layer import Attribute
+from ..schema.layer import Attribute, Layer
+from ..storage import written
 
 
 def to_table(graph: Graph, columns: Sequence[str], roots: Column | None = None, keep_ids: bool = False) -> DataFrame:
@@ -17,64 +18,98 @@ def to_table(graph: Graph, columns: Sequence[str], roots: Column | None = None,
     A cell is the value of the root's child with that name, or its property. Several such
     children are an error; none give an empty cell.
     """
-    nodes = graph.nodes
-    if roots is None:
-        ends = graph.edges.select("graph_id", F.col("dst").alias("node_id"))
-        own = nodes.join(ends, ["graph_id", "node_id"], "left_anti")
-    else:
-        own = nodes.where(roots)
-    own = own.select("graph_id", F.col("node_id").alias("root"), "props")
-    cells = graph.children().select("graph_id", F.col("parent_id").alias("root"), "attribute_name", "value").where(F.col("attribute_name").isin(list(columns)))
-    agg = []
+    ends = graph.edges.select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("_parent"))
+    is_root = F.col("_parent").isNull() if roots is None else F.coalesce(roots, F.lit(False))
+    nodes = graph.nodes.join(ends, ["graph_id", "node_id"], "left")
+    none = F.lit(None).cast("string")
+    # a node is a row if it is a root, and a cell of its parent; both meet by the root's id
+    as_root = F.when(is_root, F.struct(F.col("node_id").alias("root"), F.lit(True).alias("is_root"), F.col("props").alias("props"), none.alias("name"), none.alias("value")))
+    as_cell = F.when(F.col("_parent").isNotNull() & F.col("attribute_name").isin(list(columns)), F.struct(F.col("_parent").alias("root"), F.lit(False).alias("is_root"), F.lit(None).cast("map<string,array<string>>").alias("props"), F.col("attribute_name").alias("name"), F.col("value").alias("value")))
+    parts = nodes.select("graph_id", F.explode(F.filter(F.array(as_root, as_cell), lambda x: x.isNotNull())).alias("_p")).select("graph_id", "_p.*")
+    agg = [F.max("is_root").alias("_root"), F.first("props", ignorenulls=True).alias("props")]
     for k, c in enumerate(columns):
-        mine = F.when(F.col("attribute_name") == c, F.col("value"))
-        count = F.count(F.when(F.col("attribute_name") == c, 1))
-        agg.append(F.when(count > 1, F.raise_error(F.lit(f"more than one value of {c}")).cast("string")).otherwise(F.max(mine)).alias(f"_{k}"))
-    wide = cells.groupBy("graph_id", "root").agg(*agg)
-    joined = own.join(wide, ["graph_id", "root"], "left")
+        count = F.count(F.when(F.col("name") == c, 1))
+        agg.append(F.when(F.max("is_root") & (count > 1), F.raise_error(F.lit(f"more than one value of {c}")).cast("string")).otherwise(F.max(F.when(F.col("name") == c, F.col("value")))).alias(f"_{k}"))
+    wide = parts.groupBy("graph_id", "root").agg(*agg).where("_root")
     values = [F.coalesce(F.col(f"_{k}"), F.get(F.col("props")[c], F.lit(0)), F.lit("")).alias(c) for k, c in enumerate(columns)]
-    return joined.select(*(["graph_id", "root"] if keep_ids else []), *values)
+    return wide.select(*(["graph_id", "root"] if keep_ids else []), *values)
 
 
 def write_csv(table: DataFrame, path: str, append: bool = True, header: bool = True) -> None:
     table.write.mode("append" if append else "overwrite").option("header", header).csv(path)
 
 
-def _children_sorted(graph: Graph, labels: Sequence[str]) -> DataFrame:
-    return graph.children().where(F.col("edge_label").isin(list(labels)))
+def _levels(layer: Layer) -> dict[str, int] | None:
+    """Depth of each attribute; None where one stands at several depths."""
+    out: dict[str, int] = {}
+    for a in layer.attributes():
+        if out.setdefault(a.id, len(a.path())) != len(a.path()):
+            return None
+    return out
 
 
 def to_json(graph: Graph, root: str, depth: int | None = None, labels: Sequence[str] = (HAS,), type_key: str = "") -> DataFrame:
-    """(graph_id, node_id, json) of the instances of a root attribute, built bottom-up, a join for each level.
+    """(graph_id, node_id, json) of the instances of a root attribute, built bottom-up, an aggregate for each level.
 
     Objects take their children by attribute name, arrays by index; numbers and booleans are
     written as such where the attribute's type says so. Only edges with the given labels are
     followed. depth: levels followed (default: the layer's).
+
+    Where the layer gives every node a level, a level's nodes are worked on once, the deepest
+    first; else all containers are built anew for each level, with what their children then are.
     """
     levels = depth if depth is not None else max(len(a.path()) for a in graph.layer.attributes())
     literal = {"json:number", "json:integer", "json:boolean", "xsd:boolean", "xsd:decimal", "xsd:int", "xsd:long", "xsd:short", "xsd:byte", "integer", "number", "boolean"}
     typed = F.exists(F.coalesce("value_type", F.array().cast("array<string>")), lambda t: t.isin(sorted(literal)))
     text = F.when(F.col("value").isNull(), F.lit("null")).when(typed & F.col("value").rlike(r"^(?:-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false)$"), F.col("value")).otherwise(F.regexp_replace(F.to_json(F.array("value")), r"^\[|\]$", ""))
-    links = _children_sorted(graph, labels).select("graph_id", "parent_id", "node_id", "ord")
-    nodes = graph.nodes.select("graph_id", "node_id", "type", "attribute_name", "attribute_index", "props", "schema_node_id", text.alias("_text"), F.element_at(F.coalesce("labels", F.array().cast("array<string>")), -1).alias("_label"))
     quote = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
     props = F.transform(F.map_entries("props"), lambda e: F.struct(F.lit(-1).alias("i"), e["key"].alias("k"), F.when(F.size(e["value"]) == 1, quote(e["value"][0])).otherwise(F.to_json(e["value"])).alias("v")))
-    done = nodes.where("type = 'Value'").select("graph_id", "node_id", F.col("_text").alias("json"))
-    built = done
-    for _ in range(levels):
-        below = links.join(built, ["graph_id", "node_id"]).join(nodes.select("graph_id", "node_id", "attribute_name", "attribute_index"), ["graph_id", "node_id"])
-        parts = below.groupBy("graph_id", F.col("parent_id").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("ord", "attribute_index").alias("i"), F.col("attribute_name").alias("k"), F.col("json").alias("v")))).alias("_c"))
-        whole = nodes.where("type <> 'Value'").join(parts, ["graph_id", "node_id"], "left")
-        empty = F.array().cast("array<struct<i:int,k:string,v:string>>")
-        children = F.coalesce("_c", empty)
-        kind = F.array(F.struct(F.lit(-2).alias("i"), F.lit(type_key).alias("k"), quote(F.col("_label")).alias("v"))) if type_key else empty
-        fields = F.transform(F.filter(F.concat(kind, props, children), lambda e: e["k"].isNotNull()), lambda e: F.concat(quote(e["k"]), F.lit(":"), e["v"]))
+    known = _levels(graph.layer) if depth is None else None
+    level = F.lit(None).cast("int") if not known else F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), F.col("schema_node_id"))
+    links = graph.edges.where(F.col("label").isin(list(labels))).select("graph_id", F.col("src").alias("parent_id"), F.col("dst").alias("node_id"), "ord")
+    own = graph.nodes.select(
+        "graph_id", "node_id", "type", "attribute_name", "attribute_index", "schema_node_id", level.alias("level"), F.when(F.col("type") == "Value", text).alias("json"),
+        F.when(F.col("type") != "Value", props).alias("_props"), F.element_at(F.coalesce("labels", F.array().cast("array<string>")), -1).alias("_label"),
+    )
+    tree = own.join(links, ["graph_id", "node_id"], "left").withColumn("i", F.coalesce("ord", "attribute_index"))
+    if not tree.isStreaming:
+        tree = written(tree)
+
+    empty = F.array().cast("array<struct<i:int,k:string,v:string>>")
+    finished = F.struct(F.col("i"), F.col("attribute_name").alias("k"), F.col("json").alias("v"))
+    itself = F.struct("type", "attribute_name", "schema_node_id", "_props", "_label")
+    upward = F.struct("parent_id", "i")
+
+    def built(children: DataFrame, containers: DataFrame) -> DataFrame:
+        """Containers with their json; children and containers meet by the container's id."""
+        parts = children.select("graph_id", F.col("parent_id").alias("node_id"), finished.alias("c"), F.lit(None).alias("s"), F.lit(None).alias("u"))
+        parts = parts.unionByName(containers.select("graph_id", "node_id", F.lit(None).alias("c"), itself.alias("s"), upward.alias("u")))
+        # a container may stand below several parents, each time as the same text
+        got = parts.groupBy("graph_id", "node_id").agg(F.sort_array(F.collect_list("c")).alias("c"), F.first("s", ignorenulls=True).alias("s"), F.collect_set("u").alias("u")).where("s IS NOT NULL")
+        kind = F.array(F.struct(F.lit(-2).alias("i"), F.lit(type_key).alias("k"), quote(F.col("s._label")).alias("v"))) if type_key else empty
+        fields = F.transform(F.filter(F.concat(kind, F.coalesce("s._props", empty), "c"), lambda e: e["k"].isNotNull()), lambda e: F.concat(quote(e["k"]), F.lit(":"), e["v"]))
         obj = F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
-        arr = F.concat(F.lit("["), F.array_join(F.transform(children, lambda e: e["v"]), ","), F.lit("]"))
-        containers = whole.select("graph_id", "node_id", F.when(F.col("type") == "Array", arr).otherwise(obj).alias("json"))
-        built = done.unionByName(containers)
-    wanted = graph.nodes.where(F.col("schema_node_id") == root).select("graph_id", "node_id")
-    return built.join(wanted, ["graph_id", "node_id"], "left_semi").select("graph_id", "node_id", "json")
+        arr = F.concat(F.lit("["), F.array_join(F.transform("c", lambda e: e["v"]), ","), F.lit("]"))
+        got = got.select("graph_id", "node_id", F.col("s.attribute_name").alias("attribute_name"), F.col("s.schema_node_id").alias("schema_node_id"), F.when(F.col("s.type") == "Array", arr).otherwise(obj).alias("json"), F.explode("u").alias("u"))
+        return got.select("graph_id", "node_id", "attribute_name", "schema_node_id", "json", "u.parent_id", "u.i")
+
+    columns = ("graph_id", "node_id", "attribute_name", "schema_node_id", "json", "parent_id", "i")
+    values, containers = tree.where("type = 'Value'"), tree.where("type <> 'Value'")
+    if known and not tree.isStreaming and tree.where("level IS NULL").isEmpty():
+        target = known.get(root, 1)
+        done = None
+        for k in range(max(known.values()), target - 1, -1):
+            here = values.where(F.col("level") == k).select(*columns)
+            above = containers.where(F.col("level") == k)
+            if done is not None or any(a.kind != "Value" and known[a.id] == k for a in graph.layer.attributes()):
+                below = values.limit(0).select(*columns) if done is None else done.where("parent_id IS NOT NULL")
+                here = here.unionByName(built(below, above)) if any(a.kind == "Value" and known[a.id] == k for a in graph.layer.attributes()) else built(below, above)
+            done = here
+    else:
+        done = values.select(*columns)
+        for _ in range(levels):
+            done = values.select(*columns).unionByName(built(done.where("parent_id IS NOT NULL"), containers))
+    return done.where(F.col("schema_node_id") == root).select("graph_id", "node_id", "json").distinct()
 
 
 def to_graph_json(graph: Graph, include_schema: bool = True) -> DataFrame:
@@ -116,7 +151,10 @@ def to_dot(graph: Graph, name: str = "G", most: int = 10_000) -> str:
         facts = [n.node_id, ",".join(n.labels or []), *([f"value={n.value}"] if n.value is not None else []), *(f"{k}={','.join(v)}" for k, v in sorted((n.props or {}).items()))]
         text = "\\n".join(quote(f) for f in facts if f)
         lines.append(f'  "{quote(n.graph_id)}/{quote(n.node_id)}" [label="{text}"];')
-    for e in graph.edges.orderBy("graph_id", "src", "ord", "dst").collect():
+    edges = graph.edges.orderBy("graph_id", "src", "ord", "dst").limit(4 * most + 1).collect()
+    if len(edges) > 4 * most:
+        raise ValueError(f"more than {4 * most} edges to draw")
+    for e in edges:
         lines.append(f'  "{quote(e.graph_id)}/{quote(e.src)}" -> "{quote(e.graph_id)}/{quote(e.dst)}" [label="{quote(e.label)}"];')
     return "\n".join([*lines, "}"])
 
