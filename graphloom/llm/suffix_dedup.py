@@ -5,8 +5,8 @@ same document and earlier start). Every such span holds at least one anchor, a l
 among the hashes of its short windows, so equal spans hold an anchor at the same place, and
 only spans at one place about equal anchors have to be compared:
 
-1. The starts of the spans through an anchor go in three runs (RUNS). All spans of a run share
-   a core of 75 bytes and lie within a context of 125; a core's hash is the run's key. Runs
+1. The starts of the spans through an anchor go in two runs (RUNS). All spans of a run share a
+   core of 62 bytes and lie within a context of 138; a core's hash is the run's key. Runs
    whose contexts agree (both hashes, of two bases) are one class: all but its first are covered.
    This is settled within each batch first, which sends on at most two contexts of a key, and
    then by buckets of keys.
@@ -37,9 +37,9 @@ from .common import mix64, saved
 SPAN, ANCHOR = 100, 24
 REACH = SPAN - ANCHOR
 #: First and last start, from the anchor, of each run of spans through it.
-RUNS = ((-76, -51), (-50, -26), (-25, 0))
+RUNS = ((-76, -39), (-38, 0))
 #: Text bytes whose keys share a bucket, and bytes of contexts that share a pack.
-BUCKET_BYTES, PACK_BYTES = 4 << 20, 4 << 20
+BUCKET_BYTES, PACK_BYTES = 8 << 20, 4 << 20
 #: Contexts of a key beyond which it is halved.
 MOST_CONTEXTS = 4096
 _BASES = (0xD1342543DE82EF95, 0x9E6C63D0876A9A35)
@@ -299,20 +299,22 @@ _ASKED = 128
 
 
 def _pack(doc, sub, core, whole, first, left_out, count) -> bytes:
-    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])]))
-    times = np.diff(np.append(at, len(doc)))
-    parts = (np.array([len(doc), len(at)], "<i8"), core.astype("<u8"), whole.astype("<u8"), first.astype("<i4"), left_out.astype("u1"), count.astype("u1"), doc[at].astype("<i8"), sub[at].astype("<i4"), times.astype("<i4"))
+    """Columns one after another; ids as differences from the least, in four bytes where they fit."""
+    base = doc.min()
+    more = doc.view("u8") - base.view("u8")
+    more = more.astype("<u4" if more.max() < 1 << 32 else "<u8")
+    parts = (np.array([len(doc), base, more.itemsize], "<i8"), core.astype("<u8"), whole.astype("<u8"), first.astype("<i4"), left_out.astype("u1"), count.astype("u1"), more, sub.astype("<i4"))
     return b"".join(p.tobytes() for p in parts)
 
 
 def _unpack(data: pa.Buffer) -> tuple[np.ndarray, ...]:
-    n, docs = np.frombuffer(data, "<i8", 2).tolist()
-    at, out = 16, []
-    for kind, k in (("<u8", n), ("<u8", n), ("<i4", n), ("u1", n), ("u1", n), ("<i8", docs), ("<i4", docs), ("<i4", docs)):
-        out.append(np.frombuffer(data, kind, k, at))
+    n, base, size = np.frombuffer(data, "<i8", 3).tolist()
+    at, out = 24, []
+    for kind in ("<u8", "<u8", "<i4", "u1", "u1", f"<u{size}", "<i4"):
+        out.append(np.frombuffer(data, kind, n, at))
         at += out[-1].nbytes
-    core, whole, first, left_out, count, doc, sub, times = out
-    return np.repeat(doc, times), np.repeat(sub, times), core, whole, first, left_out, count
+    core, whole, first, left_out, count, more, sub = out
+    return (more.astype(np.uint64) + np.array(base).view("u8")).view(np.int64), sub, core, whole, first, left_out, count
 
 
 def _settle(parts: int):
@@ -343,7 +345,7 @@ def _settle(parts: int):
 class SuffixArray:
     """Suffixes of at least `least` bytes of some short texts in order, and their maximal repeats.
 
-    Suffixes are sorted by their bytes, each held whole (a context has 125 bytes at most); common
+    Suffixes are sorted by their bytes, each held whole (a context has 138 bytes at most); common
     prefixes of neighbours are counted on the same bytes; a stack over them walks the tree of
     common-prefix intervals. An interval is kept if the bytes before its suffixes differ (the
     start of a text differs from all).
@@ -545,9 +547,8 @@ def covered_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.hash(text_col).alias("sub"), F.col(text_col).alias("_text"))
     total = int(docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0)
     parts = max(8, -(-total // BUCKET_BYTES))
-    tasks = max(8, parts // 2)
-    by_part = lambda df, kind: df.repartition(tasks, "part").groupBy("part").applyInArrow(_gathered(kind), "doc long, sub int, data binary")
-    listed = docs.mapInArrow(_list_runs(parts), f"bucket int, {_FOUND}").repartition(tasks, "bucket")
+    by_part = lambda df, kind: df.repartition(parts, "part").groupBy("part").applyInArrow(_gathered(kind), "doc long, sub int, data binary")
+    listed = docs.mapInArrow(_list_runs(parts), f"bucket int, {_FOUND}").repartition(parts, "bucket")
     found = saved(listed.groupBy("bucket").applyInArrow(_settle(parts), _FOUND))
     asked = by_part(found.where("kind = 2"), _RUN).withColumnRenamed("data", "asked")
     # the built side of a partition has about as many bytes as its texts at most
