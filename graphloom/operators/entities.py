@@ -10,41 +10,64 @@ from pyspark.sql.window import Window
 
 from ..graph import HAS, Graph, edge_columns, node_columns
 from ..schema.layer import SchemaError
+from ..storage import written
 
 
-def _survivors(graph: Graph, roots: DataFrame) -> DataFrame:
-    """(graph_id, node_id, winner) of roots that give way to the first of their kind and id."""
-    first = roots.groupBy("graph_id", "_kind", "entity_id").agg(F.min("node_id").alias("winner"))
-    return roots.join(first, ["graph_id", "_kind", "entity_id"]).where("node_id <> winner").select("graph_id", "node_id", "winner")
+def _first(column: str) -> Column:
+    """Order of node ids: shorter ones first, so that numbers in them count up."""
+    return F.struct(F.length(column).alias("n"), F.col(column).alias("id"))
 
 
-def _replace(graph: Graph, losers: DataFrame) -> Graph:
-    """Incoming edges move to the winners; losers go, with their subtrees' nodes left to the winners' own."""
-    gone = losers.select("graph_id", F.col("node_id").alias("entity_root_id"))
-    nodes = graph.nodes.join(losers.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti")
-    nodes = nodes.join(gone, ["graph_id", "entity_root_id"], "left_anti").select(*graph.nodes.columns)
-    moved = losers.select("graph_id", F.col("node_id").alias("dst"), F.col("winner").alias("_to"))
-    edges = graph.edges.join(moved, ["graph_id", "dst"], "left").withColumn("dst", F.coalesce("_to", "dst")).select(*graph.edges.columns)
-    kept = nodes.select("graph_id", F.col("node_id").alias("src"))
-    edges = edges.join(kept, ["graph_id", "src"], "left_semi").join(kept.withColumnRenamed("src", "dst"), ["graph_id", "dst"], "left_semi").select(*graph.edges.columns).dropDuplicates(["graph_id", "src", "dst", "label"])
-    return graph.with_(nodes=nodes, edges=edges)
+def _survivors(roots: DataFrame) -> DataFrame:
+    """(graph_id, node_id, winner) of the roots of each kind and id of which there are several, the winner among them.
+
+    Minima are written before they are joined, so the join's other side can be split where a
+    large share of the rows bears one id.
+    """
+    key = ["graph_id", "_kind", "entity_id"]
+    first = written(roots.groupBy(*key).agg(F.min(_first("node_id")).alias("_w"), F.count("*").alias("_c")).where("_c > 1").select(*key, F.col("_w.id").alias("winner")))
+    return written(roots.select(*key, "node_id").join(first, key).select("graph_id", "node_id", "winner"))
 
 
-def consolidate(graph: Graph, label: str) -> Graph:
-    """Of the entities with a label and the same id, the first by node id stays.
+def _replace(graph: Graph, roots: DataFrame) -> Graph:
+    """One root for all of a group: what leads to the others leads to the winner, and what lies below them lies below it.
 
-    Edges into the others lead to it; the others go with what lies below them. Entities
-    without id are left alone. Minima are aggregated map-side and joined, so an id that a large
-    share of the rows bears gathers in no task.
+    Of a value that several have below them the winner's stays, or else the first other's;
+    containers and nested entities all stay. Edges keep their properties, parallel ones included.
     """
+    graph = graph.held()
+    losers = roots.where("node_id <> winner")
+    kept = (*graph.nodes.columns,), (*graph.edges.columns,)
+    below = graph.edges.join(roots.withColumnRenamed("node_id", "src"), ["graph_id", "src"]).select("graph_id", "src", "dst", "winner", "label")
+    values = graph.nodes.where("type = 'Value'").select("graph_id", F.col("node_id").alias("dst"), F.coalesce("schema_node_id", "attribute_name").alias("_name"))
+    values = written(below.join(values, ["graph_id", "dst"]).withColumn("_rank", F.struct((F.col("src") != F.col("winner")).alias("late"), _first("src").alias("root"))))
+    best = written(values.groupBy("graph_id", "winner", "label", "_name").agg(F.min("_rank").alias("_best")))
+    gone = values.join(best, ["graph_id", "winner", "label", "_name"]).where("_rank <> _best").select("graph_id", F.col("dst").alias("node_id"))
+    gone = written(gone.unionByName(losers.select("graph_id", "node_id")).distinct())
+    to = losers.select("graph_id", F.col("node_id").alias("_from"), F.col("winner").alias("_to"))
+
+    def moved(df: DataFrame, column: str) -> DataFrame:
+        own = to.withColumnRenamed("_from", column)
+        return df.join(own, ["graph_id", column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+
+    dropped = gone.join(losers, ["graph_id", "node_id"], "left_anti").withColumnRenamed("node_id", "dst")
+    nodes = moved(graph.nodes.join(gone, ["graph_id", "node_id"], "left_anti"), "entity_root_id").select(*kept[0])
+    edges = moved(moved(graph.edges.join(dropped, ["graph_id", "dst"], "left_anti"), "src"), "dst").select(*kept[1])
+    return graph.with_(nodes=nodes, edges=edges)
+
+
+def consolidate(graph: Graph, label: str) -> Graph:
+    """Of the entities with a label and the same id, the first by node id stays for all; entities without id are left alone."""
+    graph = graph.held()
     roots = graph.nodes.where(F.array_contains("labels", label) & F.col("entity_id").isNotNull()).withColumn("_kind", F.lit(label))
-    return _replace(graph, _survivors(graph, roots))
+    return _replace(graph, _survivors(roots))
 
 
 def reuse_entities(graph: Graph) -> Graph:
-    """Within a graph, one node for each entity schema and id: later ones become edges to the first."""
+    """Within a graph, one node for each entity schema and id: later ones become edges to the first, which takes over what only they have."""
+    graph = graph.held()
     roots = graph.nodes.where("entity_schema IS NOT NULL AND entity_id IS NOT NULL").withColumn("_kind", F.col("entity_schema"))
-    return _replace(graph, _survivors(graph, roots))
+    return _replace(graph, _survivors(roots))
 
 
 def add_defaults(graph: Graph) -> Graph:
@@ -93,8 +116,8 @@ def compute_hashes(graph: Graph) -> Graph:
     """Values of hash attributes: digest of the listed attributes' raw values within the entity, in order.
 
     Several instances of a listed attribute follow each other; nothing stands between values. A
-    missing node is made below the entity root. If the attribute is an id field, entity ids
-    that were incomplete for it are set.
+    missing node is made below the entity root. If the attribute is an id field, entity ids are
+    set anew from the values of all id fields.
     """
     for a in graph.layer.attributes():
         term = next((t for t in _HASHES if t in a.props), None)
@@ -113,14 +136,21 @@ def compute_hashes(graph: Graph) -> Graph:
         graph = set_values(graph, a.id, values)
         entity = graph.layer.entity_of(a)
         if entity is not None and a.id in entity.many("entityIdFields"):
-            fields = entity.many("entityIdFields")
-            if fields == [a.id]:
-                ids = values.select("graph_id", F.col("entity_root_id").alias("node_id"), "_hash")
-                nodes = graph.nodes.join(ids, ["graph_id", "node_id"], "left")
-                graph = graph.with_(nodes=nodes.withColumn("entity_id", F.when(F.col("_hash").isNotNull(), F.array("_hash")).otherwise(F.col("entity_id"))).select(*graph.nodes.columns))
+            graph = _complete_ids(graph, entity)
     return graph
 
 
+def _complete_ids(graph: Graph, entity) -> Graph:
+    """Entity ids of an entity's roots from the values of its id fields, where all of them are there."""
+    fields = entity.many("entityIdFields")
+    cells = graph.nodes.where(F.col("schema_node_id").isin(fields) & F.col("value").isNotNull())
+    found = cells.groupBy("graph_id", F.col("entity_root_id").alias("node_id")).agg(*(F.min(F.when(F.col("schema_node_id") == f, F.col("value"))).alias(f"_{k}") for k, f in enumerate(fields)))
+    parts = [F.col(f"_{k}") for k in range(len(fields))]
+    found = found.select("graph_id", "node_id", F.lit(entity.id).alias("schema_node_id"), F.when(F.size(F.array_compact(F.array(*parts))) == len(fields), F.array(*parts)).alias("_ids"))
+    nodes = graph.nodes.join(found, ["graph_id", "node_id", "schema_node_id"], "left")
+    return graph.with_(nodes=nodes.withColumn("entity_id", F.coalesce("_ids", "entity_id")).select(*graph.nodes.columns))
+
+
 def set_values(graph: Graph, attribute_id: str, values: DataFrame) -> Graph:
     """Set the nodes of an attribute from values(graph_id, entity_root_id, _value-like last column), making those that are missing."""
     a = graph.layer.find(attribute_id)
@@ -144,8 +174,10 @@ def set_values(graph: Graph, attribute_id: str, values: DataFrame) -> Graph:
 def apply_set_values(graph: Graph) -> Graph:
     """Attributes with `setValue`: missing nodes are made, and the last query's single cell is the value.
 
-    The queries see `this`, the attribute's node. A query that gives several rows, several
-    columns or none leaves the value as it is.
+    The queries see `this`, the attribute's node, and run in order: what a query gives for a
+    node in a single row under a name (`as x`) is bound to that name in the later ones, a node as
+    that node, a value as that value. A last query that gives several rows, several columns or
+    none leaves the value as it is. A value that is an id field sets its entity's id.
     """
     from ..plans import cypher
 
@@ -153,12 +185,15 @@ def apply_set_values(graph: Graph) -> Graph:
         texts = a.many("setValue")
         if not texts or a.parent is None:
             continue
-        graph = ensure_path(graph, [a.parent.id, a.id])
+        graph = ensure_path(graph, [a.parent.id, a.id]).held()
         own = graph.instances(a.id).select("graph_id", "node_id")
-        found = cypher.values(graph, texts[-1], "this", own)
+        found = cypher.chained_values(graph, texts, "this", own)
         one = found.groupBy("graph_id", F.col("_this").alias("node_id")).agg(F.count("*").alias("_c"), F.max("value").alias("_set")).where("_c = 1").drop("_c")
         nodes = graph.nodes.join(one, ["graph_id", "node_id"], "left").withColumn("value", F.coalesce("_set", "value")).select(*graph.nodes.columns)
         graph = graph.with_(nodes=nodes)
+        entity = graph.layer.entity_of(a)
+        if entity is not None and a.id in entity.many("entityIdFields"):
+            graph = _complete_ids(graph, entity)
     return graph
 
 
@@ -166,7 +201,8 @@ def set_uuids(graph: Graph) -> Graph:
     """Random ids as values of attributes with `uuid`."""
     ids = [a.id for a in graph.layer.attributes() if "uuid" in a.props]
     value = F.when(F.col("schema_node_id").isin(ids), F.expr("uuid()")).otherwise(F.col("value"))
-    return graph.with_(nodes=graph.nodes.withColumn("value", value)) if ids else graph
+    # written once: a plan that draws ids gives others each time it is used
+    return graph.with_(nodes=written(graph.nodes.withColumn("value", value))) if ids else graph
 
 
 def renumber(graph: Graph) -> Graph:
@@ -212,20 +248,28 @@ def validate(graph: Graph) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def descendants(graph: Graph, roots: Column, depth: int = 8, labels: list[str] | None = None) -> DataFrame:
-    """(graph_id, root_id, node_id, level) of all nodes within `depth` edges below the roots that a condition picks."""
+def descendants(graph: Graph, roots: Column, depth: int | None = None, labels: list[str] | None = None) -> DataFrame:
+    """(graph_id, root_id, node_id, level) of all nodes below the roots that a condition picks, within `depth` edges if given.
+
+    Each level is written and followed until none is new; cycles end as every node counts once for a root.
+    """
     edges = graph.edges if labels is None else graph.edges.where(F.col("label").isin(labels))
-    steps = edges.select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("_next"))
-    level = graph.nodes.where(roots).select("graph_id", F.col("node_id").alias("root_id"), "node_id", F.lit(0).alias("level"))
-    out = level
-    for k in range(1, depth + 1):
-        level = level.join(steps, ["graph_id", "node_id"]).select("graph_id", "root_id", F.col("_next").alias("node_id"), F.lit(k).alias("level"))
-        out = out.unionByName(level)
-    return out.groupBy("graph_id", "root_id", "node_id").agg(F.min("level").alias("level"))
+    steps = written(edges.select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("_next")).distinct())
+    key = ["graph_id", "root_id", "node_id"]
+    level = written(graph.nodes.where(roots).select("graph_id", F.col("node_id").alias("root_id"), "node_id", F.lit(0).alias("level")).distinct())
+    parts, k = [level], 0
+    while k != depth:
+        k += 1
+        new = level.join(steps, ["graph_id", "node_id"]).select("graph_id", "root_id", F.col("_next").alias("node_id"), F.lit(k).alias("level")).distinct()
+        level = written(new.join(reduce(DataFrame.unionByName, parts).select(*key), key, "left_anti"))
+        if level.isEmpty():
+            break
+        parts.append(level)
+    return reduce(DataFrame.unionByName, parts)
 
 
-def ancestors(graph: Graph, nodes: Column, depth: int = 8) -> DataFrame:
-    """(graph_id, start_id, node_id, level) of all nodes within `depth` edges above."""
+def ancestors(graph: Graph, nodes: Column, depth: int | None = None) -> DataFrame:
+    """(graph_id, start_id, node_id, level) of all nodes above, within `depth` edges if given."""
     turned = graph.with_(edges=graph.edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "label", "ord", "props"))
     return descendants(turned, nodes, depth).withColumnRenamed("root_id", "start_id")
 

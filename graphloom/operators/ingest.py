@@ -21,7 +21,7 @@ _ITEM = (
     ("attribute_index", "int"), ("value", "string"), ("value_type", "array<string>"), ("entity_schema", "string"), ("entity_id", "array<string>"),
     ("entity_root_id", "string"), ("props", "map<string,array<string>>"), ("edge_label", "string"), ("present", "boolean"), ("error", "string"),
 )
-#: How deep a recursive schema is followed.
+#: How deep a recursive schema is followed; data that goes deeper is an error. Other schemas are followed to their end.
 MAX_DEPTH = 8
 
 
@@ -55,6 +55,19 @@ def _item(**given) -> Column:
     return F.struct(*out)
 
 
+def recursive(a: Attribute) -> bool:
+    """Whether an attribute stands below itself."""
+    seen, todo = set(), list(a.children)
+    while todo:
+        x = todo.pop()
+        if x is a:
+            return True
+        if id(x) not in seen:
+            seen.add(id(x))
+            todo += x.children
+    return False
+
+
 class _Flat:
     """Values are columns of a row."""
 
@@ -137,14 +150,14 @@ class _Walk:
         """Properties that attributes below leave on a's node, in a's own scope."""
         out = []
 
-        def below(x: Attribute, v, nearest: Attribute, depth: int = 0):
-            for c in x.children if depth <= MAX_DEPTH else ():
+        def below(x: Attribute, v, nearest: Attribute, above: tuple = ()):
+            for c in x.children if not any(x is y for y in above) else ():
                 own = self.source.child(c, v)
                 if c.kind == "Value" and ingest_as(c) == "property":
                     if (c.one("asPropertyOf") or nearest.id) == a.id:
                         out.append(F.struct(F.lit(property_name(c)).alias("key"), F.array(self.source.text(own)).alias("value"), self.source.present(own).alias("present")))
                 elif c.kind == "Object":
-                    below(c, own, nearest if ingest_as(c) == "none" else c, depth + 1)
+                    below(c, own, nearest if ingest_as(c) == "none" else c, (*above, x))
 
         below(a, value, a)
         if not out:
@@ -154,8 +167,9 @@ class _Walk:
 
     def items(self, a: Attribute, value, node_id: Column, parent_id, root_id, index, depth: int, here: Column) -> list[Column]:
         """Arrays of item structs for a's node and all below; `here`: whether a's value stands in the data."""
-        if depth > MAX_DEPTH:
-            return []
+        if depth > MAX_DEPTH and recursive(a):
+            deeper = F.raise_error(F.concat(node_id, F.lit(f": deeper than the {MAX_DEPTH} levels to which {a.id} is followed")))
+            return [F.array(_item(node_id=node_id, schema_node_id=a.id, present=F.when(here, deeper.cast("boolean")).otherwise(F.lit(False))))]
         if a.kind == "Polymorphic":
             return self.choice(a, value, node_id, parent_id, root_id, index, depth, here)
         mode = ingest_as(a)

@@ -2,7 +2,8 @@
 
 MATCH of linear patterns (labels, property maps, directions, *min..max), WHERE, RETURN with
 aliases, DISTINCT, aggregates, ORDER BY, SKIP and LIMIT. Patterns stay within one graph_id. A
-variable-length step is the union of its lengths, so it needs an upper bound (default MAX_HOPS).
+variable-length step is the union of its lengths; without an upper bound it is followed to its end.
+Patterns without a common variable combine within a graph, up to MOST_APART nodes of the later one.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..storage import written
 
-MAX_HOPS = 6
-_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+\.\d+|\d+(?!\.\.)|\d+(?=\.\.))|(?P<name>`[^`]+`|[A-Za-z_][A-Za-z_0-9]*)|(?P<op><>|<=|>=|=~|->|<-|\.\.|[()\[\]{}:,.|=<>+\-*/%]))")
+#: Nodes of one graph that a pattern may have which shares no variable with those before it.
+MOST_APART = 10_000
+_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+\.\d+|\d+)|(?P<name>`[^`]+`|[A-Za-z_][A-Za-z_0-9]*)|(?P<op><>|<=|>=|=~|->|<-|\.\.|[()\[\]{}:,.|=<>+\-*/%]))")
 _COLUMNS = {"value": "value", "schemaNodeId": "schema_node_id", "attributeName": "attribute_name", "attributeIndex": "attribute_index", "entitySchema": "entity_schema", "nodeId": "node_id", "type": "type", "source": "source"}
 _AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "collect": F.collect_list}
 
@@ -39,7 +42,7 @@ class _Rel:
     props: dict
     direction: str  # out, in, both
     low: int = 1
-    high: int = 1
+    high: int | None = 1
     variable: bool = False
 
 
@@ -52,6 +55,7 @@ class _Query:
     order: list[tuple] = field(default_factory=list)
     skip: int | None = None
     limit: int | None = None
+    named: set[str] = field(default_factory=set)
 
 
 class _Parser:
@@ -111,7 +115,10 @@ class _Parser:
             start = self.at
             e = self.expr()
             text = "".join(t.strip("`") for _, t in self.tokens[start : self.at])
-            q.items.append((e, self.name() if self.take("AS") else text))
+            if self.take("AS"):
+                text = self.name()
+                q.named.add(text)
+            q.items.append((e, text))
             if not self.take(","):
                 break
         if self.take("ORDER"):
@@ -178,11 +185,11 @@ class _Parser:
                     self.take(":")
                     out.labels.append(self.name())
             if self.take("*"):
-                out.variable, out.high = True, MAX_HOPS
+                out.variable, out.high = True, None
                 if self.peek()[0] == "num":
                     out.low = out.high = int(self.literal())
                 if self.take(".."):
-                    out.high = int(self.literal()) if self.peek()[0] == "num" else MAX_HOPS
+                    out.high = int(self.literal()) if self.peek()[0] == "num" else None
             out.props = self.props()
             self.need("]")
         outward = self.take("->") or (self.need("-"), False)[1]
@@ -284,6 +291,7 @@ def parse(text: str) -> _Query:
 class _Plan:
     def __init__(self, graph: Graph, bindings: dict[str, DataFrame]):
         self.graph, self.bindings = graph, bindings
+        self.params: set[str] = set()
         self.nodes: set[str] = set()
         self.edges: set[str] = set()
 
@@ -316,16 +324,32 @@ class _Plan:
         return {"out": out, "in": back, "both": out.unionByName(back)}[r.direction]
 
     def reach(self, r: _Rel) -> DataFrame:
-        """(graph_id, _from, _to) by low to high steps; each way counts once, as in path matching."""
-        one = self.steps(r).select("graph_id", "_from", "_to")
-        parts, level = [], None
+        """(graph_id, _from, _to) by low to high steps; each way counts once, and no edge stands twice in a way.
+
+        Without an upper bound ways grow by a step at a time, each length written, until none is left:
+        as no edge repeats, they end even where the graph has cycles.
+        """
+        one = self.steps(r).select("graph_id", "_from", "_to", F.to_json(F.col(r.var)).alias("_edge"))
+        parts = []
         if r.low == 0:
-            ids = self.graph.nodes.select("graph_id", F.col("node_id").alias("_from"), F.col("node_id").alias("_to"))
-            parts.append(ids)
-        for k in range(1, r.high + 1):
-            level = one if level is None else level.withColumnRenamed("_to", "_mid").join(one.withColumnRenamed("_from", "_mid"), ["graph_id", "_mid"]).select("graph_id", "_from", "_to")
+            parts.append(self.graph.nodes.select("graph_id", F.col("node_id").alias("_from"), F.col("node_id").alias("_to")))
+        if r.high is None:
+            one = written(one)
+        level = one.select("graph_id", "_from", "_to", F.array("_edge").alias("_way"))
+        k = 1
+        while r.high is None or k <= r.high:
+            if r.high is None:
+                level = written(level)
+                if level.isEmpty():
+                    break
             if k >= r.low:
-                parts.append(level)
+                parts.append(level.select("graph_id", "_from", "_to"))
+            step = one.select("graph_id", F.col("_from").alias("_mid"), F.col("_to").alias("_next"), "_edge")
+            level = level.withColumnRenamed("_to", "_mid").join(step, ["graph_id", "_mid"]).where(~F.array_contains("_way", F.col("_edge")))
+            level = level.select("graph_id", "_from", F.col("_next").alias("_to"), F.array_append("_way", F.col("_edge")).alias("_way"))
+            k += 1
+        if not parts:
+            return one.select("graph_id", "_from", "_to").limit(0)
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -337,7 +361,11 @@ class _Plan:
             out = self.narrow(df, first)
         else:
             own = self.scan(first)
-            out = own if df is None else df.join(own, "graph_id")  # patterns without a common variable combine within a graph
+            if df is not None and first.var not in self.bindings:
+                many = own.groupBy("graph_id").agg(F.count("*").alias("_c"))
+                few = F.when(F.col("_c") <= MOST_APART, True).otherwise(F.raise_error(F.lit(f"more than {MOST_APART} nodes of a graph in a pattern that shares no variable")).cast("boolean"))
+                own = own.join(many.where(few).drop("_c"), "graph_id")
+            out = own if df is None else df.join(own, "graph_id")
             self.nodes.add(first.var)
         at = first.var
         for r, n in zip(path[1::2], path[2::2]):
@@ -370,6 +398,8 @@ class _Plan:
         if op == "list":
             return F.array(*map(self.column, e[1]))
         if op == "var":
+            if e[1] in self.params:
+                return F.col(f"_param_{e[1]}")
             if e[1] not in self.nodes | self.edges:
                 raise QueryError(f"unknown variable {e[1]}")
             return F.col(f"{e[1]}.node_id") if e[1] in self.nodes else F.col(f"{e[1]}.label")
@@ -436,17 +466,43 @@ def run(graph: Graph, text: str, bindings: dict[str, DataFrame] | None = None, w
     graph_id (grouping by it where there are aggregates). keep: bound variables whose node ids
     stand in the result as _<name>; one that no pattern names is matched alone.
     """
-    q = parse(text)
-    plan = _Plan(graph, bindings or {})
+    return _run(graph, parse(text), bindings or {}, with_graph, keep)
+
+
+def _variables(e) -> set[str]:
+    if not isinstance(e, (tuple, list)):
+        return set()
+    if isinstance(e, tuple) and e and e[0] in ("var", "prop"):
+        return {e[1]}
+    return set().union(*map(_variables, e)) if e else set()
+
+
+def _run(graph: Graph, q: _Query, bindings: dict[str, DataFrame], with_graph: bool, keep: tuple[str, ...], fixed: dict[str, DataFrame] | None = None, params: dict[str, DataFrame] | None = None) -> DataFrame:
+    """run() of a parsed query. fixed, params: nodes and values (graph_id, _<keep>, _<name>) that earlier queries gave each node of the first kept variable."""
+    plan = _Plan(graph, bindings)
     df = None
     named = {n.var for path in q.paths for n in path[::2]}
     for var in keep:
         if var not in named:
             q.paths.insert(0, [_Node(var)])
+    used = _variables(q.where) | set().union(*(_variables(e) for e, _ in q.items), *(_variables(e) for e, _ in q.order))
+    fixed = {n: t for n, t in (fixed or {}).items() if n in named | used}
+    for n in fixed:
+        plan.bindings[n] = fixed[n].select("graph_id", F.col(f"_{n}").alias("node_id"))
+        if n not in named:
+            q.paths.append([_Node(n)])
     for path in q.paths:
         df = plan.path(df, path)
     if df is None:
         df = graph.spark.range(1).select(F.lit("").alias("graph_id"))
+    for n, table in fixed.items():
+        own = table.select(F.col("graph_id").alias("_g"), F.col(f"_{keep[0]}").alias("_k"), F.col(f"_{n}").alias("_v"))
+        df = df.join(own, (df["graph_id"] == own["_g"]) & (F.col(f"{keep[0]}.node_id") == own["_k"]) & (F.col(f"{n}.node_id") == own["_v"]), "left_semi")
+    for n, table in (params or {}).items():
+        if n in used - named:
+            plan.params.add(n)
+            own = table.select(F.col("graph_id").alias("_g"), F.col(f"_{keep[0]}").alias("_k"), F.col(f"_{n}").alias(f"_param_{n}"))
+            df = df.join(own, (df["graph_id"] == own["_g"]) & (F.col(f"{keep[0]}.node_id") == own["_k"]), "left").drop("_g", "_k")
     if q.where is not None:
         df = df.where(plan.column(q.where))
     names = [n for _, n in q.items]
@@ -476,7 +532,7 @@ def run(graph: Graph, text: str, bindings: dict[str, DataFrame] | None = None, w
     return out.select(*(["graph_id"] if with_graph else []), *(F.col(f"`{n}`") for n in names), *(f"_{v}" for v in keep))
 
 
-def values(graph: Graph, text: str, var: str, bound: DataFrame) -> DataFrame:
+def values(graph: Graph, text: str, var: str, bound: DataFrame, fixed: dict[str, DataFrame] | None = None, params: dict[str, DataFrame] | None = None) -> DataFrame:
     """(graph_id, _<var>, key, value) of a query with one variable bound: a row for each result column.
 
     A column that returns a node gives the node's value.
@@ -484,7 +540,7 @@ def values(graph: Graph, text: str, var: str, bound: DataFrame) -> DataFrame:
     q = parse(text)
     if not q.paths:
         q.paths.append([_Node(var)])
-    out = run(graph, text, {var: bound}, with_graph=True, keep=(var,))
+    out = _run(graph, q, {var: bound}, True, (var,), fixed, params)
     of_nodes = {n for (e, n) in q.items if e[0] == "var"}
     cells = F.explode(F.array(*(F.struct(F.lit(n).alias("key"), F.col(f"`{n}`").cast("string").alias("value"), F.lit(n in of_nodes).alias("node")) for _, n in q.items))).alias("c")
     rows = out.select("graph_id", f"_{var}", cells).select("graph_id", f"_{var}", "c.*")
@@ -493,6 +549,27 @@ def values(graph: Graph, text: str, var: str, bound: DataFrame) -> DataFrame:
     return plain.unionByName(rows.where("node").join(own, ["graph_id", "value"]).select("graph_id", f"_{var}", "key", F.col("_text").alias("value")))
 
 
+def chained_values(graph: Graph, texts: list[str], var: str, bound: DataFrame) -> DataFrame:
+    """values() of the last of several queries over one bound variable.
+
+    A column `as x` of an earlier query that gives a row of the variable's node a single row is
+    bound to x in the later ones, as that node or as that value.
+    """
+    params: dict[str, DataFrame] = {}
+    fixed: dict[str, DataFrame] = {}
+    for text in texts[:-1]:
+        q = parse(text)
+        if not q.paths:
+            q.paths.append([_Node(var)])
+        out = written(_run(graph, q, {var: bound}, True, (var,), fixed, params))
+        one = out.groupBy("graph_id", f"_{var}").agg(F.count("*").alias("_c"), *(F.first(f"`{n}`").alias(n) for _, n in q.items)).where("_c = 1")
+        for e, n in q.items:
+            if n in q.named:
+                got = one.select("graph_id", f"_{var}", F.col(f"`{n}`").cast("string").alias(f"_{n}"))
+                (fixed if e[0] == "var" else params)[n] = got
+    return values(graph, texts[-1], var, bound, fixed, params)
+
+
 def find_nodes(graph: Graph, text: str, bindings: dict[str, DataFrame] | None = None) -> DataFrame:
     """(graph_id, node_id) of the nodes that a query of one column returns."""
     out = run(graph, text, bindings, with_graph=True)

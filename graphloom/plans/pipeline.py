@@ -70,9 +70,17 @@ def _ingest_csv(c: Context, p: dict) -> Context:
 def _ingest_joined(c: Context, p: dict) -> Context:
     from ..sources.tables import JoinedEntity, ingest_joined, read_csv
 
-    rows = c.data[p["input"]] if "input" in p else read_csv(c.spark, p["path"], p.get("headerRow", 0))
-    own = [JoinedEntity(_layer(c, e), tuple(e["cols"]), tuple(e["idCols"]), tuple(e.get("any", ()))) for e in p["entities"]]
-    return c.with_(graph=ingest_joined(rows, own, p.get("row", "_row")))
+    row, start = p.get("row", "_row"), p.get("startRow", 0)
+    if "input" in p:
+        rows = c.data[p["input"]].where(F.col(row) >= start)
+        rows = rows if p.get("endRow", -1) < 0 else rows.where(F.col(row) <= p["endRow"])
+    else:
+        end = p.get("endRow", -1)
+        rows = read_csv(c.spark, p["path"], p.get("headerRow", 0), start, None if end < 0 else end, p.get("delimiter", ","), p.get("encoding", "UTF-8"))
+    cells = [x for x in rows.columns if x not in (row, "_row", "_file", "_data")]
+    names = lambda given: tuple(cells[x] if isinstance(x, int) else x for x in given)
+    own = [JoinedEntity(_layer(c, e), names(e["cols"]), names(e["idCols"]), names(e.get("any", ()))) for e in p["entities"]]
+    return c.with_(graph=ingest_joined(rows, own, row, id_template=p.get("id") or "row_{{.rowIndex}}", start_row=start))
 
 
 @step("ingest/json")

@@ -100,22 +100,47 @@ class JoinedEntity:
     any_columns: tuple[str, ...] = ()
 
 
-def ingest_joined(df: DataFrame, entities: list[JoinedEntity], row_col: str = "_row", partition: Column | None = None, link_all: bool = True) -> Graph:
+#: Rows of an input that are looked through for runs by one task.
+BLOCK_ROWS = 1 << 17
+
+
+def _runs(df: DataFrame, key: Column, row_col: str) -> DataFrame:
+    """df with _first: the row at which the run of consecutive rows with one key starts, within each _part.
+
+    Runs are sought within blocks of row numbers; what a block's first rows continue comes from
+    a table of one row for each block, so no task sorts an input whole.
+    """
+    rows = df.withColumn("_key", key).withColumn("_block", F.floor(F.col(row_col) / BLOCK_ROWS).cast("long"))
+    order = Window.partitionBy("_part", "_block").orderBy(row_col)
+    before = F.lag("_key").over(order)
+    rows = rows.withColumn("_new", F.when(before.isNotNull() & (before != F.col("_key")), F.col(row_col)))
+    rows = written(rows.withColumn("_start", F.max("_new").over(order)))
+    blocks = rows.groupBy("_part", "_block").agg(F.min_by("_key", row_col).alias("_head"), F.max_by("_key", row_col).alias("_tail"), F.min(row_col).alias("_low"), F.max("_new").alias("_last"))
+    by_block = Window.partitionBy("_part").orderBy("_block")
+    continues = F.coalesce(F.lag("_tail").over(by_block) == F.col("_head"), F.lit(False))
+    blocks = blocks.withColumn("_own", F.when(~continues, F.col("_low"))).withColumn("_open", F.coalesce("_last", "_own"))
+    carried = F.last("_open", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("_part", "_block", F.coalesce("_own", carried).alias("_carried"))
+    return rows.join(blocks, ["_part", "_block"]).withColumn("_first", F.coalesce("_start", "_carried")).drop("_block", "_new", "_start", "_carried", "_key")
+
+
+def ingest_joined(df: DataFrame, entities: list[JoinedEntity], row_col: str = "_row", partition: Column | None = None, link_all: bool = True, id_template: str = "row_{{.rowIndex}}", start_row: int = 0) -> Graph:
     """Graphs of a denormalised CSV: consecutive rows with equal ids of the first entity are one graph.
 
     Each entity is projected from its columns; within a graph the rows of an entity with the same
-    ids count once. Runs are found with a lag over the row index; `partition` (for example the
-    file) bounds what one sort sees. Node ids carry the entity's number, as several roots of one
-    graph stand on the same row.
+    ids count once. partition tells inputs apart (default: the file, where df has _file).
+    id_template names a graph from its first row; dataIndex counts from start_row. Node ids carry
+    the entity's number, as several roots of one graph stand on the same row.
     """
-    part = F.lit(0) if partition is None else partition
-    order = Window.partitionBy("_part").orderBy(row_col)
+    cells = [c for c in df.columns if c not in (row_col, "_row", "_file", "_data")]
+    part = partition if partition is not None else F.col("_file") if "_file" in df.columns else F.lit(0)
     key = F.to_json(F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in entities[0].id_columns)))
-    rows = df.withColumn("_part", part).withColumn("_key", key)
-    new = F.coalesce((F.lag("_key").over(order) != F.col("_key")).cast("int"), F.lit(1))
-    rows = rows.withColumn("_run", F.sum(new.cast("long")).over(order))  # new stands over the same window: one sort
-    first = rows.groupBy("_part", "_run").agg(F.min(row_col).alias("_first"))
-    rows = rows.join(first, ["_part", "_run"]).withColumn("_graph", F.concat(F.lit("row_"), F.col("_first").cast("string")))
+    rows = _runs(df.withColumn("_part", part), key, row_col)
+    named = rows.where(F.col("_first") == F.col(row_col)).withColumns({"_row": F.col("_first"), "_data": F.col("_first") - start_row})
+    if id_template == "row_{{.rowIndex}}":
+        rows = rows.withColumn("_graph", F.concat(F.lit("row_"), F.col("_first").cast("string")))
+    else:
+        rows = rows.join(named.select("_part", "_first", template(id_template, cells).alias("_graph")), ["_part", "_first"])
     out = None
     for n, e in enumerate(entities):
         own = rows

@@ -1,12 +1,15 @@
 """Operators on small fixtures: edge cases that the tables do not hold."""
 
 import json
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.fixtures import flat_schema
 from graphloom.functions import types, validators
+from graphloom.graph import Graph, edge_columns, node_columns
 from graphloom.operators import entities, links, measures, reshape, valueset
 from graphloom.operators.ingest import errors, ingest_json, ingest_rows, json_items
 from graphloom.plans import cypher, pipeline
@@ -46,14 +49,49 @@ def test_csv_write_round_trip(spark, tmp_path):
     assert rows(spark.read.option("header", True).csv(str(tmp_path / "out"))) == data
 
 
-def test_joined_csv_has_two_graphs(spark):
-    data = [tuple("ABCXYZJKL"), tuple("ABCXYZQRS"), tuple("123456789"), tuple("123456TUV")]
-    names = [c + "1" for c in "ABCDEFGHI"]
-    df = tables.with_row_index(spark.createDataFrame(data, ", ".join(f"{n} string" for n in names)).coalesce(1))
-    entity = lambda n, cols, ids: tables.JoinedEntity(layer(n, {c: c for c in cols}), tuple(cols), tuple(ids), tuple(cols))
-    g = tables.ingest_joined(df, [entity("Patient", names[:3], names[:3]), entity("Foo", names[3:6], names[:6]), entity("Bar", names[6:], names)])
-    assert rows(g.nodes.groupBy("graph_id").count()) == [("0/row_0", 16), ("0/row_2", 16)] and g.edges.count() == 24
-    assert tables.ingest_joined(df.limit(0), [entity("Patient", names[:3], names[:3])]).nodes.count() == 0
+VISITS = [("ada", "2001", "knee", "x-ray"), ("ada", "2001", "knee", "rest"), ("ada", "2001", "", ""), ("ada", "2002", "eye", "drops"), ("bob", "2002", "eye", "drops"), ("ada", "2003", "ear", "none")]
+
+
+def _joined(spark, data=None, **more):
+    names = ["who", "year", "part", "care"]
+    df = tables.with_row_index(spark.createDataFrame(VISITS if data is None else data, ", ".join(f"{n} string" for n in names)).coalesce(1))
+    entity = lambda n, cols, ids, *some: tables.JoinedEntity(layer(n, {c: c for c in cols}), tuple(cols), tuple(ids), some)
+    return tables.ingest_joined(df, [entity("Patient", ["who"], ["who"]), entity("Visit", ["year", "part"], ["who", "year", "part"], "part"), entity("Care", ["care"], names, "care")], **more)
+
+
+def test_joined_csv_is_cut_at_changes_of_the_first_entity(spark):
+    roots = _joined(spark).nodes.where("entity_schema IS NOT NULL").groupBy("graph_id", "schema_node_id").count()
+    assert rows(roots) == [("0/row_0", "Care", 3), ("0/row_0", "Patient", 1), ("0/row_0", "Visit", 2), ("0/row_4", "Care", 1), ("0/row_4", "Patient", 1), ("0/row_4", "Visit", 1), ("0/row_5", "Care", 1), ("0/row_5", "Patient", 1), ("0/row_5", "Visit", 1)]
+    named = _joined(spark, id_template="{{.columns.who}}-{{.dataIndex}}", start_row=0).nodes.select("graph_id").distinct()
+    assert rows(named) == [("0/ada-0",), ("0/ada-5",), ("0/bob-4",)]
+    assert _joined(spark, []).nodes.count() == 0
+
+
+def test_runs_reach_over_blocks(spark, monkeypatch):
+    import itertools
+    import random
+
+    monkeypatch.setattr(tables, "BLOCK_ROWS", 4)
+    rng = random.Random(2)
+    keys = [k for k in "abcabacbca" for _ in range(rng.choice((1, 2, 3, 9, 14)))]
+    df = spark.createDataFrame([(i * 2, k, f) for f in ("x", "y") for i, k in enumerate(keys)], "_row long, k string, _part string").repartition(3)
+    got = {(r._part, r._row): r._first for r in tables._runs(df, F.col("k"), "_row").collect()}
+    want, at = {}, 0
+    for _, group in itertools.groupby(keys):
+        n = len(list(group))
+        want |= {(f, 2 * (at + j)): 2 * at for f in ("x", "y") for j in range(n)}
+        at += n
+    assert got == want
+
+
+def test_joined_csv_step_takes_all_parameters(spark, tmp_path):
+    text = "a title\nwho;year;n\nskipped;0;0\nada;2001;1\nada;2002;2\nbob;2003;3\nlast;2004;4\n"
+    (tmp_path / "v.csv").write_text(text)
+    entities_ = [{"layer": layer("Patient", {"who": "who"}), "cols": [0], "idCols": [0]}, {"layer": layer("Visit", {"year": "year", "n": "n"}), "cols": [1, 2], "idCols": [0, 1], "any": [2]}]
+    params = {"path": str(tmp_path / "v.csv"), "headerRow": 1, "startRow": 3, "endRow": 5, "delimiter": ";", "id": "g{{.rowIndex}}", "entities": entities_}
+    g = pipeline.run([{"operation": "ingest/csv/join", "params": params}], pipeline.Context(spark)).graph
+    got = g.nodes.where("value IS NOT NULL").select(F.element_at(F.split("graph_id", "/"), -1).alias("g"), "value")
+    assert rows(got) == [("g3", "1"), ("g3", "2"), ("g3", "2001"), ("g3", "2002"), ("g3", "ada"), ("g5", "2003"), ("g5", "3"), ("g5", "bob")]
 
 
 CONTACT = flat_schema("Contact", {"type": "type", "value": "value"})
@@ -139,6 +177,91 @@ def test_duplicate_entities_collapse(spark):
     assert kept.edges.count() == 5 and kept.instances("Lab/v").count() == 3
 
 
+def test_consolidation_loses_nothing(spark):
+    """Values that only a loser has, nested entities below losers, parallel edges and their properties."""
+    one = lambda **x: node_columns(graph_id="g", **x)
+    root = lambda i, e: spark.range(1).select(*one(node_id=i, labels=F.array(F.lit("P")), type="Object", schema_node_id="P", entity_schema="P/s", entity_id=F.array(F.lit(e)), entity_root_id=i))
+    value = lambda i, r, n, v: spark.range(1).select(*one(node_id=i, type="Value", schema_node_id=n, attribute_name=n, value=v, entity_root_id=r))
+    parts = [root("p2", "A"), root("p10", "A"), root("p11", "A"), root("q", "B"), value("p2.n", "p2", "n", "kept"), value("p10.n", "p10", "n", "other"), value("p10.x", "p10", "x", "first"), value("p11.x", "p11", "x", "second")]
+    parts += [spark.range(1).select(*one(node_id="p11.e", type="Object", schema_node_id="E", entity_schema="E/s", entity_root_id="p11.e")), value("p11.e.v", "p11.e", "v", "deep")]
+    nodes = reduce(DataFrame.unionByName, parts)
+    ends = [("p2", "p2.n", "has", ""), ("p10", "p10.n", "has", ""), ("p10", "p10.x", "has", ""), ("p11", "p11.x", "has", ""), ("p11", "p11.e", "has", ""), ("p11.e", "p11.e.v", "has", ""), ("q", "p10", "knows", "1"), ("q", "p10", "knows", "2"), ("q", "p2", "knows", "3"), ("p11", "q", "owes", "4")]
+    edges = spark.createDataFrame(ends, "src string, dst string, label string, w string").select(*edge_columns(graph_id="g", src=F.col("src"), dst=F.col("dst"), label=F.col("label"), props=F.create_map(F.lit("w"), F.array("w"))))
+    out = entities.consolidate(Graph(nodes, edges), "P")
+    assert rows(out.nodes.select("node_id", "entity_root_id")) == [("p10.x", "p2"), ("p11.e", "p11.e"), ("p11.e.v", "p11.e"), ("p2", "p2"), ("p2.n", "p2"), ("q", "q")]
+    got = rows(out.edges.select("src", "dst", "label", F.col("props")["w"][0].alias("w")))
+    assert got == [("p11.e", "p11.e.v", "has", ""), ("p2", "p10.x", "has", ""), ("p2", "p11.e", "has", ""), ("p2", "p2.n", "has", ""), ("p2", "q", "owes", "4"), ("q", "p2", "knows", "1"), ("q", "p2", "knows", "2"), ("q", "p2", "knows", "3")]
+
+
+def _chain(spark, n, back=False):
+    ids = [f"n{k:02d}" for k in range(n)]
+    nodes = reduce(DataFrame.unionByName, [spark.createDataFrame([(i,) for i in ids], "i string").select(*node_columns(graph_id="g", node_id=F.col("i"), type="Object"))])
+    ends = list(zip(ids, ids[1:])) + ([(ids[-1], ids[0])] if back else [])
+    return Graph(nodes, spark.createDataFrame(ends, "s string, d string").select(*edge_columns(graph_id="g", src=F.col("s"), dst=F.col("d"), label="to")))
+
+
+def test_long_paths_are_followed_to_their_end(spark):
+    g = _chain(spark, 13)
+    count = lambda g, steps: cypher.run(g, f"match (a {{nodeId:'n00'}})-[:to*{steps}]->(b) return count(b) as n").first().n
+    assert [count(g, s) for s in ("", "8..", "0..", "2..3", "20..", "12..12")] == [12, 5, 13, 2, 0, 1]
+    assert count(_chain(spark, 5, back=True), "") == 5  # once around: no edge stands twice in a way
+    below = entities.descendants(g, F.col("node_id") == "n00")
+    assert below.agg(F.max("level"), F.count("*")).first()[:] == (12, 13)
+    assert entities.descendants(_chain(spark, 4, back=True), F.col("node_id") == "n00").count() == 4
+    assert entities.ancestors(g, F.col("node_id") == "n12", 3).count() == 4
+
+
+def test_patterns_apart_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(cypher, "MOST_APART", 5)
+    text = "match (a {nodeId:'n00'}), (b) return count(b) as n"
+    assert cypher.run(_chain(spark, 5), text).first().n == 5
+    with pytest.raises(Exception, match="more than 5 nodes"):
+        cypher.run(_chain(spark, 6), text).collect()
+
+
+def test_deep_documents(spark):
+    def nested(k):
+        return {"@id": f"D/{k}", "@type": "Object", "attributeName": "d", "attributeList": [nested(k + 1)]} if k < 12 else {"@id": f"D/{k}", "@type": "Value", "attributeName": "d"}
+
+    deep = compile_schema(layer_from_json({"@id": "D/s", "@type": "Schema", "valueType": "D", "layer": nested(0)}))
+    text = "x"
+    for _ in range(12):
+        text = {"d": text}
+    g = ingest_json(spark.createDataFrame([("g", json.dumps(text))], "g string, j string"), deep, "j", F.col("g"))
+    assert rows(g.nodes.where("value IS NOT NULL").select("schema_node_id", "value")) == [("D/12", "x")] and g.nodes.count() == 13
+    spec = {"@id": "R/s", "@type": "Schema", "valueType": "R", "layer": {"@id": "R", "@type": "Object", "attributeList": [{"@id": "R/v", "@type": "Value", "attributeName": "v"}, {"@id": "R/kid", "@type": "Reference", "attributeName": "kid", "ref": "R"}]}}
+    own = compile_schema(layer_from_json(spec), lambda ref: layer_from_json(spec))
+    kids = lambda n: {"v": str(n), **({"kid": kids(n - 1)} if n else {})}
+    run = lambda n: ingest_json(spark.createDataFrame([("g", json.dumps(kids(n)))], "g string, j string"), own, "j", F.col("g")).nodes.where("value IS NOT NULL").count()
+    assert run(5) == 6
+    with pytest.raises(Exception, match="deeper than the 8 levels"):
+        run(30)
+
+
+def test_set_value_chains(spark):
+    chain = ["match (this)<-[]-(r)-[]->(n {schemaNodeId:'C/name'}) return n as found, n.value as word", "match (found) where found.value = word return toUpper(found.value) as v"]
+    own = layer("C", {"key": "key", "name": "name", "loud": {"attributeName": "loud", "setValue": chain}}, entityIdFields=["C/key", "C/loud"])
+    df = spark.createDataFrame([("1", "ann"), ("2", "bob"), ("3", None)], "key string, name string")
+    g = entities.apply_set_values(ingest_rows(df, own, F.col("key")))
+    assert rows(g.instances("C/loud").where("value IS NOT NULL").select("graph_id", "value")) == [("1", "ANN"), ("2", "BOB")]
+    assert rows(g.instances("C").select("graph_id", F.array_join(F.coalesce("entity_id", F.array()), "|").alias("i"))) == [("1", "1|ANN"), ("2", "2|BOB"), ("3", "")]
+
+
+def test_hash_completes_an_id_of_several_fields(spark):
+    import hashlib
+
+    own = layer("H2", {"a": "a", "b": "b", "h": {"attributeName": "h", "hash.sha512": ["H2/b"]}}, entityIdFields=["H2/a", "H2/h"])
+    g = entities.compute_hashes(ingest_rows(spark.createDataFrame([("1", "x"), ("2", None)], "a string, b string"), own, F.col("a")))
+    assert {r.graph_id: r.entity_id for r in g.instances("H2").collect()} == {"1": ["1", hashlib.sha512(b"x").hexdigest()], "2": None}
+
+
+def test_uuids_agree_between_uses(spark):
+    own = layer("U", {"a": "a", "u": {"attributeName": "u", "uuid": "true"}})
+    g = entities.set_uuids(ingest_rows(spark.createDataFrame([("1", "x"), ("2", "y")], "a string, u string"), own, F.col("a")))
+    own_ids = g.instances("U/u").select("graph_id", "value")
+    assert own_ids.join(own_ids.withColumnRenamed("value", "again"), "graph_id").where("value = again").count() == 2
+
+
 def test_hash_takes_properties_and_repeats(spark):
     import hashlib
 

@@ -44,6 +44,15 @@ def test_dictionaries_are_broadcast_while_small(spark):
     assert "BroadcastHashJoin" in plan(engine.QUERIES["VS4_default_entry"](spark, SF))
 
 
+def test_graph_steps_read_what_they_hold(spark):
+    """Operators that use their graph several times neither ingest it again nor shuffle it for each use."""
+    for name, scans, exchanges in (("JN7_value_set_lookup", 2, 3), ("VS7_result_nodes", 1, 0), ("TX1_reshape", 2, 4), ("SNK3_nested_json_export", 5, 4)):
+        text = plan(engine.QUERIES[name](spark, SF)).split("\n\n")[0]
+        assert text.count("Scan parquet") <= scans, name
+        assert text.count("Exchange (") - text.count("BroadcastExchange (") <= exchanges, name
+        assert "orders.parquet" not in plan(engine.QUERIES[name](spark, SF)), name
+
+
 def test_no_plan_has_a_cross_join(spark):
     for name in ("JN1_foreign_key_links", "JN7_value_set_lookup", "OC_sibling", "TX1_reshape", "SNK3_nested_json_export", "REL_unique_entities"):
         text = plan(engine.QUERIES[name](spark, SF))
