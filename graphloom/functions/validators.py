@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema.layer import Attribute
+from ..schema.terms import MEANINGS
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HOST_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
@@ -66,6 +67,7 @@ def checks(a: Attribute, value: Column) -> list[tuple[str, Column]]:
         out.append(("const", value == a.one("validation/const")))
     if f := a.one("validation/json/format"):
         out.append(("format", is_format(f, value)))
+    out += [(term, MEANINGS[term].check(a, value)) for term in a.props if term in MEANINGS and MEANINGS[term].check]
     return [(n, F.coalesce(c, F.lit(n != "required")) if n != "required" else c) for n, c in out]
 
 

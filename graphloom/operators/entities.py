@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..graph import HAS, Graph, edge_columns, node_columns
 from ..schema.layer import SchemaError
+from ..schema.terms import MEANINGS
 from ..storage import written
 
 
@@ -234,9 +235,12 @@ def validate(graph: Graph) -> DataFrame:
 
     parts = []
     for a in graph.layer.attributes():
-        if a.kind == "Value" and any(k.startswith("validation/") for k in a.props):
+        if a.kind == "Value" and any(k.startswith("validation/") or (k in MEANINGS and MEANINGS[k].check) for k in a.props):
             bad = graph.instances(a.id).select("graph_id", "node_id", "schema_node_id", F.explode(failures(a, F.col("value"))).alias("validator"), "value")
             parts.append(bad)
+        for term in (t for t in a.props if t in MEANINGS and MEANINGS[t].check_nodes):
+            bad = MEANINGS[term].check_nodes(graph, a).select("graph_id", "node_id")
+            parts.append(graph.instances(a.id).join(bad, ["graph_id", "node_id"], "left_semi").select("graph_id", "node_id", "schema_node_id", F.lit(term).alias("validator"), "value"))
         if a.kind == "Object":
             wanted = [c for c in a.children if c.name in a.many("validation/required") or c.id in a.many("validation/required") or (c.kind == "Value" and c.one("validation/required").lower() == "true")]
             for c in wanted:
@@ -274,6 +278,42 @@ def ancestors(graph: Graph, nodes: Column, depth: int | None = None) -> DataFram
     return descendants(turned, nodes, depth).withColumnRenamed("root_id", "start_id")
 
 
+def native(graph: Graph, term: str) -> DataFrame:
+    """(graph_id, node_id, schema_node_id, native): native values of the attributes that bear a term, as the term reads them."""
+    parts = [graph.instances(a.id).select("graph_id", "node_id", "schema_node_id", MEANINGS[term].read(a, F.col("value")).alias("native")) for a in graph.layer.attributes() if term in a.props]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def set_native(graph: Graph, term: str, values: DataFrame) -> Graph:
+    """Nodes of the attributes that bear a term with values(graph_id, node_id, native) written as their text."""
+    own = values.select("graph_id", "node_id", "native")
+    for a in [a for a in graph.layer.attributes() if term in a.props]:
+        mine = F.coalesce(F.col("schema_node_id") == a.id, F.lit(False))
+        new = graph.nodes.where(mine).join(own, ["graph_id", "node_id"], "left").withColumn("value", F.coalesce(MEANINGS[term].write(a, F.col("native")), F.col("value")))
+        graph = graph.with_(nodes=graph.nodes.where(~mine).unionByName(new.select(*graph.nodes.columns)))
+    return graph
+
+
+def post_ingest(graph: Graph) -> Graph:
+    """Everything that terms of the layer do after ingestion: hooks of attributes, in the layer's order, then those of the whole graph."""
+    bear = lambda terms: any(t in a.props for a in graph.layer.attributes() for t in terms)
+    for terms, work in POST_INGEST:
+        if bear(terms):
+            graph = work(graph)
+    for a in graph.layer.attributes():
+        for term in a.props:
+            if term in MEANINGS and MEANINGS[term].post_node:
+                graph = MEANINGS[term].post_node(graph, a)
+    for term, m in MEANINGS.items():
+        if m.post and bear([term]):
+            graph = m.post(graph)
+    return graph
+
+
+#: The terms with a hook of their own, in the order in which the hooks run.
+POST_INGEST = ((("defaultValue",), add_defaults), (("setValue",), apply_set_values), (tuple(_HASHES), compute_hashes), (("uuid",), set_uuids))
+
+
 def drop_annotated(graph: Graph, term: str, values: list[str] | None = None) -> Graph:
     """De-identification: the graph without nodes whose attribute bears a term (with one of the values)."""
     ids = [a.id for a in graph.layer.attributes() if term in a.props and (values is None or set(a.many(term)) & set(values))]

@@ -225,14 +225,20 @@ def _validate(c: Context, p: dict) -> Context:
     return c.with_(results={**c.results, "errors": entities.validate(c.graph)})
 
 
-def run(steps: list[dict] | str, context: Context) -> Context:
-    """The steps in order. A step that fails while planning raises PipelineError with its name."""
+def run(steps: list[dict] | str, context: Context, checked: bool = False) -> Context:
+    """The steps in order. A step that fails raises PipelineError with its name.
+
+    Rows are read when a result is used, so what fails on rows fails there; checked: the graph is
+    written after each step that changes it, and what fails on rows has its step's name.
+    """
     for s in read_json_or_yaml(steps) if isinstance(steps, str) else steps:
         name = s["operation"]
         if name not in STEPS:
             raise PipelineError(name, KeyError("no such step"))
         try:
-            context = STEPS[name](context, s.get("params", {}))
+            was, context = context.graph, STEPS[name](context, s.get("params", {}))
+            if checked and context.graph is not None and context.graph is not was:
+                context = context.with_(graph=context.graph.held())
         except PipelineError:
             raise
         except Exception as e:

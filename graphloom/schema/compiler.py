@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from .compose import compose_properties
 from .layer import Attribute, Layer, SchemaError, process_labeled_as
+from .terms import MEANINGS
 
 #: term -> function(attribute): called once for each attribute that bears the term.
 TERM_COMPILERS: dict[str, Callable[[Attribute], None]] = {}
@@ -37,6 +38,13 @@ def compile_schema(schema: Layer, load: Callable[[str], Layer | None] = lambda r
                 work(a)
         for work in NODE_COMPILERS:
             work(out, a)
+        for term, m in MEANINGS.items():
+            if m.compile_term and term in a.props:
+                m.compile_term(a)
+            if m.compile_node and term in a.labels:
+                m.compile_node(out, a)
+            if m.compile_edge and term in (a.one("edgeLabel"), a.one("outputEdgeLabel"), a.one("Reference/label")):
+                m.compile_edge(out, a)
     return out
 
 

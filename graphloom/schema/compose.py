@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 
 from .layer import Attribute, Layer, SchemaError, rule_of
+from .terms import MEANINGS
 
 
 def _list(v) -> list:
@@ -29,6 +30,8 @@ def compose_property(term: str, target, source, rule: str = ""):
         return source
     if source is None:
         return target
+    if term in MEANINGS and MEANINGS[term].compose and not rule:
+        return MEANINGS[term].compose(target, source)
     rule = rule or rule_of(term)
     if rule == "set":
         return set_union(target, source)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jsonld import embed
 from .layer import Attribute, Layer, SchemaError
 from .terms import KINDS, VOCABULARY
 
@@ -65,8 +66,32 @@ def attribute_from_json(spec: dict) -> Attribute:
     return out
 
 
+def _plain(node: dict) -> dict:
+    """An expanded node with short keys and single values out of their arrays."""
+    out = {}
+    for k, v in node.items():
+        if k in ("@id", "@value"):
+            out[k] = v
+        elif k == "@type":
+            out[k] = list(v)
+        elif k == "@list":
+            out[k] = [_plain(x) for x in v]
+        else:
+            own = [_plain(x) for x in v]
+            out[VOCABULARY.name(k)] = own[0] if len(own) == 1 and VOCABULARY.name(k) not in _CHILDREN else own[0]["@list"] if len(own) == 1 and "@list" in own[0] else own
+    return out
+
+
 def layer_from_json(spec: dict) -> Layer:
-    """A layer from a parsed JSON document."""
+    """A layer from a parsed JSON document.
+
+    A document with a context of its own is expanded by it first, and nodes that it refers to
+    are put in place; the namespaces of its terms must be known to the vocabulary. Without
+    context, or with the name of one, the keys are the short ones.
+    """
+    contexts = spec.get("@context")
+    if any(isinstance(c, dict) for c in (contexts if isinstance(contexts, list) else [contexts])):
+        spec = _plain(embed(spec, kinds=("Schema", "Overlay")))
     types = _types(spec)
     kind = next((t for t in types if t in ("Schema", "Overlay")), None)
     if kind is None:

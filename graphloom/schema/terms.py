@@ -87,3 +87,39 @@ class Vocabulary:
 
 
 VOCABULARY = Vocabulary()
+
+
+@dataclass
+class Meaning:
+    """What a term does, as far as it does it; every part may be left out.
+
+    compose(target, source): its composed value. compile_term(attribute): work on an attribute that
+    bears it. compile_node(layer, attribute): work on an attribute that has it as a label.
+    compile_edge(layer, attribute): work on an attribute that a label of it leads to. check(attribute,
+    value column): whether a value passes, a null is given too. check_nodes(graph, attribute):
+    (graph_id, node_id) of the nodes that fail. read and write(attribute, text column): the native
+    value of a text, and its text. post_node(graph, attribute): the graph after ingestion of an
+    attribute that bears it. post(graph): the graph after all of that.
+    """
+
+    compose: object = None
+    compile_term: object = None
+    compile_node: object = None
+    compile_edge: object = None
+    check: object = None
+    check_nodes: object = None
+    read: object = None
+    write: object = None
+    post_node: object = None
+    post: object = None
+
+
+#: term -> its meaning, for terms that users add.
+MEANINGS: dict[str, Meaning] = {}
+
+
+def define(term: str, rule: str = "set", **parts) -> Meaning:
+    """Register a term with its rule of composition and what else it means."""
+    VOCABULARY.register(term, rule)
+    MEANINGS[term] = Meaning(**parts)
+    return MEANINGS[term]

@@ -12,12 +12,27 @@ from ..schema.layer import Attribute, Layer
 from ..storage import written
 
 
-def to_table(graph: Graph, columns: Sequence[str], roots: Column | None = None, keep_ids: bool = False) -> DataFrame:
-    """A row for each root (default: nodes that no edge leads to), a column for each attribute name.
+def to_table(graph: Graph, columns: Sequence[str | tuple[str, str]], roots: Column | None = None, keep_ids: bool = False) -> DataFrame:
+    """A row for each root (default: nodes that no edge leads to), a column for each attribute name or (name, query).
 
     A cell is the value of the root's child with that name, or its property. Several such
-    children are an error; none give an empty cell.
+    children are an error; none give an empty cell. A query of one column sees the row's node as
+    `root`; its one value is the cell, no row gives an empty cell, several are an error.
     """
+    queries = {c[0]: c[1] for c in columns if not isinstance(c, str)}
+    if queries:
+        from ..plans import cypher
+
+        names = [c if isinstance(c, str) else c[0] for c in columns]
+        graph = graph.held()
+        out = to_table(graph, [n for n in names if n not in queries], roots, True)
+        bound = out.select("graph_id", F.col("root").alias("node_id"))
+        for n, text in queries.items():
+            found = cypher.values(graph, text, "root", bound)
+            one = F.when(F.count("*") > 1, F.raise_error(F.lit(f"more than one value of {n}")).cast("string")).otherwise(F.max("value"))
+            cells = found.groupBy("graph_id", F.col("_root").alias("root")).agg(one.alias("_cell"))
+            out = out.join(cells, ["graph_id", "root"], "left").withColumn(n, F.coalesce("_cell", F.lit(""))).drop("_cell")
+        return out.select(*(["graph_id", "root"] if keep_ids else []), *(F.col(f"`{n}`") for n in names))
     ends = graph.edges.select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("_parent"))
     is_root = F.col("_parent").isNull() if roots is None else F.coalesce(roots, F.lit(False))
     nodes = graph.nodes.join(ends, ["graph_id", "node_id"], "left")
