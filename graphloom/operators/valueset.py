@@ -319,7 +319,58 @@ def entries_from_table(df: DataFrame, table_id: str, keys: Sequence[str], result
     return df.select(F.lit(table_id).alias("table_id"), id_.alias("entry_id"), F.lit(False).alias("is_default"), F.lit(False).alias("case_sensitive"), F.lit(len(keys)).alias("n_keys"), keyed, outcome.alias("result")).select("table_id", "entry_id", "is_default", "case_sensitive", "n_keys", "_e.key", "_e.match", "result")
 
 
+def _sql(spark: SparkSession, spec: dict) -> DataFrame:
+    """Rows of a configured query with named parameters (`:name`) as entries of one set."""
+    return entries_from_table(spark.sql(spec["query"], args=spec.get("params", {})), spec["id"], spec["keys"], spec["results"])
+
+
+def http_answers(url: str, seconds: float = 10.0, tries: int = 3) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
+    """Answers of a service for process(): GET url?key=value&... gives a JSON object of results, or null or 404 for none.
+
+    Each distinct request is sent once, by the tasks that hold it; a request that fails `tries`
+    times stops the job. A request of one unnamed value is sent as `value`, the sets as `valueset`.
+    """
+
+    def answer(asked: DataFrame, tables: Sequence[str]) -> DataFrame:
+        def fetch(batches):
+            import time
+            import urllib.error
+            import urllib.parse
+            import urllib.request
+
+            import pyarrow as pa
+
+            def one(request: list[tuple[str, str]]) -> list[tuple[str, str]] | None:
+                query = urllib.parse.urlencode([*((k or "value", v) for k, v in request), *(("valueset", t) for t in tables)])
+                for k in range(tries):
+                    try:
+                        with urllib.request.urlopen(f"{url}?{query}", timeout=seconds) as got:
+                            found = json.loads(got.read().decode("utf-8") or "null")
+                        return None if not found else [(str(x), str(y)) for x, y in (found if isinstance(found, dict) else {"": found}).items() if y is not None]
+                    except urllib.error.HTTPError as e:
+                        if e.code == 404:
+                            return None
+                        if k + 1 == tries:
+                            raise
+                    except urllib.error.URLError:
+                        if k + 1 == tries:
+                            raise
+                    time.sleep(0.1 * 2**k)
+
+            for batch in batches:
+                results = [one(r.as_py()) for r in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(results, pa.map_(pa.string(), pa.string()))], names=["_q", "result"])
+
+        keyed = asked.withColumn("_q", F.to_json(F.array_sort(F.map_entries("request"))))
+        distinct = keyed.where(F.size("request") > 0).select("_q", "request").groupBy("_q").agg(F.first(F.map_entries("request")).alias("_r"))
+        found = distinct.select("_q", F.map_from_entries("_r").alias("request")).mapInArrow(fetch, "_q string, result map<string,string>")
+        return keyed.join(found, "_q", "left").drop("_q")
+
+    return answer
+
+
 register_provider("jdbc", _jdbc)
+register_provider("sql", _sql)
 register_provider("inline", lambda spark, spec: entries_table(spark, load([spec])))
 
 

@@ -24,11 +24,26 @@ def ingest_stream(rows: DataFrame, layer: Layer, graph_id: Column, time: str, de
 
 
 def lookup_stream(rows: DataFrame, entries: DataFrame, value_col: str, result_key: str = "") -> DataFrame:
-    """rows with `result` from a static table of single-value entries and its default."""
-    plain = entries.where("NOT is_default AND NOT case_sensitive").select(F.col("match").alias("_m"), F.col("result")[result_key].alias("_hit")).dropDuplicates(["_m"])
-    default = entries.where("is_default").select(F.col("result")[result_key].alias("d")).limit(1).collect()
-    fallback = F.lit(default[0].d if default else None)
-    return rows.withColumn("_m", words(F.col(value_col))).join(plain, "_m", "left").withColumn("result", F.coalesce("_hit", fallback)).drop("_m", "_hit")
+    """rows with `result` from a static table of entries of one value or one key, and its default.
+
+    As in the batch lookup, words that differ in case match unless their entry is case-sensitive.
+    Entries of several keys, different entries for one word and several defaults are errors.
+    """
+    one = entries.where("NOT is_default").groupBy("case_sensitive", F.col("match").alias("_m")).agg(F.count_distinct("entry_id").alias("_c"), F.max("n_keys").alias("_n"), F.first(F.col("result")[result_key]).alias("_hit"))
+    wrong = one.where("_c > 1 OR _n > 1").limit(1).collect()
+    if wrong:
+        raise ValueError(f"several entries for {wrong[0]._m}" if wrong[0]._c > 1 else f"an entry of several keys for {wrong[0]._m}")
+    defaults = entries.where("is_default").select(F.col("result")[result_key].alias("d")).limit(2).collect()
+    if len(defaults) > 1:
+        raise ValueError("several defaults")
+    fallback = F.lit(defaults[0].d if defaults else None)
+    out = rows
+    for case in (True, False):
+        mine = one.where(F.col("case_sensitive") == case).select(F.col("_m").alias(f"_m{case}"), F.col("_hit").alias(f"_hit{case}"), F.lit(True).alias(f"_is{case}"))
+        out = out.withColumn(f"_m{case}", words(F.col(value_col), case)).join(mine, f"_m{case}", "left").drop(f"_m{case}")
+    both = F.when(F.col("_isTrue") & F.col("_isFalse"), F.raise_error(F.concat(F.lit("ambiguous entries for "), F.col(value_col))).cast("string"))
+    found = both.when(F.col("_isTrue"), F.col("_hitTrue")).when(F.col("_isFalse"), F.col("_hitFalse")).otherwise(fallback)
+    return out.withColumn("result", found).drop("_isTrue", "_isFalse", "_hitTrue", "_hitFalse")
 
 
 def unique_stream(rows: DataFrame, keys: list[str], time: str, delay: str = "10 minutes") -> DataFrame:

@@ -469,3 +469,76 @@ def test_excel_sheets(tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>h3</t></is></c></row><row r="3"><c r="A3"><v>7</v></c><c r="C3" t="s"><v>1</v></c></row></sheetData></worksheet>')
     assert read_excel(str(path)) == {"S": [["h1", "", "h3"], [], ["7", "", "ab"]]}
     assert list(stream_sheet(str(path), "S"))[1] == {"h1": "7", "": "", "h3": "ab"}
+
+
+def test_answers_of_a_service(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = parse_qs(urlparse(self.path).query)
+            if q.get("value") == ["gone"]:
+                return self.send_error(404)
+            body = json.dumps({"": q["value"][0].upper() + "/" + q["valueset"][0]} if q["value"] != ["none"] else None).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        own = layer("S", {"a": {"attributeName": "a", "vsValuesets": ["set1"], "vsRequestValues": ["S/a"], "vsResultValues": ["S/b"]}, "b": "b"})
+        g = ingest_rows(spark.createDataFrame([("x",), ("none",), ("gone",)], "a string"), own, F.col("a"))
+        out = valueset.process(g, valueset.http_answers(f"http://127.0.0.1:{server.server_port}/"))
+        assert rows(out.instances("S/b").select("graph_id", "value")) == [("x", "X/set1")]
+    finally:
+        server.shutdown()
+
+
+def test_text_templates():
+    from graphloom.schema.template import TemplateError, render
+
+    context = {"rows": [{"n": "a", "t": ""}, {"n": 'b"', "t": "x"}], "name": "N", "list": [1, 2]}
+    assert render("{{.name}}:{{range .rows}}{{$i}}{{json .n}}{{if .t}}!{{else}}?{{end}}{{$.name}};{{end}}{{index .list 1}}{{.none}}{{range .no}}x{{else}}-{{end}}", context) == 'N:0"a"?N;1"b\\""!N;2-'
+    for bad in ("{{if .a}}", "{{end}}", "{{else}}", "{{foo}}"):
+        with pytest.raises(TemplateError):
+            render(bad, {})
+
+
+def test_stream_lookup_matches_as_the_batch_does(spark):
+    from graphloom.streaming import streams
+
+    table = lambda *v: valueset.entries_table(spark, valueset.load([{"id": "s", "values": list(v)}]))
+    df = spark.createDataFrame([("a",), ("A",), ("Ex",), ("ex",), ("z",)], "v string")
+    got = rows(streams.lookup_stream(df, table({"value": "a", "result": "1"}, {"value": "Ex", "result": "2", "caseSensitive": True}, {"result": "0"}), "v").select("v", "result"))
+    assert got == [("A", "1"), ("Ex", "2"), ("a", "1"), ("ex", "0"), ("z", "0")]
+    for wrong in ([{"value": "a", "result": "1"}, {"value": "A", "result": "2"}], [{"keyValues": {"k": "a", "l": "b"}, "result": "1"}]):
+        with pytest.raises(ValueError):
+            streams.lookup_stream(df, table(*wrong), "v")
+
+
+def test_checked_pipelines_name_the_step_that_fails_on_rows(spark):
+    steps = [{"operation": "ingest/csv", "params": {"layer": layer("S", {"a": "a", "b": {"attributeName": "b", "vsValuesets": ["s"], "vsRequestValues": ["S/a"], "vsResultValues": ["S/b"]}}), "input": "d", "graphId": "a"}}, {"operation": "link"}]
+    data = {"d": spark.createDataFrame([("1",)], "a string").select(F.raise_error(F.lit("torn")).cast("string").alias("a"))}
+    with pytest.raises(pipeline.PipelineError) as e:
+        pipeline.run(steps, pipeline.Context(spark, data=data), checked=True)
+    assert e.value.step == "ingest/csv"
+
+
+def test_custom_checks_of_nodes_and_native_values(spark):
+    from graphloom.schema.terms import MEANINGS, define
+
+    define("t/many", check_nodes=lambda g, a: g.instances(a.id).where("value = '2'"), read=lambda a, v: v.cast("int"), write=lambda a, v: (v + 1).cast("string"))
+    try:
+        own = layer("M", {"a": {"attributeName": "a", "t/many": "x"}})
+        g = ingest_rows(spark.createDataFrame([("1",), ("2",)], "a string"), own, F.col("a"))
+        assert rows(entities.validate(g).select("graph_id", "validator")) == [("2", "t/many")]
+        more = entities.set_native(g, "t/many", entities.native(g, "t/many"))
+        assert rows(more.instances("M/a").select("graph_id", "value")) == [("1", "2"), ("2", "3")]
+    finally:
+        MEANINGS.pop("t/many")
