@@ -101,7 +101,11 @@ def link(graph: Graph, specs: list[LinkSpec] | None = None) -> Graph:
     (ingestAs edge: the reference's own node goes, its properties move to the edge) or through a
     node of its own, which is made where it is missing. Edges are unique.
     """
-    for spec in link_specs(graph.layer) if specs is None else specs:
+    specs = link_specs(graph.layer) if specs is None else specs
+    if not specs:
+        return graph
+    graph = graph.held()  # each spec reads it several times
+    for spec in specs:
         found = matched(graph, spec)
         empty = F.create_map().cast("map<string,array<string>>")
         nodes, edges = graph.nodes, graph.edges
@@ -126,4 +130,4 @@ def link(graph: Graph, specs: list[LinkSpec] | None = None) -> Graph:
         ends = (near, F.col("target_id")) if spec.forward else (F.col("target_id"), near)
         links = found.select(*edge_columns(graph_id=F.col("graph_id"), src=ends[0], dst=ends[1], label=spec.label, props=props))
         graph = graph.with_(nodes=nodes, edges=edges.unionByName(unique_edges(links)))
-    return graph
+    return graph.held()

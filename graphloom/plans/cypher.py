@@ -1,7 +1,7 @@
 """A subset of openCypher over the nodes and edges tables, lowered to joins.
 
-MATCH of linear patterns (labels, property maps, directions, *min..max), WHERE, RETURN with
-aliases, DISTINCT, aggregates, ORDER BY, SKIP and LIMIT. Patterns stay within one graph_id. A
+MATCH and OPTIONAL MATCH of linear patterns (labels, property maps, directions, *min..max), WHERE,
+UNWIND of lists, WITH (projection, aggregates, DISTINCT, WHERE), RETURN with aliases, DISTINCT, aggregates, ORDER BY, SKIP and LIMIT. Patterns stay within one graph_id. A
 variable-length step is the union of its lengths; without an upper bound it is followed to its end.
 Patterns without a common variable combine within a graph, up to MOST_APART nodes of the later one.
 """
@@ -56,6 +56,7 @@ class _Query:
     skip: int | None = None
     limit: int | None = None
     named: set[str] = field(default_factory=set)
+    rest: list[tuple] = field(default_factory=list)  # clauses after the first matches
 
 
 class _Parser:
@@ -101,26 +102,29 @@ class _Parser:
 
     def query(self) -> _Query:
         q = _Query()
-        while self.take("MATCH"):
-            while True:
-                q.paths.append(self.path())
-                if not self.take(","):
-                    break
-            if self.take("WHERE"):
-                own = self.expr()
-                q.where = own if q.where is None else ("and", q.where, own)
-        self.need("RETURN")
+        while not self.take("RETURN"):
+            if self.take("OPTIONAL"):
+                self.need("MATCH")
+                q.rest.append(("optional", self.paths(), self.condition()))
+            elif self.take("MATCH"):
+                paths, own = self.paths(), self.condition()
+                if q.rest:
+                    q.rest.append(("match", paths, own))
+                    continue
+                q.paths += paths
+                if own is not None:
+                    q.where = own if q.where is None else ("and", q.where, own)
+            elif self.take("UNWIND"):
+                e = self.expr()
+                self.need("AS")
+                q.rest.append(("unwind", e, self.name()))
+            elif self.take("WITH"):
+                distinct = self.take("DISTINCT")
+                q.rest.append(("with", self.items(set()), distinct, self.condition()))
+            else:
+                self.need("RETURN")
         q.distinct = self.take("DISTINCT")
-        while True:
-            start = self.at
-            e = self.expr()
-            text = "".join(t.strip("`") for _, t in self.tokens[start : self.at])
-            if self.take("AS"):
-                text = self.name()
-                q.named.add(text)
-            q.items.append((e, text))
-            if not self.take(","):
-                break
+        q.items = self.items(q.named)
         if self.take("ORDER"):
             self.need("BY")
             while True:
@@ -136,6 +140,28 @@ class _Parser:
             raise QueryError(f"unexpected {self.peek()[1]!r}")
         return q
 
+    def paths(self) -> list[list]:
+        out = [self.path()]
+        while self.take(","):
+            out.append(self.path())
+        return out
+
+    def condition(self) -> tuple | None:
+        return self.expr() if self.take("WHERE") else None
+
+    def items(self, named: set[str]) -> list[tuple]:
+        out = []
+        while True:
+            start = self.at
+            e = self.expr()
+            text = "".join(t.strip("`") for _, t in self.tokens[start : self.at])
+            if self.take("AS"):
+                text = self.name()
+                named.add(text)
+            out.append((e, text))
+            if not self.take(","):
+                return out
+
     def literal(self):
         kind, text = self.peek()
         self.at += 1
@@ -384,6 +410,42 @@ class _Plan:
             at = n.var
         return out
 
+    def clause(self, df: DataFrame, kind: str, *given) -> DataFrame:
+        """df after a clause that follows the first matches."""
+        if kind == "match":
+            for path in given[0]:
+                df = self.path(df, path)
+            return df if given[1] is None else df.where(self.column(given[1]))
+        if kind == "optional":
+            # rows are numbered and written, so that both uses of them have the same numbers
+            df = written(df.withColumn("_row", F.monotonically_increasing_id()))
+            was = df.columns
+            hit = df
+            for path in given[0]:
+                hit = self.path(hit, path)
+            if given[1] is not None:
+                hit = hit.where(self.column(given[1]))
+            hit = hit.select("_row", *(c for c in hit.columns if c not in was))
+            return df.join(hit, "_row", "left").drop("_row")
+        if kind == "unwind":
+            self.params.add(given[1])
+            return df.withColumn(f"_param_{given[1]}", F.explode(self.column(given[0])))
+        items, distinct, where = given
+        nodes = {n: e[1] for e, n in items if e[0] == "var" and e[1] in self.nodes}
+        plain = {n: e for e, n in items if n not in nodes}
+        if any(self.aggregates(e) for e in plain.values()):
+            keys = [F.col(f"{v}.node_id").alias(f"_key_{n}") for n, v in nodes.items()] + [self.column(e).alias(f"_param_{n}") for n, e in plain.items() if not self.aggregates(e)]
+            made = [F.first(v).alias(n) for n, v in nodes.items()] + [self.column(e).alias(f"_param_{n}") for n, e in plain.items() if self.aggregates(e)]
+            df = df.groupBy("graph_id", *keys).agg(*made).drop(*(f"_key_{n}" for n in nodes))
+        else:
+            df = df.select("graph_id", *(F.col(v).alias(n) for n, v in nodes.items()), *(self.column(e).alias(f"_param_{n}") for n, e in plain.items()))
+            if distinct:
+                # nodes hold maps, which cannot be compared: one of each id is taken
+                keys = [F.col(f"{n}.node_id").alias(f"_key_{n}") for n in nodes] + [F.col(f"_param_{n}") for n in plain]
+                df = df.groupBy("graph_id", *keys).agg(*(F.first(n).alias(n) for n in nodes), F.count("*").alias("_c")).drop("_c", *(f"_key_{n}" for n in nodes))
+        self.nodes, self.edges, self.params = set(nodes), set(), set(plain)
+        return df if where is None else df.where(self.column(where))
+
     def narrow(self, df: DataFrame, n: _Node) -> DataFrame:
         for label in n.labels:
             df = df.where(F.array_contains(f"{n.var}.labels", label))
@@ -493,7 +555,7 @@ def _run(graph: Graph, q: _Query, bindings: dict[str, DataFrame], with_graph: bo
             q.paths.append([_Node(n)])
     for path in q.paths:
         df = plan.path(df, path)
-    if df is None:
+    if df is None and not (q.rest and q.rest[0][0] == "match"):
         df = graph.spark.range(1).select(F.lit("").alias("graph_id"))
     for n, table in fixed.items():
         own = table.select(F.col("graph_id").alias("_g"), F.col(f"_{keep[0]}").alias("_k"), F.col(f"_{n}").alias("_v"))
@@ -505,6 +567,8 @@ def _run(graph: Graph, q: _Query, bindings: dict[str, DataFrame], with_graph: bo
             df = df.join(own, (df["graph_id"] == own["_g"]) & (F.col(f"{keep[0]}.node_id") == own["_k"]), "left").drop("_g", "_k")
     if q.where is not None:
         df = df.where(plan.column(q.where))
+    for clause in q.rest:
+        df = plan.clause(df, *clause)
     names = [n for _, n in q.items]
     kept = [F.col(f"{v}.node_id").alias(f"_{v}") for v in keep]
     if any(plan.aggregates(e) for e, _ in q.items):

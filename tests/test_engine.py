@@ -542,3 +542,15 @@ def test_custom_checks_of_nodes_and_native_values(spark):
         assert rows(more.instances("M/a").select("graph_id", "value")) == [("1", "2"), ("2", "3")]
     finally:
         MEANINGS.pop("t/many")
+
+
+def test_clauses_after_the_first_match(spark):
+    g = _chain(spark, 4)
+    run = lambda text: rows(cypher.run(g, text))
+    got = cypher.run(g, "match (a) optional match (a)-[:to]->(b) where b.nodeId <> 'n02' return a.nodeId as a, b.nodeId as b").collect()
+    assert sorted((r.a, r.b or "") for r in got) == [("n00", "n01"), ("n01", ""), ("n02", "n03"), ("n03", "")]
+    assert run("match (a)-[:to]->(b) with b, count(a) as n where n > 0 match (b)-[:to]->(c) return c.nodeId as c, n") == [("n02", 1), ("n03", 1)]
+    assert run("match (a) with distinct a.type as t unwind ['x', 'y'] as u return t, u") == [("Object", "x"), ("Object", "y")]
+    assert run("unwind [1, 2] as x return x") == [(1,), (2,)]
+    with pytest.raises(cypher.QueryError):
+        cypher.run(g, "match (a) with a.type as t return a")
