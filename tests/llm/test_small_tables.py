@@ -118,3 +118,36 @@ def test_many_rules_against_brute_force(spark):
         url_filter.BROADCAST_RULES = before
     with pytest.raises(Exception, match="verdict maybe"):
         url_filter.filter_urls(pages, [("maybe", "a.org", "/")]).collect()
+
+
+def test_very_long_texts(spark, tables):
+    """10 MB of distinct words, one word of 1 MB, and a copy of the former with a word changed."""
+    _, labels, items = tables
+    words = [f"w{k}" for k in range(1_250_000)]
+    other = [*words[:600_000], "changed", *words[600_001:]]
+    word = "".join(chr(97 + k * k % 26) for k in range(1_000_000))
+    rows = [(1, " ".join(words)), (2, word), (3, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = {i: len(t) for i, t in rows}
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    assert (got[1].n_words, got[2].n_words, got[1].labels) == (1_250_000, 1, "")
+    assert decontaminate.find_leaks(docs, items).collect() == []
+    near = {r.doc_id: r for r in near_dup.near_duplicates(docs).collect()}
+    assert near[1].n_shingles == 1_249_996 and near[3].component_id == 1 and near[2].component_id == 2
+    rules = {r.doc_id: r for r in quality_rules.apply_rules(docs, quality_rules.fit(docs.limit(0), labels)).collect()}
+    assert rules[1].n_words == 1_250_000 and rules[2].base_failed
+    model = quality_classifier.fit(docs.limit(0), labels, bits=10)
+    assert len(quality_classifier.score_documents(docs, model).collect()) == 3
+    tokens = {r.doc_id: r for r in token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).collect()}
+    assert tokens[2].n_bytes == 1_000_000 and tokens[1].n_tokens > 1_250_000
+    removed = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert removed[1].n_removed == 0 and removed[3].n_spans == 2
+    assert sizes[3] - 300 < removed[3].n_removed < sizes[3]
+    # the word repeats itself with a short period: all but the first period and a span is gone
+    assert removed[2].n_removed == 1_000_000 - 26
+
+
+def test_round_trips_are_held_against_the_text(spark):
+    docs = spark.createDataFrame([(1, "a \u2581b"), (2, "a b"), (3, None)] + [(k, "short") for k in range(10, 3000)], "doc_id long, text string").coalesce(1)
+    got = sentencepiece_sample.sample_segmentations(docs, vocabulary("piece_bpe_32k.model"), k=1, digest=True).collect()
+    assert {r.doc_id for r in got if not r.round_trip} == {1} and len(got) == 2993
