@@ -15,6 +15,7 @@ Documents and benchmark items are joined on shared seeds (hashes of runs of word
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -29,6 +30,8 @@ MIN_MATCH = 5
 COVERAGE = 0.8
 #: Up to so many seeds (24 MB) the benchmark's are broadcast; beyond it the join shuffles.
 BROADCAST_SEEDS = 1_000_000
+#: Up to so many digests of contaminated texts (some 40 MB) are broadcast.
+BROADCAST_KEYS = 400_000
 #: Parts in which the items that meet a document are tiled.
 PARTS = 64
 _WORD = re.compile(r"[^\W_]+")
@@ -198,11 +201,27 @@ class Index:
         self.bits = bit_array(self.seeds, "seed", self.count)
 
 
-_SEEDS, _ROW = "__graphloom_seeds", "__graphloom_row"
+_SEEDS, _ROW, _KEY = "__graphloom_seeds", "__graphloom_row", "__graphloom_key"
 
 
-def _suspects(df: DataFrame, index: Index, text_col: str, wanted: bool) -> DataFrame:
-    """The rows of df whose texts may hold a seed of the benchmark, with these seeds; or, not wanted, the other rows of df."""
+def _seeds_of(texts: list[str | None], of: Seeds, sizes: list[int], bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, seed) of the seeds of each text that may be the benchmark's, each once, by text."""
+    tokens = [words(t) for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
+    values = of.values([w for t in tokens for w in t])
+    found = [np.zeros((0, 2), dtype=np.uint64)]
+    for size in sizes:
+        if len(values) >= size:
+            inside = np.flatnonzero(owner[: len(owner) - size + 1] == owner[size - 1 :])
+            seeds = of.of(values, size)[inside]
+            hit = bits.hold(seeds)
+            found.append(np.stack([owner[inside[hit]].astype(np.uint64), seeds[hit]], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0].astype(np.int64), pairs[:, 1]
+
+
+def _suspects(df: DataFrame, index: Index, text_col: str) -> DataFrame:
+    """The rows of df whose texts may hold a seed of the benchmark, with these seeds."""
     from pyspark.sql import types as T
 
     shared = df.sparkSession.sparkContext.broadcast(index.bits.words)
@@ -210,18 +229,13 @@ def _suspects(df: DataFrame, index: Index, text_col: str, wanted: bool) -> DataF
 
     def run(batches):
         bits, of = Bits(shared.value), Seeds(least)
-        for batch in batches:
-            found = []
-            for text in batch.column(column):
-                values = of.values(words(text.as_py()))
-                seeds = np.concatenate([of.of(values, size) for size in sizes]) if sizes else values[:0]
-                found.append(np.unique(seeds[bits.hold(seeds)]).view(np.int64))
-            mask = pa.array([bool(len(x)) == wanted for x in found], type=pa.bool_())
-            out = batch.filter(mask)
-            yield out.append_column(_SEEDS, pa.array([x for x in found if len(x)], type=pa.list_(pa.int64()))) if wanted else out
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            text, seeds = _seeds_of(batch.column(column).to_pylist(), of, sizes, bits)
+            number = np.bincount(text, minlength=batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(number[number > 0])), pa.int32()), pa.array(seeds.view(np.int64)))
+            yield batch.filter(pa.array(number > 0)).append_column(_SEEDS, lists)
 
-    schema = T.StructType([*df.schema.fields, T.StructField(_SEEDS, T.ArrayType(T.LongType()))]) if wanted else df.schema
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(_SEEDS, T.ArrayType(T.LongType()))]))
 
 
 def _tiled(suspects: DataFrame, index: Index, columns: list[str], text_col: str) -> DataFrame:
@@ -262,7 +276,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
     """
     index = Index(benchmark, item_col, item_text_col, coverage)
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    suspects = saved(_suspects(src, index, "_text", True).withColumn(_ROW, F.monotonically_increasing_id()))
+    suspects = saved(_suspects(src, index, "_text").withColumn(_ROW, F.monotonically_increasing_id()))
     found = _tiled(suspects, index, ["doc_id"], "_text")
     return found.select("doc_id", "item_id", "n_item_words", "n_covered", "n_tiles", (F.col("n_covered") / F.col("n_item_words")).alias("coverage"), F.lit(True).alias("contaminated"))
 
@@ -270,10 +284,22 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
 def drop_leaks(df: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, that no benchmark item contaminates.
 
-    Rows without any seed pass straight; only the others are written, joined and tiled.
+    Contamination is a matter of the text, so contaminated texts are found first and told by their
+    digests then: all at once where they are few enough to broadcast, else by a join.
     """
     index = Index(benchmark, item_col, item_text_col, coverage)
-    suspects = saved(_suspects(df, index, text_col, True).withColumn(_ROW, F.monotonically_increasing_id()))
-    leaks = _tiled(suspects, index, [_ROW], text_col).select(_ROW).distinct()
-    clean = suspects.join(leaks, _ROW, "left_anti").drop(_ROW, _SEEDS)
-    return _suspects(df, index, text_col, False).unionByName(clean)
+    src = df.select(F.col(f"`{text_col}`").alias("_text")).where("_text IS NOT NULL")
+    suspects = saved(_suspects(src, index, "_text").withColumns({_ROW: F.monotonically_increasing_id(), _KEY: F.sha2(F.col("_text").cast("binary"), 256)}))
+    leaks = saved(_tiled(suspects, index, [_KEY], "_text").select(_KEY).distinct())
+    if leaks.count() > BROADCAST_KEYS:
+        keyed = df.withColumn(_KEY, F.sha2(F.col(f"`{text_col}`").cast("binary"), 256))
+        return keyed.join(leaks, _KEY, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    gone = df.sparkSession.sparkContext.broadcast(frozenset(bytes.fromhex(r[0]) for r in leaks.collect()))
+    i = df.schema.fieldNames().index(text_col)
+
+    def run(batches):
+        own = gone.value
+        for batch in batches:
+            yield batch.filter(pa.array([not t.is_valid or hashlib.sha256(t.as_buffer()).digest() not in own for t in batch.column(i)], type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -169,6 +169,7 @@ def test_leaks_in_another_order(spark):
 def test_leaks_of_many_items_with_a_template(spark, monkeypatch, broadcast):
     """Items share half of their words; a document with only the template matches none of them."""
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", broadcast)
     rng = random.Random(6)
     template = words(rng, 15)
     items = [(k, " ".join(template + words(rng, 15, 500))) for k in range(1500)] + [(5000, "one two"), (5001, "one two three four five"), (None, "null id " + " ".join(template))]
