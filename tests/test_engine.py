@@ -294,10 +294,10 @@ def test_lookup_matching_rules(spark):
 
 def test_value_set_keys_and_removal(spark):
     own = layer("V", {"a": "a", "sys": "sys", "x": {"attributeName": "x", "vsRequestKeys": ["code", "system"], "vsRequestValues": ["V/a", "V/sys"], "vsResultKeys": ["code", "gone"], "vsResultValues": ["V/x", "V/old"]}, "old": "old"})
-    sets = valueset.load([{"id": "s", "values": [{"keyValues": {"code": "h", "system": "l"}, "results": {"code": "8302-2"}}]}])
+    sets = valueset.load([{"id": "s", "values": [{"keyValues": {"code": "h", "system": "l"}, "results": {"code": "K17"}}]}])
     g = ingest_rows(spark.createDataFrame([("H", "L", "was"), ("n", "L", "stays")], "a string, sys string, old string"), own, F.col("a"))
     out = valueset.process(g, valueset.entries_table(spark, sets))
-    assert rows(out.nodes.where("schema_node_id IN ('V/x', 'V/old')").select("graph_id", "schema_node_id", "value")) == [("H", "V/x", "8302-2"), ("n", "V/old", "stays")]
+    assert rows(out.nodes.where("schema_node_id IN ('V/x', 'V/old')").select("graph_id", "schema_node_id", "value")) == [("H", "V/x", "K17"), ("n", "V/old", "stays")]
 
 
 def test_measures_beside_and_embedded(spark):
