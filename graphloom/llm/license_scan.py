@@ -126,7 +126,7 @@ SIGNATURES = (
     (95, "document", "gfdl", 0.95, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
     (91, "substantial", "mit", 0.9, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     (86, "merchantability", "mit", 0.6, r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
-    (93, "consortium", "x11", 0.9, r"except as contained in this notice the name of (?:the x consortium|the open group) shall not be used in advertising"),
+    (93, "advertising", "x11", 0.9, r"except as contained in this notice the name of (?:the x consortium|the open group) shall not be used in advertising"),
     (92, "evil", "json", 1.0, r"the software shall be used for good not evil"),
     (91, "redistributions", "bsd", 0.85, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     (90, "redistributions", "bsd", 0.8, r"redistributions in binary form must reproduce the above copyright notice"),
@@ -138,7 +138,7 @@ SIGNATURES = (
     (94, "organization", "boost-1.0", 1.0, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     (92, "eclipse", "epl", 0.95, r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
     (92, "distribution", "cddl", 0.95, r"the contents of this file are subject to the terms of the common development and distribution license"),
-    (91, "artistic", "artistic", 0.85, r"the intent of this document is to state the conditions under which a package may be copied"),
+    (91, "intent", "artistic", 0.85, r"the intent of this document is to state the conditions under which a package may be copied"),
     (91, "verbatim", "artistic", 0.75, r"you may make and give away verbatim copies of the source form of the standard version of this package"),
     (92, "reserved", "ofl", 0.9, r"with reserved font names? .{1,80}? this font software is licensed under the sil open font license"),
     (90, "font", "ofl", 0.8, r"neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
@@ -173,12 +173,12 @@ SIGNATURES = (
     (87, "remix", "cc-by-nd", 0.85, r"if you remix transform or build upon the material you may not distribute the modified material"),
     (86, "commercial", "cc-by-nc", 0.75, r"you may not use the material for commercial purposes"),
     (86, "redistribute", "cc-by", 0.6, r"copy and redistribute the material in any medium or format"),
-    (84, "wikipedia", "cc-by-sa", 0.8, r"text is available under the creative commons attribution share ?alike licen[sc]e"),
+    (84, "commons", "cc-by-sa", 0.8, r"text is available under the creative commons attribution share ?alike licen[sc]e"),
     (84, "ogl", "ogl", 0.8, r"(?:uk )?ogl v[123](?: 0)?"),
     (84, "government", "ogl", 0.9, r"contains public sector information licensed under the open government licen[sc]e"),
     (84, "government", "ogl", 0.85, r"open government licen[sc]e(?: v[123](?: 0)?| version [123](?: 0)?)?"),
     (84, "opendatacommons", "pddl", 0.85, r"opendatacommons org licenses pddl"),
-    (60, "unauthorized", "proprietary", 0.9, r"unauthori[sz]ed copying of this (?:file|software) via any medium is strictly prohibited"),
+    (60, "prohibited", "proprietary", 0.9, r"unauthori[sz]ed copying of this (?:file|software) via any medium is strictly prohibited"),
     (60, "reproduced", "proprietary", 0.8, r"no part of this (?:publication|book|document|work) may be reproduced"),
     (60, "trade", "proprietary", 0.75, r"contains (?:confidential|proprietary) (?:information and )?trade secrets"),
     (60, "internal", "proprietary", 0.6, r"for internal use only"),
