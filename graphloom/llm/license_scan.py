@@ -110,7 +110,7 @@ SIGNATURES = (
     (88, "apache", "apache-1.1", 0.9, r"this product includes software developed by the apache software foundation"),
     (94, "mozilla", "mpl-2.0", 1.0, r"this source code form is subject to the terms of the mozilla public license v 2 0"),
     (93, "mozilla", "mpl-1.1", 0.95, r"the contents of this file are subject to the mozilla public license version 1 1"),
-    (92, "mozilla", "mpl", 0.85, r"the contents of this file are subject to the (?:mozilla|netscape) public license"),
+    (92, "licen", "mpl", 0.85, r"the contents of this file are subject to the (?:mozilla|netscape) public license"),
     (94, "redistribute", "gpl", 0.95, r"this (?:program|file|package) is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     (94, "redistribute", "lgpl", 0.95, r"this (?:library|program|file) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
     (94, "redistribute", "agpl", 0.95, r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
