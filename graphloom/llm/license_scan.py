@@ -130,7 +130,7 @@ SIGNATURES = (
     (92, "evil", "json", 1.0, r"the software shall be used for good not evil"),
     (91, "redistributions", "bsd", 0.85, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     (90, "redistributions", "bsd", 0.8, r"redistributions in binary form must reproduce the above copyright notice"),
-    (89, "contributors", "bsd", 0.7, r"this software is provided by the (?:copyright holders|regents|author)(?: and contributors)? as is"),
+    (89, "provided", "bsd", 0.7, r"this software is provided by the (?:copyright holders|regents|author)(?: and contributors)? as is"),
     (93, "acknowledg", "bsd-4-clause", 0.95, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     (92, "granted", "0bsd", 0.9, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
     (92, "misrepresented", "zlib", 0.95, r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),

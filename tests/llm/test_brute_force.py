@@ -392,7 +392,7 @@ def sample(tree, rng):
         elif name == "ANY":
             out.append("x")
         elif name == "IN":
-            out.append(chr(rng.choice([v for o, v in arg if str(o) == "LITERAL"])))
+            out.append(chr(rng.choice([v for o, v in arg if str(o) == "LITERAL"] or [v for o, r in arg if str(o) == "RANGE" for v in range(r[0], r[1] + 1)])))
         elif name == "BRANCH":
             out.append(sample(rng.choice(arg[1]), rng))
         elif name == "SUBPATTERN":
