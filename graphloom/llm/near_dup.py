@@ -26,6 +26,8 @@ BAND_ROWS = 6
 #: Enough bands are used that a pair just at the threshold misses all of them less often than this.
 MISS = 1e-8
 RING = 1 << 20
+#: Up to so many ids (some 16 MB) of documents that go are broadcast.
+BROADCAST_IDS = 1_000_000
 #: Shingles of one verification block; larger clusters are verified block against block.
 BLOCK_SHINGLES = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -225,11 +227,13 @@ def _may_hold(src: DataFrame, ids: Bits) -> DataFrame:
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The rows of df, all columns, with one document (the smallest id) of each component.
 
-    The built side of a partition holds ids only, a small share of the texts that pass by.
+    The ids that go are broadcast up to a counted number; beyond it rows are shuffled, and the
+    built side of a partition holds ids only, a small share of the texts that pass by.
     """
     gone = "__graphloom_gone"
-    others = near_duplicates(df, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    return df.join(others.hint("shuffle_hash"), F.col(f"`{id_col}`") == F.col(gone), "left_anti")
+    others = saved(near_duplicates(df, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct())
+    others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others.hint("shuffle_hash")
+    return df.join(others, F.col(f"`{id_col}`") == F.col(gone), "left_anti")
 
 
 #: The same rows by comparing all documents that share a shingle.
