@@ -472,7 +472,7 @@ def _batches(batch: pa.RecordBatch, most: int):
         yield own_ids, own
 
 
-def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False, batch_chars: int = BATCH_CHARS, keep_vocabulary: bool = True) -> DataFrame:
     """Up to k distinct sampled segmentations of each row's whole text, best perturbed value first.
 
     doc_id, sample_no (from 1), n_tokens, log_prob, perturbed, log_inclusion; with ids the piece
@@ -482,7 +482,9 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id
     so equal keys and texts give equal samples, whatever batch_chars (the text worked on at once,
     which bounds memory); a null key counts as 0. A null or empty text has
     one segmentation, the empty one. Fewer than k rows come only where no more segmentations
-    exist. An empty table gives none; other columns are not read.
+    exist. An empty table gives none; other columns are not read. keep_vocabulary: a worker keeps
+    the vocabulary for its next task; without, it is read again for each and the memory is free
+    for whatever the worker does next.
     """
     names = ["doc_id long", "sample_no int", "n_tokens long", "log_prob double", "perturbed double", "log_inclusion double"]
     names += ["token_ids binary"] * ids + ["ids_sha256 string", "round_trip boolean"] * digest
@@ -506,6 +508,9 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id
                             row += [hashlib.sha256(raw).hexdigest(), sampler.pieces.decode(own) == (text or "")]
                         rows.append(row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        if not keep_vocabulary:
+            del sampler
+            pieces_at.cache_clear()
 
     return df.select(id_col, text_col).mapInArrow(run, ", ".join(names))
 
