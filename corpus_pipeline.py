@@ -36,8 +36,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One sampled segmentation of each document as piece ids, and whether it decodes to the text."""
-    # small batches: the executors still hold what the stages before have left
-    return sentencepiece_sample.sample_segmentations(docs, vocabulary(TOKENIZER_PIECES), k=1, ids=True, digest=True, batch_chars=1_000_000)
+    # small batches, nothing kept: the executors still hold what the stages before have left
+    return sentencepiece_sample.sample_segmentations(docs, vocabulary(TOKENIZER_PIECES), k=1, ids=True, digest=True, batch_chars=500_000, keep_vocabulary=False)
 
 
 STAGES = [
