@@ -1,11 +1,11 @@
 """Quality rules with an isolation forest over the rules' own statistics.
 
 Each text is reduced to counts (words, symbols, repeated lines and windows, ...) and these to
-shares. A forest of random splits over all of them, as they are, is grown on a bounded sample of
-documents marked good; every document gets its mean path length, and short paths mark documents
+shares. A forest of random splits over all of them, as they are, is grown on documents marked
+good, each tree on rows drawn from all of them; every document gets its mean path length, and short paths mark documents
 that differ from those. Splits are drawn from the rows' range and BEYOND times as far to either side,
 so a row outside of it soon stands alone. The threshold on the anomaly score is calibrated on
-the labelled rows.
+all labelled rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import forget, mapped, saved
 
 #: The statistics the forest splits on, in the order of features(), and the least width of a range to split.
 FEATURES = ("log_words", "word_len", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share")
@@ -29,6 +29,8 @@ _ASCII_UPPER = bytes(range(65, 91))
 _ASCII_DIGIT = bytes(range(48, 58))
 _ASCII_MARK = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _SYMBOLS = b"#*$%&|<>"
+#: Bins of one round of counting.
+_BINS = 1024
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -97,7 +99,10 @@ class IsolationForest:
         self.sample = min(sample, len(x))
         self.depth = 2 * math.ceil(math.log2(max(2, self.sample)))
         width = np.broadcast_to(np.asarray(width, dtype=float), x.shape[1:])
-        self.trees = [self._grow(x[rng.choice(len(x), self.sample, replace=False)], rng, width) for _ in range(trees)] if len(x) else []
+        # no row twice as long as there are enough
+        order = rng.permutation(len(x))[: trees * self.sample].reshape(-1, self.sample) if len(x) >= trees * self.sample else None
+        rows = lambda k: rng.choice(len(x), self.sample, replace=False) if order is None else order[k]
+        self.trees = [self._grow(x[rows(k)], rng, width) for k in range(trees)] if len(x) else []
 
     def _grow(self, x, rng, width):
         feature, split, left, right, length = [], [], [], [], []
@@ -146,26 +151,58 @@ class RuleModel:
         return score, score > self.threshold
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000, trees: int = 100, sample: int = 256, false_alarms: float = 0.001) -> RuleModel:
-    """Forest and threshold from at most max_rows labelled rows (the bound is on fitting only).
-
-    The forest grows on rows marked good; the threshold is the score that a share of
-    `false_alarms` of them exceeds. An id counts once: of repeated documents the one with the
-    least statistics. Rows that the base rules fail are not learnt from. Without ten good rows
-    and a bad one nothing is anomalous.
+def _nth(values: DataFrame, column: str, n: int) -> float:
+    """The n-th least (from 0) of a column without nulls: counts of ever narrower bins, so no row is gathered."""
+    x = F.col(column)
+    low, high = values.agg(F.min(x), F.max(x)).first()
+    while low < high:
+        place = F.least(F.floor((x - F.lit(low)) / F.lit((high - low) / _BINS)), F.lit(_BINS - 1))
+        bins = values.where(x.between(low, high)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).collect()
+        for b in sorted(bins, key=lambda b: b.low):
+            low, high = b.low, b.high
+            if n < b.n:
+                break
+            n -= b.n
+    return low
+
+
+def _quantile(values: DataFrame, column: str, count: int, share: float) -> float:
+    """np.quantile of a column of `count` rows."""
+    at = (count - 1) * share
+    below = math.floor(at)
+    low = _nth(values, column, below)
+    high = low if below == at else _nth(values, column, below + 1)
+    return low + (high - low) * (at - below)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", trees: int = 100, sample: int = 256, false_alarms: float = 0.001) -> RuleModel:
+    """Forest and threshold from all labelled rows.
+
+    The forest grows on rows marked good, each tree on `sample` of them (the method's own way),
+    drawn from all; the threshold is the score that a share of `false_alarms` of all of them
+    exceeds. An id counts once: of repeated documents the one with the least statistics. Rows
+    that the base rules fail are not learnt from. Without ten good rows and a bad one nothing is
+    anomalous. Only statistics are shuffled, no texts.
     """
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"))
-    marks = marks.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(marks), "_id")
-    stats = mapped(picked, ["_id", "_y", "_t"], "i long, y int, s array<long>", lambda: lambda c: {"i": c[0], "y": c[1], "s": [list(statistics(t)) for t in c[2]]})
-    stats = stats.groupBy("i").agg(F.min("y").alias("y"), F.min("s").alias("s")).collect()
-    stats = sorted((r for r in stats if not base_failed(np.array([r.s]))[0]), key=lambda r: (r.y, r.s))
-    x, y = features(np.array([r.s for r in stats], dtype=float)), np.array([r.y for r in stats])
-    good = x[y == 1]
-    if len(good) < 10 or len(good) == len(x):
-        return RuleModel(IsolationForest(good), math.inf)
-    forest = IsolationForest(good, trees, sample, width=LEAST_WIDTH)
-    return RuleModel(forest, float(np.quantile(forest.score(good), 1 - false_alarms)))
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.min(label_col).cast("int").alias("y"))
+    stats = mapped(docs.where(F.col(id_col).isNotNull()), [F.col(id_col).cast("long"), text_col], "i long, s array<long>", lambda: lambda c: {"i": c[0], "s": [list(statistics(t)) for t in c[1]]})
+    stats = stats.groupBy("i").agg(F.min("s").alias("s"))
+    rows = saved(stats.join(marks, "i").where("s[0] >= 50 and 100 * s[4] <= 50 * s[0]"))
+    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    good, n = rows.where("y = 1"), counts.get(1, 0)
+    # all rows, or by their ids' hashes as many as the trees take, and a few more that are cut off here
+    need = trees * sample
+    share = min(1.0, (need + 10 * math.sqrt(need)) / max(n, 1))
+    drawn = good if share == 1 else good.where(F.xxhash64("i") < F.lit(int((share - 0.5) * 2.0**64)))
+    x = features(np.array([r.s for r in sorted(drawn.select(F.xxhash64("i").alias("h"), "i", "s").collect())], dtype=float))
+    if n < 10 or n == sum(counts.values()):
+        forget(rows)
+        return RuleModel(IsolationForest(x), math.inf)
+    forest = IsolationForest(x, trees, sample, width=LEAST_WIDTH)
+    scores = saved(mapped(good, ["s"], "score double", lambda: lambda c: {"score": forest.score(features(np.array(c[0], dtype=float)))}, rows=8192))
+    threshold = _quantile(scores, "score", n, 1 - false_alarms)
+    forget(rows, scores)
+    return RuleModel(forest, threshold)
 
 
 def base_failed(s: np.ndarray) -> np.ndarray:
