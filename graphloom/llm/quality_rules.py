@@ -100,7 +100,7 @@ class IsolationForest:
         self.depth = 2 * math.ceil(math.log2(max(2, self.sample)))
         width = np.broadcast_to(np.asarray(width, dtype=float), x.shape[1:])
         # no row twice as long as there are enough
-        order = rng.permutation(len(x))[: trees * self.sample].reshape(-1, self.sample) if len(x) >= trees * self.sample else None
+        order = rng.permutation(len(x))[: trees * self.sample].reshape(-1, self.sample) if len(x) >= max(1, trees * self.sample) else None
         rows = lambda k: rng.choice(len(x), self.sample, replace=False) if order is None else order[k]
         self.trees = [self._grow(x[rows(k)], rng, width) for k in range(trees)] if len(x) else []
 
