@@ -35,9 +35,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One sampled segmentation of each document as piece ids, and whether it decodes to the text."""
+    """Two segmentations of each document, sampled without replacement, as piece ids, and whether they decode to the text; the second in `more`."""
     # small batches, nothing kept: the executors still hold what the stages before have left
-    return sentencepiece_sample.sample_segmentations(docs, vocabulary(TOKENIZER_PIECES), k=1, ids=True, digest=True, batch_chars=500_000, keep_vocabulary=False)
+    return sentencepiece_sample.sample_segmentations(docs, vocabulary(TOKENIZER_PIECES), k=2, ids=True, digest=True, batch_chars=500_000, keep_vocabulary=False, one_row=True)
 
 
 STAGES = [

@@ -472,7 +472,7 @@ def _batches(batch: pa.RecordBatch, most: int):
         yield own_ids, own
 
 
-def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False, batch_chars: int = BATCH_CHARS, keep_vocabulary: bool = True) -> DataFrame:
+def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False, batch_chars: int = BATCH_CHARS, keep_vocabulary: bool = True, one_row: bool = False) -> DataFrame:
     """Up to k distinct sampled segmentations of each row's whole text, best perturbed value first.
 
     doc_id, sample_no (from 1), n_tokens, log_prob, perturbed, log_inclusion; with ids the piece
@@ -484,21 +484,26 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id
     one segmentation, the empty one. Fewer than k rows come only where no more segmentations
     exist. An empty table gives none; other columns are not read. keep_vocabulary: a worker keeps
     the vocabulary for its next task; without, it is read again for each and the memory is free
-    for whatever the worker does next.
+    for whatever the worker does next. one_row: a row for each row of df, with the best sample's
+    columns and, in `more`, an array of structs with those of all others.
     """
     names = ["doc_id long", "sample_no int", "n_tokens long", "log_prob double", "perturbed double", "log_inclusion double"]
     names += ["token_ids binary"] * ids + ["ids_sha256 string", "round_trip boolean"] * digest
+    own_names = names[1:]
+    names += [f"more array<struct<{', '.join(own_names)}>>"] * one_row
 
     def run(batches):
         import hashlib
 
         sampler = Sampler(pieces_at(path), k, seed)
         kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
-        schema = pa.schema([(n.split()[0], kinds[n.split()[1]]) for n in names])
+        kind_of = lambda n: (n.split()[0], kinds[n.split()[1]])
+        schema = pa.schema([kind_of(n) for n in ["doc_id long", *own_names]] + [("more", pa.list_(pa.struct([kind_of(n) for n in own_names])))] * one_row)
         for batch in batches:
             for keys, texts in _batches(batch, batch_chars):
                 rows = []
                 for key, text, found in zip(keys, texts, sampler.sample(keys, texts), strict=True):
+                    samples = []
                     for no, (own, log, value, inclusion) in enumerate(found, 1):
                         row = [key, no, len(own), log, value, inclusion]
                         raw = own.astype("<i4").tobytes()
@@ -506,7 +511,8 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id
                             row.append(raw)
                         if digest:
                             row += [hashlib.sha256(raw).hexdigest(), sampler.pieces.decode(own) == (text or "")]
-                        rows.append(row)
+                        samples.append(row)
+                    rows += [[*samples[0], [dict(zip(schema.names[1:], x[1:], strict=False)) for x in samples[1:]]]] if one_row else samples
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         if not keep_vocabulary:
             del sampler

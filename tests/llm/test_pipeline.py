@@ -117,3 +117,15 @@ def test_stages_take_odd_rows(spark):
     masked = {r.doc_id: r for r in corpus_pipeline.secrets(spark, docs, SF).collect()}
     assert masked[None].text == words + ' token = "[SECRET]"' and masked[None].n_chars == len(masked[None].text) and masked[2].n_chars is None and masked[3].text is None
     assert corpus_pipeline.encoding(spark, docs, SF).count() == len(rows)
+
+
+def test_encoding_stage_samples_twice_without_replacement(spark, inputs):
+    """The rows are those that the operator gives for k = 2, the second sample within the first one's row."""
+    from graphloom.llm import sentencepiece_sample
+    from graphloom.llm.queries import vocabulary
+
+    columns = ("sample_no", "n_tokens", "log_prob", "perturbed", "log_inclusion", "token_ids", "ids_sha256", "round_trip")
+    want = {(r.doc_id, r.sample_no): tuple(r[c] for c in columns) for r in sentencepiece_sample.sample_segmentations(inputs[4], vocabulary("piece_bpe_32k.model"), k=2, digest=True).collect()}
+    got = {(r.doc_id, x.sample_no): tuple(x[c] for c in columns) for r in inputs[5].collect() for x in (r, *r.more)}
+    assert got == want and len(want) == 2 * inputs[4].count()
+    assert all(want[i, 1][6] != want[i, 2][6] for i, _ in want)
