@@ -401,7 +401,9 @@ class SuffixArray:
     def later(self, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(suffix, length) of every occurrence but the first, by `order`, of each maximal repeat; some repeats at a time."""
         count = self.high - self.low + 1
-        cut = np.flatnonzero(np.diff(np.cumsum(count) // _OCCURRENCES, prepend=-1)) if len(count) else np.zeros(0, dtype=np.int64)
+        if not len(count):
+            return
+        cut = np.flatnonzero(np.diff(np.cumsum(count) // _OCCURRENCES, prepend=-1))
         for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(count)], strict=True):
             some = count[i:j]
             at = np.cumsum(some) - some

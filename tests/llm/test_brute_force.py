@@ -106,6 +106,24 @@ def test_repeats(spark, most):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [suffix_dedup.MOST_CONTEXTS, 1])
+def test_passages_shorter_than_a_span(spark, most):
+    rng = random.Random(8)
+    fresh = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, rows = fresh(99), []
+    for i in range(8):
+        rows.append((i, fresh(120) + str(i) + passage + str(i) + fresh(120)))
+    # keys with several contexts, and no repeat in any of their arrays
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), most_contexts=most).collect()]
+    assert sorted(got) == [(i, len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows]
+
+
+def test_arrays_without_repeats():
+    for texts in ([], [b"abc"], [b"abcd", b"abce"], [b"aaa", b"b"]):
+        array = suffix_dedup.SuffixArray(texts, 4)
+        assert not len(array.length) and not list(array.later(np.arange(len(array.owner))))
+
+
 def test_maximal_repeats_have_all_occurrences():
     rng = random.Random(3)
     for _ in range(60):
