@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, near_dup, quality_classifier, quality_rules, secret_scan, sentencepiece_sample, suffix_dedup, token_counts, url_filter
+from . import decontaminate, language_model, lexical_search, license_scan, near_dup, quality_classifier, quality_rules, secret_scan, sentencepiece_sample, suffix_dedup, token_counts, url_filter, vector_codes
 from .common import read
 
 TOKENIZER_BYTE_BPE = "byte_bpe_50k.json"
@@ -57,5 +57,29 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_quality_classifier, op7_near_dup, op8_token_counts, op9_sentencepiece_sample, op10_suffix_dedup)}
-ORACLE_SQL = {"op4_url_filter": url_filter.ORACLE, "op7_near_dup": near_dup.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.search_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_language_model(spark, sf_dir):
+    return language_model.score_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_decontaminate, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_quality_classifier, op7_near_dup, op8_token_counts,
+        op9_sentencepiece_sample, op10_suffix_dedup, op11_vector_codes, op12_lexical_search, op13_language_model,
+    )
+}
+ORACLE_SQL = {
+    "op4_url_filter": url_filter.ORACLE,
+    "op7_near_dup": near_dup.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
+}
