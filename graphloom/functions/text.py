@@ -14,6 +14,11 @@ def white_space(value: Column, facet: str = "collapse") -> Column:
     return replaced if facet == "replace" else F.trim(F.regexp_replace(replaced, " +", " "))
 
 
+def natural(name: Column) -> Column:
+    """A dotted name (a node id) whose numbers are padded, so that the order of texts is that of the numbers."""
+    return F.array_join(F.transform(F.split(name, r"\."), lambda x: F.when(x.rlike(r"^\d{1,10}$"), F.lpad(x, 10, "0")).otherwise(x)), ".")
+
+
 def same_words(a: Column, b: Column, case_sensitive: bool = False) -> Column:
     from ..operators.valueset import words
 

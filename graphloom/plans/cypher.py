@@ -1,19 +1,25 @@
 """A subset of openCypher over the nodes and edges tables, lowered to joins.
 
 MATCH and OPTIONAL MATCH of linear patterns (labels, property maps, directions, *min..max), WHERE,
-UNWIND of lists, WITH (projection, aggregates, DISTINCT, WHERE), RETURN with aliases, DISTINCT, aggregates, ORDER BY, SKIP and LIMIT. Patterns stay within one graph_id. A
+UNWIND of lists, WITH and RETURN (projection, *, aliases, DISTINCT, aggregates, ORDER BY, SKIP, LIMIT; WITH
+also WHERE). Patterns stay within one graph_id; what is
+aggregated, made distinct, ordered or cut is so over all graphs, in WITH as in RETURN (within each graph where the
+caller asks for graph ids). After a WITH that carries no node no further pattern can be matched. A
 variable-length step is the union of its lengths; without an upper bound it is followed to its end.
 Patterns without a common variable combine within a graph, up to MOST_APART nodes of the later one.
+The single steps of one MATCH are different edges; parallel edges are told apart by their numbers.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import natural
 from ..graph import Graph
 from ..storage import written
 
@@ -120,25 +126,28 @@ class _Parser:
                 q.rest.append(("unwind", e, self.name()))
             elif self.take("WITH"):
                 distinct = self.take("DISTINCT")
-                q.rest.append(("with", self.items(set()), distinct, self.condition()))
+                q.rest.append(("with", self.items(set()), distinct, self.cut(), self.condition()))
             else:
                 self.need("RETURN")
         q.distinct = self.take("DISTINCT")
         q.items = self.items(q.named)
+        q.order, q.skip, q.limit = self.cut()
+        if self.peek()[0] != "end":
+            raise QueryError(f"unexpected {self.peek()[1]!r}")
+        return q
+
+    def cut(self) -> tuple[list, int | None, int | None]:
+        """ORDER BY, SKIP and LIMIT, as far as they stand here."""
+        order: list[tuple] = []
         if self.take("ORDER"):
             self.need("BY")
             while True:
                 e = self.expr()
-                q.order.append((e, self.take("DESC", "DESCENDING") or (self.take("ASC", "ASCENDING") and False)))
+                order.append((e, self.take("DESC", "DESCENDING") or (self.take("ASC", "ASCENDING") and False)))
                 if not self.take(","):
                     break
-        if self.take("SKIP"):
-            q.skip = int(self.literal())
-        if self.take("LIMIT"):
-            q.limit = int(self.literal())
-        if self.peek()[0] != "end":
-            raise QueryError(f"unexpected {self.peek()[1]!r}")
-        return q
+        skip = int(self.literal()) if self.take("SKIP") else None
+        return order, skip, int(self.literal()) if self.take("LIMIT") else None
 
     def paths(self) -> list[list]:
         out = [self.path()]
@@ -151,6 +160,10 @@ class _Parser:
 
     def items(self, named: set[str]) -> list[tuple]:
         out = []
+        if self.take("*"):
+            out.append((("all",), "*"))
+            if not self.take(","):
+                return out
         while True:
             start = self.at
             e = self.expr()
@@ -314,12 +327,42 @@ def parse(text: str) -> _Query:
     return _Parser(text).query()
 
 
+def is_query(text: str) -> bool:
+    """Whether a text is a query, not an id."""
+    return re.match(r"\s*(optional\s+match|match|unwind|with|return)\b", text, re.I) is not None
+
+
 class _Plan:
     def __init__(self, graph: Graph, bindings: dict[str, DataFrame]):
         self.graph, self.bindings = graph, bindings
         self.params: set[str] = set()
+        self.lists: set[str] = set()  # params that hold lists of values from outside
+        self.arrays: set[str] = set()  # params that a clause made as lists
         self.nodes: set[str] = set()
         self.edges: set[str] = set()
+        self.steps_here: list[str] = []  # edge variables of the clause at work
+        self.keys: tuple[str, ...] = ()  # columns that aggregates keep apart
+        self.numbered = False
+
+    def pattern(self, df: DataFrame | None, paths: list[list]) -> DataFrame:
+        """df joined with the paths of one MATCH, each begun where a variable is known already."""
+        if df is not None and "graph_id" not in df.columns:
+            raise QueryError("a pattern after WITH needs a node that WITH carries")
+        self.steps_here = []
+        self.numbered = self.numbered or sum(not r.variable for path in paths for r in path[1::2]) > 1
+        for path in paths:
+            for part in self.begun(path):
+                df = self.path(df, part)
+        return df
+
+    def begun(self, path: list) -> list[list]:
+        """The path, or its two ends from the first known node outwards."""
+        known = next((k for k in range(0, len(path), 2) if path[k].var in self.nodes), 0)
+        if known == 0:
+            return [path]
+        turn = {"out": "in", "in": "out", "both": "both"}
+        back = [x if isinstance(x, _Node) else replace(x, direction=turn[x.direction]) for x in reversed(path[: known + 1])]
+        return [back] + ([path[known:]] if known + 1 < len(path) else [])
 
     def scan(self, n: _Node) -> DataFrame:
         df = self.graph.nodes
@@ -339,12 +382,14 @@ class _Plan:
 
     def steps(self, r: _Rel) -> DataFrame:
         """(graph_id, _from, _to, the edge as r.var) of one step."""
-        e = self.graph.edges
+        e = self.graph.edges.withColumn("number", F.lit(0))
+        if self.numbered:  # before any filter, so that a number means the same edge in every step
+            e = e.withColumn("number", F.row_number().over(Window.partitionBy("graph_id", "src", "dst", "label").orderBy(F.to_json("props"))))
         if r.labels:
             e = e.where(F.col("label").isin(r.labels))
         for k, v in r.props.items():
             e = e.where((F.col("label") if k == "label" else F.get(F.col("props")[k], F.lit(0))) == F.lit(str(v)))
-        edge = F.struct("src", "dst", "label", "props").alias(r.var)
+        edge = F.struct("src", "dst", "label", "props", "number").alias(r.var)
         out = e.select("graph_id", F.col("src").alias("_from"), F.col("dst").alias("_to"), edge)
         back = e.select("graph_id", F.col("dst").alias("_from"), F.col("src").alias("_to"), edge)
         return {"out": out, "in": back, "both": out.unionByName(back)}[r.direction]
@@ -399,8 +444,9 @@ class _Plan:
             out = out.withColumn("_from", F.col(f"{at}.node_id")).join(step, ["graph_id", "_from"]).drop("_from")
             if not r.variable:
                 self.edges.add(r.var)
-                for other in [x.var for x in path[1::2] if x is not r and x.var in self.edges and x.var in out.columns]:
-                    out = out.where(F.struct(f"{r.var}.src", f"{r.var}.dst", f"{r.var}.label") != F.struct(f"{other}.src", f"{other}.dst", f"{other}.label"))
+                for other in self.steps_here:
+                    out = out.where(F.struct(*(f"{r.var}.{c}" for c in ("src", "dst", "label", "number"))) != F.struct(*(f"{other}.{c}" for c in ("src", "dst", "label", "number"))))
+                self.steps_here.append(r.var)
             if n.var in self.nodes:
                 out = self.narrow(out.where(F.col(f"{n.var}.node_id") == F.col("_to")).drop("_to"), n)
             else:
@@ -413,39 +459,63 @@ class _Plan:
     def clause(self, df: DataFrame, kind: str, *given) -> DataFrame:
         """df after a clause that follows the first matches."""
         if kind == "match":
-            for path in given[0]:
-                df = self.path(df, path)
+            df = self.pattern(df, given[0])
             return df if given[1] is None else df.where(self.column(given[1]))
         if kind == "optional":
             # rows are numbered and written, so that both uses of them have the same numbers
             df = written(df.withColumn("_row", F.monotonically_increasing_id()))
             was = df.columns
-            hit = df
-            for path in given[0]:
-                hit = self.path(hit, path)
+            hit = self.pattern(df, given[0])
             if given[1] is not None:
                 hit = hit.where(self.column(given[1]))
             hit = hit.select("_row", *(c for c in hit.columns if c not in was))
             return df.join(hit, "_row", "left").drop("_row")
         if kind == "unwind":
             self.params.add(given[1])
-            return df.withColumn(f"_param_{given[1]}", F.explode(self.column(given[0])))
-        items, distinct, where = given
+            return df.withColumn(f"_param_{given[1]}", F.explode(self.listed(given[0])))
+        items, distinct, (order, skip, limit), where = given
+        items = self.spread(items)
         nodes = {n: e[1] for e, n in items if e[0] == "var" and e[1] in self.nodes}
-        plain = {n: e for e, n in items if n not in nodes}
+        edges = {n: e[1] for e, n in items if e[0] == "var" and e[1] in self.edges}
+        plain = {n: e for e, n in items if n not in nodes and n not in edges}
+        carried = [c for c in ("graph_id", *self.keys) if c in df.columns and (c in self.keys or nodes or edges)]
+        lists = {n for n, e in plain.items() if e[0] == "var" and e[1] in self.lists}
+        sort = [(self.column(e), d) for e, d in order if not self.aggregates(e) and not (e[0] == "var" and e[1] in plain)]
         if any(self.aggregates(e) for e in plain.values()):
-            keys = [F.col(f"{v}.node_id").alias(f"_key_{n}") for n, v in nodes.items()] + [self.column(e).alias(f"_param_{n}") for n, e in plain.items() if not self.aggregates(e)]
-            made = [F.first(v).alias(n) for n, v in nodes.items()] + [self.column(e).alias(f"_param_{n}") for n, e in plain.items() if self.aggregates(e)]
-            df = df.groupBy("graph_id", *keys).agg(*made).drop(*(f"_key_{n}" for n in nodes))
+            keys = [F.col(f"{v}.node_id").alias(f"_key_{n}") for n, v in nodes.items()] + [F.struct(f"{v}.src", f"{v}.dst", f"{v}.label", f"{v}.number").alias(f"_key_{n}") for n, v in edges.items()]
+            keys += [self.column(e).alias(f"_param_{n}") for n, e in plain.items() if not self.aggregates(e)]
+            made = [F.first(v).alias(n) for n, v in (nodes | edges).items()] + [self.column(e).alias(f"_param_{n}") for n, e in plain.items() if self.aggregates(e)]
+            df = df.groupBy(*carried, *keys).agg(*made).drop(*(f"_key_{n}" for n in nodes | edges))
+            sort = []
         else:
-            df = df.select("graph_id", *(F.col(v).alias(n) for n, v in nodes.items()), *(self.column(e).alias(f"_param_{n}") for n, e in plain.items()))
+            extra = [c.alias(f"_o{k}") for k, (c, _) in enumerate(sort)] if not distinct else []
+            df = df.select(*carried, *(F.col(v).alias(n) for n, v in (nodes | edges).items()), *(self.column(e).alias(f"_param_{n}") for n, e in plain.items()), *extra)
+            sort = [(F.col(f"_o{k}"), d) for k, (_, d) in enumerate(sort)] if not distinct else []
             if distinct:
-                # nodes hold maps, which cannot be compared: one of each id is taken
-                keys = [F.col(f"{n}.node_id").alias(f"_key_{n}") for n in nodes] + [F.col(f"_param_{n}") for n in plain]
-                df = df.groupBy("graph_id", *keys).agg(*(F.first(n).alias(n) for n in nodes), F.count("*").alias("_c")).drop("_c", *(f"_key_{n}" for n in nodes))
-        self.nodes, self.edges, self.params = set(nodes), set(), set(plain)
+                # nodes and edges hold maps, which cannot be compared: one of each is taken
+                keys = [F.col(f"{n}.node_id").alias(f"_key_{n}") for n in nodes] + [F.struct(f"{n}.src", f"{n}.dst", f"{n}.label", f"{n}.number").alias(f"_key_{n}") for n in edges]
+                df = df.groupBy(*carried, *keys, *(f"_param_{n}" for n in plain)).agg(*(F.first(n).alias(n) for n in nodes | edges), F.count("*").alias("_c")).drop("_c", *(f"_key_{n}" for n in nodes | edges))
+        self.arrays = {n for n, e in plain.items() if self.is_list(e) or (e[0] == "var" and e[1] in self.arrays)} - lists
+        self.nodes, self.edges, self.params, self.lists = set(nodes), set(edges), set(plain), lists
+        if order:
+            own = iter(sort)
+            terms = []
+            for e, d in order:
+                c, d = (self.column(e), d) if (e[0] == "var" and e[1] in plain) or not sort else next(own)
+                terms.append(c.desc() if d else c.asc())
+            df = df.orderBy(*terms)
+        if (order or skip or limit is not None) and self.keys:
+            raise QueryError("ORDER BY, SKIP and LIMIT after WITH cut over all graphs, and graphs were asked for apart")
+        df = df.offset(skip) if skip else df
+        df = df if limit is None else df.limit(limit)
+        df = df.drop(*(c for c in df.columns if c.startswith("_o") and c[2:].isdigit()))
         return df if where is None else df.where(self.column(where))
 
+    def spread(self, items: list[tuple]) -> list[tuple]:
+        """Items with * as all variables that the query names."""
+        own = sorted(v for v in self.nodes | self.edges | self.params if not re.fullmatch(r"_\d+", v))
+        return [x for e, n in items for x in ([(("var", v), v) for v in own] if e == ("all",) else [(e, n)])]
+
     def narrow(self, df: DataFrame, n: _Node) -> DataFrame:
         for label in n.labels:
             df = df.where(F.array_contains(f"{n.var}.labels", label))
@@ -460,6 +530,8 @@ class _Plan:
         if op == "list":
             return F.array(*map(self.column, e[1]))
         if op == "var":
+            if e[1] in self.lists:  # as a single value
+                return F.when(F.size(f"_param_{e[1]}") == 1, F.get(f"_param_{e[1]}", F.lit(0)))
             if e[1] in self.params:
                 return F.col(f"_param_{e[1]}")
             if e[1] not in self.nodes | self.edges:
@@ -478,7 +550,7 @@ class _Plan:
             c = self.column(e[1])
             return c.isNull() if op == "null" else c.isNotNull()
         if op == "in":
-            return F.array_contains(self.column(e[2]), self.column(e[1]))
+            return F.array_contains(self.listed(e[2]), self.column(e[1]))
         a, b = self.column(e[1]), self.column(e[2])
         if op in ("+", "-", "*", "/", "%"):
             if op == "+" and any(x[0] == "lit" and isinstance(x[1], str) for x in (e[1], e[2])):
@@ -488,13 +560,19 @@ class _Plan:
         if op in ("contains", "starts", "ends", "=~"):
             return {"contains": a.contains(b), "starts": a.startswith(b), "ends": a.endswith(b), "=~": F.regexp_like(a, F.concat(F.lit("^(?:"), b, F.lit(")$")))}[op]
         for x, y, c in ((e[1], e[2], "a"), (e[2], e[1], "b")):  # properties are strings: compare with numbers as numbers
-            if y[0] == "lit" and isinstance(y[1], (int, float)) and not isinstance(y[1], bool) and x[0] == "prop":
+            if y[0] == "lit" and isinstance(y[1], (int, float)) and not isinstance(y[1], bool) and (x[0] == "prop" or (x[0] == "var" and x[1] in self.lists)):
                 if c == "a":
                     a = a.try_cast("double")
                 else:
                     b = b.try_cast("double")
         return {"=": a == b, "<>": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
 
+    def listed(self, e) -> Column:
+        return F.col(f"_param_{e[1]}") if e[0] == "var" and e[1] in self.lists else self.column(e)
+
+    def is_list(self, e) -> bool:
+        return e[0] == "list" or (e[0] == "var" and e[1] in self.lists) or (e[0] == "call" and e[1] in ("labels", "collect", "split", "tail", "reverse", "range", "keys"))
+
     def call(self, name: str, distinct: bool, args: list) -> Column:
         if name in _AGGREGATES:
             if args == ["*"]:
@@ -511,8 +589,13 @@ class _Plan:
             return F.col(f"{args[0][1]}.label")
         if name == "id":
             return self.column(args[0])
-        c = [self.column(a) for a in args]
-        plain = {"tolower": F.lower, "toupper": F.upper, "trim": F.trim, "size": lambda x: F.length(x), "tointeger": lambda x: x.try_cast("bigint"), "tofloat": lambda x: x.try_cast("double"), "tostring": lambda x: x.cast("string"), "coalesce": F.coalesce, "abs": F.abs, "exists": lambda x: x.isNotNull()}
+        if name == "keys":
+            return F.map_keys(F.col(f"{args[0][1]}.props"))
+        c = [self.listed(a) for a in args]
+        if name == "size":
+            known = args[0]
+            return F.size(c[0]) if self.is_list(known) or (known[0] == "var" and known[1] in self.arrays) else F.length(c[0])
+        plain = {"tolower": F.lower, "toupper": F.upper, "trim": F.trim, "head": lambda x: F.get(x, F.lit(0)), "last": lambda x: F.try_element_at(x, F.lit(-1)), "tail": lambda x: F.slice(x, 2, F.size(x)), "reverse": F.reverse, "split": lambda x, y: F.split(x, F.concat(F.lit("\\Q"), y, F.lit("\\E"))), "range": F.sequence, "tointeger": lambda x: x.try_cast("bigint"), "tofloat": lambda x: x.try_cast("double"), "tostring": lambda x: x.cast("string"), "coalesce": F.coalesce, "abs": F.abs, "exists": lambda x: x.isNotNull()}
         if name not in plain:
             raise QueryError(f"unknown function {name}")
         return plain[name](*c)
@@ -531,6 +614,78 @@ def run(graph: Graph, text: str, bindings: dict[str, DataFrame] | None = None, w
     return _run(graph, parse(text), bindings or {}, with_graph, keep)
 
 
+def _started(plan: _Plan, rest: list, apart: bool) -> tuple[DataFrame, list]:
+    """What a query without a first MATCH starts from, and its clauses still to do.
+
+    A single row, unless a pattern follows: then a row for each graph. A leading OPTIONAL MATCH gives
+    its matches, or a single row of nulls where there are none in any graph (apart: a row of nulls for each graph without).
+    """
+    graph = plan.graph
+    if not any(c[0] in ("match", "optional") for c in rest):
+        one = graph.spark.range(1).select(F.lit("").alias("graph_id"))
+        return (graph.nodes.select("graph_id").distinct() if apart else one), rest
+    ids = graph.nodes.select("graph_id").distinct()
+    if rest[0][0] != "optional" or apart:
+        return ids, rest
+    hit = plan.pattern(None, rest[0][1])
+    if rest[0][2] is not None:
+        hit = hit.where(plan.column(rest[0][2]))
+    hit = written(hit)
+    nothing = graph.spark.range(1 if hit.isEmpty() else 0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in hit.schema))
+    return hit.unionByName(nothing), rest[1:]
+
+
+def run_within(graph: Graph, text: str, env: DataFrame, nodes: Sequence[str], values: Sequence[str]) -> tuple[DataFrame, list[tuple[str, bool, bool]]]:
+    """A query run once for each row of env(graph_id, inst, s_<symbol>), where symbols are arrays of node ids or of values.
+
+    Gives (graph_id, inst, o, c0, c1, ...), o being an order of rows by the nodes they come from, and of each
+    column its name, whether it was named, and whether it gives node ids. A symbol of nodes stands
+    for each of them in turn; one of values is a value where it has one, and a list for IN, UNWIND and RETURN.
+    """
+    q = parse(text)
+    plan = _Plan(graph, {})
+    plan.keys = ("graph_id", "inst")
+    used = {n.var for p in q.paths for n in p[::2]} | _variables(q.where) | _variables([e for e, _ in q.items]) | _variables([e for e, _ in q.order]) | _variables([list(c[1:]) for c in q.rest])
+    used |= {n.var for c in q.rest if c[0] in ("match", "optional") for p in c[1] for n in p[::2]}
+    df = env.select("graph_id", "inst", *(f"s_{x}" for x in (*nodes, *values) if x in used))
+    for x in [x for x in nodes if x in used]:
+        own = graph.nodes.select("graph_id", F.struct(*(c for c in graph.nodes.columns if c != "graph_id")).alias(x))
+        df = df.withColumn("_id", F.explode(f"s_{x}")).drop(f"s_{x}")
+        df = df.join(own.withColumn("_id", F.col(f"{x}.node_id")), ["graph_id", "_id"]).drop("_id")
+        plan.nodes.add(x)
+    for x in [x for x in values if x in used]:
+        df = df.withColumnRenamed(f"s_{x}", f"_param_{x}")
+        plan.params.add(x)
+        plan.lists.add(x)
+    if q.paths:
+        df = plan.pattern(df, q.paths)
+    if q.where is not None:
+        df = df.where(plan.column(q.where))
+    for clause in q.rest:
+        df = plan.clause(df, *clause)
+    items = plan.spread(q.items)
+    places = [natural(F.col(f"{v}.node_id")) for v in sorted(plan.nodes) if v in df.columns]
+    columns = [f"c{k}" for k in range(len(items))]
+    if any(plan.aggregates(e) for e, _ in items):
+        keys = [plan.column(e).alias(c) for c, (e, _) in zip(columns, items, strict=True) if not plan.aggregates(e)]
+        made = [plan.column(e).alias(c) for c, (e, _) in zip(columns, items, strict=True) if plan.aggregates(e)]
+        out = df.groupBy("graph_id", "inst", *keys).agg(*made).withColumn("o", F.lit(""))
+    else:
+        out = df.select("graph_id", "inst", F.concat_ws("/", *places).alias("o"), *(plan.listed(e).alias(c) for c, (e, _) in zip(columns, items, strict=True)), *(plan.column(e).alias(f"_o{k}") for k, (e, _) in enumerate(q.order)))
+        if q.distinct:
+            out = out.groupBy("graph_id", "inst", *columns).agg(F.min("o").alias("o"))
+        elif q.order or q.skip or q.limit is not None:
+            by = [F.col(f"_o{k}").desc() if d else F.col(f"_o{k}").asc() for k, (_, d) in enumerate(q.order)]
+            n = F.row_number().over(Window.partitionBy("graph_id", "inst").orderBy(*by, "o"))
+            out = out.withColumn("_n", n).where(F.col("_n") > (q.skip or 0))
+            out = (out if q.limit is None else out.where(F.col("_n") <= (q.skip or 0) + q.limit)).withColumn("o", F.lpad(F.col("_n").cast("string"), 10, "0"))
+    for c, (e, _) in zip(columns, items, strict=True):
+        if dict(out.dtypes)[c].startswith("array"):
+            out = out.withColumn(c, F.explode(c))
+    kinds = [(n, n in q.named or e[0] == "var", e[0] == "var" and e[1] in plan.nodes) for e, n in items]
+    return out.select("graph_id", "inst", "o", *(F.col(c).cast("string").alias(c) for c in columns)), kinds
+
+
 def _variables(e) -> set[str]:
     if not isinstance(e, (tuple, list)):
         return set()
@@ -553,10 +708,12 @@ def _run(graph: Graph, q: _Query, bindings: dict[str, DataFrame], with_graph: bo
         plan.bindings[n] = fixed[n].select("graph_id", F.col(f"_{n}").alias("node_id"))
         if n not in named:
             q.paths.append([_Node(n)])
-    for path in q.paths:
-        df = plan.path(df, path)
-    if df is None and not (q.rest and q.rest[0][0] == "match"):
-        df = graph.spark.range(1).select(F.lit("").alias("graph_id"))
+    plan.keys = ("graph_id",) if with_graph else ()
+    if q.paths:
+        df = plan.pattern(df, q.paths)
+    rest = list(q.rest)
+    if df is None:
+        df, rest = _started(plan, rest, with_graph)
     for n, table in fixed.items():
         own = table.select(F.col("graph_id").alias("_g"), F.col(f"_{keep[0]}").alias("_k"), F.col(f"_{n}").alias("_v"))
         df = df.join(own, (df["graph_id"] == own["_g"]) & (F.col(f"{keep[0]}.node_id") == own["_k"]) & (F.col(f"{n}.node_id") == own["_v"]), "left_semi")
@@ -567,8 +724,9 @@ def _run(graph: Graph, q: _Query, bindings: dict[str, DataFrame], with_graph: bo
             df = df.join(own, (df["graph_id"] == own["_g"]) & (F.col(f"{keep[0]}.node_id") == own["_k"]), "left").drop("_g", "_k")
     if q.where is not None:
         df = df.where(plan.column(q.where))
-    for clause in q.rest:
+    for clause in rest:
         df = plan.clause(df, *clause)
+    q.items = plan.spread(q.items)
     names = [n for _, n in q.items]
     kept = [F.col(f"{v}.node_id").alias(f"_{v}") for v in keep]
     if any(plan.aggregates(e) for e, _ in q.items):

@@ -55,11 +55,14 @@ def write_csv(table: DataFrame, path: str, append: bool = True, header: bool = T
 
 
 def _levels(layer: Layer) -> dict[str, int] | None:
-    """Depth of each attribute; None where one stands at several depths."""
+    """Depth of each attribute; None where one stands at several depths, as in recursive layers."""
     out: dict[str, int] = {}
-    for a in layer.attributes():
-        if out.setdefault(a.id, len(a.path())) != len(a.path()):
+    todo: list[tuple[Attribute, int]] = [(layer.root, 1)]
+    while todo:
+        a, level = todo.pop()
+        if out.setdefault(a.id, level) != level:
             return None
+        todo += [(c, level + 1) for c in a.children]
     return out
 
 
@@ -68,10 +71,13 @@ def to_json(graph: Graph, root: str, depth: int | None = None, labels: Sequence[
 
     Objects take their children by attribute name, arrays by index; numbers and booleans are
     written as such where the attribute's type says so. Only edges with the given labels are
-    followed. depth: levels followed (default: the layer's).
+    followed. depth: levels followed (default: all, however deep).
 
     Where the layer gives every node a level, a level's nodes are worked on once, the deepest
-    first; else all containers are built anew for each level, with what their children then are.
+    first. Where attributes stand at several depths, as in recursive layers, containers are
+    peeled off the edges by height: each round builds those whose children are all built, and is
+    written. An edge that leads back (see _uncycled) gives null. With a depth, or on streams, all containers are built anew for
+    each level, with what their children then are.
     """
     levels = depth if depth is not None else max(len(a.path()) for a in graph.layer.attributes())
     literal = {"json:number", "json:integer", "json:boolean", "xsd:boolean", "xsd:decimal", "xsd:int", "xsd:long", "xsd:short", "xsd:byte", "integer", "number", "boolean"}
@@ -120,6 +126,8 @@ def to_json(graph: Graph, root: str, depth: int | None = None, labels: Sequence[
                 below = values.limit(0).select(*columns) if done is None else done.where("parent_id IS NOT NULL")
                 here = here.unionByName(built(below, above)) if any(a.kind == "Value" and known[a.id] == k for a in graph.layer.attributes()) else built(below, above)
             done = here
+    elif depth is None and not tree.isStreaming:
+        return _peeled(tree, root, values.select(*columns), containers, columns, built)
     else:
         done = values.select(*columns)
         for _ in range(levels):
@@ -127,6 +135,64 @@ def to_json(graph: Graph, root: str, depth: int | None = None, labels: Sequence[
     return done.where(F.col("schema_node_id") == root).select("graph_id", "node_id", "json").distinct()
 
 
+def _peeled(tree: DataFrame, root: str, values: DataFrame, containers: DataFrame, columns: Sequence[str], built) -> DataFrame:
+    """to_json of trees of any depth, leaves first: a container is built in the round after its last child."""
+    key = ["graph_id", "node_id"]
+    ids = containers.select(*key).distinct()
+    up = tree.where("parent_id IS NOT NULL").select("graph_id", "node_id", "parent_id")
+    # edges between containers that are still to be built; other parents than containers take no children
+    waiting = written(up.join(ids, key, "left_semi").join(ids.select("graph_id", F.col("node_id").alias("parent_id")), ["graph_id", "parent_id"], "left_semi").distinct())
+    opened, left, out = values, written(ids), []
+    while True:
+        ready = written(left.join(waiting.select("graph_id", F.col("parent_id").alias("node_id")), key, "left_anti"))
+        if ready.isEmpty():
+            if left.isEmpty():
+                break
+            cut = _uncycled(left, waiting, tree.where(F.col("schema_node_id") == root).select(*key).distinct())
+            if cut.isEmpty():  # what is left stands in cycles that no root leads to
+                break
+            names = tree.select(*key, "parent_id", "attribute_name", "schema_node_id", "i").join(cut, [*key, "parent_id"])
+            opened = written(opened.unionByName(names.select("graph_id", "node_id", "attribute_name", F.lit(None).cast("string").alias("schema_node_id"), F.lit("null").alias("json"), "parent_id", "i").select(*columns)))
+            # a cut edge is no edge to the containers either, or its text would come twice
+            containers = written(containers.join(cut.withColumn("_cut", F.lit(True)), [*key, "parent_id"], "left").withColumn("parent_id", F.when(F.col("_cut"), None).otherwise(F.col("parent_id"))).drop("_cut"))
+            waiting = written(waiting.join(cut, [*key, "parent_id"], "left_anti"))
+            continue
+        parent = ready.select("graph_id", F.col("node_id").alias("parent_id"))
+        below = opened.where("parent_id IS NOT NULL").join(parent, ["graph_id", "parent_id"], "left_semi")
+        new = written(built(below.select(*columns), containers.join(ready, key, "left_semi")).select(*columns))
+        out.append(new.where(F.col("schema_node_id") == root).select(*key, "json"))
+        opened = written(opened.where("parent_id IS NOT NULL").join(parent, ["graph_id", "parent_id"], "left_anti").select(*columns).unionByName(new))
+        waiting = written(waiting.join(ready, key, "left_anti"))
+        left = written(left.join(ready, key, "left_anti"))
+    if not out:
+        return values.where(F.col("schema_node_id") == root).select(*key, "json").distinct()
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found.distinct()
+
+
+def _uncycled(left: DataFrame, waiting: DataFrame, roots: DataFrame) -> DataFrame:
+    """(graph_id, node_id, parent_id): edges among the containers left that do not lead away from the roots.
+
+    Levels are counted from the roots that no edge leads to, or, in a graph without such a one, from the root with the
+    smallest id. An edge to a node of the same or a smaller level may close a cycle and is cut; all cycles have such an edge.
+    """
+    key = ["graph_id", "node_id"]
+    own = roots.join(left, key, "left_semi")
+    top = own.join(waiting.select(*key), key, "left_anti")
+    lone = own.join(top.select("graph_id").distinct(), "graph_id", "left_anti").groupBy("graph_id").agg(F.min("node_id").alias("node_id"))
+    level = seen = written(top.unionByName(lone).distinct().withColumn("level", F.lit(0)))
+    while True:
+        step = level.select("graph_id", F.col("node_id").alias("parent_id"), (F.col("level") + 1).alias("level")).join(waiting, ["graph_id", "parent_id"]).select(*key, "level").distinct()
+        level = written(step.join(seen, key, "left_anti"))
+        if level.isEmpty():
+            break
+        seen = written(seen.unionByName(level))
+    ends = waiting.join(seen, key).join(seen.select("graph_id", F.col("node_id").alias("parent_id"), F.col("level").alias("_above")), ["graph_id", "parent_id"])
+    return written(ends.where("level <= _above").select(*key, "parent_id"))
+
+
 def to_graph_json(graph: Graph, include_schema: bool = True) -> DataFrame:
     """(graph_id, json): each graph in graph JSON, nodes numbered by node id.
 
