@@ -156,9 +156,9 @@ def merged(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 
 #: A document's key and a run of it: hash of its core, first start, starts left out before it, number of starts.
-_RUN = np.dtype([("doc", "<i8"), ("sub", "<i4"), ("core", "<u8"), ("first", "<i4"), ("left_out", "u1"), ("count", "u1")])
+_RUN = np.dtype([("doc", "<i8"), ("sub", "<i8"), ("core", "<u8"), ("first", "<i4"), ("left_out", "u1"), ("count", "u1")])
 #: A document's key and a covered span of it.
-_SPAN = np.dtype([("doc", ">i8"), ("sub", ">i4"), ("start", ">i4"), ("end", ">i4")])
+_SPAN = np.dtype([("doc", ">i8"), ("sub", ">i8"), ("start", ">i4"), ("end", ">i4")])
 #: Covered spans (kind 0) and asked runs (2) as records, by parts of the documents.
 _FOUND = "kind int, part int, data binary"
 
@@ -213,7 +213,7 @@ def _gathered(kind: np.dtype):
         records = np.frombuffer(b"".join(x.as_py() for x in table.column("data")), kind)
         if kind == _SPAN:
             records = _spans(*(records[n].astype(np.int64) for n in _SPAN.names))
-        doc, sub = records["doc"].astype(np.int64), records["sub"].astype(np.int32)
+        doc, sub = records["doc"].astype(np.int64), records["sub"].astype(np.int64)
         by = np.lexsort((sub, doc))
         doc, sub, records = doc[by], sub[by], records[by]
         at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])]))
@@ -303,14 +303,14 @@ def _pack(doc, sub, core, whole, first, left_out, count) -> bytes:
     base = doc.min()
     more = doc.view("u8") - base.view("u8")
     more = more.astype("<u4" if more.max() < 1 << 32 else "<u8")
-    parts = (np.array([len(doc), base, more.itemsize], "<i8"), core.astype("<u8"), whole.astype("<u8"), first.astype("<i4"), left_out.astype("u1"), count.astype("u1"), more, sub.astype("<i4"))
+    parts = (np.array([len(doc), base, more.itemsize], "<i8"), core.astype("<u8"), whole.astype("<u8"), first.astype("<i4"), left_out.astype("u1"), count.astype("u1"), more, sub.astype("<i8"))
     return b"".join(p.tobytes() for p in parts)
 
 
 def _unpack(data: pa.Buffer) -> tuple[np.ndarray, ...]:
     n, base, size = np.frombuffer(data, "<i8", 3).tolist()
     at, out = 24, []
-    for kind in ("<u8", "<u8", "<i4", "u1", "u1", f"<u{size}", "<i4"):
+    for kind in ("<u8", "<u8", "<i4", "u1", "u1", f"<u{size}", "<i8"):
         out.append(np.frombuffer(data, kind, n, at))
         at += out[-1].nbytes
     core, whole, first, left_out, count, more, sub = out
@@ -454,7 +454,7 @@ def _repeat_spans(table: pa.Table) -> np.ndarray:
     return np.concatenate(out).astype(_SPAN)  # in its byte order again
 
 
-_CONTEXTS = "key long, starts int, left_out int, doc long, sub int, start int, data binary"
+_CONTEXTS = "key long, starts int, left_out int, doc long, sub long, start int, data binary"
 
 
 def _contexts(batches):
@@ -517,8 +517,8 @@ def _split(contexts: DataFrame, most: int, parts: int) -> tuple[DataFrame, DataF
         again = contexts.join(firsts.where("rows > 1").select("key", "left_out", "data", "first"), ["key", "left_out", "data"]).where(at > F.col("first"))
         number = lambda x, digits: F.to_binary(F.right(F.lpad(F.hex(x.cast("long")), 16, "0"), F.lit(digits)), F.lit("hex"))
         start = F.col("start")
-        record = F.concat(number(F.col("doc"), 16), number(F.col("sub"), 8), number(start, 8), number(start + F.octet_length("data"), 8))
-        covered.append(again.select(F.pmod(F.col("doc").bitwiseXOR(F.col("sub").cast("long")), F.lit(parts)).cast("int").alias("part"), record.alias("data")))
+        record = F.concat(number(F.col("doc"), 16), number(F.col("sub"), 16), number(start, 8), number(start + F.octet_length("data"), 8))
+        covered.append(again.select(F.pmod(F.col("doc").bitwiseXOR(F.col("sub")), F.lit(parts)).cast("int").alias("part"), record.alias("data")))
         contexts = saved(_halves(firsts.where("starts > 1").select("key", "starts", "left_out", "first.*", "data")))
     join = lambda x: functools.reduce(DataFrame.unionByName, x)
     return join(narrow), join(covered) if covered else None
@@ -546,10 +546,10 @@ def _removed(batches):
 
 def covered_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """(documents, covered spans): columns doc, sub, _text, and doc, sub, data with all merged spans of a document."""
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.hash(text_col).alias("sub"), F.col(text_col).alias("_text"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("sub"), F.col(text_col).alias("_text"))
     total = int(docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0)
     parts = max(8, -(-total // BUCKET_BYTES))
-    by_part = lambda df, kind: df.repartition(parts, "part").groupBy("part").applyInArrow(_gathered(kind), "doc long, sub int, data binary")
+    by_part = lambda df, kind: df.repartition(parts, "part").groupBy("part").applyInArrow(_gathered(kind), "doc long, sub long, data binary")
     listed = docs.mapInArrow(_list_runs(parts), f"bucket int, {_FOUND}").repartition(parts, "bucket")
     found = saved(listed.groupBy("bucket").applyInArrow(_settle(parts), _FOUND))
     asked = by_part(found.where("kind = 2"), _RUN).withColumnRenamed("data", "asked")
@@ -567,7 +567,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of df.
 
     A null text counts as empty. Rows with a null id come before all others; rows that share an
-    id are ordered by a hash of their texts, and rows that share both are one document to the
+    id are ordered by a hash of 64 bits of their texts, and rows that share both are one document to the
     search (each gets the same result). An empty table gives none; other columns are not read.
     """
     docs, spans = covered_spans(df, id_col, text_col, most_contexts)
