@@ -225,15 +225,46 @@ def _may_hold(src: DataFrame, ids: Bits) -> DataFrame:
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of df, all columns, with one document (the smallest id) of each component.
+    """The rows of df, all columns, with one document of each component: the one with the smallest id.
+
+    Documents are told apart by id and text: of rows that share both one stays, and different texts of one id
+    stay or go each for itself. Of such texts the one with the least hash goes by the id; the others, and rows
+    without an id, come after all others and go by a hash of 61 bits of id and text. Null, empty
+    and wordless texts are linked with nothing and stay. An empty table gives none.
 
     The ids that go are broadcast up to a counted number; beyond it rows are shuffled, and the
     built side of a partition holds ids only, a small share of the texts that pass by.
     """
-    gone = "__graphloom_gone"
-    others = saved(near_duplicates(df, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct())
-    others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others.hint("shuffle_hash")
-    return df.join(others, F.col(f"`{id_col}`") == F.col(gone), "left_anti")
+    own, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    plain = F.coalesce(own < _ODD, F.lit(False))
+    mark = F.coalesce(F.xxhash64(text), F.lit(0))
+    twice = saved(df.where(plain).groupBy(own.alias(_SID)).agg(F.count("*").alias(_GONE), F.min(mark).alias(_LEAST)).where(F.col(_GONE) > 1).select(_SID, _LEAST))
+    shared, odd = twice.count(), not df.where(~plain).isEmpty()
+    if not shared and not odd:
+        return _without(df, own, _gone(df.select(own.alias("doc_id"), text.alias("text")), percent))
+    again = F.broadcast(twice) if shared <= BROADCAST_IDS else twice
+    met = own == F.col(_SID)
+    first = df.where(plain).join(again, met, "left_anti")
+    late = df.where(plain).join(again, met).drop(_SID).unionByName(df.where(~plain).withColumn(_LEAST, F.lit(None).cast("long")))
+    sid = F.when(F.col(_LEAST) == mark, own).otherwise(F.xxhash64(own, text).bitwiseAND(F.lit(_ODD - 1)) + _ODD)
+    late = late.withColumn(_SID, sid).drop(_LEAST).dropDuplicates([_SID])
+    src = first.select(own.alias("doc_id"), text.alias("text")).unionByName(late.select(F.col(_SID).alias("doc_id"), text.alias("text")))
+    gone = _gone(src, percent)
+    return _without(first, own, gone).unionByName(_without(late, F.col(_SID), gone).drop(_SID))
+
+
+#: Ids from here on stand for rows without an id of their own.
+_ODD = 1 << 61
+_SID, _LEAST, _GONE = "__graphloom_sid", "__graphloom_least", "__graphloom_gone"
+
+
+def _gone(src: DataFrame, percent: int) -> DataFrame:
+    others = saved(near_duplicates(src, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias(_GONE)).distinct())
+    return F.broadcast(others) if others.count() <= BROADCAST_IDS else others.hint("shuffle_hash")
+
+
+def _without(df: DataFrame, own, gone: DataFrame) -> DataFrame:
+    return df.join(gone, own == F.col(_GONE), "left_anti")
 
 
 #: The same rows by comparing all documents that share a shingle.

@@ -151,3 +151,30 @@ def test_round_trips_are_held_against_the_text(spark):
     docs = spark.createDataFrame([(1, "a \u2581b"), (2, "a b"), (3, None)] + [(k, "short") for k in range(10, 3000)], "doc_id long, text string").coalesce(1)
     got = sentencepiece_sample.sample_segmentations(docs, vocabulary("piece_bpe_32k.model"), k=1, digest=True).collect()
     assert {r.doc_id for r in got if not r.round_trip} == {1} and len(got) == 2993
+
+
+def test_keep_first_keeps_every_different_text(spark):
+    long = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    rows = [(1, long("a")), (2, long("a")), (2, long("u")), (None, long("n")), (None, long("n")), (None, long("a")), (3, long("r")), (3, long("r")), (4, None), (None, ""), (None, ""), (5, long("a") + " tail")]
+    df = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, score long, kept string")
+    got = [(r.doc_id, r.text) for r in near_dup.keep_first(df, percent=80).collect()]
+    assert sorted(got, key=repr) == sorted([(1, long("a")), (2, long("u")), (None, long("n")), (3, long("r")), (4, None), (None, "")], key=repr)
+    assert near_dup.keep_first(df, percent=80).columns == df.columns
+    # where ids are proper ones, the smallest of a component stays
+    proper = df.where("score < 2 OR score = 11")
+    assert [r.doc_id for r in near_dup.keep_first(proper, percent=80).collect()] == [1]
+    assert near_dup.keep_first(df.limit(0)).collect() == []
+
+
+def test_rows_of_one_id_and_equal_short_hashes_are_two_documents(spark):
+    from pyspark.sql import functions as F
+
+    part = lambda k: F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}")).cast("binary"), 256)
+    once = F.concat(*map(part, range(6)))
+    texts = spark.range(150_000).select("id", F.when(F.col("id") % 2 == 0, F.concat(once, F.lit(" "), once)).otherwise(once).alias("text")).withColumn("h", F.hash("text"))
+    pair = texts.join(texts.groupBy("h").agg(F.count_distinct(F.col("id") % 2).alias("n")).where("n = 2"), "h").orderBy("h", "id").limit(2).collect()
+    assert len(pair) == 2 and pair[0].h == pair[1].h
+    for id_ in (None, 7):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame([(id_, r.text) for r in pair], "doc_id long, text string")).collect()
+        want = sorted((len(r.text), 384 if r.id % 2 == 0 else 0) for r in pair)
+        assert sorted((r.n_bytes, r.n_removed) for r in got) == want
