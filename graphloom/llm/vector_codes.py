@@ -17,11 +17,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mapped, saved
+from .common import forget, saved
 
 #: Integer components beyond this could overflow sums of squares or of many rows.
 MOST = 1 << 24
-LEAF = 8
+LEAF = 16
 _FAR = np.iinfo(np.int64).max
 
 
@@ -38,7 +38,9 @@ class VantageTree:
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points, self.leaf = np.asarray(points, dtype=np.int64), leaf
-        self.seen = 0
+        self.doubles = self.points.astype(np.float64)
+        self.norms = (self.doubles * self.doubles).sum(axis=1)
+        self.seen, self.exact = 0, False
         self.root = self._build(np.arange(len(self.points)))
 
     def _build(self, own: np.ndarray):
@@ -60,9 +62,20 @@ class VantageTree:
         """(index, squared distance) of each row of queries."""
         self.index, self.best = np.zeros(len(queries), dtype=np.int64), np.full(len(queries), _FAR)
         if len(queries):
+            most = max(int(np.abs(queries).max(initial=0)), int(np.abs(self.points).max(initial=0)))
+            self.exact = 4 * most * most * max(1, queries.shape[1]) < 1 << 53
             self._visit(self.root, queries, np.arange(len(queries)))
         return self.index, self.best
 
+    def _squares(self, queries: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Squared distances, whole numbers; products of doubles while all sums stay below 2**53."""
+        points = self.points[entries]
+        if self.exact:
+            own = queries.astype(np.float64)
+            return ((own * own).sum(axis=1)[:, None] - 2 * (own @ self.doubles[entries].T) + self.norms[entries][None, :]).astype(np.int64)
+        gap = queries[:, None, :] - points[None, :, :]
+        return (gap * gap).sum(axis=2)
+
     def _offer(self, rows: np.ndarray, index, square: np.ndarray) -> None:
         better = (square < self.best[rows]) | ((square == self.best[rows]) & (index < self.index[rows]))
         self.best[rows] = np.where(better, square, self.best[rows])
@@ -71,15 +84,13 @@ class VantageTree:
     def _visit(self, node, queries: np.ndarray, rows: np.ndarray) -> None:
         if isinstance(node, np.ndarray):
             self.seen += len(rows) * len(node)
-            gap = queries[rows][:, None, :] - self.points[node][None, :, :]
-            square = (gap * gap).sum(axis=2)
+            square = self._squares(queries[rows], node)
             pick = square.argmin(axis=1)  # the first of equal ones, and node is ascending
             self._offer(rows, node[pick], square[np.arange(len(rows)), pick])
             return
         vantage, sides = node
         self.seen += len(rows)
-        gap = queries[rows] - self.points[vantage]
-        square = (gap * gap).sum(axis=1)
+        square = self._squares(queries[rows], np.array([vantage]))[:, 0]
         self._offer(rows, vantage, square)
         away = np.sqrt(square.astype(np.float64))
         low, high = _down(away), _up(away)
@@ -123,8 +134,12 @@ def _checked_size(kept: DataFrame, parts: int) -> int:
     return least or 0
 
 
-def _parts(vectors: list, parts: int) -> list[np.ndarray]:
-    flat = np.array(vectors, dtype=np.int64)
+def _parts(vectors, parts: int) -> list[np.ndarray]:
+    """Lists, or an Arrow column of lists of one length, as one table of integers for each part position."""
+    if isinstance(vectors, list):
+        flat = np.array(vectors, dtype=np.int64)
+    else:
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
     return np.split(flat, parts, axis=1)
 
 
@@ -159,7 +174,7 @@ def _sums(kept: DataFrame, books: Codebooks, parts: int) -> np.ndarray:
         total = np.zeros((parts, size, width + 1), dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
-                for p, own in enumerate(_parts(batch.column(0).slice(at, 8192).to_pylist(), parts)):
+                for p, own in enumerate(_parts(batch.column(0).slice(at, 8192), parts)):
                     index, _ = trees[p].nearest(own)
                     np.add.at(total[p], index, np.column_stack([own, np.ones(len(own), dtype=np.int64)]))
         flat = total.ravel()
@@ -186,19 +201,21 @@ def encode(kept: DataFrame, books: Codebooks, parts: int) -> DataFrame:
     """vec_id, _label, code and error of each row of a table of (vec_id, _label, _v)."""
     shared = kept.sparkSession.sparkContext.broadcast(books.entries)
 
-    def make():
-        trees = [VantageTree(e) for e in shared.value]
-
-        def work(columns):
-            found = [trees[p].nearest(own) for p, own in enumerate(_parts(columns[1], parts))] if trees else []
-            index = np.column_stack([i for i, _ in found]).astype(np.uint8) if found else None
-            codes = [row.tobytes().hex() for row in index] if found else [None] * len(columns[0])
-            error = sum(e for _, e in found) if found else [None] * len(columns[0])
-            return {"vec_id": columns[0], "code": codes, "error": error, "label": columns[2]}
-
-        return work
+    def run(batches):
+        import pyarrow as pa
 
-    rows = mapped(kept.select("vec_id", "_v", F.col("_label").cast("string").alias("_label")), ["vec_id", "_v", "_label"], "vec_id long, code string, error long, label string", make, rows=8192)
+        trees = [VantageTree(e) for e in shared.value]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                some = batch.slice(at, 8192)
+                n = some.num_rows
+                found = [trees[p].nearest(own) for p, own in enumerate(_parts(some.column(1), parts))] if trees else []
+                index = np.column_stack([i for i, _ in found]).astype(np.uint8) if found else None
+                codes = pa.array([row.tobytes().hex() for row in index], pa.string()) if found else pa.nulls(n, pa.string())
+                error = pa.array(sum(e for _, e in found), pa.int64()) if found else pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0), codes, error, some.column(2)], ["vec_id", "code", "error", "label"])
+
+    rows = kept.select("vec_id", "_v", F.col("_label").cast("string").alias("_label")).mapInArrow(run, "vec_id long, code string, error long, label string")
     return rows.select("vec_id", F.col("label").alias("_label"), "code", "error")
 
 
