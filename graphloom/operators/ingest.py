@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.types import check
 from ..functions.validators import valid
 from ..graph import HAS, Graph, edge_columns, node_columns
 from ..schema.layer import Attribute, Layer, SchemaError
@@ -118,8 +119,19 @@ class _Variant:
 
 
 class _Walk:
-    def __init__(self, source, only_schema: bool):
-        self.source, self.only_schema = source, only_schema
+    """typed: values that are none of their attribute's type are in error."""
+
+    def __init__(self, source, only_schema: bool, typed: bool = False):
+        self.source, self.only_schema, self.typed = source, only_schema, typed
+
+    def mistyped(self, a: Attribute, value, kinds: bool) -> Column | None:
+        """What is wrong with a value, as text; null if nothing is."""
+        wrong = [F.when(~self.source.is_kind(value, a.kind), F.lit(f"{a.id}: not a {a.kind}"))] if kinds else []
+        if self.typed and a.kind == "Value" and a.one("valueType"):
+            text = self.source.text(value)
+            fits = F.coalesce(text == "", F.lit(False)) | check(a.one("valueType"), text)
+            wrong.append(F.when(~fits, F.concat(F.lit(f"{a.id}: not a {a.one('valueType')}: "), text)))
+        return F.coalesce(*wrong) if wrong else None
 
     def entity_id(self, a: Attribute, value) -> Column | None:
         """Values of the entity's id fields that stand in its own scope; null unless all are there."""
@@ -183,7 +195,7 @@ class _Walk:
         if mode != "none":
             if mode == "edge" and parent_id is None:
                 raise SchemaError(f"{a.id}: a root cannot be an edge")
-            wrong = F.when(~self.source.is_kind(value, a.kind), F.lit(f"{a.id}: not a {a.kind}")) if value is not None and not isinstance(self.source, _Flat) else None
+            wrong = self.mistyped(a, value, not isinstance(self.source, _Flat)) if value is not None else None
             out.append(
                 F.array(
                     _item(
@@ -247,7 +259,7 @@ def extra_type() -> str:
     return "array<struct<" + ",".join(f"{n}:{k}" for n, k in _ITEM) + ">>"
 
 
-def _graph(items: DataFrame, layer: Layer) -> Graph:
+def graph_of(items: DataFrame, layer: Layer) -> Graph:
     """Exploded items (graph_id, source, item) as a graph; items in error are left out (see errors())."""
     flat = items.select("graph_id", "source", "item.*").where("present")
     good = flat.where("error IS NULL")
@@ -262,7 +274,7 @@ def _exploded(df: DataFrame, layer: Layer, graph_id: Column, source: Column, arr
     return df.select(graph_id.cast("string").alias("graph_id"), source.cast("string").alias("source"), F.explode(whole).alias("item"))
 
 
-def flat_items(df: DataFrame, layer: Layer, graph_id: Column, source: Column | None = None, ingest_nulls: bool = False, only_schema: bool = True, base_id: Column | None = None, helpers: tuple[str, ...] = ()) -> DataFrame:
+def flat_items(df: DataFrame, layer: Layer, graph_id: Column, source: Column | None = None, ingest_nulls: bool = False, only_schema: bool = True, base_id: Column | None = None, helpers: tuple[str, ...] = (), typed: bool = False) -> DataFrame:
     cells = [c for c in df.columns if c not in helpers]
     by_name: dict[str, str] = {c: c for c in cells}
     index = dict(enumerate(cells))
@@ -270,7 +282,7 @@ def flat_items(df: DataFrame, layer: Layer, graph_id: Column, source: Column | N
     for n in set(names):
         if names.count(n) > 1 and n in by_name:
             raise SchemaError(f"more than one attribute is named {n}")
-    walk = _Walk(_Flat(by_name, index, ingest_nulls), only_schema)
+    walk = _Walk(_Flat(by_name, index, ingest_nulls), only_schema, typed)
     base = graph_id.cast("string") if base_id is None else base_id.cast("string")
     some = [walk.source.present(walk.source.child(a, None)) for a in layer.attributes() if a.kind == "Value" and walk.source.column(a) is not None]
     extras = [] if only_schema else [c for c in cells if c not in set(names)]
@@ -291,12 +303,12 @@ def ingest_rows(df: DataFrame, layer: Layer, graph_id: Column, source: Column |
     without any cell gives nothing. base_id: the root's node id, if it is not the graph's. helpers:
     columns that are no cells.
     """
-    return _graph(flat_items(df, layer, graph_id, source, ingest_nulls, only_schema, base_id, helpers), layer)
+    return graph_of(flat_items(df, layer, graph_id, source, ingest_nulls, only_schema, base_id, helpers), layer)
 
 
-def json_items(df: DataFrame, layer: Layer, json_col: str, graph_id: Column, source: Column | None = None, ingest_nulls: bool = False, only_schema: bool = False, base_id: Column | None = None) -> DataFrame:
+def json_items(df: DataFrame, layer: Layer, json_col: str, graph_id: Column, source: Column | None = None, ingest_nulls: bool = False, only_schema: bool = False, base_id: Column | None = None, typed: bool = False) -> DataFrame:
     parsed = df.withColumn("_doc", F.try_parse_json(json_col))
-    walk = _Walk(_Variant(ingest_nulls), only_schema)
+    walk = _Walk(_Variant(ingest_nulls), only_schema, typed)
     base = graph_id.cast("string") if base_id is None else base_id.cast("string")
     arrays = walk.items(layer.root, F.col("_doc"), base, None, None, F.lit(0), 0, F.lit(True) & walk.source.present(F.col("_doc")))
     broken = F.array(_item(node_id=base, type="Document", present=F.col("_doc").isNull() & F.col(json_col).isNotNull(), error=F.lit("not JSON")))
@@ -310,7 +322,7 @@ def ingest_json(df: DataFrame, layer: Layer, json_col: str, graph_id: Column, so
     ingest_nulls; of a Polymorphic exactly one option must be valid. Values whose JSON type
     disagrees with the layer are left out of the graph and listed by json_errors().
     """
-    return _graph(json_items(df, layer, json_col, graph_id, source, ingest_nulls, only_schema, base_id), layer)
+    return graph_of(json_items(df, layer, json_col, graph_id, source, ingest_nulls, only_schema, base_id), layer)
 
 
 def errors(items: DataFrame) -> DataFrame:

@@ -17,17 +17,29 @@ def parse_measure(text: Column) -> Column:
     return F.when(text.rlike(_MEASURE), F.struct(value.alias("value"), unit.alias("unit")))
 
 
-def convert(measures: DataFrame, factors: DataFrame, value: str = "value", unit: str = "unit", target: str = "use_unit") -> DataFrame:
+def convert(measures: DataFrame, factors: DataFrame, value: str = "value", unit: str = "unit", target: str = "use_unit", domain: str = "", missing: str = "null") -> DataFrame:
     """measures with converted, from factors(domain, from_unit, to_unit, factor, shift): value * factor + shift.
 
-    An equal or absent target keeps the value; a pair without a factor gives null. factors is a
-    table of units, so it is broadcast only while it is small (Spark's threshold decides).
+    Of a pair's factors the one of the domain is taken, else the one without a domain; several of
+    them are an error. An equal or absent target keeps the value. missing: a pair without a factor
+    gives null, or ("error") fails. factors is a table of units, so it is broadcast only while it
+    is small (Spark's threshold decides).
     """
-    f = factors.select(F.col("from_unit").alias(unit), F.col("to_unit").alias(target), "factor", "shift")
-    joined = measures.join(f, [unit, target], "left")
+    of = F.coalesce("domain", F.lit("")) if "domain" in factors.columns else F.lit("")
+    own = factors.select(F.col("from_unit").alias(unit), F.col("to_unit").alias(target), of.alias("_d"), "factor", "shift").where(F.col("_d").isin("", domain))
+    best = F.max_by(F.struct("factor", "shift"), F.struct((F.col("_d") == domain).alias("a")))
+    several = F.count(F.when(F.col("_d") == domain, 1)) > 1
+    general = (F.count(F.when(F.col("_d") == domain, 1)) == 0) & (F.count("*") > 1)
+    text = F.concat(F.lit("more than one factor from "), F.col(unit), F.lit(" to "), F.col(target))
+    one = own.groupBy(unit, target).agg(F.when(several | general, F.raise_error(text).cast("struct<factor:double,shift:double>")).otherwise(best.cast("struct<factor:double,shift:double>")).alias("_f"))
+    joined = measures.join(one, [unit, target], "left")
     number = F.col(value).try_cast("double")
     same = F.col(target).isNull() | (F.col(target) == F.col(unit))
-    return joined.withColumn("converted", F.when(same, number).otherwise(number * F.col("factor") + F.coalesce("shift", F.lit(0.0)))).drop("factor", "shift")
+    found = number * F.col("_f.factor") + F.coalesce("_f.shift", F.lit(0.0))
+    if missing == "error":
+        lack = F.concat(F.lit("no factor from "), F.col(unit), F.lit(" to "), F.col(target), F.lit(f" in domain '{domain}'"))
+        found = F.when(F.col("_f").isNull(), F.raise_error(lack).cast("double")).otherwise(found)
+    return joined.withColumn("converted", F.when(same, number).otherwise(found)).drop("_f")
 
 
 def measure_attributes(graph: Graph) -> list[Attribute]:
@@ -76,17 +88,18 @@ def _found(graph: Graph, a: Attribute) -> DataFrame:
     return find_measures(graph, a, values, cypher.find_nodes(graph, unit, {"valueNode": own}).distinct())
 
 
-def build_measures(graph: Graph, factors: DataFrame | None = None) -> Graph:
+def build_measures(graph: Graph, factors: DataFrame | None = None, missing: str = "error") -> Graph:
     """A node for each measure: value and unit in its properties, converted where useUnit says so.
 
-    The node is made below the value's parent, or updated if there is one.
+    The node is made below the value's parent, or updated if there is one. Factors are those of the
+    attribute's measure/unitDomain; a unit without a factor fails, or (missing: "drop") its measure is left out.
     """
     for a in measure_attributes(graph):
         found = _found(graph, a).withColumn("use_unit", F.lit(a.one("measure/useUnit") or None).cast("string"))
         if a.one("measure/useUnit"):
             if factors is None:
                 raise SchemaError(f"{a.id}: a conversion table is needed for useUnit")
-            found = convert(found, factors).where("converted IS NOT NULL")
+            found = convert(found, factors, domain=a.one("measure/unitDomain"), missing=missing).where("converted IS NOT NULL")
             found = found.withColumn("value", F.col("converted").cast("string")).withColumn("unit", F.coalesce("use_unit", "unit"))
         name = a.name or a.id
         props = F.create_map(F.lit("measure/value"), F.array("value"), F.lit("measure/unit"), F.array("unit"))

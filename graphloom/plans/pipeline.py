@@ -1,16 +1,22 @@
-"""Declarative pipelines: a list of {operation, params}, each step a lazy plan transformer."""
+"""Declarative pipelines: a list of {operation, params}, each step a plan transformer.
+
+Steps are lazy but for those that ingest: what they read is written once, with its errors counted
+on the way. A document or row in error stops the pipeline with the step's name (onError: "stop",
+the default), or is left out whole and listed in results["errors"] (onError: "quarantine").
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators import entities, links, measures, reshape, valueset
 from ..schema.bundle import Bundle, read_json_or_yaml
+from ..storage import written
 from . import cypher
 
 
@@ -20,6 +26,14 @@ class PipelineError(RuntimeError):
         self.step, self.cause = step, cause
 
 
+class DataError(ValueError):
+    """Rows in error: how many, and the first of them (graph_id, node_id, schema_node_id, error)."""
+
+    def __init__(self, count: int, first):
+        super().__init__(f"{count} in error, the first of graph {first['graph_id']}, node {first['node_id']}: {first['error']}")
+        self.count, self.first = count, first
+
+
 @dataclass(frozen=True)
 class Context:
     """What flows from step to step; steps give a new one."""
@@ -53,17 +67,53 @@ def _table(c: Context, p: dict) -> DataFrame:
     return c.data[p["input"]] if "input" in p else c.spark.read.option("header", True).csv(p["path"])
 
 
+_ERRORS = "graph_id", "node_id", "schema_node_id", "error"
+
+
+def _sound(c: Context, p: dict, items: DataFrame, bad: Column, listed: Callable[[DataFrame], DataFrame]) -> tuple[Context, DataFrame]:
+    """Items without those of documents in error, written once, and the context with the errors as p says.
+
+    bad: which items are in error; listed: the columns of _ERRORS of such items. Streams are passed on unchecked.
+    """
+    mode = p.get("onError", "stop")
+    if mode not in ("stop", "quarantine"):
+        raise ValueError(f"onError is stop or quarantine, not {mode}")
+    if items.isStreaming:
+        return c, items.where(~bad)
+    seen = Observation()
+    items = written(items.observe(seen, F.sum(bad.cast("long")).alias("errors"), F.count(F.lit(1)).alias("items")))
+    count = seen.get["errors"] or 0
+    found = listed(items.where(bad)).select(*_ERRORS)
+    if count and mode == "stop":
+        raise DataError(count, found.orderBy(*_ERRORS).first())
+    if mode == "quarantine":
+        earlier = c.results.get("errors")
+        c = c.with_(results={**c.results, "errors": found if earlier is None else earlier.unionByName(found), "errorCount": c.results.get("errorCount", 0) + count})
+    if count:
+        # the documents' ids are written first, so that a join of two plain shuffles can be split
+        gone = written(found.select(F.col("graph_id").alias("_gone")).distinct())
+        items = items.join(gone, F.col("graph_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return c, items
+
+
+def _ingested(c: Context, p: dict, items: DataFrame, layer) -> Context:
+    from ..operators.ingest import errors, graph_of
+
+    bad = F.coalesce(F.col("item.present") & F.col("item.error").isNotNull(), F.lit(False))
+    c, items = _sound(c, p, items, bad, errors)
+    return c.with_(graph=links.link(graph_of(items, layer)))
+
+
 @step("ingest/csv")
 def _ingest_csv(c: Context, p: dict) -> Context:
-    from ..operators.ingest import ingest_rows
-    from ..sources.tables import ingest_csv, read_csv
+    from ..operators.ingest import flat_items
+    from ..sources.tables import csv_items, read_csv
 
-    layer = _layer(c, p)
+    layer, typed = _layer(c, p), p.get("checkTypes", "onError" in p)
     if "input" in p:
-        graph = ingest_rows(c.data[p["input"]], layer, F.expr(p["graphId"]), only_schema=p.get("onlySchemaAttributes", True))
-        return c.with_(graph=links.link(graph))
+        return _ingested(c, p, flat_items(c.data[p["input"]], layer, F.expr(p["graphId"]), only_schema=p.get("onlySchemaAttributes", True), typed=typed), layer)
     rows = read_csv(c.spark, p["path"], p.get("headerRow", 0), p.get("startRow"), p.get("endRow"), p.get("delimiter", ","), layer.encoding)
-    return c.with_(graph=ingest_csv(rows, layer, p.get("id", "row_{{.rowIndex}}"), p.get("ingestByRows", True), p.get("ingestNullValues", False), p.get("onlySchemaAttributes", False)))
+    return _ingested(c, p, csv_items(rows, layer, p.get("id", "row_{{.rowIndex}}"), p.get("ingestByRows", True), p.get("ingestNullValues", False), p.get("onlySchemaAttributes", False), typed=typed), layer)
 
 
 @step("ingest/csv/join")
@@ -83,37 +133,47 @@ def _ingest_joined(c: Context, p: dict) -> Context:
     return c.with_(graph=ingest_joined(rows, own, row, id_template=p.get("id") or "row_{{.rowIndex}}", start_row=start))
 
 
+def _documents(c: Context, p: dict) -> tuple[DataFrame, Column, str]:
+    """A step's documents, their graph ids and the column of their text: a table, or the JSON documents of files, any number in each."""
+    if "input" in p:
+        return c.data[p["input"]], F.expr(p["graphId"]), p.get("column", "value")
+    from ..sources.documents import json_documents
+
+    name = F.sha1(F.col("file").cast("binary"))
+    return json_documents(c.spark, p["path"]), F.when(F.col("number") == 0, name).otherwise(F.concat_ws("_", name, "number")), "document"
+
+
 @step("ingest/json")
 def _ingest_json(c: Context, p: dict) -> Context:
-    from ..operators.ingest import ingest_json
+    from ..operators.ingest import json_items
 
-    if "input" in p:
-        docs, graph_id = c.data[p["input"]], F.expr(p["graphId"])
-    else:
-        docs, graph_id = c.spark.read.option("wholetext", True).text(p["path"]).withColumn("_file", F.input_file_name()), F.sha1(F.col("_file").cast("binary"))
-    return c.with_(graph=links.link(ingest_json(docs, _layer(c, p), p.get("column", "value"), graph_id, only_schema=p.get("onlySchemaAttributes", False))))
+    (docs, graph_id, column), layer = _documents(c, p), _layer(c, p)
+    return _ingested(c, p, json_items(docs, layer, column, graph_id, only_schema=p.get("onlySchemaAttributes", False), typed=p.get("checkTypes", "onError" in p)), layer)
 
 
 @step("ingest/xml")
 def _ingest_xml(c: Context, p: dict) -> Context:
-    from ..sources.xml import ingest_xml
+    from ..sources.xml import xml_graph, xml_items
 
     if "input" in p:
         docs, graph_id = c.data[p["input"]], F.expr(p["graphId"])
     else:
         docs, graph_id = c.spark.read.option("wholetext", True).text(p["path"]).withColumn("_file", F.input_file_name()), F.sha1(F.col("_file").cast("binary"))
-    return c.with_(graph=links.link(ingest_xml(docs, _layer(c, p), p.get("column", "value"), graph_id, p.get("onlySchemaAttributes", False))))
+    layer = _layer(c, p)
+    items = xml_items(docs, layer, p.get("column", "value"), graph_id, p.get("onlySchemaAttributes", False))
+    c, items = _sound(c, p, items, F.col("error").isNotNull(), lambda bad: bad)
+    return c.with_(graph=links.link(xml_graph(items, layer)))
 
 
 @step("readGraph")
 def _read_graph(c: Context, p: dict) -> Context:
-    from ..sources.graphs import read_graphs
+    from ..sources.graphs import no_graph, read_graphs
 
-    if "input" in p:
-        docs, graph_id = c.data[p["input"]], F.expr(p["graphId"])
-    else:
-        docs, graph_id = c.spark.read.option("wholetext", True).text(p["path"]).withColumn("_file", F.input_file_name()), F.sha1(F.col("_file").cast("binary"))
-    return c.with_(graph=read_graphs(docs, p.get("column", "value"), graph_id, p.get("namespace", "")))
+    docs, graph_id, column = _documents(c, p)
+    text, none = F.col(column), F.lit(None).cast("string")
+    docs = docs.select(graph_id.cast("string").alias("graph_id"), text.alias("value"), none.alias("node_id"), none.alias("schema_node_id"), F.when(no_graph(text), F.lit("not a graph")).alias("error"))
+    c, docs = _sound(c, p, docs, F.col("error").isNotNull(), lambda bad: bad)
+    return c.with_(graph=read_graphs(docs, "value", F.col("graph_id"), p.get("namespace", "")))
 
 
 @step("writeGraph")
@@ -176,7 +236,7 @@ def _valueset(c: Context, p: dict) -> Context:
 
 @step("measures")
 def _measures(c: Context, p: dict) -> Context:
-    return c.with_(graph=measures.build_measures(c.graph, c.data.get(p["factors"]) if "factors" in p else None))
+    return c.with_(graph=measures.build_measures(c.graph, c.data.get(p["factors"]) if "factors" in p else None, p.get("missing", "error")))
 
 
 @step("oc")

@@ -20,6 +20,11 @@ def _strings(props: Column, strip: str) -> Column:
     return F.transform_keys(plain, lambda k, v: F.regexp_replace(k, strip, "")) if strip else plain
 
 
+def no_graph(text: Column) -> Column:
+    """Whether a text is not a graph; a null is none either way."""
+    return text.isNotNull() & F.try_variant_get(F.try_parse_json(text), "$", _JSON)["nodes"].isNull()
+
+
 def read_graphs(df: DataFrame, json_col: str, graph_id: Column, namespace: str = "") -> Graph:
     """One graph per JSON text. namespace: a prefix of terms and labels that is stripped. A text that is no graph gives nothing."""
     strip = "^" + "".join("\\" + c if not c.isalnum() else c for c in namespace) if namespace else ""

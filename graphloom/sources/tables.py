@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import Graph
-from ..operators.ingest import ingest_rows
+from ..operators.ingest import flat_items, graph_of, ingest_rows
 from ..operators.links import link
 from ..schema.layer import Layer
 from ..storage import written
@@ -81,13 +81,17 @@ def ingest_csv(df: DataFrame, layer: Layer, id_template: str = "row_{{.rowIndex}
 
     Rows are told apart by file and template id; source is file#row.
     """
+    return link(graph_of(csv_items(df, layer, id_template, by_rows, ingest_nulls, only_schema, file_col), layer))
+
+
+def csv_items(df: DataFrame, layer: Layer, id_template: str = "row_{{.rowIndex}}", by_rows: bool = True, ingest_nulls: bool = False, only_schema: bool = False, file_col: str = "_file", typed: bool = False) -> DataFrame:
+    """The items of ingest_csv's graphs. typed: cells that are none of their attribute's type are in error."""
     cells = [c for c in df.columns if c not in ("_row", "_file", "_data")]
     own = df if "_data" in df.columns else df.withColumn("_data", F.col("_row"))
     own = own.withColumn("_id", template(id_template, cells)).withColumn("_src", F.concat_ws("#", F.col(file_col), F.col("_row")))
     graph_id = F.concat_ws("#", F.sha1(F.col(file_col).cast("binary")), "_id") if by_rows else F.sha1(F.col(file_col).cast("binary"))
     base = own.select(*cells, graph_id.alias("__gid"), F.col("_id").alias("__id"), F.col("_src").alias("__src"))
-    graph = ingest_rows(base, layer, F.col("__gid"), F.col("__src"), ingest_nulls, only_schema, F.col("__id"), ("__gid", "__id", "__src"))
-    return link(graph)
+    return flat_items(base, layer, F.col("__gid"), F.col("__src"), ingest_nulls, only_schema, F.col("__id"), ("__gid", "__id", "__src"), typed)
 
 
 @dataclass(frozen=True)

@@ -132,7 +132,11 @@ class _Walker:
 
 def ingest_xml(df: DataFrame, layer: Layer, xml_col: str, graph_id: Column, only_schema: bool = False) -> Graph:
     """One graph per XML document; documents that are not XML, and ambiguous choices, are left out (xml_errors lists them)."""
-    items = xml_items(df, layer, xml_col, graph_id, only_schema).where("error IS NULL")
+    return xml_graph(xml_items(df, layer, xml_col, graph_id, only_schema), layer)
+
+
+def xml_graph(items: DataFrame, layer: Layer) -> Graph:
+    items = items.where("error IS NULL")
     names = [c.split()[0] for c in _ITEMS.split(", ")]
     keep = [n for n in names if n not in ("graph_id", "parent_id", "edge_label", "error")]
     nodes = items.select(*node_columns(graph_id=F.col("graph_id"), **{n: F.col(n) for n in keep}))
