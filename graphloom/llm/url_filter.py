@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: The contract's rules: (verdict, host, path).
 BASE_RULES = (
     ("allow", "org", "/"),
@@ -82,7 +84,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFr
     hosts = ranked.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
     hosts = hosts.select(F.substring(_sha(F.col("host")), 1, _PREFIX).alias("_hkey"), "lengths")
     parts = F.split("host", r"\.")
-    own = urls.where("host <> ''").select("host", "path", parts.alias("_parts"), F.explode(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels or 1)))).alias("_k"))
+    # each host and path once, written: a page that stands in a third of the rows is one row here
+    some = saved(urls.where("host <> ''").select("host", "path").distinct())
+    own = some.select("host", "path", parts.alias("_parts"), F.explode(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels or 1)))).alias("_k"))
     own = own.select("host", "path", F.array_join(F.slice("_parts", -F.col("_k"), F.col("_k")), ".").alias("_suffix"))
     own = own.withColumn("_hkey", F.substring(_sha(F.col("_suffix")), 1, _PREFIX)).join(sent(hosts), "_hkey")
 
@@ -91,8 +95,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFr
     own = own.select("host", "path", _sha(F.concat("_suffix", F.expr("substring(path, 1, _n)"))).alias("_digest"))
     keyed = ranked.select(F.substring("digest", 1, _PREFIX).alias("_key"), "digest", "rule", "verdict", "n", "h")
     hits = own.withColumn("_key", F.substring("_digest", 1, _PREFIX)).join(sent(keyed), "_key").where(F.col("_digest") == F.col("digest"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct("n", "h")).alias("_best"))
-    out = urls.join(best, ["host", "path"], "left")
+    # written too, so that adaptive execution can split the join where one page is hot
+    best = saved(hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct("n", "h")).alias("_best")))
+    none = urls.where("NOT coalesce(host <> '', false)").withColumn("_best", F.lit(None).cast(best.schema["_best"].dataType))
+    out = urls.where("host <> ''").join(best, ["host", "path"], "left").unionByName(none)
     return out.select("page_id", "host", "path", F.col("_best")["rule"].alias("rule"), F.coalesce(F.col("_best")["verdict"], F.lit(default)).alias("verdict"))
 
 
