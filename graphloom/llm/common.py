@@ -77,6 +77,11 @@ def _array(values, kind: pa.DataType) -> pa.Array:
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words (xor-shift and multiply)."""
     x = np.asarray(x, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return _mixed(x)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -131,3 +136,16 @@ def bit_array(keys: DataFrame, column: str, count: int) -> Bits:
     out = np.zeros(bits // 64, dtype=np.uint64)
     out[found.column("slot").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
     return Bits(out)
+
+
+def may_hold(src: DataFrame, ids: Bits) -> DataFrame:
+    """The rows of src whose first column, a long, may be among the ids of the bits; null is not."""
+    shared = src.sparkSession.sparkContext.broadcast(ids.words)
+
+    def run(batches):
+        bits = Bits(shared.value)
+        for batch in batches:
+            own = batch.column(0)
+            yield batch.filter(pa.array(bits.hold(np.asarray(own.fill_null(0)).astype(np.int64).view(np.uint64)) & np.asarray(own.is_valid())))
+
+    return src.mapInArrow(run, src.schema)

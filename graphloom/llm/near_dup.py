@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, bit_array, forget, mapped, mix64, saved
+from .common import bit_array, forget, mapped, may_hold, mix64, saved
 from .components import connected_components
 from .decontaminate import windows
 
@@ -170,7 +170,7 @@ def _verified_links(src: DataFrame, classes: DataFrame, cluster: DataFrame, perc
     packs = int((weight.agg(F.sum("_n")).first()[0] or 0) // BLOCK_SHINGLES) + 1
     member = saved(member.join(weight.drop("_n"), "component").select("rep", "set_key", "component", "blocks", F.pmod(F.xxhash64("rep"), "blocks").alias("block")))
     # an array of bits, of a bounded size, keeps most texts of other documents out of the shuffle
-    text = _may_hold(src, bit_array(member, "rep", member.count())).join(member, F.col("doc_id") == F.col("rep"))
+    text = may_hold(src, bit_array(member, "rep", member.count())).join(member, F.col("doc_id") == F.col("rep"))
 
     def collect():
         def work(columns):
@@ -209,21 +209,6 @@ def _verified_links(src: DataFrame, classes: DataFrame, cluster: DataFrame, perc
     return out
 
 
-def _may_hold(src: DataFrame, ids: Bits) -> DataFrame:
-    """The rows of (doc_id, _text) whose ids may be among those of the bits."""
-    shared = src.sparkSession.sparkContext.broadcast(ids.words)
-
-    def run(batches):
-        import pyarrow as pa
-
-        bits = Bits(shared.value)
-        for batch in batches:
-            own = batch.column(0)
-            yield batch.filter(pa.array(bits.hold(np.asarray(own.fill_null(0)).astype(np.int64).view(np.uint64)) & np.asarray(own.is_valid())))
-
-    return src.mapInArrow(run, src.schema)
-
-
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The rows of df, all columns, with one document of each component: the one with the smallest id.
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mapped, saved
+from .common import bit_array, forget, mapped, may_hold, saved
 
 #: The statistics the forest splits on, in the order of features(), and the least width of a range to split.
 FEATURES = ("log_words", "word_len", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share")
@@ -182,10 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn from all; the threshold is the score that a share of `false_alarms` of all of them
     exceeds. An id counts once: of repeated documents the one with the least statistics. Rows
     that the base rules fail are not learnt from. Without ten good rows and a bad one nothing is
-    anomalous. Only statistics are shuffled, no texts.
+    anomalous. An array of bits of the labelled ids, bounded in size, keeps most other documents
+    from being measured; only statistics are shuffled, no texts.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.min(label_col).cast("int").alias("y"))
-    stats = mapped(docs.where(F.col(id_col).isNotNull()), [F.col(id_col).cast("long"), text_col], "i long, s array<long>", lambda: lambda c: {"i": c[0], "s": [list(statistics(t)) for t in c[1]]})
+    marks = saved(marks)
+    some = may_hold(docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t")), bit_array(marks, "i", marks.count()))
+    stats = mapped(some, ["_i", "_t"], "i long, s array<long>", lambda: lambda c: {"i": c[0], "s": [list(statistics(t)) for t in c[1]]})
     stats = stats.groupBy("i").agg(F.min("s").alias("s"))
     rows = saved(stats.join(marks, "i").where("s[0] >= 50 and 100 * s[4] <= 50 * s[0]"))
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -201,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     forest = IsolationForest(x, trees, sample, width=LEAST_WIDTH)
     scores = saved(mapped(good, ["s"], "score double", lambda: lambda c: {"score": forest.score(features(np.array(c[0], dtype=float)))}, rows=8192))
     threshold = _quantile(scores, "score", n, 1 - false_alarms)
-    forget(rows, scores)
+    forget(rows, scores, marks)
     return RuleModel(forest, threshold)
 
 
@@ -233,7 +236,11 @@ def apply_rules(df: DataFrame, model: RuleModel, id_col: str = "doc_id", text_co
 
 
 def keep_good(df: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, that the rules and the forest keep."""
+    """The rows of df, all columns, that the rules and the forest keep.
+
+    A null or empty text has no words and goes, as apply_rules fails it; ids are not read, so null
+    and repeated ones are judged by their texts; an empty table stays empty.
+    """
     schema = df.schema
     i = schema.fieldNames().index(text_col)
 
