@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..graph import HAS, Graph, edge_columns, node_columns
 from ..schema.layer import Attribute, Layer, SchemaError
+from ..storage import written
 
 
 @dataclass(frozen=True)
@@ -86,8 +87,11 @@ def matched(graph: Graph, spec: LinkSpec) -> DataFrame:
     keys = foreign_keys(graph, spec)
     targets = entity_index(graph).where(F.col("entity") == spec.target).select("graph_id", F.col("entity_id").alias("fk"), "target_id")
     out = parents.join(keys, ["graph_id", "entity_root_id"]).join(targets, ["graph_id", "fk"])
-    docs = graph.children(spec.attribute.id).select("graph_id", "parent_id", F.col("node_id").alias("doc_id"), F.col("props").alias("doc_props"))
-    out = out.join(docs, ["graph_id", "parent_id"], "left")
+    if spec.value_node:  # its link starts at the entity, not at a node of the reference
+        out = out.withColumns({"doc_id": F.lit(None).cast("string"), "doc_props": F.lit(None).cast("map<string,array<string>>")})
+    else:
+        docs = graph.children(spec.attribute.id).select("graph_id", "parent_id", F.col("node_id").alias("doc_id"), F.col("props").alias("doc_props"))
+        out = out.join(docs, ["graph_id", "parent_id"], "left")
     if not spec.multi:
         many = out.groupBy("graph_id", "parent_id", "fk").agg(F.count_distinct("target_id").alias("_c"))
         out = out.join(many, ["graph_id", "parent_id", "fk"]).withColumn("target_id", F.when(F.col("_c") == 1, F.col("target_id")).otherwise(F.raise_error(F.lit(f"{spec.attribute.id}: more than one target"))))
@@ -100,11 +104,17 @@ def link(graph: Graph, specs: list[LinkSpec] | None = None) -> Graph:
     A value attribute links its entity root (or linkNode); a reference links its parent directly
     (ingestAs edge: the reference's own node goes, its properties move to the edge) or through a
     node of its own, which is made where it is missing. Edges are unique.
+
+    Nodes are written once, and edges too where a spec looks at them; after that only what is new is
+    written, so steps that follow read tables and no link is worked out twice. Streams are left lazy.
     """
     specs = link_specs(graph.layer) if specs is None else specs
     if not specs:
         return graph
-    graph = graph.held()  # each spec reads it several times
+    keep = written if not (graph.nodes.isStreaming or graph.edges.isStreaming) else lambda df: df
+    graph = graph.with_(nodes=keep(graph.nodes))  # each spec reads them several times
+    if not all(spec.value_node for spec in specs):
+        graph = graph.with_(edges=keep(graph.edges))
     for spec in specs:
         found = matched(graph, spec)
         empty = F.create_map().cast("map<string,array<string>>")
@@ -124,10 +134,10 @@ def link(graph: Graph, specs: list[LinkSpec] | None = None) -> Graph:
         else:
             made = F.concat("parent_id", F.lit("." + (spec.attribute.name or spec.label)))
             near, props = F.coalesce("doc_id", made), empty
-            new = found.where("doc_id IS NULL").select("graph_id", "entity_root_id", "parent_id", made.alias("node_id")).distinct()
+            new = keep(found.where("doc_id IS NULL").select("graph_id", "entity_root_id", "parent_id", made.alias("node_id")).distinct())
             nodes = nodes.unionByName(new.select(*node_columns(graph_id=F.col("graph_id"), node_id=F.col("node_id"), labels=F.array(F.lit("DocumentNode"), F.lit("Reference")), schema_node_id=spec.attribute.id, type="Reference", attribute_name=spec.attribute.name or None, entity_root_id=F.col("entity_root_id"))))
             edges = edges.unionByName(new.select(*edge_columns(graph_id=F.col("graph_id"), src=F.col("parent_id"), dst=F.col("node_id"), label=HAS)))
         ends = (near, F.col("target_id")) if spec.forward else (F.col("target_id"), near)
         links = found.select(*edge_columns(graph_id=F.col("graph_id"), src=ends[0], dst=ends[1], label=spec.label, props=props))
-        graph = graph.with_(nodes=nodes, edges=edges.unionByName(unique_edges(links)))
-    return graph.held()
+        graph = graph.with_(nodes=nodes, edges=edges.unionByName(keep(unique_edges(links))))
+    return graph
