@@ -44,6 +44,18 @@ def forget(*frames: DataFrame) -> None:
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library keep after a task's work goes back to the system: workers stay, an executor's memory is theirs too."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim is not None:
+        trim(0)
+
+
 def mapped(df: DataFrame, columns: Sequence[str], schema: str, make: Callable[[], Callable[[list[list]], dict[str, list]]], rows: int = 512) -> DataFrame:
     """mapInArrow over slices of a bounded number of rows.
 
@@ -58,10 +70,15 @@ def mapped(df: DataFrame, columns: Sequence[str], schema: str, make: Callable[[]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
+            part = None
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 out = work([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
+                del out
+            del batch, part
+        del work
+        give_back()
 
     return df.select(*columns).mapInArrow(run, target)
 
@@ -147,5 +164,7 @@ def may_hold(src: DataFrame, ids: Bits) -> DataFrame:
         for batch in batches:
             own = batch.column(0)
             yield batch.filter(pa.array(bits.hold(np.asarray(own.fill_null(0)).astype(np.int64).view(np.uint64)) & np.asarray(own.is_valid())))
+            del batch, own
+        give_back()
 
     return src.mapInArrow(run, src.schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, bit_array, mapped, mix64, saved
+from .common import Bits, bit_array, give_back, mapped, mix64, saved
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -234,6 +234,8 @@ def _suspects(df: DataFrame, index: Index, text_col: str) -> DataFrame:
             number = np.bincount(text, minlength=batch.num_rows)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(number[number > 0])), pa.int32()), pa.array(seeds.view(np.int64)))
             yield batch.filter(pa.array(number > 0)).append_column(_SEEDS, lists)
+            del batch, lists
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(_SEEDS, T.ArrayType(T.LongType()))]))
 
@@ -301,5 +303,7 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
         own = gone.value
         for batch in batches:
             yield batch.filter(pa.array([not t.is_valid or hashlib.sha256(t.as_buffer()).digest() not in own for t in batch.column(i)], type=pa.bool_()))
+            del batch
+        give_back()
 
     return df.mapInArrow(run, df.schema)

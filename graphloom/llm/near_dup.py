@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_array, forget, mapped, may_hold, mix64, saved
+from .common import bit_array, forget, give_back, mapped, may_hold, mix64, saved
 from .components import connected_components
 from .decontaminate import windows
 
@@ -201,6 +201,8 @@ def _verified_links(src: DataFrame, classes: DataFrame, cluster: DataFrame, perc
             for a, b in verified(ids, [np.frombuffer(s, dtype=np.uint64) for _, s in group], percent):
                 u.append(a)
                 v.append(b)
+        groups.clear()
+        give_back()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     out = pairs.withColumn("pack", pack).groupBy("pack").applyInArrow(confirm, "u long, v long")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_array, forget, mapped, may_hold, saved
+from .common import bit_array, forget, give_back, mapped, may_hold, saved
 
 #: The statistics the forest splits on, in the order of features(), and the least width of a range to split.
 FEATURES = ("log_words", "word_len", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share")
@@ -253,5 +253,7 @@ def keep_good(df: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col:
                 s = np.array([statistics(t) for t in part.column(i).to_pylist()], dtype=np.int64).reshape(-1, 9)
                 _, odd = model.judge(features(s))
                 yield part.filter(pa.array(~base_failed(s) & ~odd))
+            part = batch = None
+        give_back()
 
     return df.mapInArrow(run, schema)

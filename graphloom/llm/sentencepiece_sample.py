@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64
+from .common import give_back, mix64
 
 SPACE = "▁"
 #: Characters of text worked on at once.
@@ -517,6 +517,7 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, seed: int = 1, id
         if not keep_vocabulary:
             del sampler
             pieces_at.cache_clear()
+            give_back()
 
     return df.select(id_col, text_col).mapInArrow(run, ", ".join(names))
 
