@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..graph import HAS, Graph, edge_columns, node_columns
 from ..schema.layer import Attribute, Layer, SchemaError
-from ..storage import written
+from ..storage import exists, folders, removed, written
 
 ENTRIES = "table_id string, entry_id long, is_default boolean, case_sensitive boolean, n_keys int, key string, match string, result map<string,string>"
 #: Dictionaries of up to so many rows are broadcast; larger ones are joined by shuffle.
@@ -297,6 +298,56 @@ def process(graph: Graph, answer: Callable[[DataFrame, Sequence[str]], DataFrame
     return graph
 
 
+class Answers:
+    """Answers of a service kept between runs, in a folder that driver and executors share.
+
+    wrap(answer) gives an answer function for process() that sends a service only the requests whose
+    answers are not kept; that there is no answer is kept too. Each call that asks anything adds a generation, written whole
+    before it counts. version: answers of another version are not seen (a new release of a dictionary, say).
+    most: beyond so many answers the generations asked for first are dropped, whole, the newest never.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, version: str = "1", most: int = 1_000_000):
+        if not re.fullmatch(r"[\w.-]+", version):
+            raise ValueError(f"a version is of letters, digits, dots and dashes: {version}")
+        self.spark, self.folder, self.most = spark, f"{folder}/{version}", most
+
+    def _generations(self) -> list[str]:
+        """Complete generations, oldest first."""
+        return [g for g in folders(self.spark, self.folder) if exists(self.spark, f"{self.folder}/{g}/_SUCCESS")]
+
+    def known(self) -> DataFrame:
+        """(_q, result) of all that is kept, a request once."""
+        names = self._generations()
+        if not names:
+            return self.spark.createDataFrame([], _ANSWERS)
+        kept = self.spark.read.schema(_ANSWERS).parquet(*(f"{self.folder}/{g}" for g in names))
+        return kept.groupBy("_q").agg(F.first("result").alias("result"))
+
+    def wrap(self, answer: Callable[[DataFrame, Sequence[str]], DataFrame]) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
+        def remembered(asked: DataFrame, tables: Sequence[str]) -> DataFrame:
+            sets = F.lit(json.dumps(sorted(tables)))
+            keyed = asked.withColumn("_q", F.concat(sets, F.to_json(F.array_sort(F.map_entries("request")))))
+            some = keyed.where(F.size("request") > 0).groupBy("_q").agg(F.first(F.map_entries("request")).alias("_r"))
+            new = written(some.join(self.known().select("_q"), "_q", "left_anti").select("_q", F.map_from_entries("_r").alias("request")))
+            if not new.isEmpty():
+                self._add(answer(new.withColumnRenamed("_q", "_asked"), tables).select(F.col("_asked").alias("_q"), "result"))
+            return keyed.join(self.known(), "_q", "left").drop("_q")
+
+        return remembered
+
+    def _add(self, answers: DataFrame) -> None:
+        names = self._generations()
+        number = int(names[-1]) + 1 if names else 0
+        answers.select("_q", F.col("result").cast("map<string,string>").alias("result")).write.parquet(f"{self.folder}/{number:010}")
+        sizes = [self.spark.read.schema(_ANSWERS).parquet(f"{self.folder}/{g}").count() for g in self._generations()]
+        while len(sizes) > 1 and sum(sizes) > self.most:
+            removed(self.spark, f"{self.folder}/{self._generations()[0]}")
+            sizes.pop(0)
+
+
+_ANSWERS = "_q string, result map<string,string>"
+
 #: Named providers of dictionaries: kind -> function(spark, spec) giving an entries table.
 PROVIDERS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {}
 

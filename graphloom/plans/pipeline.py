@@ -228,9 +228,14 @@ def _export_json(c: Context, p: dict) -> Context:
 def _valueset(c: Context, p: dict) -> Context:
     if "provider" in p:
         entries = valueset.PROVIDERS[p["provider"]["kind"]](c.spark, p["provider"])
+    elif "service" in p:
+        entries = valueset.http_answers(p["service"])
     else:
         sets = valueset.load(p["valuesets"]) if "valuesets" in p else valueset.load_files(p["valuesetFiles"])
         entries = valueset.entries_table(c.spark, sets)
+    if "store" in p:
+        ask = entries if callable(entries) else lambda asked, tables: valueset.lookup(asked, entries, tables)
+        entries = valueset.Answers(c.spark, p["store"], str(p.get("version", "1")), p.get("most", 1_000_000)).wrap(ask)
     return c.with_(graph=valueset.process(c.graph, entries, p.get("tables")))
 
 
