@@ -17,7 +17,7 @@ from ..graph import Graph
 from ..operators import entities, links, measures, reshape, valueset
 from ..schema.bundle import Bundle, read_json_or_yaml
 from ..storage import written
-from . import cypher
+from . import cypher, updates
 
 
 class PipelineError(RuntimeError):
@@ -246,9 +246,14 @@ def _measures(c: Context, p: dict) -> Context:
 
 @step("oc")
 def _oc(c: Context, p: dict) -> Context:
-    texts = p["expr"] if isinstance(p["expr"], list) else [p["expr"]]
-    out = [cypher.run(c.graph, t) for t in texts]
-    return c.with_(results={**c.results, "ocResult": out[-1], "ocResults": out})
+    """Queries in order; those with updating clauses change the graph for the ones after them and give no result."""
+    texts, out = p["expr"] if isinstance(p["expr"], list) else [p["expr"]], []
+    for t in texts:
+        if updates.updates(t):
+            c = c.with_(graph=updates.update(c.graph, t))
+        else:
+            out.append(cypher.run(c.graph, t))
+    return c.with_(results={**c.results, "ocResult": out[-1], "ocResults": out}) if out else c
 
 
 @step("reshape")
