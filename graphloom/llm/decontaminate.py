@@ -287,7 +287,9 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
     """The rows of df, all columns, that no benchmark item contaminates.
 
     Contamination is a matter of the text, so contaminated texts are found first and told by their
-    digests then: all at once where they are few enough to broadcast, else by a join.
+    digests then: all at once where they are few enough to broadcast, else by a join. Null and
+    empty texts hold no item and stay, repeated rows stay or go together, ids are not read; an empty
+    table stays empty, and an empty benchmark, or one without words, takes nothing away.
     """
     index = Index(benchmark, item_col, item_text_col, coverage)
     src = df.select(F.col(f"`{text_col}`").alias("_text")).where("_text IS NOT NULL")

@@ -327,7 +327,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of df: doc_id, n_words, base places, labels and score.
 
     A null or empty text has no words and no labels, score 0 and null first_word and last_word.
-    Null ids stay null, repeated rows give repeated results, other columns of df are not read.
+    Null ids stay null, repeated rows give repeated results, an empty table gives none; other columns of df are not read.
     """
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_detections long"
 

@@ -131,7 +131,7 @@ def score_documents(df: DataFrame, model: FtrlModel, id_col: str = "doc_id", tex
     """doc_id, held_out, score, predicted for each row of df.
 
     A null or empty text has no n-grams and gets the score of the bias. A null id stays null
-    and is not held out. Repeated rows give repeated results; other columns are not read.
+    and is not held out. Repeated rows give repeated results, an empty table gives none; other columns are not read.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model.weights)  # 2**bits floats: 1 MB at 18 bits
