@@ -3,6 +3,10 @@
 Quality rules drop what they reject, near-duplicate detection keeps one document of each group,
 decontamination drops documents that hold a benchmark item, the secret scan masks secrets within
 texts, and the last stage encodes each text into sampled pieces and checks that they decode.
+
+Odd rows in every stage: a null text goes in the first stage, which finds no words in it, and
+would pass the others as it is; null and repeated ids are judged by their texts, and of repeated
+rows near-dedup keeps one; other columns pass through, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
