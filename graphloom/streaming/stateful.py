@@ -2,65 +2,72 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from ..storage import exists
 
-#: Where state lives that a processor reads and writes by itself.
+#: A state store that keeps state on the executors' disks and not in their heaps.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Reuse(StatefulProcessor):
-    """Keeps an entity's first node until `keep` milliseconds after it was last met."""
+#: Groups into which entities are dealt by hash. Each is one row of state and one call a micro-batch, whatever its number of entities.
+BUCKETS = 1 << 12
 
-    def __init__(self, keep: int):
-        self.keep = keep
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getValueState("first", "node_id string, until long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802 - names of Spark's interface
-        own = pd.concat(list(rows))
-        # node ids: shorter ones first, so that numbers in them count up, as in the batch operator
-        own = own.sort_values("node_id", key=None, kind="stable")
-        own = own.iloc[own["node_id"].str.len().argsort(kind="stable")]
-        known = self.first.get() if self.first.exists() else None
-        winner = known[0] if known else own["node_id"].iloc[0]
-        until = max(int(own["time_ms"].max()) + self.keep, known[1] if known else 0)
-        if known is None or until != known[1]:
-            self.first.update((winner, until))
-            self.handle.registerTimer(until)
-        yield pd.DataFrame({"graph_id": key[0], "kind": key[1], "entity_id": key[2], "node_id": own["node_id"], "winner": winner})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        known = self.first.get() if self.first.exists() else None
-        if known and known[1] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.first.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+def _reuse(keep: int):
+    """A function of applyInPandasWithState that keeps first nodes of a bucket's entities until `keep` milliseconds after they were last met.
 
+    A bucket's entities share a state and a timeout, that of the first of them to be forgotten: a call for each entity costs milliseconds.
+    """
 
-def reuse_stream(entities: DataFrame, time: str, keep: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    def one(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {(g, k, e): (node, until) for g, k, e, node, until in json.loads(state.get[0])} if state.exists else {}
+        if not state.hasTimedOut:
+            own = [x for part in rows for x in zip(*(part[c].tolist() for c in ("graph_id", "kind", "entity_id", "node_id", "time_ms")), strict=True)]
+            # node ids: shorter ones first, so that numbers in them count up, as in the batch operator
+            first, last = {}, {}
+            for g, k, e, node, at in own:
+                rank = (node is None, len(node or ""), node or "")
+                first[g, k, e] = min(first.get((g, k, e), rank), rank)
+                last[g, k, e] = max(last.get((g, k, e), at), at)
+            for entity, rank in first.items():
+                node, until = known.get(entity, (None if rank[0] else rank[2], 0))
+                known[entity] = (node, max(until, last[entity] + keep))
+            found = [(g, k, e, node, known[g, k, e][0]) for g, k, e, node, _ in own]
+            yield pd.DataFrame(found, columns=["graph_id", "kind", "entity_id", "node_id", "winner"])
+        now = state.getCurrentWatermarkMs()
+        left = [(*entity, node, until) for entity, (node, until) in known.items() if until >= now]
+        if not left:
+            state.remove()
+            return
+        state.update((json.dumps(left),))
+        state.setTimeoutTimestamp(max(min(x[4] for x in left), now + 1))
+
+    return one
+
+
+def reuse_stream(entities: DataFrame, time: str, keep: str = "1 day", delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """(graph_id, kind, entity_id, node_id, winner): for each entity node of a stream the node that stands for its entity.
 
     entities: graph_id, kind (its schema or label), entity_id (text), node_id and an event time. The node that came first
     stays; of those of one micro-batch the first by node id, as in entities.reuse_entities. It is remembered until `keep` after the
-    entity was last met, by event time; a timer drops it then. Rows without an entity id give nothing. The session needs ROCKSDB as its state store.
+    entity was last met, by event time; a timeout drops it then. Rows without an entity id give nothing. With many entities the session
+    takes ROCKSDB as its state store, which keeps them on disk. A bucket's state is written whole when an entity of it is met; a
+    running stream keeps its number of buckets.
     """
     spark = entities.sparkSession
     length = spark.sql(f"SELECT CAST(unix_millis(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {keep}) AS BIGINT) AS ms").first()["ms"]
     marked = entities.where("entity_id IS NOT NULL").withWatermark(time, delay).withColumn("time_ms", F.unix_millis(F.col(time)))
-    rows = marked.select("graph_id", "kind", "entity_id", "node_id", "time_ms", time)
-    return rows.groupBy("graph_id", "kind", "entity_id").transformWithStateInPandas(
-        _Reuse(length), "graph_id string, kind string, entity_id string, node_id string, winner string", outputMode="Append", timeMode="EventTime"
+    bucket = F.pmod(F.xxhash64("graph_id", "kind", "entity_id"), F.lit(buckets)).alias("bucket")
+    rows = marked.select(bucket, "graph_id", "kind", "entity_id", "node_id", "time_ms", time)
+    return rows.groupBy("bucket").applyInPandasWithState(
+        _reuse(length), "graph_id string, kind string, entity_id string, node_id string, winner string", "entities string", "append", "EventTimeTimeout"
     )
 
 

@@ -41,6 +41,28 @@ def test_entities_are_reused_across_batches_until_they_are_forgotten(rocksdb, tm
     assert new() == {("a", "n0", "n0")}
 
 
+def test_entities_of_a_bucket_share_a_call_and_are_forgotten_one_by_one(rocksdb, tmp_path):
+    spark, path = rocksdb, str(tmp_path / "in")
+
+    def run():
+        stream = spark.readStream.schema(SCHEMA + ", t timestamp").parquet(path)
+        out = stateful.reuse_stream(stream, "t", "1 hour", buckets=2)
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"])
+
+    # one group or two for 300 entities, not one for each
+    add(spark, path, *((f"e{k}", f"n{i}{k:03}", 1000 + 10 * k) for k in range(300) for i in (2, 1)))
+    assert run() <= 2
+    assert {(r.entity_id, r.winner) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(f"e{k}", f"n1{k:03}") for k in range(300)}
+    add(spark, path, ("x", "x", 1000 + 1000 + 3600 + 600))  # the watermark comes to 5600: e0 to e99 are forgotten
+    run()
+    add(spark, path, *((f"e{k}", "late", 9000) for k in (0, 50, 150, 299)))
+    run()
+    late = spark.read.parquet(str(tmp_path / "out")).where("node_id = 'late'").collect()
+    assert {(r.entity_id, r.winner) for r in late} == {("e0", "late"), ("e50", "late"), ("e150", "n1150"), ("e299", "n1299")}
+
+
 def test_late_rows_go_into_a_table_of_their_own(spark, tmp_path):
     path, got = str(tmp_path / "in"), {}
 
