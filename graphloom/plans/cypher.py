@@ -332,6 +332,11 @@ def is_query(text: str) -> bool:
     return re.match(r"\s*(optional\s+match|match|unwind|with|return)\b", text, re.I) is not None
 
 
+def numbered(edges: DataFrame) -> DataFrame:
+    """Edges with a number above 0 that tells each from all others."""
+    return written(edges.withColumn("number", F.monotonically_increasing_id() + 1))
+
+
 class _Plan:
     def __init__(self, graph: Graph, bindings: dict[str, DataFrame]):
         self.graph, self.bindings = graph, bindings
@@ -382,9 +387,7 @@ class _Plan:
 
     def steps(self, r: _Rel) -> DataFrame:
         """(graph_id, _from, _to, the edge as r.var) of one step."""
-        e = self.graph.edges.withColumn("number", F.lit(0))
-        if self.numbered:  # before any filter, so that a number means the same edge in every step
-            e = e.withColumn("number", F.row_number().over(Window.partitionBy("graph_id", "src", "dst", "label").orderBy(F.to_json("props"))))
+        e = self.counted() if self.numbered else self.graph.edges.withColumn("number", F.lit(0).cast("long"))
         if r.labels:
             e = e.where(F.col("label").isin(r.labels))
         for k, v in r.props.items():
@@ -394,6 +397,12 @@ class _Plan:
         back = e.select("graph_id", F.col("dst").alias("_from"), F.col("src").alias("_to"), edge)
         return {"out": out, "in": back, "both": out.unionByName(back)}[r.direction]
 
+    def counted(self) -> DataFrame:
+        """Edges with numbers, written once before any filter, so that a number means the same edge in every step and no step sorts for it."""
+        if "number" not in self.graph.edges.columns:
+            self.graph = self.graph.with_(edges=numbered(self.graph.edges))
+        return self.graph.edges
+
     def reach(self, r: _Rel) -> DataFrame:
         """(graph_id, _from, _to) by low to high steps; each way counts once, and no edge stands twice in a way.
 

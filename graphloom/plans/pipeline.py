@@ -247,10 +247,10 @@ def _measures(c: Context, p: dict) -> Context:
 @step("oc")
 def _oc(c: Context, p: dict) -> Context:
     """Queries in order; those with updating clauses change the graph for the ones after them and give no result."""
-    texts, out = p["expr"] if isinstance(p["expr"], list) else [p["expr"]], []
+    texts, out, held = p["expr"] if isinstance(p["expr"], list) else [p["expr"]], [], False
     for t in texts:
         if updates.updates(t):
-            c = c.with_(graph=updates.update(c.graph, t))
+            c, held = c.with_(graph=updates.update(c.graph, t, held)), True
         else:
             out.append(cypher.run(c.graph, t))
     return c.with_(results={**c.results, "ocResult": out[-1], "ocResults": out}) if out else c

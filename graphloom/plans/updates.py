@@ -7,12 +7,12 @@ first clause is done once in every graph.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import HAS, Graph, edge_columns, node_columns
 from ..storage import written
-from .cypher import _COLUMNS, QueryError, _Node, _Parser, _Plan
+from .cypher import _COLUMNS, QueryError, _Node, _Parser, _Plan, numbered
 
 _WORDS = ("CREATE", "MERGE", "SET", "REMOVE", "DELETE", "DETACH")
 _PROPS = "map<string,array<string>>"
@@ -77,12 +77,11 @@ class _UpdateParser(_Parser):
 
 
 class _Update:
-    def __init__(self, graph: Graph, paths: list, where):
+    def __init__(self, graph: Graph, paths: list, where, held: bool):
         # edges are numbered once, so that a match and a change mean the same one of parallel edges
-        number = F.row_number().over(Window.partitionBy("graph_id", "src", "dst", "label").orderBy(F.to_json("props")))
-        self.graph = graph.with_(nodes=written(graph.nodes))
-        self.edges = written(graph.edges.withColumn("number", number))
-        self.plan = _Plan(self.graph.with_(edges=self.edges.drop("number")), {})
+        self.graph = graph if held else graph.with_(nodes=written(graph.nodes))
+        self.edges = numbered(graph.edges)
+        self.plan = _Plan(self.graph.with_(edges=self.edges), {})
         self.plan.numbered = True
         df = self.plan.pattern(None, paths) if paths else self.graph.nodes.select("graph_id").distinct()
         if where is not None:
@@ -98,6 +97,8 @@ class _Update:
     # --- changes of what is there
 
     def set_(self, targets: list[tuple], remove: bool) -> None:
+        """Changes of all targets, each table written once for them."""
+        was, edges = self.graph.nodes, self.edges
         for var, key, label, e in targets:
             change = F.lit(label) if label else F.lit(None).cast("string") if e is None else self.value(e)
             if var in self.plan.nodes:
@@ -107,6 +108,10 @@ class _Update:
                 self.change("edges", ["graph_id", *ends], self.rows.select("graph_id", *(F.col(f"{var}.{c}").alias(c) for c in ends), change.alias("_new")), key, label, remove)
             else:
                 raise QueryError(f"unknown variable {var}")
+        if self.graph.nodes is not was:
+            self.put("nodes", written(self.graph.nodes))
+        if self.edges is not edges:
+            self.put("edges", written(self.edges))
 
     def change(self, table: str, keys: list[str], found: DataFrame, key: str | None, label: str | None, remove: bool) -> None:
         several = F.when(F.count_distinct(F.coalesce("_new", F.lit("\0"))) > 1, F.raise_error(F.lit(f"more than one value for {key or label}")).cast("string")).otherwise(F.max("_new"))
@@ -126,8 +131,7 @@ class _Update:
         else:
             column, rest = "props", F.map_filter("props", lambda k, v: k != key)
             new = F.when(F.col("_new").isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(key), F.array("_new"))))
-        changed = written(both.withColumn(column, F.when(hit, new).otherwise(F.col(column))).select(*old.columns))
-        self.put(table, changed)
+        self.put(table, both.withColumn(column, F.when(hit, new).otherwise(F.col(column))).select(*old.columns))
 
     def put(self, table: str, df: DataFrame) -> None:
         if table == "nodes":
@@ -207,20 +211,21 @@ class _Update:
             fits = new.join(there, ends).where(F.forall(F.map_entries("props"), lambda p: F.col("_there")[p["key"]] == p["value"])).select(*ends, "_said")
             new = new.join(fits.distinct(), [*ends, "_said"], "left_anti").drop("_said")
         # matched edges have numbers from 1, so a new one is none of them
-        self.edges = written(self.edges.unionByName(new.withColumn("number", F.lit(0)).select(*self.edges.columns)))
+        self.edges = written(self.edges.unionByName(new.withColumn("number", F.lit(0).cast("long")).select(*self.edges.columns)))
 
 
-def update(graph: Graph, text: str) -> Graph:
+def update(graph: Graph, text: str, held: bool = False) -> Graph:
     """The graph after a query of MATCH clauses and updating clauses.
 
     SET and REMOVE change properties and labels of matched nodes and properties of edges; two different
     values for one property are an error. CREATE makes its nodes and edges for each matched row; MERGE only where
     nothing fits: of a node its labels and properties, of an edge its ends, label and properties. DELETE
     of a node that has edges is an error unless DETACH. Clauses work in order; matches are those of the beginning.
+    held: the graph's nodes are a table that is written, as those that an update gives are.
     """
     parser = _UpdateParser(text)
     paths, where, clauses = parser.update()
-    work = _Update(graph, paths, where)
+    work = _Update(graph, paths, where, held)
     for word, given in clauses:
         if word in ("CREATE", "MERGE"):
             work.create(given, word == "MERGE")
