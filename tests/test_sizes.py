@@ -28,3 +28,15 @@ def test_numbering_edges_sorts_nothing(spark):
     out = cypher.run(queries.customers(spark, TINY), "match (a {schemaNodeId:'Customer/key'})<-[]-()-[]->(n {schemaNodeId:'Customer/segment'}) return a.value as k, n.value as s")
     assert "Window" not in plan(out)
     assert out.count() == 150
+
+
+def test_updates_write_nodes_once_for_a_clause(spark, monkeypatch):
+    n, real = [], updates.written
+    monkeypatch.setattr(updates, "written", lambda df: (n.append("node_id" in df.columns and "_row" not in df.columns), real(df))[1])
+    g = updates.update(queries.customers(spark, TINY), "MATCH (c:Customer) SET c.a = '1', c.b = '2', c:Seen")
+    assert sum(n) == 2  # the graph's, and those after the clause
+    n.clear()
+    g = updates.update(g, "MATCH (c:Seen) SET c.d = '3'", held=True)
+    assert sum(n) == 1
+    props = g.instances("Customer").select(F.map_from_entries(F.array_sort(F.map_entries("props"))).alias("p")).first()["p"]
+    assert props == {"a": ["1"], "b": ["2"], "d": ["3"]}
