@@ -241,10 +241,11 @@ def _queried(graph: Graph, info: ValueSetInfo, texts: list[str]) -> DataFrame:
     return contexts.join(asked, ["graph_id", "entity_root_id"])
 
 
-def apply_results(graph: Graph, info: ValueSetInfo, answered: DataFrame) -> Graph:
+def apply_results(graph: Graph, info: ValueSetInfo, answered: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Graph:
     """Result nodes (or properties, edges) below the result context, from answered(graph_id, context_id, entity_root_id, result).
 
-    A result value that exists is updated; a key that the answer lacks removes it.
+    A result value that exists is updated; a key that the answer lacks removes it. keep: what is done with tables of
+    results that later steps read several times, as to write them; nodes and edges without results pass as they are.
     """
     targets = list(info.result_values) or [info.attribute.id]
     keys = list(info.result_keys) or ([""] if len(targets) == 1 else targets)
@@ -263,15 +264,15 @@ def apply_results(graph: Graph, info: ValueSetInfo, answered: DataFrame) -> Grap
             own = got.select("graph_id", F.col("context_id").alias("node_id"), "_new")
             less = F.map_filter("props", lambda x, v, name=name: x != name)
             full = F.when(F.col("_new").isNotNull(), F.map_concat(less, F.create_map(F.lit(name), F.array("_new")))).otherwise(F.col("props"))
-            nodes = nodes.join(own, ["graph_id", "node_id"], "left").withColumn("props", full).select(*graph.nodes.columns)
+            nodes = keep(nodes.join(own, ["graph_id", "node_id"], "left").withColumn("props", full).select(*graph.nodes.columns))
             continue
         own = got.select("graph_id", "entity_root_id", F.lit(t).alias("schema_node_id"), "_new", F.lit(True).alias("_hit")).dropDuplicates(["graph_id", "entity_root_id"])
         # only the result attribute's own nodes are joined; all others pass
         mine = F.coalesce(F.col("schema_node_id") == t, F.lit(False))
         old = nodes.where(mine).join(own, ["graph_id", "entity_root_id", "schema_node_id"], "left").where("_hit IS NULL OR _new IS NOT NULL")
-        old = nodes.where(~mine).unionByName(old.withColumn("value", F.coalesce("_new", "value")).select(*graph.nodes.columns))
+        old = nodes.where(~mine).unionByName(keep(old.withColumn("value", F.coalesce("_new", "value")).select(*graph.nodes.columns)))
         there = nodes.where(mine).select("graph_id", "entity_root_id")
-        new = got.where("_new IS NOT NULL").join(there, ["graph_id", "entity_root_id"], "left_anti").withColumn("_id", F.concat("context_id", F.lit("." + (a.name or a.id))))
+        new = keep(got.where("_new IS NOT NULL").join(there, ["graph_id", "entity_root_id"], "left_anti")).withColumn("_id", F.concat("context_id", F.lit("." + (a.name or a.id))))
         order = a.parent.children.index(a) if a.parent is not None and a in a.parent.children else None
         nodes = old.unionByName(new.select(*node_columns(graph_id=F.col("graph_id"), node_id=F.col("_id"), labels=F.array(*map(F.lit, ["DocumentNode", "Value", *a.labels])), schema_node_id=t, type="Value", attribute_name=a.name or None, attribute_index=order, value=F.col("_new"), entity_root_id=F.col("entity_root_id"))))
         label = (a.one("edgeLabel") or a.name) if mode == "edge" else HAS
@@ -282,8 +283,8 @@ def apply_results(graph: Graph, info: ValueSetInfo, answered: DataFrame) -> Grap
 def process(graph: Graph, answer: Callable[[DataFrame, Sequence[str]], DataFrame] | DataFrame, only_tables: Sequence[str] | None = None) -> Graph:
     """All value-set attributes of the layer. answer: an entries table, or a function(requests, tables) that adds `result`.
 
-    The graph is held before the first lookup and after each, so neither the ingestion nor a
-    lookup is planned again for each later use.
+    The nodes are written before the first lookup (edges too where a query looks at them), after it only what is new
+    or changed, so neither the ingestion nor a lookup is planned again for each later use and no graph is written twice.
     """
     wanted = [i for i in infos(graph.layer) if only_tables is None or not i.tables or set(i.tables) & set(only_tables)]
     if not wanted:
@@ -291,10 +292,13 @@ def process(graph: Graph, answer: Callable[[DataFrame, Sequence[str]], DataFrame
     if not callable(answer):
         entries, sizes = answer, measured(answer)
         answer = lambda asked, tables: lookup(asked, entries, tables, sizes=sizes)
-    graph = graph.held()
+    streams = graph.nodes.isStreaming or graph.edges.isStreaming
+    keep = (lambda df: df) if streams else written
+    queried = any(i.attribute.many("vs/request") or i.attribute.one("vs/contextExpr") for i in wanted)
+    graph = graph.with_(nodes=keep(graph.nodes), edges=keep(graph.edges) if queried else graph.edges)
     for info in wanted:
         answered = written(answer(requests(graph, info), info.tables))
-        graph = apply_results(graph, info, answered).held()
+        graph = apply_results(graph, info, answered, keep)
     return graph
 
 

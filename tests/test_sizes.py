@@ -30,6 +30,16 @@ def test_numbering_edges_sorts_nothing(spark):
     assert out.count() == 150
 
 
+def test_value_sets_write_a_graph_once(spark, monkeypatch):
+    rows, real = [], valueset.written
+    monkeypatch.setattr(valueset, "written", lambda df: (out := real(df), rows.append((len(out.columns), out.count())))[0])
+    g = queries.orders(spark, TINY)
+    whole = len(g.nodes.columns), g.nodes.count()
+    out = valueset.process(g, valueset.entries_table(spark, valueset.load(queries.PRIORITIES)))
+    assert out.instances("Order/code").count() == 1500
+    assert [r for r in rows if r[1] >= whole[1]] == [whole]
+
+
 def test_updates_write_nodes_once_for_a_clause(spark, monkeypatch):
     n, real = [], updates.written
     monkeypatch.setattr(updates, "written", lambda df: (n.append("node_id" in df.columns and "_row" not in df.columns), real(df))[1])
