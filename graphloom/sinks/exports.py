@@ -37,16 +37,20 @@ def to_table(graph: Graph, columns: Sequence[str | tuple[str, str]], roots: Colu
     is_root = F.col("_parent").isNull() if roots is None else F.coalesce(roots, F.lit(False))
     nodes = graph.nodes.join(ends, ["graph_id", "node_id"], "left")
     none = F.lit(None).cast("string")
+    cells = F.array(*(F.get(F.col("props")[c], F.lit(0)) for c in columns))
     # a node is a row if it is a root, and a cell of its parent; both meet by the root's id
-    as_root = F.when(is_root, F.struct(F.col("node_id").alias("root"), F.lit(True).alias("is_root"), F.col("props").alias("props"), none.alias("name"), none.alias("value")))
-    as_cell = F.when(F.col("_parent").isNotNull() & F.col("attribute_name").isin(list(columns)), F.struct(F.col("_parent").alias("root"), F.lit(False).alias("is_root"), F.lit(None).cast("map<string,array<string>>").alias("props"), F.col("attribute_name").alias("name"), F.col("value").alias("value")))
+    as_root = F.when(is_root, F.struct(F.col("node_id").alias("root"), F.lit(True).alias("is_root"), cells.alias("props"), none.alias("name"), none.alias("value")))
+    as_cell = F.when(F.col("_parent").isNotNull() & F.col("attribute_name").isin(list(columns)), F.struct(F.col("_parent").alias("root"), F.lit(False).alias("is_root"), F.lit(None).cast("array<string>").alias("props"), F.col("attribute_name").alias("name"), F.col("value").alias("value")))
     parts = nodes.select("graph_id", F.explode(F.filter(F.array(as_root, as_cell), lambda x: x.isNotNull())).alias("_p")).select("graph_id", "_p.*")
-    agg = [F.max("is_root").alias("_root"), F.first("props", ignorenulls=True).alias("props")]
+    agg = [F.max("is_root").alias("_root"), F.max("props").alias("props")]
     for k, c in enumerate(columns):
         count = F.count(F.when(F.col("name") == c, 1))
         agg.append(F.when(F.max("is_root") & (count > 1), F.raise_error(F.lit(f"more than one value of {c}")).cast("string")).otherwise(F.max(F.when(F.col("name") == c, F.col("value")))).alias(f"_{k}"))
+    # dealt out first: a root has a row for each column at most, so aggregating where they are made would only sort them once more
+    if not parts.isStreaming:
+        parts = parts.repartition("graph_id", "root")
     wide = parts.groupBy("graph_id", "root").agg(*agg).where("_root")
-    values = [F.coalesce(F.col(f"_{k}"), F.get(F.col("props")[c], F.lit(0)), F.lit("")).alias(c) for k, c in enumerate(columns)]
+    values = [F.coalesce(F.col(f"_{k}"), F.get("props", F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(columns)]
     return wide.select(*(["graph_id", "root"] if keep_ids else []), *values)
 
 

@@ -30,6 +30,11 @@ def test_numbering_edges_sorts_nothing(spark):
     assert out.count() == 150
 
 
+def test_a_table_of_roots_is_sorted_once_after_its_join(merged):
+    text = plan(exports.to_table(queries.customers(merged, TINY), ["c_name"])).split("== Physical Plan ==")[1]
+    assert text.count("Sort [") == 3
+
+
 def test_value_sets_write_a_graph_once(spark, monkeypatch):
     rows, real = [], valueset.written
     monkeypatch.setattr(valueset, "written", lambda df: (out := real(df), rows.append((len(out.columns), out.count())))[0])
