@@ -84,7 +84,10 @@ def matched(graph: Graph, spec: LinkSpec) -> DataFrame:
     doc_id is the node of the link's own attribute below the parent, where the data had one.
     """
     parents = graph.nodes.where(F.col("schema_node_id") == spec.parent_id).select("graph_id", F.col("node_id").alias("parent_id"), "entity_root_id")
-    keys = foreign_keys(graph, spec)
+    if len(spec.fk) == 1:  # each value is a key, so none have to meet
+        keys = graph.nodes.where((F.col("schema_node_id") == spec.fk[0]) & F.col("value").isNotNull()).select("graph_id", "entity_root_id", F.array("value").alias("fk"))
+    else:
+        keys = foreign_keys(graph, spec)
     targets = entity_index(graph).where(F.col("entity") == spec.target).select("graph_id", F.col("entity_id").alias("fk"), "target_id")
     out = parents.join(keys, ["graph_id", "entity_root_id"]).join(targets, ["graph_id", "fk"])
     if spec.value_node:  # its link starts at the entity, not at a node of the reference

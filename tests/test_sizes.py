@@ -45,6 +45,12 @@ def test_value_sets_write_a_graph_once(spark, monkeypatch):
     assert [r for r in rows if r[1] >= whole[1]] == [whole]
 
 
+def test_keys_of_one_part_meet_nowhere(spark, monkeypatch):
+    monkeypatch.setattr(links, "foreign_keys", lambda *a: pytest.fail("values of one key attribute are gathered"))
+    g = queries.both(spark, TINY, "Order")
+    assert links.matched(g, links.link_specs(g.layer)[0]).count() == 1500
+
+
 def test_updates_write_nodes_once_for_a_clause(spark, monkeypatch):
     n, real = [], updates.written
     monkeypatch.setattr(updates, "written", lambda df: (n.append("node_id" in df.columns and "_row" not in df.columns), real(df))[1])
