@@ -62,6 +62,8 @@ def find_measures(graph: Graph, a: Attribute, value_nodes: DataFrame | None = No
         own = values.withColumn("_m", parse_measure(F.col("_text"))).where("_m IS NOT NULL")
         return own.select("graph_id", "entity_root_id", "parent_id", "_m.value", "_m.unit")
     units = graph.children(unit_id) if unit_nodes is None else graph.children().join(unit_nodes, ["graph_id", "node_id"], "left_semi")
+    if not units.isStreaming:  # dealt out first: a parent has one unit, so aggregating where they are found would only sort them once more
+        units = units.select("graph_id", "parent_id", "value").repartition("graph_id", "parent_id")
     units = units.groupBy("graph_id", "parent_id").agg(F.max("value").alias("_u"), F.count("*").alias("_c"))
     units = units.withColumn("_u", F.when(F.col("_c") == 1, F.col("_u")).otherwise(F.raise_error(F.lit(f"{a.id}: more than one unit"))))
     below = units.select("graph_id", F.col("parent_id").alias("_v"), F.col("_u").alias("_below"))

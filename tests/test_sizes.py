@@ -61,3 +61,9 @@ def test_updates_write_nodes_once_for_a_clause(spark, monkeypatch):
     assert sum(n) == 1
     props = g.instances("Customer").select(F.map_from_entries(F.array_sort(F.map_entries("props"))).alias("p")).first()["p"]
     assert props == {"a": ["1"], "b": ["2"], "d": ["3"]}
+
+
+def test_units_are_sorted_once_after_their_join(merged):
+    g = queries.sizes(merged, TINY, "PartUnit")
+    text = plan(measures.find_measures(g, queries.compiled("PartUnit").find("PartUnit/measure"))).split("== Physical Plan ==")[1]
+    assert "REPARTITION_BY_COL" in text and "partial_max" not in text.split("REPARTITION_BY_COL")[1].split("Exchange")[0]
