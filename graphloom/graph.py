@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +22,23 @@ HAS = "has"
 class Graph:
     """nodes and edges with the columns of NODES and EDGES; many small graphs share them by graph_id.
 
-    Operators look within one graph_id unless they say otherwise.
+    Operators look within one graph_id unless they say otherwise. items: the one table that both
+    are read off, where there is one (an ingestion as it is), and read: how they are.
     """
 
     nodes: DataFrame
     edges: DataFrame
     layer: Layer | None = None
+    items: DataFrame | None = None
+    read: Callable[[DataFrame], Graph] | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
     def with_(self, **changes) -> Graph:
+        if {"nodes", "edges"} & set(changes):  # they are no longer those of the items
+            changes = {"items": None, "read": None} | changes
         return replace(self, **changes)
 
     def instances(self, attribute_id: str) -> DataFrame:
@@ -75,12 +81,15 @@ class Graph:
         """The graph written once to the shared folder and read back.
 
         A lazy graph is planned again from its source at each use, so operators that use their
-        graph several times hold it first. Streams are left as they are.
+        graph several times hold it first. An ingestion is run once for both tables. Streams are left as they are.
         """
         from .storage import written
 
         if self.nodes.isStreaming or self.edges.isStreaming:
             return self
+        if self.items is not None:
+            found = self.read(written(self.items.where("item.present")))
+            return self.with_(nodes=found.nodes, edges=found.edges)
         return self.with_(nodes=written(self.nodes), edges=written(self.edges))
 
     def global_scope(self) -> Graph:
@@ -89,7 +98,8 @@ class Graph:
         one = F.lit("")
         nodes = self.nodes.withColumns({"node_id": name("node_id"), "entity_root_id": F.when(F.col("entity_root_id").isNotNull(), name("entity_root_id"))}).withColumn("graph_id", one)
         edges = self.edges.withColumns({"src": name("src"), "dst": name("dst")}).withColumn("graph_id", one)
-        return self.with_(nodes=nodes, edges=edges)
+        read = self.read
+        return self.with_(nodes=nodes, edges=edges, items=self.items, read=None if read is None else lambda items: read(items).global_scope())
 
 
 def empty_props():

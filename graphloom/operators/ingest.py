@@ -111,11 +111,10 @@ class _Variant:
         return v.isNotNull() if self.nulls else v.isNotNull() & ~F.is_variant_null(v)
 
     def is_kind(self, v: Column, kind: str) -> Column:
-        of = F.schema_of_variant(v)
-        opens = {"Object": "OBJECT<", "Array": "ARRAY<"}
-        if kind in opens:
-            return F.coalesce(of.startswith(opens[kind]), F.lit(False))
-        return F.coalesce(~of.startswith("OBJECT<") & ~of.startswith("ARRAY<"), F.lit(False))
+        of = F.substring_index(F.schema_of_variant(v), "<", 1)  # a schema is long where its value is, so it is made once
+        if kind in ("Object", "Array"):
+            return F.coalesce(of == kind.upper(), F.lit(False))
+        return F.coalesce(~of.isin("OBJECT", "ARRAY"), F.lit(False))
 
 
 class _Walk:
@@ -211,7 +210,11 @@ class _Walk:
             for k, c in enumerate(a.children):
                 v = self.source.child(c, value)
                 inside = c.kind == "Object" and isinstance(self.source, _Flat)  # a flat row holds the fields of nested objects too
-                out += self.items(c, v if not inside else value, F.concat(node_id, F.lit("." + (c.name or str(k)))), under, own_root, F.lit(k), depth + 1, here & (F.lit(True) if inside else self.source.present(v)))
+                below = F.concat(node_id, F.lit("." + (c.name or str(k))))
+                if isinstance(self.source, _Variant):
+                    out += self.once(v, below, here, lambda x, own, c=c, k=k: self.items(c, x, own, under, own_root, F.lit(k), depth + 1, F.lit(True)))
+                else:
+                    out += self.items(c, v if not inside else value, below, under, own_root, F.lit(k), depth + 1, here & (F.lit(True) if inside else self.source.present(v)))
             if not self.only_schema and isinstance(self.source, _Variant):
                 known = [c.name for c in a.children]
                 fields = F.map_entries(F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, v: ~k.isin(known) & ~F.is_variant_null(v)))
@@ -226,12 +229,29 @@ class _Walk:
             values = F.try_variant_get(value, "$", "array<variant>")
 
             def each(x, i):
-                inner = self.items(element, x, F.concat(node_id, F.lit("."), i.cast("string")), under, own_root, i, depth + 1, here & self.source.present(x))
-                return F.flatten(F.array(*inner)) if inner else F.array().cast(extra_type())
+                inner = self.once(x, F.concat(node_id, F.lit("."), i.cast("string")), here, lambda v, own: self.items(element, v, own, under, own_root, i, depth + 1, F.lit(True)))
+                return inner[0] if inner else F.array().cast(extra_type())
 
             out.append(F.coalesce(F.flatten(F.transform(values, each)), F.array().cast(extra_type())))
         return out
 
+    def once(self, value: Column, node_id: Column, here: Column, make) -> list[Column]:
+        """What make(value, node_id) gives, as one array; an empty one where the value is not there.
+
+        The value is an element of an array of one: it is taken from its document once, however
+        often its items use it, and nothing below it is looked for where it is not there.
+        """
+        made = None
+
+        def each(x):
+            nonlocal made
+            made = make(x["value"], x["id"])
+            return F.flatten(F.array(*made)) if made else F.array().cast(extra_type())
+
+        there = F.filter(F.array(F.struct(value.alias("value"), node_id.alias("id"))), lambda x: here & self.source.present(x["value"]))
+        out = F.flatten(F.transform(there, each))
+        return [out] if made else []
+
     def choice(self, a, value, node_id, parent_id, root_id, index, depth, here) -> list[Column]:
         """Exactly one option must be valid."""
         fits = [self.valid_option(o, value) for o in a.children]
@@ -266,7 +286,7 @@ def graph_of(items: DataFrame, layer: Layer) -> Graph:
     names = [n for n, _ in _ITEM if n not in ("parent_id", "edge_label", "present", "error")]
     nodes = good.select(*node_columns(graph_id=F.col("graph_id"), source=F.col("source"), **{n: F.col(n) for n in names}))
     edges = good.where("parent_id IS NOT NULL").select(*edge_columns(graph_id=F.col("graph_id"), src=F.col("parent_id"), dst=F.col("node_id"), label=F.col("edge_label"), ord=F.col("attribute_index")))
-    return Graph(nodes, edges, layer)
+    return Graph(nodes, edges, layer, items, lambda written: graph_of(written, layer))
 
 
 def _exploded(df: DataFrame, layer: Layer, graph_id: Column, source: Column, arrays: list[Column]) -> DataFrame:
@@ -310,7 +330,7 @@ def json_items(df: DataFrame, layer: Layer, json_col: str, graph_id: Column, sou
     parsed = df.withColumn("_doc", F.try_parse_json(json_col))
     walk = _Walk(_Variant(ingest_nulls), only_schema, typed)
     base = graph_id.cast("string") if base_id is None else base_id.cast("string")
-    arrays = walk.items(layer.root, F.col("_doc"), base, None, None, F.lit(0), 0, F.lit(True) & walk.source.present(F.col("_doc")))
+    arrays = walk.once(F.col("_doc"), base, F.lit(True), lambda doc, own: walk.items(layer.root, doc, own, None, None, F.lit(0), 0, F.lit(True)))
     broken = F.array(_item(node_id=base, type="Document", present=F.col("_doc").isNull() & F.col(json_col).isNotNull(), error=F.lit("not JSON")))
     return _exploded(parsed, layer, graph_id, F.lit(None) if source is None else source, [broken, *arrays])
 

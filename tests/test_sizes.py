@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import queries
+from graphloom import queries, storage
 from graphloom.operators import links, measures, valueset
 from graphloom.plans import cypher, updates
 from graphloom.sinks import exports
@@ -67,3 +67,26 @@ def test_units_are_sorted_once_after_their_join(merged):
     g = queries.sizes(merged, TINY, "PartUnit")
     text = plan(measures.find_measures(g, queries.compiled("PartUnit").find("PartUnit/measure"))).split("== Physical Plan ==")[1]
     assert "REPARTITION_BY_COL" in text and "partial_max" not in text.split("REPARTITION_BY_COL")[1].split("Exchange")[0]
+
+
+def written_rows(monkeypatch) -> list:
+    n, real = [], storage.written
+    monkeypatch.setattr(storage, "written", lambda df: (n.append(df.columns), real(df))[1])
+    return n
+
+
+def same(a, b) -> bool:
+    return sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_an_ingestion_is_run_once_for_nodes_and_edges(spark, monkeypatch):
+    n = written_rows(monkeypatch)
+    lazy = queries.conversations(spark, TINY)
+    for g in (lazy, lazy.global_scope()):
+        n.clear()
+        held = g.held()
+        assert len(n) == 1
+        assert same(held.nodes, g.nodes) and same(held.edges, g.edges)
+    n.clear()
+    g = lazy.with_(nodes=lazy.nodes.where("type = 'Value'"))
+    assert same(g.held().nodes, g.nodes) and len(n) == 2
