@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import Graph
-from ..operators.ingest import flat_items, graph_of, ingest_rows
+from ..operators.ingest import flat_items, graph_of
 from ..operators.links import link
 from ..schema.layer import Layer
 from ..storage import written
@@ -145,7 +145,7 @@ def ingest_joined(df: DataFrame, entities: list[JoinedEntity], row_col: str = "_
         rows = rows.withColumn("_graph", F.concat(F.lit("row_"), F.col("_first").cast("string")))
     else:
         rows = rows.join(named.select("_part", "_first", template(id_template, cells).alias("_graph")), ["_part", "_first"])
-    out = None
+    found = None
     for n, e in enumerate(entities):
         own = rows
         if e.any_columns:
@@ -159,8 +159,9 @@ def ingest_joined(df: DataFrame, entities: list[JoinedEntity], row_col: str = "_
         base = once.select("_e.*", F.concat_ws("/", F.col("_part").cast("string"), "_graph").alias("__gid"), "_graph")
         base = base.withColumn("__id", F.concat(F.lit(f"{n}:row_"), F.col("__row").cast("string")))
         cells = base.select(*(F.col(f"`{c}`") for c in e.columns), "__gid", "__id")
-        graph = ingest_rows(cells, e.layer, F.col("__gid"), None, False, True, F.col("__id"))
-        out = graph if out is None else out.union(graph)
+        items = flat_items(cells, e.layer, F.col("__gid"), None, False, True, F.col("__id"))
+        found = items if found is None else found.unionByName(items)
+    out = graph_of(found, entities[0].layer)
     if link_all:
         for e in entities:
             linked = link(out.with_(layer=e.layer))

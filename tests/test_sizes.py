@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import queries, storage
+from graphloom.fixtures import compiled
 from graphloom.operators import links, measures, valueset
 from graphloom.plans import cypher, updates
 from graphloom.sinks import exports
+from graphloom.sources import tables
 
 TINY = "/root/testdata/sf0.001"
 
@@ -90,3 +92,14 @@ def test_an_ingestion_is_run_once_for_nodes_and_edges(spark, monkeypatch):
     n.clear()
     g = lazy.with_(nodes=lazy.nodes.where("type = 'Value'"))
     assert same(g.held().nodes, g.nodes) and len(n) == 2
+
+
+def test_joined_csv_is_ingested_once_for_nodes_and_edges(spark, monkeypatch):
+    n = written_rows(monkeypatch)
+    rows = spark.createDataFrame([(0, 1, 7, 1, 5), (1, 1, 7, 2, 6), (2, 2, 8, 1, 5)], "_row long, o_orderkey long, o_custkey long, l_linenumber long, l_partkey long")
+    parts = [tables.JoinedEntity(compiled("Order"), ("o_orderkey", "o_custkey"), ("o_orderkey",)), tables.JoinedEntity(compiled("Line"), ("l_linenumber", "o_orderkey", "l_partkey"), ("o_orderkey", "l_linenumber"))]
+    g = tables.ingest_joined(rows, parts, link_all=False)
+    held = g.held()
+    assert len(n) == 1
+    assert same(held.nodes, g.nodes) and same(held.edges, g.edges)
+    assert held.nodes.where("entity_schema IS NOT NULL").groupBy("schema_node_id").count().orderBy("schema_node_id").collect() == [("Line", 3), ("Order", 2)]
