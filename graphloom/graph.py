@@ -53,7 +53,7 @@ class Graph:
         ids = nodes.select("graph_id", F.col("node_id").alias("_id"))
         edges = self.edges
         for end in ("src", "dst"):
-            own = ids.withColumnRenamed("_id", end)
+            own = sized(ids.withColumnRenamed("_id", end))
             edges = edges.join(own, ["graph_id", end], "left_semi")
         return self.with_(nodes=nodes, edges=edges.select(*self.edges.columns))
 
@@ -61,7 +61,7 @@ class Graph:
         """Child nodes with their parents' ids (parent_id), over all edges."""
         nodes = self.nodes if attribute_id is None else self.instances(attribute_id)
         ends = self.edges.select("graph_id", F.col("src").alias("parent_id"), F.col("dst").alias("node_id"), F.col("label").alias("edge_label"), "ord")
-        return nodes.join(ends, ["graph_id", "node_id"])
+        return nodes.join(sized(ends), ["graph_id", "node_id"])
 
     def stored(self, name: str, buckets: int) -> Graph:
         """The graph written as tables <name>_nodes and <name>_edges, bucketed and sorted by graph_id.
@@ -102,6 +102,15 @@ class Graph:
         return self.with_(nodes=nodes, edges=edges, items=self.items, read=None if read is None else lambda items: read(items).global_scope())
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the graph, and so is merged and not broadcast.
+
+    What a graph is exploded from is a compressed file many times smaller than its nodes, by which Spark takes
+    millions of them for a table that each task and the driver can hold.
+    """
+    return df.hint("merge")
+
+
 def empty_props():
     return F.create_map().cast("map<string,array<string>>")
 

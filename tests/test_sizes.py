@@ -103,3 +103,9 @@ def test_joined_csv_is_ingested_once_for_nodes_and_edges(spark, monkeypatch):
     assert len(n) == 1
     assert same(held.nodes, g.nodes) and same(held.edges, g.edges)
     assert held.nodes.where("entity_schema IS NOT NULL").groupBy("schema_node_id").count().orderBy("schema_node_id").collect() == [("Line", 3), ("Order", 2)]
+
+
+def test_ends_of_a_subgraph_are_not_broadcast(spark):
+    g = queries.customers(spark, TINY).subgraph("schema_node_id <> 'Customer/name'")
+    assert "Broadcast" not in plan(g.edges)
+    assert g.edges.count() == 300
