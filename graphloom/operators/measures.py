@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import HAS, Graph, edge_columns, node_columns
+from ..graph import HAS, Graph, edge_columns, node_columns, sized
 from ..schema.layer import Attribute, SchemaError
 
 _MEASURE = r"^\s*([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)\s*(\S.*?)\s*$"
@@ -56,12 +56,12 @@ def find_measures(graph: Graph, a: Attribute, value_nodes: DataFrame | None = No
     source = a.one("measure/valueNode") or a.id
     values = graph.children(source).select("graph_id", "entity_root_id", "parent_id", F.col("node_id").alias("_v"), F.col("value").alias("_text"))
     if value_nodes is not None:
-        values = graph.children().join(value_nodes, ["graph_id", "node_id"], "left_semi").select("graph_id", "entity_root_id", "parent_id", F.col("node_id").alias("_v"), F.col("value").alias("_text"))
+        values = graph.children().join(sized(value_nodes), ["graph_id", "node_id"], "left_semi").select("graph_id", "entity_root_id", "parent_id", F.col("node_id").alias("_v"), F.col("value").alias("_text"))
     unit_id = a.one("measure/unitNode")
     if unit_nodes is None and not unit_id:
         own = values.withColumn("_m", parse_measure(F.col("_text"))).where("_m IS NOT NULL")
         return own.select("graph_id", "entity_root_id", "parent_id", "_m.value", "_m.unit")
-    units = graph.children(unit_id) if unit_nodes is None else graph.children().join(unit_nodes, ["graph_id", "node_id"], "left_semi")
+    units = graph.children(unit_id) if unit_nodes is None else graph.children().join(sized(unit_nodes), ["graph_id", "node_id"], "left_semi")
     if not units.isStreaming:  # dealt out first: a parent has one unit, so aggregating where they are found would only sort them once more
         units = units.select("graph_id", "parent_id", "value").repartition("graph_id", "parent_id")
     units = units.groupBy("graph_id", "parent_id").agg(F.max("value").alias("_u"), F.count("*").alias("_c"))

@@ -109,3 +109,8 @@ def test_ends_of_a_subgraph_are_not_broadcast(spark):
     g = queries.customers(spark, TINY).subgraph("schema_node_id <> 'Customer/name'")
     assert "Broadcast" not in plan(g.edges)
     assert g.edges.count() == 300
+
+
+def test_found_value_nodes_are_not_broadcast(spark):
+    out = queries.QUERIES["MS2_measure_values_by_query"](spark, TINY)
+    assert "Broadcast" not in plan(out)
