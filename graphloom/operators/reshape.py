@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural
-from ..graph import HAS, Graph, edge_columns, node_columns, schema_nodes
+from ..graph import HAS, Graph, edge_columns, node_columns, schema_nodes, sized
 from ..plans import cypher
 from ..schema.layer import Attribute, Layer, SchemaError
 from ..schema.terms import VOCABULARY
@@ -106,7 +106,7 @@ class Reshaper:
                     out = out.unionByName(p)
                 if mode == "first":
                     best = out.groupBy("graph_id").agg(F.min("_k").alias("_k"))
-                    out = out.join(best, ["graph_id", "_k"])
+                    out = out.join(sized(best), ["graph_id", "_k"])
                 return out.select("graph_id", F.concat_ws("/", F.lpad(F.col("_k").cast("string"), 4, "0"), "_o").alias("_o"), "value", "props")
         if p := rule.get("mapProperty") or self.target.root.one("transform/mapProperty"):
             hit = source.nodes.where(F.array_contains(F.col("props")[_list(p)[0]], a.id))
@@ -125,7 +125,7 @@ class Reshaper:
         from .entities import descendants
 
         below = descendants(source, F.col("schema_node_id") == context[0]).select("graph_id", "node_id").distinct()
-        return hit.join(below, ["graph_id", "node_id"], "left_semi")
+        return hit.join(sized(below), ["graph_id", "node_id"], "left_semi")
 
     def expression(self, source: Graph, text: str, bound: dict[str, DataFrame], k: int) -> DataFrame:
         q = cypher.parse(text)
@@ -139,7 +139,7 @@ class Reshaper:
         name = found.columns[1]
         if e[0] == "var":
             ids = found.select("graph_id", F.col(f"`{name}`").alias("node_id"))
-            own = source.nodes.join(ids, ["graph_id", "node_id"], "left_semi")
+            own = source.nodes.join(sized(ids), ["graph_id", "node_id"], "left_semi")
             return own.select("graph_id", F.lit(k).alias("_k"), F.col("node_id").alias("_o"), "value", "props")
         return found.select("graph_id", F.lit(k).alias("_k"), F.col(f"`{name}`").cast("string").alias("_o"), F.col(f"`{name}`").cast("string").alias("value"), F.create_map().cast("map<string,array<string>>").alias("props"))
 
@@ -338,7 +338,7 @@ class _Instances:
                 k += 1
             if first and len(group) > 1:
                 whole = written(_union(_filled(group, sorted(symbols))))
-                group = [whole.join(whole.groupBy("graph_id", "inst").agg(F.min("k").alias("k")), ["graph_id", "inst", "k"], "left_semi")]
+                group = [whole.join(sized(whole.groupBy("graph_id", "inst").agg(F.min("k").alias("k"))), ["graph_id", "inst", "k"], "left_semi")]
             parts += group
         wanted = []
         if p := rule.get("mapProperty") or (self.shaper.target.root.one("transform/mapProperty") if a.kind == "Value" and not self.shaper.sources(a) else ""):
@@ -351,7 +351,7 @@ class _Instances:
                 hit = self.shaper.within(self.source, hit, rule)
             hit = hit.select("graph_id", "node_id")
             at = "near" if self.stands_below(env, ids) else "context" if env.context else None
-            got = self.below(env, hit, at) if at else _keyed(env.table).select("graph_id", "inst").join(hit, "graph_id")
+            got = self.below(env, hit, at) if at else _keyed(env.table).select("graph_id", "inst").join(sized(hit), "graph_id")
             parts.append(got.select("graph_id", "inst", F.lit(k).alias("k"), natural(F.col("node_id")).alias("o"), F.col("node_id").alias("node"), F.lit(None).cast("string").alias("value")))
             k += 1
         if not parts:
@@ -373,16 +373,16 @@ class _Instances:
         tops = written(env.table.where(F.col(column).isNotNull()).select("graph_id", F.col(column).alias("at")).distinct())
         level, met, k = written(hit.select("graph_id", "node_id", F.col("node_id").alias("at"))), [], 0
         while not level.isEmpty():
-            met.append(level.join(tops, ["graph_id", "at"], "left_semi"))
+            met.append(level.join(sized(tops), ["graph_id", "at"], "left_semi"))
             k += 1
             if k > MOST_LEVELS:
                 raise SchemaError(f"more than {MOST_LEVELS} levels above a source node: is there a cycle?")
-            level = written(level.join(up, ["graph_id", "at"]).select("graph_id", "node_id", F.col("_above").alias("at")).distinct())
+            level = written(level.join(sized(up), ["graph_id", "at"]).select("graph_id", "node_id", F.col("_above").alias("at")).distinct())
         if not met:
             return _keyed(env.table).select("graph_id", "inst", F.lit("").alias("node_id")).limit(0)
         pairs = _union(met).distinct()
         own = _keyed(env.table).select("graph_id", "inst", F.col(column).alias("at"))
-        return own.join(pairs, ["graph_id", "at"]).select("graph_id", "inst", "node_id")
+        return own.join(sized(pairs), ["graph_id", "at"]).select("graph_id", "inst", "node_id")
 
     def instances(self, a: Attribute, env: _Env, rule: dict, made) -> _Env:
         """The instances of a: one for each result, or one for each instance of the parent where a container has no rule."""
@@ -397,7 +397,7 @@ class _Instances:
             found, symbols, ids = made
             n = F.row_number().over(Window.partitionBy("graph_id", "inst").orderBy("k", "o", "value")) - 1
             own = self.source.nodes.select("graph_id", F.col("node_id").alias("node"), F.col("value").alias("_text"), self.shaper.kept("props").alias("_props"))
-            found = found.withColumn("_n", n).join(own, ["graph_id", "node"], "left").withColumn("_value", F.coalesce("value", "_text")).drop("value", "_text", "k", "o")
+            found = found.withColumn("_n", n).join(sized(own), ["graph_id", "node"], "left").withColumn("_value", F.coalesce("value", "_text")).drop("value", "_text", "k", "o")
             if a.kind == "Value":
                 found = found.where("node IS NOT NULL OR _value IS NOT NULL")
             new = [f"s_{x}" for x, _ in symbols]
@@ -439,7 +439,7 @@ class _Instances:
             raise SchemaError(f"provenance needs one column of nodes: {text}")
         one = F.when(F.count_distinct("c0") > 1, F.raise_error(F.lit("provenance: more than one node")).cast("string")).otherwise(F.max("c0"))
         own = self.source.nodes.select("graph_id", F.col("node_id").alias("_node"), F.map_filter("props", lambda k, v: k.startswith("provenance/")).alias("_given"))
-        got = found.groupBy("graph_id", "inst").agg(one.alias("_node")).join(own, ["graph_id", "_node"]).drop("_node")
+        got = found.groupBy("graph_id", "inst").agg(one.alias("_node")).join(sized(own), ["graph_id", "_node"]).drop("_node")
         props = F.coalesce("_props", F.create_map().cast(_PROPS))
         given = F.map_filter(F.coalesce("_given", F.create_map().cast(_PROPS)), lambda k, v: ~F.array_contains(F.map_keys(props), k))
         return _joined(table, got).withColumn("_props", F.map_concat(props, given)).drop("_given")
@@ -454,7 +454,7 @@ def _joined(table: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
     """table with what was found for its instances."""
     found = found.withColumnRenamed("inst", "_inst").withColumnRenamed("graph_id", "_graph")
     same = (table["graph_id"] == found["_graph"]) & (F.coalesce(table["inst"], F.lit("")) == found["_inst"])
-    return table.join(found, same, how).drop("_graph", "_inst")
+    return table.join(sized(found), same, how).drop("_graph", "_inst")
 
 
 def _filled(parts: list[DataFrame], symbols: list[str]) -> list[DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import HAS, Graph
+from ..graph import HAS, Graph, sized
 from ..schema.layer import Attribute, Layer
 from ..storage import written
 
@@ -96,7 +96,7 @@ def to_json(graph: Graph, root: str, depth: int | None = None, labels: Sequence[
         "graph_id", "node_id", "type", "attribute_name", "attribute_index", "schema_node_id", level.alias("level"), F.when(F.col("type") == "Value", text).alias("json"),
         F.when(F.col("type") != "Value", props).alias("_props"), F.element_at(F.coalesce("labels", F.array().cast("array<string>")), -1).alias("_label"),
     )
-    tree = own.join(links, ["graph_id", "node_id"], "left").withColumn("i", F.coalesce("ord", "attribute_index"))
+    tree = own.join(sized(links), ["graph_id", "node_id"], "left").withColumn("i", F.coalesce("ord", "attribute_index"))
     if not tree.isStreaming:
         tree = written(tree)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom import queries, storage
 from graphloom.fixtures import compiled
-from graphloom.operators import links, measures, valueset
+from graphloom.operators import links, measures, reshape, valueset
 from graphloom.plans import cypher, updates
 from graphloom.sinks import exports
 from graphloom.sources import tables
@@ -114,3 +114,12 @@ def test_ends_of_a_subgraph_are_not_broadcast(spark):
 def test_found_value_nodes_are_not_broadcast(spark):
     out = queries.QUERIES["MS2_measure_values_by_query"](spark, TINY)
     assert "Broadcast" not in plan(out)
+
+
+def test_reshaping_with_instances_broadcasts_nothing(spark, monkeypatch):
+    plans, real = [], storage.written
+    for module in (reshape, exports):
+        monkeypatch.setattr(module, "written", lambda df: (plans.append(plan(df)), real(df))[1])
+    out = queries.QUERIES["TX1_repeated_objects"](spark, TINY)
+    assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+    assert out.count() == spark.read.parquet(f"{TINY}/conversations.parquet").select("conv_id").distinct().count()
