@@ -167,13 +167,13 @@ def _ingest_xml(c: Context, p: dict) -> Context:
 
 @step("readGraph")
 def _read_graph(c: Context, p: dict) -> Context:
-    from ..sources.graphs import no_graph, read_graphs
+    from ..sources.graphs import graph_items, graph_of_items
 
     docs, graph_id, column = _documents(c, p)
-    text, none = F.col(column), F.lit(None).cast("string")
-    docs = docs.select(graph_id.cast("string").alias("graph_id"), text.alias("value"), none.alias("node_id"), none.alias("schema_node_id"), F.when(no_graph(text), F.lit("not a graph")).alias("error"))
-    c, docs = _sound(c, p, docs, F.col("error").isNotNull(), lambda bad: bad)
-    return c.with_(graph=read_graphs(docs, "value", F.col("graph_id"), p.get("namespace", "")))
+    none = F.lit(None).cast("string")
+    items = graph_items(docs, F.col(column), graph_id, p.get("namespace", "")).withColumns({"node_id": none, "schema_node_id": none})
+    c, items = _sound(c, p, items, F.col("error").isNotNull(), lambda bad: bad)
+    return c.with_(graph=graph_of_items(items))
 
 
 @step("writeGraph")

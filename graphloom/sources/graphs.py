@@ -20,28 +20,38 @@ def _strings(props: Column, strip: str) -> Column:
     return F.transform_keys(plain, lambda k, v: F.regexp_replace(k, strip, "")) if strip else plain
 
 
-def no_graph(text: Column) -> Column:
-    """Whether a text is not a graph; a null is none either way."""
-    return text.isNotNull() & F.try_variant_get(F.try_parse_json(text), "$", _JSON)["nodes"].isNull()
+def graph_items(df: DataFrame, text: Column, graph_id: Column, namespace: str = "") -> DataFrame:
+    """(graph_id, nodes, edges, error): each text read once, with properties as lists of strings; a text that is not a graph has an error only, a null has nothing."""
+    strip = _strip(namespace)
+    name = lambda c: F.regexp_replace(c, strip, "") if strip else c
+    edge = lambda e, *ends: F.struct(*ends, name(e["label"]).alias("label"), _strings(e["properties"], strip).alias("p"))
+    to = lambda e: e["to"].cast("string").alias("to")
+    node = lambda n: F.struct(n["n"].cast("string").alias("n"), F.transform(n["labels"], name).alias("labels"), _strings(n["properties"], strip).alias("p"), F.transform(n["edges"], lambda e: edge(e, to(e))).alias("edges"))
+    own = df.select(graph_id.cast("string").alias("graph_id"), text.isNotNull().alias("given"), F.try_variant_get(F.try_parse_json(text), "$", _JSON).alias("d"))
+    none = F.col("d")["nodes"].isNull()
+    edges = F.transform(F.col("d")["edges"], lambda e: edge(e, e["from"].cast("string").alias("from"), to(e)))
+    return own.select("graph_id", F.transform(F.col("d")["nodes"], node).alias("nodes"), F.when(~none, edges).alias("edges"), F.when(F.col("given") & none, F.lit("not a graph")).alias("error"))
 
 
-def read_graphs(df: DataFrame, json_col: str, graph_id: Column, namespace: str = "") -> Graph:
-    """One graph per JSON text. namespace: a prefix of terms and labels that is stripped. A text that is no graph gives nothing."""
-    strip = "^" + "".join("\\" + c if not c.isalnum() else c for c in namespace) if namespace else ""
-    doc = F.try_variant_get(F.try_parse_json(json_col), "$", _JSON)
-    own = df.select(graph_id.cast("string").alias("graph_id"), doc.alias("d"))
-    nodes = own.select("graph_id", F.explode("d.nodes").alias("n"))
-    name = lambda c: F.regexp_replace(c, strip, "") if strip else c
-    labels = F.transform("n.labels", lambda x: name(x))
-    props = _strings(F.col("n.properties"), strip)
-    flat = nodes.select("graph_id", F.col("n.n").cast("string").alias("node_id"), labels.alias("labels"), props.alias("p"), F.col("n.edges").alias("out"))
+def _strip(namespace: str) -> str:
+    return "^" + "".join("\\" + c if not c.isalnum() else c for c in namespace) if namespace else ""
+
+
+def graph_of_items(items: DataFrame) -> Graph:
+    """The nodes and edges of graph_items."""
+    flat = items.select("graph_id", F.explode("nodes").alias("n")).select("graph_id", F.col("n.n").alias("node_id"), "n.labels", "n.p", F.col("n.edges").alias("out"))
     one = lambda k: F.get(F.col("p")[k], F.lit(0))
     kind = F.get(F.filter(F.array(*map(F.lit, ("Value", "Object", "Array"))), lambda k: F.array_contains("labels", k)), F.lit(0))
     columns = {c: (F.col("p")[k] if c in ("entity_id", "value_type") else one(k)) for k, c in _OWN.items()}
     rest = F.map_filter("p", lambda k, v: ~k.isin(list(_OWN)))
     table = flat.select(*node_columns(graph_id=F.col("graph_id"), node_id=F.col("node_id"), labels=F.col("labels"), type=kind, props=rest, **columns))
     nested = flat.select("graph_id", "node_id", F.posexplode("out").alias("i", "e"))
-    inner = nested.select(*edge_columns(graph_id=F.col("graph_id"), src=F.col("node_id"), dst=F.col("e.to").cast("string"), label=name(F.col("e.label")), ord=F.col("i"), props=_strings(F.col("e.properties"), strip)))
-    top = own.select("graph_id", F.posexplode("d.edges").alias("i", "e"))
-    outer = top.select(*edge_columns(graph_id=F.col("graph_id"), src=F.col("e.from").cast("string"), dst=F.col("e.to").cast("string"), label=name(F.col("e.label")), ord=F.col("i"), props=_strings(F.col("e.properties"), strip)))
+    inner = nested.select(*edge_columns(graph_id=F.col("graph_id"), src=F.col("node_id"), dst=F.col("e.to"), label=F.col("e.label"), ord=F.col("i"), props=F.col("e.p")))
+    top = items.select("graph_id", F.posexplode("edges").alias("i", "e"))
+    outer = top.select(*edge_columns(graph_id=F.col("graph_id"), src=F.col("e.from"), dst=F.col("e.to"), label=F.col("e.label"), ord=F.col("i"), props=F.col("e.p")))
     return Graph(table, inner.unionByName(outer))
+
+
+def read_graphs(df: DataFrame, json_col: str, graph_id: Column, namespace: str = "") -> Graph:
+    """One graph per JSON text. namespace: a prefix of terms and labels that is stripped. A text that is no graph gives nothing."""
+    return graph_of_items(graph_items(df, F.col(json_col), graph_id, namespace))

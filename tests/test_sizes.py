@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from graphloom import queries, storage
 from graphloom.fixtures import compiled
 from graphloom.operators import links, measures, reshape, valueset
-from graphloom.plans import cypher, updates
+from graphloom.plans import cypher, pipeline, updates
 from graphloom.sinks import exports
-from graphloom.sources import tables
+from graphloom.sources import documents, tables
 
 TINY = "/root/testdata/sf0.001"
 
@@ -123,3 +123,34 @@ def test_reshaping_with_instances_broadcasts_nothing(spark, monkeypatch):
     out = queries.QUERIES["TX1_repeated_objects"](spark, TINY)
     assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
     assert out.count() == spark.read.parquet(f"{TINY}/conversations.parquet").select("conv_id").distinct().count()
+
+
+def test_cutting_by_quotes_is_cutting_by_marks(monkeypatch):
+    texts = ['{"a":"}\\\\\\""}[1]', '{"a', '":[', ' ]}', '"x" 1', "}", "[", '{"b":"é\\\\"}', "", '\\"{"', " "]
+    lines = [[texts[(k // 11**i) % 11] for i in range(1 + k % 4)] for k in range(0, 11**4, 7)]
+    for size in (0, 1 << 20):
+        monkeypatch.setattr(documents, "CHUNK", size)
+        got = [(documents._change(iter(x)), [list(documents._cut(iter(x), d)) for d in (0, 2)]) for x in lines]
+        with monkeypatch.context() as m:
+            m.setattr(documents, "_brackets", lambda text: None)
+            assert got == [(documents._change(iter(x)), [list(documents._cut(iter(x), d)) for d in (0, 2)]) for x in lines]
+
+
+def test_graphs_of_files_are_parsed_once(spark, monkeypatch, tmp_path):
+    n, real = [], pipeline.written
+    monkeypatch.setattr(pipeline, "written", lambda df: (n.append(plan(df).split("== Physical Plan ==")[1]), real(df))[1])
+    texts = exports.to_graph_json(queries.customers(spark, TINY)).select(F.col("json").alias("t"))
+    path = queries.streamed(spark, texts, 25)
+    g = pipeline.run([{"operation": "readGraph", "params": {"path": path}}], pipeline.Context(spark)).graph
+    assert "parseJson" in n[0] and "parseJson" not in plan(g.nodes) + plan(g.edges)
+    assert (g.nodes.count(), g.edges.count()) == (600, 450)
+
+
+def test_lines_and_files_of_documents_grow_in_number_not_in_length(spark, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_BYTES", 100_000, raising=False)
+    texts = spark.range(20_000).select(F.to_json(F.struct("id")).alias("t"))
+    path = queries.streamed(spark, texts, 5)
+    read = spark.read.text(path)
+    assert read.agg(F.max(F.length("value"))).first()[0] < 1400 * 12
+    assert len(read.inputFiles()) == 1 + texts.agg(F.sum(F.length("t"))).first()[0] // 100_000
+    assert documents.json_documents(spark, path).select("document").distinct().count() == 20_000
